@@ -1,0 +1,343 @@
+"""DuckDB oracle SQL for the registered queries.
+
+Written independently of the Spark code from the same fixed values (RE2
+spelling of the patterns, DuckDB JSON functions, a recursive CTE for the
+claim fold).  The tables ``documents labels conversations events part`` are
+views in the oracle's connection.
+"""
+
+from __future__ import annotations
+
+from ..functions.jsre import JS_WS_CHARS, WS_RE2
+from ..functions.service_types import SERVICE_IDS, SERVICE_TYPES, lookup_entries
+from ..operators.contract import SAFE_ALERT_REASON
+from ..operators.sanitize import EVAL_REJECT_REASON, INBOUND_REJECT_REASON
+from ..sources import driver_tables as dt
+
+ORACLE: dict[str, str] = {}
+
+
+def lit(s: str) -> str:
+    """A DuckDB string expression for ``s`` (control and non-ASCII chars via chr())."""
+    parts: list[str] = []
+    buf = ""
+    for ch in s:
+        if 32 <= ord(ch) < 127:
+            buf += "''" if ch == "'" else ch
+        else:
+            if buf:
+                parts.append(f"'{buf}'")
+                buf = ""
+            parts.append(f"chr({ord(ch)})")
+    if buf or not parts:
+        parts.append(f"'{buf}'")
+    return "(" + " || ".join(parts) + ")" if len(parts) > 1 else parts[0]
+
+
+def q(s: str) -> str:
+    """A plain single-quoted literal (for regex patterns, kept verbatim)."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+WSSET = lit(JS_WS_CHARS)
+NL = "chr(10)"
+
+
+def trim_js(x: str) -> str:
+    return f"trim({x}, {WSSET})"
+
+
+def rtrim_js(x: str) -> str:
+    return f"rtrim({x}, {WSSET})"
+
+
+# RE2 spellings of the fixed PII patterns (``\b`` is ASCII in RE2, as in JS).
+RE2_PII = [
+    (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[EMAIL]"),
+    (rf"(?:\+?1[-.{WS_RE2}]?)?(?:\(?\d{{3}}\)?[-.{WS_RE2}]?)\d{{3}}[-.{WS_RE2}]?\d{{4}}", "[PHONE]"),
+    (rf"(?i)\bhttps?://[^{WS_RE2}]+", "[URL]"),
+    (r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]"),
+    (r"\b(?:\d[ -]*?){13,16}\b", "[CARD_NUMBER]"),
+]
+RE2_SEP = rf"\n--[{WS_RE2}]*\n"
+RE2_SIGNOFF = (r"(?i)^(thanks|thank you|best|best regards|regards|kind regards|sincerely|"
+               rf"cheers|warmly|respectfully)[,!.{WS_RE2}]*$")
+RE2_SENT = r"(?i)^sent from my "
+
+
+def redact(x: str) -> str:
+    for pattern, token in RE2_PII:
+        x = f"regexp_replace({x}, {q(pattern)}, {q(token)}, 'g')"
+    return x
+
+
+def case_list(index: str, values: list[str]) -> str:
+    whens = " ".join(f"WHEN {i} THEN {lit(v)}" for i, v in enumerate(values))
+    return f"CASE {index} {whens} END"
+
+
+EMAILS_CTE = f"""emails AS (
+  SELECT doc_id AS email_id,
+         'customer' || CAST(doc_id AS VARCHAR) || '@example.com' AS "from",
+         CASE doc_id % 13 WHEN 0 THEN '' WHEN 1 THEN '   ' ELSE split_part(text, {NL}, 1) END AS subject,
+         text || {case_list('doc_id % 8', dt.BODY_SUFFIXES)} AS text,
+         lang
+  FROM documents)"""
+
+
+def strip_ctes(src: str, col: str) -> str:
+    """CTEs ``sig_a``/``sig_b`` computing the stripped ``{col}`` of ``src``
+    (which has email_id and col); final expression is :data:`STRIPPED`."""
+    return f"""sig_a AS (
+  SELECT email_id, n,
+         regexp_matches(n, {q(RE2_SEP)}) AS has_sep,
+         regexp_extract(n, {q('^(?s:(.*?))' + RE2_SEP)}, 1) AS before_sep,
+         string_split(n, {NL}) AS lines
+  FROM (SELECT email_id, replace({col}, chr(13) || chr(10), {NL}) AS n FROM {src})),
+sig_b AS (
+  SELECT *, greatest(len(lines) - 10, 0) AS first0,
+         list_max(list_transform(lines[greatest(len(lines) - 10, 0) + 1:],
+           lambda l, i: CASE WHEN regexp_matches({trim_js('l')}, {q(RE2_SIGNOFF)})
+                               OR regexp_matches({trim_js('l')}, {q(RE2_SENT)}) THEN i END)) AS hit1
+  FROM sig_a)"""
+
+
+STRIPPED = f"""CASE WHEN has_sep THEN {rtrim_js('before_sep')} || {NL} || '[SIGNATURE_REMOVED]'
+     WHEN hit1 IS NOT NULL THEN {rtrim_js(f"array_to_string(lines[1:first0 + hit1 - 1], {NL})")} || {NL} || '[SIGNATURE_REMOVED]'
+     ELSE n END"""
+
+SANITIZED_CTES = f"""{EMAILS_CTE},
+{strip_ctes('emails', 'coalesce(text, \'\')')},
+sanitized AS (
+  SELECT e.email_id, {redact('e.subject')} AS subject, {redact('s.body0')} AS body
+  FROM emails e JOIN (SELECT email_id, {STRIPPED} AS body0 FROM sig_b) s USING (email_id))"""
+
+ORACLE["redact_pii"] = f"""WITH {EMAILS_CTE}
+SELECT email_id, {redact('subject')} AS subject, {redact('text')} AS body FROM emails"""
+
+ORACLE["strip_signatures"] = f"""WITH {EMAILS_CTE},
+{strip_ctes('emails', 'text')}
+SELECT email_id, {STRIPPED} AS body FROM sig_b"""
+
+ORACLE["sanitize_emails"] = f"""WITH {SANITIZED_CTES}
+SELECT email_id, subject, body FROM sanitized"""
+
+ORACLE["screen_inputs"] = f"""WITH {SANITIZED_CTES}
+SELECT s.email_id,
+  CASE WHEN e.subject IS NULL OR e.text IS NULL OR {trim_js('e.subject')} = '' OR {trim_js('e.text')} = ''
+       THEN {q(EVAL_REJECT_REASON)} END AS eval_reject_reason,
+  CASE WHEN s.subject IS NULL OR s.body IS NULL OR s.subject = '' OR s.body = ''
+       THEN {q(INBOUND_REJECT_REASON)} END AS inbound_reject_reason
+FROM sanitized s JOIN emails e USING (email_id)"""
+
+ORACLE["prescreen"] = f"""WITH {EMAILS_CTE}
+SELECT email_id,
+  CASE WHEN regexp_matches(coalesce(text, ''), {q('^[' + WS_RE2 + ']*$')}) THEN 'empty_body'
+       WHEN regexp_matches(coalesce(subject, '') || {NL} || coalesce(text, ''), '(?i)\\bunsubscribe\\b')
+       THEN 'unsubscribe_footer' END AS prescreen_rule
+FROM emails"""
+
+
+# ------------------------------------------------------------------ blocks
+def obj_sql(sid: str, score: str, alert: str | None, reason: str, extra: str = "") -> str:
+    s = (f"""'{{"explanation": "' || expl || '", "serviceTypeId": "' || {sid} || '", "confidenceScore": ' || {score}""")
+    if alert is not None:
+        s += f""" || ', "shouldAlertAdmin": ' || {alert}"""
+    s += f""" || ', "alertReason": "' || {reason} || '"'"""
+    if extra:
+        s += f" || {q(extra)}"
+    return s + " || '}'"
+
+
+PLAIN = obj_sql("sid", "score", "alert", "reason")
+ANSWER_CASE = f"""CASE shape
+  WHEN 0 THEN {PLAIN}
+  WHEN 1 THEN '```json' || {NL} || {PLAIN} || {NL} || '```'
+  WHEN 2 THEN 'Here is the result: ' || {PLAIN} || ' Hope it helps.'
+  WHEN 3 THEN '{{not valid json ' || CAST(seed AS VARCHAR)
+  WHEN 4 THEN substring({PLAIN}, 1, length({PLAIN}) - 12)
+  WHEN 5 THEN {obj_sql("'unknown'", "'0.95'", "'true'", "reason")}
+  WHEN 6 THEN {obj_sql("sid", "score", None, "reason")}
+  WHEN 7 THEN {obj_sql("sid", "score", "alert", "reason", ', "extra": 1')}
+  WHEN 8 THEN {obj_sql("sid", "'\"' || score || '\"'", "alert", "reason")}
+  WHEN 9 THEN '[' || {PLAIN} || ']'
+  WHEN 10 THEN {PLAIN} || ' ' || {PLAIN}
+  ELSE {obj_sql("sid", "score", "alert", "'   '")} END"""
+
+
+def answers_cte(name: str, src: str, seed: str, hint: str, keep: str) -> str:
+    """A CTE ``name`` with ``keep`` columns of ``src`` plus ``text`` = the
+    synthetic answer for (seed, hint)."""
+    ids = "[" + ", ".join(q(x) for x in dt.ANSWER_IDS) + "]"
+    return f"""{name}_f AS (
+  SELECT {keep}, {seed} AS seed, ({seed}) % 12 AS shape,
+         {ids}[CAST(floor(({seed}) / 12) AS BIGINT) % 6 + 1] AS sid,
+         (({seed}) * 37) % 101 AS score_int,
+         replace(replace(substring(split_part({hint}, {NL}, 1), 1, 40), '\\', '\\\\'), '"', '\\"') AS words
+  FROM {src}),
+{name}_g AS (
+  SELECT *, CAST(score_int AS VARCHAR) || 'e-2' AS score,
+         CASE WHEN score_int > 70 AND sid <> 'unknown' THEN 'true' ELSE 'false' END AS alert,
+         'Mail ' || CAST(seed AS VARCHAR) || ': ' || words AS expl,
+         'Reason for ' || CAST(seed AS VARCHAR) AS reason
+  FROM {name}_f),
+{name} AS (SELECT {keep}, {ANSWER_CASE} AS text FROM {name}_g)"""
+
+
+BLOCKS_CTE = answers_cte(
+    "blocks_t",
+    "(SELECT conv_id AS run_id, turn AS pos, CASE WHEN role = 'system' THEN 'thinking' ELSE 'text' END AS type, "
+    "text AS src_text FROM conversations)",
+    "run_id * 7 + pos", "src_text", "run_id, pos, type")
+
+NUMBER_TYPES = "('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT')"
+KEYS = "['explanation', 'serviceTypeId', 'confidenceScore', 'shouldAlertAdmin', 'alertReason']"
+ENUM = "(" + ", ".join(q(x) for x in SERVICE_IDS) + ")"
+
+
+def validate_ctes(src: str, keep: str, text: str = "text", name: str = "checked") -> str:
+    """CTEs ending in ``name`` with ``keep``, json_text, valid, issues and the
+    trimmed result fields (NULL when invalid)."""
+    return f"""{name}_n AS (
+  SELECT {keep}, w AS w0,
+         CASE WHEN starts_with(w, '{{') AND ends_with(w, '}}') THEN w
+              WHEN strpos(w, '{{') > 0 AND (CASE WHEN strpos(reverse(w), '}}') > 0 THEN length(w) - strpos(reverse(w), '}}') + 1 ELSE 0 END) > strpos(w, '{{')
+              THEN substring(w, strpos(w, '{{'), length(w) - strpos(reverse(w), '}}') + 1 - strpos(w, '{{') + 1)
+              ELSE w END AS json_text
+  FROM (SELECT {keep}, {trim_js(f"regexp_replace(regexp_replace({trim_js(text)}, {q('(?i)^```(?:json)?[' + WS_RE2 + ']*')}, ''), {q('(?i)[' + WS_RE2 + ']*```$')}, '')")} AS w
+        FROM {src})),
+{name}_j AS (
+  SELECT *, CASE WHEN json_valid(json_text) THEN CAST(json_text AS JSON) END AS j FROM {name}_n),
+{name}_t AS (
+  SELECT *, json_type(j) AS root,
+         json_type(j, '$.explanation') AS t_expl, {trim_js("json_extract_string(j, '$.explanation')")} AS expl,
+         json_type(j, '$.serviceTypeId') AS t_sid, json_extract_string(j, '$.serviceTypeId') AS sid,
+         json_type(j, '$.confidenceScore') AS t_score,
+         CASE WHEN json_type(j, '$.confidenceScore') IN {NUMBER_TYPES}
+              THEN CAST(json_extract(j, '$.confidenceScore') AS DOUBLE) END AS score,
+         json_type(j, '$.shouldAlertAdmin') AS t_alert,
+         CASE WHEN json_type(j, '$.shouldAlertAdmin') = 'BOOLEAN'
+              THEN CAST(json_extract(j, '$.shouldAlertAdmin') AS BOOLEAN) END AS alert,
+         json_type(j, '$.alertReason') AS t_reason, {trim_js("json_extract_string(j, '$.alertReason')")} AS reason,
+         len(list_filter(json_keys(j), lambda k: NOT list_contains({KEYS}, k))) > 0 AS extra
+  FROM {name}_j),
+{name}_i AS (
+  SELECT *, list_filter([
+      CASE WHEN t_expl IS NULL THEN 'explanation:missing' WHEN t_expl <> 'VARCHAR' THEN 'explanation:invalid_type'
+           WHEN expl = '' THEN 'explanation:too_small' END,
+      CASE WHEN t_sid IS NULL THEN 'serviceTypeId:missing'
+           WHEN t_sid <> 'VARCHAR' OR sid NOT IN {ENUM} THEN 'serviceTypeId:invalid_enum' END,
+      CASE WHEN t_score IS NULL THEN 'confidenceScore:missing'
+           WHEN t_score NOT IN {NUMBER_TYPES} THEN 'confidenceScore:invalid_type'
+           WHEN score < 0 OR score > 1 OR isnan(score) THEN 'confidenceScore:out_of_range' END,
+      CASE WHEN t_alert IS NULL THEN 'shouldAlertAdmin:missing'
+           WHEN t_alert <> 'BOOLEAN' THEN 'shouldAlertAdmin:invalid_type' END,
+      CASE WHEN t_reason IS NULL THEN 'alertReason:missing' WHEN t_reason <> 'VARCHAR' THEN 'alertReason:invalid_type'
+           WHEN reason = '' THEN 'alertReason:too_small' END,
+      CASE WHEN extra THEN 'unrecognized_keys' END], lambda x: x IS NOT NULL) AS base
+  FROM {name}_t),
+{name} AS (
+  SELECT *,
+    CASE WHEN j IS NULL THEN ['invalid_json'] WHEN root <> 'OBJECT' THEN ['not_object']
+         WHEN len(base) > 0 THEN base
+         ELSE list_filter([CASE WHEN alert AND sid = 'unknown' THEN 'shouldAlertAdmin:unknown_service' END,
+                           CASE WHEN alert AND score <= 0.7 THEN 'shouldAlertAdmin:confidence_not_above_0.7' END],
+                          lambda x: x IS NOT NULL) END AS issues
+  FROM {name}_i)"""
+
+
+RESULT_COLS = """CASE WHEN valid THEN expl END AS explanation, CASE WHEN valid THEN sid END AS service_type_id,
+  CASE WHEN valid THEN score END AS confidence_score, CASE WHEN valid THEN alert END AS should_alert_admin,
+  CASE WHEN valid THEN reason END AS alert_reason"""
+
+CHECKED_CTES = f"""{BLOCKS_CTE},
+{validate_ctes("(SELECT * FROM blocks_t WHERE type = 'text')", "run_id, pos, type")},
+checked_v AS (SELECT *, len(issues) = 0 AS valid FROM checked)"""
+
+ORACLE["extract_json"] = f"""WITH {CHECKED_CTES}
+SELECT run_id, pos, json_text FROM checked_v"""
+
+ORACLE["validate_output"] = f"""WITH {CHECKED_CTES}
+SELECT run_id, pos, valid, array_to_string(issues, '|') AS issues, {RESULT_COLS} FROM checked_v"""
+
+WINNERS_CTES = f"""{CHECKED_CTES},
+per_run AS (
+  SELECT b.run_id, min(b.pos) FILTER (WHERE c.valid) AS winner_pos, count(*) AS n_blocks
+  FROM blocks_t b LEFT JOIN checked_v c ON c.run_id = b.run_id AND c.pos = b.pos GROUP BY b.run_id),
+errs AS (
+  SELECT c.run_id, count(*) AS n FROM checked_v c JOIN per_run p USING (run_id)
+  WHERE NOT c.valid AND (p.winner_pos IS NULL OR c.pos < p.winner_pos) GROUP BY c.run_id),
+winners AS (
+  SELECT p.run_id, p.winner_pos, p.n_blocks, coalesce(e.n, 0) AS n_parse_errors,
+         w.expl AS explanation, w.sid AS service_type_id, w.score AS confidence_score,
+         w.alert AS should_alert_admin, w.reason AS alert_reason
+  FROM per_run p LEFT JOIN errs e USING (run_id)
+  LEFT JOIN checked_v w ON w.run_id = p.run_id AND w.pos = p.winner_pos)"""
+
+ORACLE["first_valid_block"] = f"""WITH {WINNERS_CTES}
+SELECT * FROM winners"""
+
+SAFE_REASON_SQL = (f"CASE WHEN run_id % 9 = 0 THEN {q(SAFE_ALERT_REASON + ' Model error: upstream timeout')} "
+                   f"ELSE {q(SAFE_ALERT_REASON)} END")
+
+FALLBACK_CTES = f"""{WINNERS_CTES},
+final AS (
+  SELECT run_id, winner_pos IS NULL AS fallback,
+    coalesce(explanation, {SAFE_REASON_SQL}) AS explanation,
+    coalesce(service_type_id, 'unknown') AS service_type_id,
+    coalesce(confidence_score, 0.0) AS confidence_score,
+    coalesce(should_alert_admin, false) AS should_alert_admin,
+    coalesce(alert_reason, {SAFE_REASON_SQL}) AS alert_reason
+  FROM winners)"""
+
+ORACLE["safe_fallback"] = f"""WITH {FALLBACK_CTES}
+SELECT * FROM final"""
+
+
+def resolve_sql(x: str) -> tuple[str, str]:
+    norm = f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+    entries = lookup_entries()
+    ids = " ".join(f"WHEN {q(k)} THEN {q(SERVICE_TYPES[o]['id'])}" for k, o in entries)
+    labels = " ".join(f"WHEN {q(k)} THEN {q(SERVICE_TYPES[o]['label'])}" for k, o in entries)
+    return f"CASE {norm} {ids} END", f"CASE {norm} {labels} END"
+
+
+_SID, _SLABEL = resolve_sql("value")
+ORACLE["resolve_service_type"] = f"""WITH v AS (
+  SELECT p_partkey AS value_id,
+    CASE p_partkey % 7 WHEN 0 THEN 'Stump grinding' WHEN 1 THEN 'stump_grinding' WHEN 2 THEN 'ROOT-REMOVAL'
+      WHEN 3 THEN ' treePruning ' WHEN 4 THEN 'Unknown or not listed' WHEN 5 THEN p_type ELSE p_name END AS value
+  FROM part)
+SELECT value_id, value, {_SID} AS service_type_id, {_SLABEL} AS service_type_label FROM v"""
+
+
+# ----------------------------------------------------------------- claims
+RECEIVED_CTE = f"""received AS (
+  SELECT event_id AS delivery_id, user_id * {dt.EMAIL_ID_STRIDE} AS email_id, ts AS received_at,
+         event_type <> 'error' AS ok
+  FROM events WHERE event_type <> 'view')"""
+
+CLAIMS_CTES = f"""{RECEIVED_CTE},
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY received_at, delivery_id) AS rn FROM received),
+walk AS (
+  SELECT email_id, rn, delivery_id, received_at, ok,
+         CASE WHEN ok THEN 'processed' ELSE 'released' END AS status,
+         CAST(NULL AS VARCHAR) AS existing_status,
+         CASE WHEN ok THEN received_at + INTERVAL 7 DAY END AS expires_at,
+         CASE WHEN ok THEN received_at + INTERVAL 7 DAY END AS blocked_until
+  FROM ranked WHERE rn = 1
+  UNION ALL
+  SELECT r.email_id, r.rn, r.delivery_id, r.received_at, r.ok,
+         CASE WHEN w.blocked_until > r.received_at THEN 'skipped' WHEN r.ok THEN 'processed' ELSE 'released' END,
+         CASE WHEN w.blocked_until > r.received_at THEN 'processed' END,
+         CASE WHEN w.blocked_until > r.received_at THEN w.blocked_until
+              WHEN r.ok THEN r.received_at + INTERVAL 7 DAY END,
+         CASE WHEN w.blocked_until > r.received_at THEN w.blocked_until
+              WHEN r.ok THEN r.received_at + INTERVAL 7 DAY END
+  FROM walk w JOIN ranked r ON r.email_id = w.email_id AND r.rn = w.rn + 1)"""
+
+ORACLE["claim_deliveries"] = f"""WITH RECURSIVE {CLAIMS_CTES}
+SELECT delivery_id, email_id, status, existing_status,
+       strftime(expires_at, '%Y-%m-%d %H:%M:%S.%f') AS expires_at
+FROM walk"""
