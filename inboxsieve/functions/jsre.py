@@ -54,7 +54,7 @@ def js_trim_end(col: Column) -> Column:
 
 def utf16_length(col: Column) -> Column:
     """``String.prototype.length`` (UTF-16 code units, not code points)."""
-    return (F.octet_length(F.encode(col, "UTF-16BE")) / 2).cast("int")
+    return (F.octet_length(F.encode(col, "UTF-16BE")) / 2).cast("long")
 
 
 def js_blank(col: Column) -> Column:

@@ -206,7 +206,7 @@ def first_valid_block(responses: DataFrame, content: str = "content") -> DataFra
     ``parse_error``.  Array HOFs only: no explode, no shuffle.
     """
     tmp = _apply_stages_array(responses, content, "_blocks")
-    winner = F.element_at(F.filter(F.col("_blocks"), lambda x: x["result"].isNotNull()), 1)
+    winner = F.try_element_at(F.filter(F.col("_blocks"), lambda x: x["result"].isNotNull()), F.lit(1))
     return (
         tmp.withColumn("_winner", F.struct(winner["pos"].alias("pos"), winner["result"].alias("result")))
         .withColumn("result", F.col("_winner.result"))

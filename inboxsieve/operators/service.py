@@ -18,7 +18,7 @@ def service_ordinal(col: Column, service_types: list[dict] | None = None) -> Col
     """Definition ordinal of the type whose id or label matches ``col``."""
     entries = lookup_entries(service_types)
     lookup = F.create_map(*[x for key, ordinal in entries for x in (F.lit(key), F.lit(ordinal))])
-    return F.element_at(lookup, normalise_key(col))
+    return F.try_element_at(lookup, normalise_key(col))
 
 
 def resolve_service_type_col(col: Column, service_types: list[dict] | None = None) -> Column:

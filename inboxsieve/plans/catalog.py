@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsre import utf16_length
-from ..operators import contract, dedupe, sanitize, service
+from ..operators import contract, dedupe, route, sanitize, service, telemetry
+from ..operators.inference import KeywordBackend, RecordedBackend, classify
+from ..operators.requests import ModelConfig, build_requests
+from . import triage
 from ..session import prepare
 from ..sources import driver_tables as dt
 
@@ -143,5 +146,108 @@ def q_claim_deliveries(spark, sf_dir):
                          _ts_text(F.col("expires_at")).alias("expires_at"))
 
 
+# ------------------------------------------------------------------ O5, O6
+def _accepted(spark, sf_dir) -> DataFrame:
+    clean = sanitize.sanitize_emails(dt.emails(spark, sf_dir))
+    ok, _ = sanitize.screen_inputs(clean, "inbound")
+    return ok
+
+
+@query("build_requests")
+def q_build_requests(spark, sf_dir):
+    """O5 for accepted sanitized mail, self-hosted configuration."""
+    r = build_requests(_accepted(spark, sf_dir), ModelConfig(provider="self-hosted"))
+    return r.select("email_id", F.md5("user_prompt").alias("prompt_md5"),
+                    utf16_length(F.col("user_prompt")).alias("prompt_length"),
+                    "provider", "model", "base_url", "max_tokens", "payload_mode")
+
+
+@query("classify")
+def q_classify(spark, sf_dir):
+    """O6 with the model-free keyword backend."""
+    r = classify(build_requests(_accepted(spark, sf_dir)), KeywordBackend())
+    return r.select("email_id", "response_provider", "stop_reason",
+                    F.element_at("content", 1)["text"].alias("answer"),
+                    F.col("usage.input").alias("input_tokens"))
+
+
+# ---------------------------------------------------------- O12, O13, O16, O17
+def _run_results(spark, sf_dir) -> DataFrame:
+    winners, _ = contract.first_valid_block_rows(dt.blocks(spark, sf_dir))
+    meta = dt.run_meta(spark, sf_dir)
+    out = contract.safe_fallback(winners.join(meta, "run_id"))
+    out = service.resolve_service_type(out, "result.service_type_id")
+    return out.select("run_id", F.col("run_id").alias("email_id"), "fallback", *_result_cols(),
+                      F.col("service_type.label").alias("service_type_label"))
+
+
+@query("alert_gate")
+def q_alert_gate(spark, sf_dir):
+    """O12 over per-run results: which runs alert."""
+    alerts, quiet = route.alert_gate(_run_results(spark, sf_dir))
+    return (alerts.select("run_id", F.lit("alert").alias("route"))
+            .unionByName(quiet.select("run_id", F.lit("quiet").alias("route"))))
+
+
+@query("build_notifications")
+def q_build_notifications(spark, sf_dir):
+    """Discord bodies for alerting runs, joined to the raw mail."""
+    alerts, _ = route.alert_gate(_run_results(spark, sf_dir))
+    return route.build_notifications(alerts, dt.emails(spark, sf_dir), "discord",
+                                     "2024-01-01T00:00:00.000Z")
+
+
+@query("filter_events")
+def q_filter_events(spark, sf_dir):
+    """Deliveries kept / ignored per webhook type."""
+    kept, ignored = route.filter_events(dt.deliveries(spark, sf_dir))
+    return (kept.withColumn("kept", F.lit(True)).unionByName(ignored.withColumn("kept", F.lit(False)))
+            .groupBy("type", "kept").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("attach_email")
+def q_attach_email(spark, sf_dir):
+    """Received deliveries with their mail, or the missing-mail error."""
+    kept, _ = route.filter_events(dt.deliveries(spark, sf_dir))
+    found, missing = route.attach_email(kept.select("delivery_id", "email_id"), dt.emails(spark, sf_dir))
+    return (found.select("delivery_id", "email_id", F.lit(None).cast("string").alias("error_message"),
+                         utf16_length(F.col("subject")).alias("subject_length"))
+            .unionByName(missing.select("delivery_id", "email_id", "error_message",
+                                        F.lit(None).cast("int").alias("subject_length"))))
+
+
+# ---------------------------------------------------------------- P1, P3
+def recorded_backend(spark, sf_dir, config: ModelConfig) -> RecordedBackend:
+    """Recorded completions for every accepted mail of the table."""
+    return RecordedBackend(dt.recorded_responses(build_requests(_accepted(spark, sf_dir), config)))
+
+
+def triage_outputs(spark, sf_dir) -> dict[str, DataFrame]:
+    cfg = ModelConfig()
+    return triage.triage_batch(dt.deliveries(spark, sf_dir), dt.emails(spark, sf_dir),
+                               recorded_backend(spark, sf_dir, cfg), cfg,
+                               notify_timestamp="2024-01-01T00:00:00.000Z")
+
+
+@query("triage_batch")
+def q_triage_batch(spark, sf_dir):
+    """P1 summary: deliveries, alerts and fallbacks per claim status."""
+    out = triage_outputs(spark, sf_dir)
+    claims = out["claims"]
+    res = out["results"].select("delivery_id", "should_alert_admin", "fallback")
+    return (claims.join(res, "delivery_id", "left").groupBy("status").agg(
+        F.count(F.lit(1)).alias("n_deliveries"),
+        F.sum(F.coalesce(F.col("should_alert_admin"), F.lit(False)).cast("long")).alias("n_alerts"),
+        F.sum(F.coalesce(F.col("fallback"), F.lit(False)).cast("long")).alias("n_fallbacks")))
+
+
+@query("categorize_table")
+def q_categorize_table(spark, sf_dir):
+    """P3 over the labelled cases with the keyword backend."""
+    out = triage.categorize_table(dt.eval_cases(spark, sf_dir), KeywordBackend())
+    return out["results"].select("case_no", "service_type_id", "confidence_score", "should_alert_admin",
+                                 "fallback", F.col("service_type.label").alias("service_type_label"))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -341,3 +341,113 @@ ORACLE["claim_deliveries"] = f"""WITH RECURSIVE {CLAIMS_CTES}
 SELECT delivery_id, email_id, status, existing_status,
        strftime(expires_at, '%Y-%m-%d %H:%M:%S.%f') AS expires_at
 FROM walk"""
+
+
+# ------------------------------------------------------------- O5, O6
+from ..operators.inference import KEYWORDS, QUOTE_WORDS  # noqa: E402
+from ..operators.requests import (DEFAULT_SELF_HOSTED_BASE_URL, DEFAULT_SELF_HOSTED_MAX_TOKENS,  # noqa: E402
+                                  DEFAULT_SELF_HOSTED_MODEL, PROMPT_BODY_LABEL, prompt_head)
+
+
+def utf16len(x: str) -> str:
+    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+PROMPT_SQL = f"({lit(prompt_head())} || subject || {lit(PROMPT_BODY_LABEL)} || body)"
+ACCEPTED = "(SELECT * FROM sanitized WHERE subject IS NOT NULL AND body IS NOT NULL AND subject <> '' AND body <> '')"
+
+ORACLE["build_requests"] = f"""WITH {SANITIZED_CTES}
+SELECT email_id, md5({PROMPT_SQL}) AS prompt_md5, {utf16len(PROMPT_SQL)} AS prompt_length,
+  'self-hosted' AS provider, {q(DEFAULT_SELF_HOSTED_MODEL)} AS model, {q(DEFAULT_SELF_HOSTED_BASE_URL)} AS base_url,
+  CAST({DEFAULT_SELF_HOSTED_MAX_TOKENS} AS INTEGER) AS max_tokens, 'json_object' AS payload_mode
+FROM {ACCEPTED}"""
+
+
+def keyword_cte(name: str, src: str, keep: str) -> str:
+    def any_of(words):
+        return "(" + " OR ".join(f"contains(lt, {q(w)})" for w in words) + ")"
+    sid = "CASE " + " ".join(f"WHEN {any_of(ws)} THEN {q(t)}" for t, ws in KEYWORDS.items()) + " ELSE 'unknown' END"
+    return f"""{name}_a AS (
+  SELECT {keep}, {sid} AS sid, {any_of(QUOTE_WORDS)} AS quote
+  FROM (SELECT *, lower(subject || chr(10) || body) AS lt FROM {src})),
+{name} AS (
+  SELECT *, sid <> 'unknown' AND quote AS alert,
+    CASE WHEN quote AND sid <> 'unknown' THEN 0.9 WHEN sid <> 'unknown' THEN 0.5 WHEN quote THEN 0.3 ELSE 0.1 END AS score,
+    CASE WHEN quote THEN 'The sender asks for a quote.' ELSE 'The sender does not ask for a quote.' END AS expl,
+    CASE WHEN sid <> 'unknown' AND quote THEN 'Quote request for a listed service.'
+         ELSE 'Not an actionable quote request for a listed service.' END AS reason
+  FROM {name}_a)"""
+
+
+ORACLE["classify"] = f"""WITH {SANITIZED_CTES},
+{keyword_cte('kw', ACCEPTED, 'email_id, subject, body')}
+SELECT email_id, 'keyword' AS response_provider, 'stop' AS stop_reason,
+  '{{"explanation":"' || expl || '","serviceTypeId":"' || sid || '","confidenceScore":' || CAST(score AS VARCHAR)
+    || ',"shouldAlertAdmin":' || CASE WHEN alert THEN 'true' ELSE 'false' END || ',"alertReason":"' || reason || '"}}'
+    AS answer,
+  CAST(ceil({utf16len(PROMPT_SQL)} / 4) AS BIGINT) AS input_tokens
+FROM kw"""
+
+# ------------------------------------------------------- O12, O13, O16, O17
+_LABEL_OF_SID = "CASE service_type_id " + " ".join(
+    f"WHEN {q(t['id'])} THEN {q(t['label'])}" for t in SERVICE_TYPES) + " END"
+
+ORACLE["alert_gate"] = f"""WITH {FALLBACK_CTES}
+SELECT run_id, CASE WHEN should_alert_admin THEN 'alert' ELSE 'quiet' END AS route FROM final"""
+
+
+def _field(x: str) -> str:
+    cut = f"substring(coalesce({x}, ''), 1, 1024)"
+    return f"CASE WHEN {cut} = '' THEN 'N/A' ELSE {cut} END"
+
+
+ORACLE["build_notifications"] = f"""WITH {FALLBACK_CTES},
+{EMAILS_CTE}
+SELECT e.email_id, 'discord' AS channel, 'New estimate request received' AS title,
+  CAST(json_object('content', '**New estimate request received**',
+    'embeds', json_array(json_object('title', 'Details', 'fields', json_array(
+       json_object('name', 'customerEmail', 'value', {_field('e."from"')}, 'inline', false),
+       json_object('name', 'emailSubject', 'value', {_field('e.subject')}, 'inline', false),
+       json_object('name', 'serviceType', 'value', {_field(_LABEL_OF_SID)}, 'inline', false),
+       json_object('name', 'summary', 'value', {_field('f.explanation')}, 'inline', false)),
+     'timestamp', '2024-01-01T00:00:00.000Z'))) AS VARCHAR) AS body_json
+FROM final f JOIN emails e ON e.email_id = f.run_id
+WHERE f.should_alert_admin"""
+
+ORACLE["filter_events"] = """SELECT type, type = 'email.received' AS kept, count(*) AS n
+FROM (SELECT CASE event_type WHEN 'view' THEN 'email.opened' ELSE 'email.received' END AS type FROM events)
+GROUP BY ALL"""
+
+ORACLE["attach_email"] = f"""WITH {EMAILS_CTE}, {RECEIVED_CTE}
+SELECT r.delivery_id, r.email_id,
+  CASE WHEN e.email_id IS NULL THEN 'Resend did not return email data' END AS error_message,
+  {utf16len('e.subject')} AS subject_length
+FROM received r LEFT JOIN emails e ON e.email_id = r.email_id"""
+
+# ------------------------------------------------------------------ P1, P3
+P1_ANSWERS = answers_cte("p1ans", ACCEPTED, "email_id", "subject", "email_id")
+ORACLE["triage_batch"] = f"""WITH RECURSIVE {SANITIZED_CTES},
+{P1_ANSWERS},
+{validate_ctes("(SELECT *, true AS is_text FROM p1ans)", "email_id", name="p1chk")},
+outcome AS (SELECT email_id, len(issues) = 0 AS valid, alert FROM p1chk),
+{RECEIVED_CTE.replace("received AS (", "received0 AS (")},
+received AS (
+  SELECT r.delivery_id, r.email_id, r.received_at, r.ok AND o.email_id IS NOT NULL AS ok
+  FROM received0 r LEFT JOIN outcome o USING (email_id)),
+{CLAIMS_CTES.split(",", 1)[1].strip() if False else CLAIMS_CTES[CLAIMS_CTES.index("ranked AS"):]}
+SELECT w.status, count(*) AS n_deliveries,
+  CAST(sum(CASE WHEN w.status = 'processed' AND o.valid AND o.alert THEN 1 ELSE 0 END) AS BIGINT) AS n_alerts,
+  CAST(sum(CASE WHEN w.status = 'processed' AND NOT o.valid THEN 1 ELSE 0 END) AS BIGINT) AS n_fallbacks
+FROM walk w LEFT JOIN outcome o USING (email_id)
+GROUP BY w.status"""
+
+CASES_CTE = """cases AS (
+  SELECT d.doc_id AS case_no, split_part(d.text, chr(10), 1) AS subject, d.text AS body
+  FROM labels l JOIN documents d USING (doc_id))"""
+
+ORACLE["categorize_table"] = f"""WITH {CASES_CTE},
+{keyword_cte('kw', f"(SELECT * FROM cases WHERE {trim_js('subject')} <> '' AND {trim_js('body')} <> '')", 'case_no')}
+SELECT case_no, sid AS service_type_id, score AS confidence_score, alert AS should_alert_admin,
+  false AS fallback,
+  CASE sid {" ".join(f"WHEN {q(t['id'])} THEN {q(t['label'])}" for t in SERVICE_TYPES)} END AS service_type_label
+FROM kw"""

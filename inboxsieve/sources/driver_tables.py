@@ -231,3 +231,26 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("quality") == 0, F.when(d % 4 == 1, F.lit(" ")).otherwise(F.lit("0.3")))
         .alias("max_confidence"),
     )
+
+
+def recorded_responses(requests: DataFrame, key: str = "email_id") -> DataFrame:
+    """Recorded model responses for rendered requests (stand-in for a live
+    model): one text block ``answer_text(key, subject)``; ids divisible by 9
+    carry a model error message as well."""
+    k = F.col(key)
+    text = answer_text(k, F.col("subject"))
+    err = F.when(k % 9 == 0, F.lit("upstream timeout"))
+    n_in = F.ceil(F.length("user_prompt") / 4).cast("long")
+    n_out = F.ceil(F.length(text) / 4).cast("long")
+    return requests.select(
+        "request_hash",
+        F.col("provider").alias("response_provider"),
+        F.col("model").alias("response_model_id"),
+        F.lit(None).cast("string").alias("response_model"),
+        F.when(err.isNotNull(), F.lit("error")).otherwise(F.lit("stop")).alias("stop_reason"),
+        err.alias("error_message"),
+        F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"),
+        F.struct(n_in.alias("input"), n_out.alias("output"), F.lit(0).cast("long").alias("cache_read"),
+                 F.lit(0).cast("long").alias("cache_write"), (n_in + n_out).alias("total_tokens"),
+                 ((n_in * 0.15 + n_out * 0.6) / 1e6).alias("cost_usd")).alias("usage"),
+    ).dropDuplicates(["request_hash"])
