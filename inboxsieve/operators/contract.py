@@ -142,15 +142,19 @@ def _stages(src: str):
     ]
 
 
-def _stage_chain(arr: Column) -> Column:
+CHECK_FIELDS = ["pos", "is_text", "json_text", "issues", "result"]
+
+
+def _stage_chain(arr: Column, extra: list | None = None, out: list[str] | None = None) -> Column:
     """Run the stages over an array of ``struct(pos, is_text, _src)``, one
-    nested ``transform`` per stage.
+    nested ``transform`` per stage (plus ``extra`` stages), keeping ``out``.
 
     Inside a lambda, earlier values are read as fields of the lambda
     variable, which the optimizer never substitutes; so the plan stays linear
     in the number of stages even when filters are pushed through it.
     """
     fields = ["pos", "is_text", "_src"]
+
     def make_step(stage, carried):
         def step(x):
             keep = [x[f].alias(f) for f in carried]
@@ -158,12 +162,11 @@ def _stage_chain(arr: Column) -> Column:
             return F.struct(*keep, *new)
         return step
 
-    for stage in _stages("_src"):
+    for stage in _stages("_src") + (extra or []):
         arr = F.transform(arr, make_step(stage, tuple(fields)))
         fields += [n for n, _ in stage]
-    return F.transform(arr, lambda x: F.struct(
-        x["pos"].alias("pos"), x["is_text"].alias("is_text"), x["json_text"].alias("json_text"),
-        x["issues"].alias("issues"), x["result"].alias("result")))
+    keep = out or CHECK_FIELDS
+    return F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in keep]))
 
 
 def checked_col(text: Column, is_text: Column | None = None) -> Column:

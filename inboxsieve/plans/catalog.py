@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsre import utf16_length
-from ..operators import contract, dedupe, route, sanitize, service, telemetry
+from ..operators import contract, dedupe, evaluate, route, sanitize, service, store, telemetry
 from ..operators.inference import KeywordBackend, RecordedBackend, classify
 from ..operators.requests import ModelConfig, build_requests
 from . import triage
@@ -249,5 +249,121 @@ def q_categorize_table(spark, sf_dir):
                                  "fallback", F.col("service_type.label").alias("service_type_label"))
 
 
+# ------------------------------------------------------ O18-O20, O24, O27
+def _telemetry_runs(spark, sf_dir) -> DataFrame:
+    """Categorizer runs: per-run results + response metadata + the sanitized
+    mail of the same id as the run input."""
+    res = _run_results(spark, sf_dir).drop("email_id")
+    winners, _ = contract.first_valid_block_rows(dt.blocks(spark, sf_dir))
+    meta = dt.run_meta(spark, sf_dir)
+    clean = sanitize.sanitize_emails(dt.emails(spark, sf_dir)).withColumnRenamed("email_id", "run_id")
+    runs = (res.join(meta, "run_id").join(winners.select("run_id", "n_parse_errors"), "run_id")
+            .join(clean, "run_id", "left"))
+    return runs.select(
+        "*",
+        F.col("model").alias("model_req"),
+        F.when(F.col("run_id") % 2 == 0, F.lit("eval_endpoint")).otherwise(F.lit("inbound_email")).alias("source"),
+        F.when(F.col("provider") == "self-hosted", F.lit("http://localhost:11434/v1")).alias("base_url"),
+        F.col("model").alias("response_model_id"),
+        F.col("provider").alias("response_provider"),
+        (F.col("n_parse_errors") > 0).alias("parse_error"),
+        F.struct(*[F.col(c).alias(c) for c in ("explanation", "service_type_id", "confidence_score",
+                                               "should_alert_admin", "alert_reason")]).alias("result"),
+    )
+
+
+TELEMETRY_QUERY_COLUMNS = [c for c in telemetry.TELEMETRY_COLUMNS if c not in ("started_at", "ended_at")]
+
+
+@query("run_telemetry")
+def q_run_telemetry(spark, sf_dir):
+    """Content-free telemetry per run."""
+    t = telemetry.run_telemetry(_telemetry_runs(spark, sf_dir))
+    return t.select(*TELEMETRY_QUERY_COLUMNS).withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+@query("usage_rollup")
+def q_usage_rollup(spark, sf_dir):
+    """Runs, errors, tokens and cost per provider/model/source."""
+    t = telemetry.run_telemetry(_telemetry_runs(spark, sf_dir))
+    r = telemetry.usage_rollup(t, time_col=None)
+    return r.drop("avg_latency_s").withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+@query("lifecycle_events")
+def q_lifecycle_events(spark, sf_dir):
+    """O19 over the batch triage run: events per name."""
+    ev = triage_outputs(spark, sf_dir)["events"]
+    return ev.groupBy("event").agg(F.count(F.lit(1)).alias("n"),
+                                   F.sum(F.size("properties").cast("long")).alias("n_properties"))
+
+
+@query("quarantine")
+def q_quarantine(spark, sf_dir):
+    """O20 over the batch triage run: error rows per stage."""
+    q = triage_outputs(spark, sf_dir)["quarantine"]
+    return q.groupBy("stage", "error_message").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("result_store")
+def q_result_store(spark, sf_dir):
+    """Stored rows of the batch triage run, content dropped."""
+    rows = store.result_store(triage_outputs(spark, sf_dir)["results"], retain_content=False)
+    return rows.select("delivery_id", "email_id", "service_type_id", "confidence_score",
+                       "should_alert_admin", "fallback", F.col("dt").cast("string").alias("dt"))
+
+
+# ------------------------------------------------------- O21-O23, O25, O26
+def _verdicts(spark, sf_dir) -> DataFrame:
+    cases = dt.eval_cases(spark, sf_dir).drop("body", "description")
+    m = evaluate.eval_matrix(cases)
+    seed = F.col("case_no") * 10 + F.col("provider_ord")
+    out = m.withColumn("output", dt.answer_text(seed, F.col("subject")))
+    n_in = (F.lit(900) + F.col("case_no") % 100).cast("long")
+    n_out = F.ceil(F.length("output") / 4).cast("long")
+    out = out.withColumns({
+        "total_tokens": n_in + n_out,
+        "cost_usd": F.when(F.col("provider_id").startswith("ollama"), F.lit(0.0))
+        .otherwise((n_in * 0.15 + n_out * 0.6) / 1e6),
+    })
+    return evaluate.score_cases(out)
+
+
+@query("eval_matrix")
+def q_eval_matrix(spark, sf_dir):
+    """Labelled cases x the 10 providers."""
+    m = evaluate.eval_matrix(dt.eval_cases(spark, sf_dir).select("case_no", "path_type"))
+    return m.select("case_no", "provider_id", "provider_label", "max_tokens")
+
+
+@query("score_cases")
+def q_score_cases(spark, sf_dir):
+    """The verdict of every (case, provider) output."""
+    return _verdicts(spark, sf_dir).select("case_no", "provider_id", "pass", "score", "n_failures",
+                                           "n_checks", "contract_pass")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("pass_rate", "avg_score", "cost_usd")})
+
+
+@query("eval_summary")
+def q_eval_summary(spark, sf_dir):
+    """Per provider pass rate, score, tokens, cost."""
+    return _rounded(evaluate.eval_summary(_verdicts(spark, sf_dir)))
+
+
+@query("eval_buckets")
+def q_eval_buckets(spark, sf_dir):
+    """The summary by language bucket and provider with rollup rows."""
+    return _rounded(evaluate.eval_buckets(_verdicts(spark, sf_dir)))
+
+
+@query("gate_sweep")
+def q_gate_sweep(spark, sf_dir):
+    """Confusion counts of the alert gate at thresholds 0.5 .. 0.9."""
+    return evaluate.gate_sweep(_verdicts(spark, sf_dir))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -426,21 +426,53 @@ FROM received r LEFT JOIN emails e ON e.email_id = r.email_id"""
 
 # ------------------------------------------------------------------ P1, P3
 P1_ANSWERS = answers_cte("p1ans", ACCEPTED, "email_id", "subject", "email_id")
-ORACLE["triage_batch"] = f"""WITH RECURSIVE {SANITIZED_CTES},
+P1_CTES = f"""{SANITIZED_CTES},
 {P1_ANSWERS},
 {validate_ctes("(SELECT *, true AS is_text FROM p1ans)", "email_id", name="p1chk")},
-outcome AS (SELECT email_id, len(issues) = 0 AS valid, alert FROM p1chk),
+outcome AS (SELECT email_id, len(issues) = 0 AS valid, sid, score, alert FROM p1chk),
 {RECEIVED_CTE.replace("received AS (", "received0 AS (")},
 received AS (
   SELECT r.delivery_id, r.email_id, r.received_at, r.ok AND o.email_id IS NOT NULL AS ok
   FROM received0 r LEFT JOIN outcome o USING (email_id)),
-{CLAIMS_CTES.split(",", 1)[1].strip() if False else CLAIMS_CTES[CLAIMS_CTES.index("ranked AS"):]}
+{CLAIMS_CTES[CLAIMS_CTES.index("ranked AS"):]}"""
+
+ORACLE["triage_batch"] = f"""WITH RECURSIVE {P1_CTES}
 SELECT w.status, count(*) AS n_deliveries,
   CAST(sum(CASE WHEN w.status = 'processed' AND o.valid AND o.alert THEN 1 ELSE 0 END) AS BIGINT) AS n_alerts,
   CAST(sum(CASE WHEN w.status = 'processed' AND NOT o.valid THEN 1 ELSE 0 END) AS BIGINT) AS n_fallbacks
 FROM walk w LEFT JOIN outcome o USING (email_id)
 GROUP BY w.status"""
 
+ORACLE["lifecycle_events"] = f"""WITH RECURSIVE {P1_CTES},
+ev AS (
+  SELECT 'inbound_email_received' AS event, 1 AS k FROM received
+  UNION ALL SELECT 'email_processing_skipped', 2 FROM walk WHERE status = 'skipped'
+  UNION ALL SELECT 'email_categorized', 5 FROM walk JOIN outcome USING (email_id) WHERE status = 'processed'
+  UNION ALL SELECT 'admin_alert_sent', 4 FROM walk JOIN outcome USING (email_id)
+            WHERE status = 'processed' AND valid AND alert
+  UNION ALL SELECT 'categorizer_fallback_result', 6 FROM walk JOIN outcome USING (email_id)
+            WHERE status = 'processed' AND NOT valid)
+SELECT event, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_properties FROM ev GROUP BY event"""
+
+ORACLE["quarantine"] = f"""WITH RECURSIVE {P1_CTES},
+ids AS (SELECT DISTINCT email_id FROM received),
+q AS (
+  SELECT 'fetch' AS stage, 'Resend did not return email data' AS error_message FROM ids
+    WHERE email_id NOT IN (SELECT email_id FROM emails)
+  UNION ALL SELECT 'prompt', {q(INBOUND_REJECT_REASON)} FROM ids JOIN sanitized USING (email_id)
+    WHERE subject IS NULL OR body IS NULL OR subject = '' OR body = ''
+  UNION ALL SELECT 'delivery', 'There was a problem categorizing the email' FROM walk WHERE status = 'released')
+SELECT stage, error_message, count(*) AS n FROM q GROUP BY ALL"""
+
+ORACLE["result_store"] = f"""WITH RECURSIVE {P1_CTES}
+SELECT w.delivery_id, w.email_id,
+  CASE WHEN o.valid THEN o.sid ELSE 'unknown' END AS service_type_id,
+  CASE WHEN o.valid THEN o.score ELSE 0.0 END AS confidence_score,
+  CASE WHEN o.valid THEN o.alert ELSE false END AS should_alert_admin,
+  NOT o.valid AS fallback,
+  CAST(CAST(w.received_at AS DATE) AS VARCHAR) AS dt
+FROM walk w JOIN outcome o USING (email_id) WHERE w.status = 'processed'"""
+
 CASES_CTE = """cases AS (
   SELECT d.doc_id AS case_no, split_part(d.text, chr(10), 1) AS subject, d.text AS body
   FROM labels l JOIN documents d USING (doc_id))"""
@@ -451,3 +483,150 @@ SELECT case_no, sid AS service_type_id, score AS confidence_score, alert AS shou
   false AS fallback,
   CASE sid {" ".join(f"WHEN {q(t['id'])} THEN {q(t['label'])}" for t in SERVICE_TYPES)} END AS service_type_label
 FROM kw"""
+
+
+# ------------------------------------------------------------ O18, O24
+META_CTE = f"""meta AS (
+  SELECT run_id, count(*) AS content_block_count, sum(length(text)) AS chars,
+    ['openai', 'anthropic', 'self-hosted'][run_id % 3 + 1] AS provider,
+    ['gpt-4o-mini', 'claude-haiku-4-5', 'gemma4:e4b'][run_id % 3 + 1] AS model,
+    CASE WHEN run_id % 5 = 0 THEN ['gpt-4o-mini-2024-07-18', 'claude-haiku-4-5-20251001', 'gemma4:e4b'][run_id % 3 + 1] END
+      AS response_model,
+    CASE WHEN run_id % 9 = 0 THEN 'error' ELSE 'stop' END AS stop_reason,
+    CASE WHEN run_id % 9 = 0 THEN 'upstream timeout' END AS error_message
+  FROM blocks_t GROUP BY run_id)"""
+
+TELEMETRY_CTES = f"""{FALLBACK_CTES},
+{SANITIZED_CTES},
+{META_CTE},
+tel AS (
+  SELECT f.run_id, 'categorizer' AS feature_name,
+    CASE WHEN f.run_id % 2 = 0 THEN 'eval_endpoint' ELSE 'inbound_email' END AS source,
+    m.provider, m.model AS request_model,
+    CASE WHEN m.provider = 'self-hosted' THEN 'localhost:11434' END AS base_url_host,
+    {utf16len('s.subject')} AS subject_length, {utf16len('s.body')} AS body_length,
+    m.provider AS response_provider, coalesce(m.response_model, m.model) AS response_model, m.stop_reason,
+    m.content_block_count,
+    m.stop_reason = 'error' OR coalesce(m.error_message <> '', false) AS model_error,
+    900 + f.run_id % 100 AS input_tokens, CAST(ceil(m.chars / 4) AS BIGINT) AS output_tokens,
+    CAST(0 AS BIGINT) AS cache_read_tokens, CAST(0 AS BIGINT) AS cache_write_tokens,
+    900 + f.run_id % 100 + CAST(ceil(m.chars / 4) AS BIGINT) AS total_tokens,
+    round(CASE WHEN f.run_id % 3 = 2 THEN 0.0
+         ELSE ((900 + f.run_id % 100) * CAST(0.15 AS DOUBLE) + CAST(ceil(m.chars / 4) AS BIGINT) * CAST(0.6 AS DOUBLE)) / 1e6
+         END, 9) AS cost_usd,
+    f.service_type_id, f.confidence_score, f.should_alert_admin,
+    {utf16len('f.explanation')} AS explanation_length, {utf16len('f.alert_reason')} AS alert_reason_length,
+    w.n_parse_errors > 0 AS parse_error, false AS prompt_error, f.fallback
+  FROM final f JOIN meta m USING (run_id) JOIN winners w USING (run_id)
+  LEFT JOIN sanitized s ON s.email_id = f.run_id)"""
+
+ORACLE["run_telemetry"] = f"""WITH {TELEMETRY_CTES}
+SELECT * FROM tel"""
+
+ORACLE["usage_rollup"] = f"""WITH {TELEMETRY_CTES}
+SELECT provider, request_model, source, count(*) AS runs,
+  CAST(sum(CAST(model_error AS INT)) AS BIGINT) AS model_errors,
+  CAST(sum(CAST(parse_error AS INT)) AS BIGINT) AS parse_errors,
+  CAST(sum(CAST(fallback AS INT)) AS BIGINT) AS fallbacks,
+  CAST(sum(CAST(should_alert_admin AS INT)) AS BIGINT) AS alerts,
+  CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 9) AS cost_usd
+FROM tel GROUP BY ALL"""
+
+# ------------------------------------------------------- O21-O23, O25, O26
+from ..operators.evaluate import DEFAULT_THRESHOLDS, NUMERIC_TEXT, PROVIDERS  # noqa: E402
+
+PROVIDERS_VALUES = ", ".join(
+    f"({i}, {q(p['id'])}, {q(p['label'])}, {'NULL' if p['max_tokens'] is None else p['max_tokens']})"
+    for i, p in enumerate(PROVIDERS))
+CASE_IDS = "[" + ", ".join(q(t["id"]) for t in SERVICE_TYPES) + "]"
+
+ECASES_CTE = f"""ecases AS (
+  SELECT d.doc_id AS case_no, d.lang AS path_type, split_part(d.text, chr(10), 1) AS subject,
+    CASE WHEN d.doc_id % 11 = 0 THEN 'stumpRemoval,rootRemoval' WHEN d.doc_id % 11 = 1 THEN ' , ' END AS ids_plural,
+    CASE WHEN d.doc_id % 11 NOT IN (0, 1) THEN {CASE_IDS}[d.doc_id % 5 + 1] END AS id_single,
+    CASE WHEN l.toxic = 1 THEN ' maybe ' WHEN l.quality = 1 THEN ' TRUE' ELSE 'false' END AS notify_s,
+    CASE WHEN l.quality = 1 THEN CASE WHEN d.doc_id % 4 = 0 THEN '0.55' ELSE '0.7' END END AS min_s,
+    CASE WHEN l.quality = 0 THEN CASE WHEN d.doc_id % 4 = 1 THEN ' ' ELSE '0.3' END END AS max_s
+  FROM labels l JOIN documents d USING (doc_id)),
+providers AS (SELECT * FROM (VALUES {PROVIDERS_VALUES}) p(provider_ord, provider_id, provider_label, max_tokens))"""
+
+
+def as_number_sql(x: str) -> str:
+    t = trim_js(x)
+    return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN {t} = '' THEN 0.0 "
+            f"WHEN regexp_matches({t}, {q(NUMERIC_TEXT)}) THEN CAST({t} AS DOUBLE) END")
+
+
+EKEEP = "case_no, provider_id, provider_ord, path_type, ids_plural, id_single, notify_s, min_s, max_s"
+VERDICT_CTES = f"""{ECASES_CTE},
+mx AS (SELECT c.*, p.provider_ord, p.provider_id FROM ecases c CROSS JOIN providers p),
+{answers_cte("evans", "mx", "case_no * 10 + provider_ord", "subject", EKEEP)},
+{validate_ctes("(SELECT * FROM evans)", EKEEP + ", text", name="evchk")},
+evs AS (
+  SELECT *,
+    CASE lower({trim_js('notify_s')}) WHEN 'true' THEN true WHEN 'false' THEN false END AS exp_notify,
+    CASE WHEN ids_plural IS NOT NULL AND {trim_js('ids_plural')} <> ''
+           THEN list_filter(list_transform(string_split(ids_plural, ','), lambda x: {trim_js('x')}), lambda x: x <> '')
+         WHEN id_single IS NOT NULL AND {trim_js('id_single')} <> '' THEN [{trim_js('id_single')}]
+         ELSE CAST([] AS VARCHAR[]) END AS exp_ids,
+    {as_number_sql('min_s')} AS min_c, {as_number_sql('max_s')} AS max_c,
+    NOT ((starts_with(w0, '{{') AND ends_with(w0, '}}'))
+         OR (strpos(w0, '{{') > 0 AND strpos(reverse(w0), '}}') > 0
+             AND length(w0) - strpos(reverse(w0), '}}') + 1 > strpos(w0, '{{'))) AS nobrace,
+    coalesce(t_score IN {NUMBER_TYPES}, false) AS num,
+    900 + case_no % 100 AS n_in, CAST(ceil(length(text) / 4) AS BIGINT) AS n_out
+  FROM evchk),
+evf AS (
+  SELECT *, (NOT nobrace AND j IS NOT NULL AND root = 'OBJECT') AS parsed,
+    CAST(
+      CAST(NOT coalesce(t_expl = 'VARCHAR' AND expl <> '', false) AS INT)
+    + CAST(NOT coalesce(t_sid = 'VARCHAR' AND sid IN {ENUM}, false) AS INT)
+    + CAST(NOT coalesce(num AND score >= 0 AND score <= 1, false) AS INT)
+    + CAST(NOT coalesce(t_alert = 'BOOLEAN', false) AS INT)
+    + CAST(NOT coalesce(t_reason = 'VARCHAR' AND reason <> '', false) AS INT)
+    + CAST(exp_notify IS NULL AS INT)
+    + CAST(coalesce(exp_notify IS NOT NULL AND t_alert = 'BOOLEAN' AND alert <> exp_notify, false) AS INT)
+    + CAST(coalesce(len(exp_ids) > 0 AND NOT coalesce(t_sid = 'VARCHAR' AND list_contains(exp_ids, sid), false), false) AS INT)
+    + CAST(coalesce(min_c IS NOT NULL AND num AND score < min_c, false) AS INT)
+    + CAST(coalesce(max_c IS NOT NULL AND num AND score > max_c, false) AS INT) AS BIGINT) AS n_failures,
+    CAST(6 + CAST(exp_notify IS NOT NULL AS INT) + CAST(len(exp_ids) > 0 AS INT) + CAST(min_c IS NOT NULL AS INT)
+      + CAST(max_c IS NOT NULL AS INT) AS BIGINT) AS n_checks,
+    n_in + n_out AS total_tokens,
+    CASE WHEN provider_id LIKE 'ollama%' THEN 0.0
+         ELSE (n_in * CAST(0.15 AS DOUBLE) + n_out * CAST(0.6 AS DOUBLE)) / 1e6 END AS cost_usd
+  FROM evs),
+verdicts AS (
+  SELECT *, parsed AND n_failures = 0 AS pass,
+    CASE WHEN parsed THEN greatest(0.0, CAST(n_checks - n_failures AS DOUBLE) / n_checks) ELSE 0.0 END AS vscore,
+    len(issues) = 0 AS contract_pass,
+    CASE WHEN parsed AND t_sid = 'VARCHAR' AND sid IN {ENUM} AND sid <> 'unknown' AND num THEN score END AS eligible_score
+  FROM evf)"""
+
+ORACLE["eval_matrix"] = f"""WITH {ECASES_CTE}
+SELECT c.case_no, p.provider_id, p.provider_label, CAST(p.max_tokens AS INTEGER) AS max_tokens
+FROM ecases c CROSS JOIN providers p"""
+
+ORACLE["score_cases"] = f"""WITH {VERDICT_CTES}
+SELECT case_no, provider_id, pass, vscore AS score, n_failures, n_checks, contract_pass FROM verdicts"""
+
+SUMMARY_AGGS = """count(*) AS cases, CAST(sum(CAST(pass AS INT)) AS BIGINT) AS passes,
+  round(avg(CAST(pass AS DOUBLE)), 9) AS pass_rate, round(avg(vscore), 9) AS avg_score,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 9) AS cost_usd,
+  CAST(sum(CAST(pass AND NOT contract_pass AS INT)) AS BIGINT) AS eval_pass_contract_fail"""
+
+ORACLE["eval_summary"] = f"""WITH {VERDICT_CTES}
+SELECT provider_id, {SUMMARY_AGGS} FROM verdicts GROUP BY provider_id"""
+
+ORACLE["eval_buckets"] = f"""WITH {VERDICT_CTES}
+SELECT path_type, provider_id, {SUMMARY_AGGS} FROM verdicts GROUP BY ROLLUP (path_type, provider_id)"""
+
+THRESHOLDS_VALUES = ", ".join(f"(CAST({t} AS DOUBLE))" for t in DEFAULT_THRESHOLDS)
+ORACLE["gate_sweep"] = f"""WITH {VERDICT_CTES},
+th AS (SELECT * FROM (VALUES {THRESHOLDS_VALUES}) t(threshold)),
+g AS (SELECT th.threshold, coalesce(v.eligible_score > th.threshold, false) AS el, v.exp_notify AS ex
+      FROM verdicts v CROSS JOIN th WHERE v.exp_notify IS NOT NULL)
+SELECT threshold,
+  CAST(sum(CAST(el AND ex AS INT)) AS BIGINT) AS tp, CAST(sum(CAST(el AND NOT ex AS INT)) AS BIGINT) AS fp,
+  CAST(sum(CAST(NOT el AND NOT ex AS INT)) AS BIGINT) AS tn, CAST(sum(CAST(NOT el AND ex AS INT)) AS BIGINT) AS fn
+FROM g GROUP BY threshold"""
