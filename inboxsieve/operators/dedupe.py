@@ -117,6 +117,16 @@ def _key_token(value) -> str:
     return repr(value)
 
 
+def _initial(pdf: pd.DataFrame, i: int):
+    if "_su" not in pdf.columns:
+        return None
+    until = pdf["_su"].iloc[i]
+    if until is None or pd.isna(until):
+        return None
+    fin = pdf["_sf"].iloc[i]
+    return (int(until), int(until) if fin is None or pd.isna(fin) else int(fin), pdf["_sfinal"].iloc[i])
+
+
 def _fold_partition(batches: Iterator[pd.DataFrame], ttl: int, entries: dict, emit_rows: bool):
     fold = _Fold(ttl)
     pid = None
@@ -132,25 +142,30 @@ def _fold_partition(batches: Iterator[pd.DataFrame], ttl: int, entries: dict, em
         ts = pdf["_t"].tolist()
         oks = pdf["_ok"].tolist()
         fins = pdf["_fin"].tolist()
-        status, existing, expires = [], [], []
-        for key, t, ok, fin in zip(keys, ts, oks, fins):
+        status, existing, expires, post = [], [], [], []
+        for i, (key, t, ok, fin) in enumerate(zip(keys, ts, oks, fins)):
             if not started or key != fold.key:
                 if not started:
                     first_key = key
-                    fold.reset(key, entries.get(pid))
+                    entry = entries.get(pid)
+                    fold.reset(key, entry if entry is not None else _initial(pdf, i))
                     started = True
                 else:
-                    fold.reset(key)
+                    fold.reset(key, _initial(pdf, i))
             s, e, x = fold.step(t, bool(ok), t if fin is None or pd.isna(fin) else int(fin))
             status.append(s)
             existing.append(e)
             expires.append(x)
+            post.append(fold.state())
         n += len(keys)
         if emit_rows:
-            out = pdf.drop(columns=["_pid", "_fin"])
+            out = pdf[["_key", "_t", "_tie", "_ok"]].copy()
             out["status"] = status
             out["existing_status"] = existing
             out["_expires"] = pd.array(expires, dtype="Int64")
+            out["_post_until"] = pd.array([p[0] for p in post], dtype="Int64")
+            out["_post_fin"] = pd.array([p[1] for p in post], dtype="Int64")
+            out["_post_final"] = [p[2] for p in post]
             yield out
     if not emit_rows and started:
         until, fin, final = fold.state()
@@ -187,12 +202,18 @@ def _resolve_entries(prepared: DataFrame, ttl: int, max_rounds: int) -> dict:
 def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", tie: str = "delivery_id",
                      ok: str = "ok", finished_at: str | None = None,
                      ttl: _dt.timedelta = DEFAULT_TTL, num_partitions: int | None = None,
-                     max_rounds: int = 64) -> DataFrame:
+                     max_rounds: int = 64, initial_state: DataFrame | None = None,
+                     with_state: bool = False) -> DataFrame:
     """One row per delivery with ``status`` (processed | released |
     skipped), ``existing_status`` (for skipped rows) and ``expires_at``.
 
     Output columns: ``key, ts, tie, ok, status, existing_status, expires_at``
     (named as in the input).  Join back on ``tie`` for other columns.
+
+    ``initial_state`` (``key, until, fin, final`` with ``until``/``fin`` in
+    epoch microseconds) carries claims from earlier batches (a ledger);
+    ``with_state`` adds the fold state after each row (``state_until,
+    state_fin, state_final``) so callers can write the next ledger.
     """
     spark = deliveries.sparkSession
     checkpoint_dir(spark)
@@ -206,6 +227,10 @@ def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", ti
         F.coalesce(F.col(ok).cast("boolean"), F.lit(False)).alias("_ok"),
         fin_col.alias("_fin"),
     )
+    if initial_state is not None:
+        init = initial_state.select(F.col(key).alias("_key"), F.col("until").cast("long").alias("_su"),
+                                    F.col("fin").cast("long").alias("_sf"), F.col("final").alias("_sfinal"))
+        narrow = narrow.join(init, "_key", "left")
     order = ["_key", "_t", "_tie"]
     ranged = (narrow.repartitionByRange(num_partitions, *order) if num_partitions
               else narrow.repartitionByRange(*order))
@@ -220,10 +245,15 @@ def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", ti
         T.StructField("status", T.StringType()),
         T.StructField("existing_status", T.StringType()),
         T.StructField("_expires", T.LongType()),
+        T.StructField("_post_until", T.LongType()),
+        T.StructField("_post_fin", T.LongType()),
+        T.StructField("_post_final", T.StringType()),
     ])
     rows = prepared.mapInPandas(
         lambda it, e=dict(entries): _fold_partition(it, ttl_us, e, emit_rows=True), out_schema
     )
+    state = ([F.col("_post_until").alias("state_until"), F.col("_post_fin").alias("state_fin"),
+              F.col("_post_final").alias("state_final")] if with_state else [])
     return rows.select(
         F.col("_key").alias(key),
         _from_micros(F.col("_t"), ts_type).alias(ts),
@@ -232,4 +262,16 @@ def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", ti
         "status",
         "existing_status",
         _from_micros(F.col("_expires"), ts_type).alias("expires_at"),
+        *state,
     )
+
+
+def ledger_rows(claims: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """The claim state of every key after its last delivery (``key, until,
+    fin, final``), from ``claim_deliveries(..., with_state=True)``; a partial
+    ``max_by`` aggregation, so a hot key is combined map-side."""
+    last = claims.groupBy(key).agg(F.max_by(
+        F.struct("state_until", "state_fin", "state_final"), F.struct(F.col(ts), F.col(tie))).alias("s"))
+    return (last.select(key, F.col("s.state_until").alias("until"), F.col("s.state_fin").alias("fin"),
+                        F.col("s.state_final").alias("final"))
+            .filter(F.col("until").isNotNull()))

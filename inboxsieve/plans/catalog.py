@@ -365,5 +365,47 @@ def q_gate_sweep(spark, sf_dir):
     return evaluate.gate_sweep(_verdicts(spark, sf_dir))
 
 
+# ----------------------------------------------------------------- O15, P2
+def _delivery_stream(spark, sf_dir) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    events = (spark.readStream.schema(spark.read.parquet(path).schema)
+              .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    return dt.deliveries_from(events)
+
+
+@query("claim_deliveries_stream")
+def q_claim_deliveries_stream(spark, sf_dir):
+    """The claim fold as a stateful stream (availableNow run)."""
+    from ..streaming.claims import claim_deliveries_stream
+    from ..streaming.runner import run_available_now
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    received = _delivery_stream(spark, sf_dir).filter(F.col("type") == dt.RECEIVED_TYPE)
+    stream = claim_deliveries_stream(received, key="email_id", ts="received_at", tie="delivery_id", ok="ok",
+                                     watermark="30 days")
+    claims = run_available_now(stream, "claims")
+    return claims.select("delivery_id", "email_id", "status", "existing_status",
+                         _ts_text(F.col("expires_at")).alias("expires_at"))
+
+
+@query("triage_stream")
+def q_triage_stream(spark, sf_dir):
+    """The streaming triage (availableNow run), summarised like P1."""
+    from ..streaming.runner import scratch_path
+    from ..streaming.triage_stream import triage_stream
+    cfg = ModelConfig()
+    out_dir = scratch_path(spark, "triage")
+    q = triage_stream(_delivery_stream(spark, sf_dir), dt.emails(spark, sf_dir),
+                      recorded_backend(spark, sf_dir, cfg), out_dir, cfg,
+                      notify_timestamp="2024-01-01T00:00:00.000Z")
+    q.awaitTermination()
+    claims = spark.read.parquet(f"{out_dir}/claims")
+    res = spark.read.parquet(f"{out_dir}/results").select("delivery_id", "should_alert_admin", "fallback")
+    return (claims.join(res, "delivery_id", "left").groupBy("status").agg(
+        F.count(F.lit(1)).alias("n_deliveries"),
+        F.sum(F.coalesce(F.col("should_alert_admin"), F.lit(False)).cast("long")).alias("n_alerts"),
+        F.sum(F.coalesce(F.col("fallback"), F.lit(False)).cast("long")).alias("n_fallbacks")))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -630,3 +630,6 @@ SELECT threshold,
   CAST(sum(CAST(el AND ex AS INT)) AS BIGINT) AS tp, CAST(sum(CAST(el AND NOT ex AS INT)) AS BIGINT) AS fp,
   CAST(sum(CAST(NOT el AND NOT ex AS INT)) AS BIGINT) AS tn, CAST(sum(CAST(NOT el AND ex AS INT)) AS BIGINT) AS fn
 FROM g GROUP BY threshold"""
+
+ORACLE["claim_deliveries_stream"] = ORACLE["claim_deliveries"]
+ORACLE["triage_stream"] = ORACLE["triage_batch"]

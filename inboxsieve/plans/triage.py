@@ -69,10 +69,15 @@ def _flat(df: DataFrame) -> DataFrame:
 def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
                  config: ModelConfig | None = None, ttl: _dt.timedelta = dedupe.DEFAULT_TTL,
                  channel: str = "discord", notify_timestamp: str = "1970-01-01T00:00:00.000Z",
-                 service_types: list[dict] | None = None) -> dict[str, DataFrame]:
+                 service_types: list[dict] | None = None,
+                 ledger: DataFrame | None = None) -> dict[str, DataFrame]:
     """P1 over a batch of deliveries (``delivery_id, type, email_id,
     received_at`` and optionally ``ok`` for failures outside this job) and a
-    mail table (``email_id, from, subject, text``)."""
+    mail table (``email_id, from, subject, text``).
+
+    ``ledger`` (``email_id, until, fin, final``) carries live claims of
+    earlier batches; the returned ``ledger`` holds the state after this one.
+    """
     spark = deliveries.sparkSession
     checkpoint_dir(spark)
     kept, ignored = route.filter_events(deliveries)
@@ -91,7 +96,9 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
                 .withColumn("ok", upstream_ok & F.coalesce(F.col("_outcome_ok"), F.lit(False)))
                 .drop("_outcome_ok"))
     claims = dedupe.claim_deliveries(attempts, key="email_id", ts="received_at", tie="delivery_id",
-                                     ok="ok", ttl=ttl)
+                                     ok="ok", ttl=ttl, initial_state=ledger, with_state=True)
+    # claims feed several sinks: materialise once
+    claims = claims.checkpoint(eager=True)
 
     processed = (claims.filter(F.col("status") == dedupe.PROCESSED)
                  .join(results.drop("ok"), "email_id", "inner"))
@@ -120,7 +127,8 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
         "results": processed.select(*result_cols),
         "alerts": alerts.select(*result_cols),
         "notifications": notifications,
-        "claims": claims,
+        "claims": claims.drop("state_until", "state_fin", "state_final"),
+        "ledger": dedupe.ledger_rows(claims, "email_id", "received_at", "delivery_id"),
         "ignored": ignored,
         "events": events,
         "telemetry": tel,

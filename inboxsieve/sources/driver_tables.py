@@ -184,7 +184,11 @@ def _response_meta(run: Column, chars: Column) -> list[Column]:
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 webhook deliveries: ``delivery_id, type, email_id, received_at, ok``."""
-    e = read(spark, sf_dir, "events")
+    return deliveries_from(read(spark, sf_dir, "events"))
+
+
+def deliveries_from(e: DataFrame) -> DataFrame:
+    """The delivery projection of an ``events`` frame (batch or stream)."""
     wtype = F.lit(RECEIVED_TYPE)
     for src, dst in IGNORED_EVENT_TYPES.items():
         wtype = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(wtype)
