@@ -241,6 +241,17 @@ def q_triage_batch(spark, sf_dir):
         F.sum(F.coalesce(F.col("fallback"), F.lit(False)).cast("long")).alias("n_fallbacks")))
 
 
+@query("triage_summary")
+def q_triage_summary(spark, sf_dir):
+    """Flagship: how many mails ask for each service type, and how many alert."""
+    cfg = ModelConfig()
+    results, _ = triage.categorize(_accepted(spark, sf_dir), recorded_backend(spark, sf_dir, cfg), cfg,
+                                   "inbound_email")
+    return (results.groupBy(F.col("result.service_type_id").alias("service_type_id"),
+                            F.col("result.should_alert_admin").alias("should_alert_admin"))
+            .agg(F.count(F.lit(1)).alias("n_mails")))
+
+
 @query("categorize_table")
 def q_categorize_table(spark, sf_dir):
     """P3 over the labelled cases with the keyword backend."""

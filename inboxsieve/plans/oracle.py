@@ -633,3 +633,10 @@ FROM g GROUP BY threshold"""
 
 ORACLE["claim_deliveries_stream"] = ORACLE["claim_deliveries"]
 ORACLE["triage_stream"] = ORACLE["triage_batch"]
+
+ORACLE["triage_summary"] = f"""WITH {SANITIZED_CTES},
+{P1_ANSWERS},
+{validate_ctes("(SELECT *, true AS is_text FROM p1ans)", "email_id", name="p1chk")}
+SELECT CASE WHEN len(issues) = 0 THEN sid ELSE 'unknown' END AS service_type_id,
+  CASE WHEN len(issues) = 0 THEN alert ELSE false END AS should_alert_admin, count(*) AS n_mails
+FROM p1chk GROUP BY ALL"""
