@@ -54,6 +54,13 @@ class Backend:
     def respond(self, requests: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def respond_rows(self, requests: DataFrame) -> DataFrame:
+        """Responses joined to every request row.  Default: distinct requests
+        go to :meth:`respond` once, answers are joined back on the hash."""
+        distinct = requests.dropDuplicates(["request_hash"])
+        responses = self.respond(distinct).dropDuplicates(["request_hash"])
+        return requests.join(responses, "request_hash", "left")
+
 
 class RecordedBackend(Backend):
     """Responses recorded earlier, keyed by request hash (left join)."""
@@ -64,6 +71,10 @@ class RecordedBackend(Backend):
     def respond(self, requests: DataFrame) -> DataFrame:
         return requests.select("request_hash").join(self.recorded, "request_hash", "left")
 
+    def respond_rows(self, requests: DataFrame) -> DataFrame:
+        # a lookup: one left join, no de-duplication round trip
+        return requests.join(self.recorded, "request_hash", "left")
+
 
 # ---------------------------------------------------------------------------
 # Fixed values of our model-free classifier (not part of the reference
@@ -111,10 +122,14 @@ class KeywordBackend(Backend):
             alert.alias("shouldAlertAdmin"), reason.alias("alertReason")))
 
     def respond(self, requests: DataFrame) -> DataFrame:
+        return self.respond_rows(requests).select(*RESPONSE_SCHEMA.fieldNames())
+
+    def respond_rows(self, requests: DataFrame) -> DataFrame:
+        # pure expressions: answered in the same projection, no join
         text = self.answer(F.col("subject"), F.col("body"))
         n_in = F.ceil(utf16_length(F.col("user_prompt")) / 4).cast("long")
         return requests.select(
-            "request_hash",
+            "*",
             F.lit(self.provider).alias("response_provider"),
             F.lit(self.model).alias("response_model_id"),
             F.lit(None).cast("string").alias("response_model"),
@@ -161,14 +176,13 @@ class PandasBackend(Backend):
 def classify(requests: DataFrame, backend: Backend) -> DataFrame:
     """Responses for every request row.
 
-    Distinct requests go to the backend once; the responses are joined back
-    on ``request_hash``.  A request without a response gets
+    For backends that call out (``PandasBackend``), distinct requests go to
+    the backend once and the responses are joined back on ``request_hash``;
+    recorded answers are a single lookup join, keyword answers a projection.  A request without a response gets
     ``model_call_error`` (the reference treats a failed call as an error,
     not as a safe fallback).
     """
-    distinct = requests.dropDuplicates(["request_hash"])
-    responses = backend.respond(distinct).dropDuplicates(["request_hash"])
-    joined = requests.join(responses, "request_hash", "left")
+    joined = backend.respond_rows(requests)
     return joined.withColumn(
         "model_call_error",
         F.when(F.col("content").isNull() & F.col("error_message").isNull(), F.lit(MISSING_RESPONSE)))

@@ -121,6 +121,25 @@ def screen_flag(subject: Column, body: Column, mode: str) -> Column:
     raise ValueError(f"unknown screening mode: {mode}")
 
 
+def screen_raw_inbound(emails: DataFrame, subject: str = "subject", text: str = "text",
+                       keep: Iterable[str] = ("email_id",)) -> tuple[DataFrame, DataFrame]:
+    """O3 + O4 (inbound) with the screen moved in front of the regex work.
+
+    Equivalent to screening the sanitized mail: every replacement token and
+    the signature marker are non-empty, so a redacted subject is empty iff
+    the raw one is, and a sanitized body is empty iff ``text`` (NULL -> '')
+    is.  Screening first keeps the filter on raw columns - it is never
+    rewritten into a second evaluation of the regex chain - and rejected
+    mail is never sanitized.  Returns (sanitized accepted, rejected).
+    """
+    keep = list(keep)
+    reason = screen_flag(F.col(subject), F.coalesce(F.col(text), F.lit("")), "inbound")
+    flagged = emails.withColumn("reject_reason", reason)
+    ok = sanitize_emails(flagged.filter(F.col("reject_reason").isNull()), subject, text, keep)
+    rejected = flagged.filter(F.col("reject_reason").isNotNull()).select(*keep, "reject_reason")
+    return ok, rejected
+
+
 def screen_inputs(df: DataFrame, mode: str, subject: str = "subject",
                   body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Split rows into (accepted, rejected with ``reject_reason``)."""

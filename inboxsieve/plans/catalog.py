@@ -148,8 +148,7 @@ def q_claim_deliveries(spark, sf_dir):
 
 # ------------------------------------------------------------------ O5, O6
 def _accepted(spark, sf_dir) -> DataFrame:
-    clean = sanitize.sanitize_emails(dt.emails(spark, sf_dir))
-    ok, _ = sanitize.screen_inputs(clean, "inbound")
+    ok, _ = sanitize.screen_raw_inbound(dt.emails(spark, sf_dir))
     return ok
 
 

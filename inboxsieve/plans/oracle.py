@@ -425,7 +425,10 @@ SELECT r.delivery_id, r.email_id,
 FROM received r LEFT JOIN emails e ON e.email_id = r.email_id"""
 
 # ------------------------------------------------------------------ P1, P3
-P1_ANSWERS = answers_cte("p1ans", ACCEPTED, "email_id", "subject", "email_id")
+# identical prompts share the recording of the smallest email id
+P1_ANSWERS = answers_cte(
+    "p1ans", f"(SELECT *, min(email_id) OVER (PARTITION BY subject, body) AS rec_id FROM {ACCEPTED})",
+    "rec_id", "subject", "email_id")
 P1_CTES = f"""{SANITIZED_CTES},
 {P1_ANSWERS},
 {validate_ctes("(SELECT *, true AS is_text FROM p1ans)", "email_id", name="p1chk")},

@@ -83,8 +83,7 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
     kept, ignored = route.filter_events(deliveries)
     ids = kept.select("email_id").distinct()
     found, missing = route.attach_email(ids, emails)
-    inputs = sanitize.sanitize_emails(found, keep=("email_id",))
-    accepted, rejected = sanitize.screen_inputs(inputs, "inbound")
+    accepted, rejected = sanitize.screen_raw_inbound(found, keep=("email_id",))
     results, model_errors = categorize(accepted, backend, config, "inbound_email",
                                        service_types=service_types)
     # one classification per mail, materialised before it fans out

@@ -16,8 +16,26 @@ from pyspark.sql import functions as F
 TABLES = ["documents", "labels", "conversations", "events", "part"]
 
 
+# Text-heavy tables and the key their consumers join / group on.
+TEXT_TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one table.
+
+    Text tables whose scan yields fewer partitions than twice the cluster's
+    parallelism (a small file, or one large row group) are hash-partitioned
+    on their key, so regex work spreads over all cores and later joins or
+    aggregations on that key reuse the partitioning.  Large inputs keep the
+    scan's own partitioning (no extra shuffle).
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = TEXT_TABLE_KEYS.get(name)
+    if key is not None:
+        target = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if df.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
+            df = df.repartition(max(target, spark.sparkContext.defaultParallelism), key)
+    return df
 
 
 # ---------------------------------------------------------------------------
@@ -240,14 +258,14 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recorded_responses(requests: DataFrame, key: str = "email_id") -> DataFrame:
     """Recorded model responses for rendered requests (stand-in for a live
     model): one text block ``answer_text(key, subject)``; ids divisible by 9
-    carry a model error message as well."""
+    carry a model error message as well.  One recording per request hash."""
     k = F.col(key)
     text = answer_text(k, F.col("subject"))
     err = F.when(k % 9 == 0, F.lit("upstream timeout"))
     n_in = F.ceil(F.length("user_prompt") / 4).cast("long")
     n_out = F.ceil(F.length(text) / 4).cast("long")
-    return requests.select(
-        "request_hash",
+    answers = requests.select(
+        "request_hash", k.alias("_k"),
         F.col("provider").alias("response_provider"),
         F.col("model").alias("response_model_id"),
         F.lit(None).cast("string").alias("response_model"),
@@ -257,4 +275,9 @@ def recorded_responses(requests: DataFrame, key: str = "email_id") -> DataFrame:
         F.struct(n_in.alias("input"), n_out.alias("output"), F.lit(0).cast("long").alias("cache_read"),
                  F.lit(0).cast("long").alias("cache_write"), (n_in + n_out).alias("total_tokens"),
                  ((n_in * 0.15 + n_out * 0.6) / 1e6).alias("cost_usd")).alias("usage"),
-    ).dropDuplicates(["request_hash"])
+    )
+    # identical prompts (copied mail) share one recording: the smallest id's,
+    # chosen deterministically with a map-side combinable min_by
+    fields = [c for c in answers.columns if c not in ("request_hash", "_k")]
+    one = answers.groupBy("request_hash").agg(F.min_by(F.struct(*fields), F.col("_k")).alias("_r"))
+    return one.select("request_hash", *[F.col(f"_r.{c}").alias(c) for c in fields])

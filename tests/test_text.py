@@ -87,3 +87,12 @@ def test_prescreen_rules(spark):
     assert [r["id"] for r in kept.collect()] == [3]
     assert sorted((r["id"], r["prescreen_rule"]) for r in dropped.collect()) == [
         (1, "empty_body"), (2, "unsubscribe_footer")]
+
+
+def test_screen_before_sanitize_is_equivalent(spark):
+    df = spark.createDataFrame([(1, "x@y.com", "Thanks"), (2, "", "b"), (3, "s", None), (4, "s", "\r\n"),
+                                (5, " ", "--\n")], "email_id long, subject string, text string")
+    ok1, _ = sanitize.screen_inputs(sanitize.sanitize_emails(df), "inbound")
+    ok2, bad2 = sanitize.screen_raw_inbound(df)
+    assert sorted(map(tuple, ok1.collect())) == sorted(map(tuple, ok2.collect()))
+    assert sorted(r["email_id"] for r in bad2.collect()) == [2, 3]
