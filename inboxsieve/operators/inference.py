@@ -54,12 +54,24 @@ class Backend:
     def respond(self, requests: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def respond_rows(self, requests: DataFrame) -> DataFrame:
+    def respond_rows(self, requests: DataFrame, on_responses=None) -> DataFrame:
         """Responses joined to every request row.  Default: distinct requests
-        go to :meth:`respond` once, answers are joined back on the hash."""
+        go to :meth:`respond` once, ``on_responses`` (e.g. validation) runs
+        on those distinct answers, and they are joined back on the hash; the
+        text columns never enter the join."""
         distinct = requests.dropDuplicates(["request_hash"])
         responses = self.respond(distinct).dropDuplicates(["request_hash"])
-        return requests.join(responses, "request_hash", "left")
+        if on_responses is not None:
+            responses = on_responses(responses)
+        return _narrow(requests).join(responses, "request_hash", "left")
+
+
+# Request columns holding mail or prompt text: dropped before any shuffle.
+TEXT_COLUMNS = ("subject", "body", "text", "user_prompt", "system_prompt")
+
+
+def _narrow(requests: DataFrame) -> DataFrame:
+    return requests.drop(*[c for c in TEXT_COLUMNS if c in requests.columns])
 
 
 class RecordedBackend(Backend):
@@ -71,9 +83,11 @@ class RecordedBackend(Backend):
     def respond(self, requests: DataFrame) -> DataFrame:
         return requests.select("request_hash").join(self.recorded, "request_hash", "left")
 
-    def respond_rows(self, requests: DataFrame) -> DataFrame:
-        # a lookup: one left join, no de-duplication round trip
-        return requests.join(self.recorded, "request_hash", "left")
+    def respond_rows(self, requests: DataFrame, on_responses=None) -> DataFrame:
+        # a lookup: one left join of the narrow request rows; answers are
+        # post-processed once per recording, not once per request row
+        recorded = self.recorded if on_responses is None else on_responses(self.recorded)
+        return _narrow(requests).join(recorded, "request_hash", "left")
 
 
 # ---------------------------------------------------------------------------
@@ -124,12 +138,14 @@ class KeywordBackend(Backend):
     def respond(self, requests: DataFrame) -> DataFrame:
         return self.respond_rows(requests).select(*RESPONSE_SCHEMA.fieldNames())
 
-    def respond_rows(self, requests: DataFrame) -> DataFrame:
+    def respond_rows(self, requests: DataFrame, on_responses=None) -> DataFrame:
         # pure expressions: answered in the same projection, no join
+        if on_responses is not None:
+            return on_responses(self.respond_rows(requests))
         text = self.answer(F.col("subject"), F.col("body"))
         n_in = F.ceil(utf16_length(F.col("user_prompt")) / 4).cast("long")
         return requests.select(
-            "*",
+            *[c for c in requests.columns if c not in TEXT_COLUMNS],
             F.lit(self.provider).alias("response_provider"),
             F.lit(self.model).alias("response_model_id"),
             F.lit(None).cast("string").alias("response_model"),
@@ -173,16 +189,19 @@ class PandasBackend(Backend):
         return reqs.mapInPandas(run, RESPONSE_SCHEMA)
 
 
-def classify(requests: DataFrame, backend: Backend) -> DataFrame:
-    """Responses for every request row.
+def classify(requests: DataFrame, backend: Backend, on_responses=None) -> DataFrame:
+    """Responses for every request row (text columns dropped; keep
+    lengths or ids before calling when they are needed later).
 
     For backends that call out (``PandasBackend``), distinct requests go to
     the backend once and the responses are joined back on ``request_hash``;
-    recorded answers are a single lookup join, keyword answers a projection.  A request without a response gets
+    recorded answers are a single lookup join, keyword answers a projection.
+    ``on_responses`` (DataFrame -> DataFrame) runs on the distinct answers
+    before they are joined to the request rows.  A request without a response gets
     ``model_call_error`` (the reference treats a failed call as an error,
     not as a safe fallback).
     """
-    joined = backend.respond_rows(requests)
+    joined = backend.respond_rows(requests, on_responses)
     return joined.withColumn(
         "model_call_error",
         F.when(F.col("content").isNull() & F.col("error_message").isNull(), F.lit(MISSING_RESPONSE)))

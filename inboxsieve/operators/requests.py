@@ -156,7 +156,10 @@ def build_requests(df: DataFrame, config: ModelConfig | None = None, subject: st
     return (df.withColumn("user_prompt", prompt)
               .withColumns({
                   "system_prompt": F.lit(SYSTEM_PROMPT),
-                  "request_hash": F.sha2(F.col("user_prompt"), 256),
+                  # non-nullable on purpose: joins on the hash then infer no
+                  # isnotnull() filter that would re-run the whole prompt
+                  # chain below the join
+                  "request_hash": F.coalesce(F.sha2(F.col("user_prompt"), 256), F.lit("")),
                   "provider": F.lit(cfg.provider),
                   "model": F.lit(cfg.model_id),
                   "api": F.lit(cfg.api).cast("string"),

@@ -88,8 +88,10 @@ def run_telemetry(runs: DataFrame) -> DataFrame:
         opt("provider").alias("provider"),
         opt("model").alias("request_model"),
         url_host(opt("base_url")).alias("base_url_host"),
-        utf16_length(opt("subject")).alias("subject_length"),
-        utf16_length(opt("body")).alias("body_length"),
+        (F.col("subject_length") if "subject_length" in has else utf16_length(opt("subject"))
+         ).cast("long").alias("subject_length"),
+        (F.col("body_length") if "body_length" in has else utf16_length(opt("body"))
+         ).cast("long").alias("body_length"),
         opt("response_provider").alias("response_provider"),
         F.coalesce(opt("response_model"), opt("response_model_id")).alias("response_model"),
         opt("stop_reason").alias("stop_reason"),

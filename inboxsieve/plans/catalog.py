@@ -216,9 +216,17 @@ def q_attach_email(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P1, P3
+_RECORDINGS: dict = {}
+
+
 def recorded_backend(spark, sf_dir, config: ModelConfig) -> RecordedBackend:
-    """Recorded completions for every accepted mail of the table."""
-    return RecordedBackend(dt.recorded_responses(build_requests(_accepted(spark, sf_dir), config)))
+    """Recorded completions for every accepted mail of the table, written
+    once per session to the checkpoint folder (a recorded table on disk)."""
+    key = (id(spark), sf_dir, repr(config))
+    if key not in _RECORDINGS:
+        rec = dt.recorded_responses(build_requests(_accepted(spark, sf_dir), config))
+        _RECORDINGS[key] = rec.checkpoint(eager=True)
+    return RecordedBackend(_RECORDINGS[key])
 
 
 def triage_outputs(spark, sf_dir) -> dict[str, DataFrame]:

@@ -19,6 +19,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsre import utf16_length
 from ..operators import contract, dedupe, route, sanitize, service, telemetry
 from ..operators.inference import Backend, classify
 from ..operators.requests import ModelConfig, build_requests
@@ -42,14 +43,17 @@ def categorize(inputs: DataFrame, backend: Backend, config: ModelConfig | None =
     src = inputs.withColumn("source", F.lit(source).cast("string"))
     if not cfg.known:
         return (src.limit(0), src.select(key, F.lit(UNKNOWN_MODEL_MESSAGE).alias("error_message")))
-    requests = build_requests(src, cfg, service_types=service_types)
-    responses = classify(requests, backend)
+    requests = build_requests(src, cfg, service_types=service_types).withColumns({
+        "subject_length": utf16_length(F.col("subject")),
+        "body_length": utf16_length(F.col("body")),
+    })
+    # validate each distinct answer once, before it meets the request rows
+    responses = classify(requests, backend, on_responses=lambda r: contract.first_valid_block(r, "content"))
     errors = responses.filter(F.col("model_call_error").isNotNull()).select(
         key, F.col("model_call_error").alias("error_message"), "provider", "model")
     answered = responses.filter(F.col("model_call_error").isNull()).withColumn(
         "content_block_count", F.size("content"))
-    checked = contract.first_valid_block(answered, "content")
-    results = contract.safe_fallback(checked)
+    results = contract.safe_fallback(answered)
     results = service.resolve_service_type(results, "result.service_type_id", out="service_type",
                                            service_types=service_types)
     results = results.withColumn("service_type_label", F.col("service_type.label"))

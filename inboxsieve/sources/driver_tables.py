@@ -69,7 +69,7 @@ def _pick(index: Column, values: list[str]) -> Column:
 def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 raw mail: ``email_id, from, subject, text``."""
     d = read(spark, sf_dir, "documents")
-    subject = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    subject = F.substring_index(F.col("text"), "\n", 1)
     for k, v in SUBJECT_BLANKS.items():
         subject = F.when(F.col("doc_id") % 13 == k, F.lit(v)).otherwise(subject)
     return d.select(
@@ -101,7 +101,7 @@ def answer_text(seed: Column, hint: Column) -> Column:
     score_int = (seed * 37) % 101
     score = F.concat(score_int.cast("string"), F.lit("e-2"))
     alert = F.when((score_int > 70) & (sid != "unknown"), F.lit("true")).otherwise(F.lit("false"))
-    words = _json_escape(F.substring(F.split_part(hint, F.lit("\n"), F.lit(1)), 1, 40))
+    words = _json_escape(F.substring(F.substring_index(hint, "\n", 1), 1, 40))
     expl = F.concat(F.lit("Mail "), seed.cast("string"), F.lit(": "), words)
     reason = F.concat(F.lit("Reason for "), seed.cast("string"))
 
@@ -241,7 +241,7 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.alias("case_no"),
         F.concat(F.lit("case "), d.cast("string")).alias("description"),
         F.col("lang").alias("path_type"),
-        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("subject"),
+        F.substring_index(F.col("text"), "\n", 1).alias("subject"),
         F.col("text").alias("body"),
         F.when(ids.isNull(), _pick(d % 5, ["stumpGrinding", "stumpRemoval", "rootRemoval",
                                            "treePruning", "unknown"])).alias("expected_service_type_id"),
