@@ -148,25 +148,6 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D5 model responses, one row per run, with the ``content`` array.
-
-    Only for tests and the array-shaped operators: the array of one response
-    is bounded by the model's output cap, but a test table gives no such
-    bound, so registered queries use the block rows and :func:`run_meta`.
-    """
-    b = blocks(spark, sf_dir)
-    grouped = b.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "type", "text"))).alias("_blocks"),
-        F.sum(F.length("text")).alias("_chars"),
-    )
-    return grouped.select(
-        "run_id",
-        F.transform("_blocks", lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"))).alias("content"),
-        *_response_meta(F.col("run_id"), F.col("_chars")),
-    )
-
-
 def run_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-run response metadata (provider, model, stop reason, error,
     usage) from a partial (map-side combined) aggregation of the blocks."""
