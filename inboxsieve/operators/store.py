@@ -24,6 +24,5 @@ def write_result_store(rows: DataFrame, path: str, mode: str = "append") -> None
     when ``mode='overwrite'`` with dynamic partition overwrite)."""
     writer = rows.write.mode(mode)
     if "dt" in rows.columns:
-        rows.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        writer = writer.partitionBy("dt")
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy("dt")
     writer.parquet(path)

@@ -78,3 +78,17 @@ def test_entry_smoke(spark):
 
     df = e.entry(spark)
     assert df.count() > 0 and df.columns == ["service_type_id", "should_alert_admin", "n_mails"]
+
+
+def test_result_store_drops_content_and_overwrites_partition(spark, tmp_path):
+    import datetime as dt
+
+    from inboxsieve.operators import store
+
+    rows = spark.createDataFrame([(1, "secret body", "stumpGrinding", dt.datetime(2024, 1, 2))],
+                                 "email_id long, body string, service_type_id string, received_at timestamp_ntz")
+    out = store.result_store(rows)
+    assert "body" not in out.columns and "dt" in out.columns
+    store.write_result_store(out, str(tmp_path / "s"), mode="overwrite")
+    store.write_result_store(out, str(tmp_path / "s"), mode="overwrite")
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
