@@ -171,13 +171,14 @@ def q_classify(spark, sf_dir):
 
 
 # ---------------------------------------------------------- O12, O13, O16, O17
-def _run_results(spark, sf_dir) -> DataFrame:
+def _run_results(spark, sf_dir, with_meta: bool = False) -> DataFrame:
     winners, _ = contract.first_valid_block_rows(dt.blocks(spark, sf_dir))
     meta = dt.run_meta(spark, sf_dir)
     out = contract.safe_fallback(winners.join(meta, "run_id"))
     out = service.resolve_service_type(out, "result.service_type_id")
+    extra = [c for c in meta.columns if c != "run_id"] + ["n_parse_errors"] if with_meta else []
     return out.select("run_id", F.col("run_id").alias("email_id"), "fallback", *_result_cols(),
-                      F.col("service_type.label").alias("service_type_label"))
+                      F.col("service_type.label").alias("service_type_label"), *extra)
 
 
 @query("alert_gate")
@@ -271,12 +272,14 @@ def q_categorize_table(spark, sf_dir):
 def _telemetry_runs(spark, sf_dir) -> DataFrame:
     """Categorizer runs: per-run results + response metadata + the sanitized
     mail of the same id as the run input."""
-    res = _run_results(spark, sf_dir).drop("email_id")
-    winners, _ = contract.first_valid_block_rows(dt.blocks(spark, sf_dir))
-    meta = dt.run_meta(spark, sf_dir)
-    clean = sanitize.sanitize_emails(dt.emails(spark, sf_dir)).withColumnRenamed("email_id", "run_id")
-    runs = (res.join(meta, "run_id").join(winners.select("run_id", "n_parse_errors"), "run_id")
-            .join(clean, "run_id", "left"))
+    res = _run_results(spark, sf_dir, with_meta=True).drop("email_id")
+    # join the raw mail first, then sanitize only the mails that have a run
+    raw = dt.emails(spark, sf_dir).select(F.col("email_id").alias("run_id"), "subject", "text")
+    runs = res.join(raw, "run_id", "left").withColumns({
+        "subject": sanitize.redact_pii_col(F.col("subject")),
+        "body": sanitize.redact_pii_col(sanitize.strip_signature_col(F.coalesce(F.col("text"), F.lit("")))),
+    })
+    runs = runs.withColumn("body", F.when(F.col("text").isNotNull(), F.col("body"))).drop("text")
     return runs.select(
         "*",
         F.col("model").alias("model_req"),
