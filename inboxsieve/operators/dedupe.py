@@ -37,6 +37,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,50 +128,104 @@ def _initial(pdf: pd.DataFrame, i: int):
     return (int(until), int(until) if fin is None or pd.isna(fin) else int(fin), pdf["_sfinal"].iloc[i])
 
 
+def _fold_batch(keys: list, t: np.ndarray, ok: np.ndarray, fin: np.ndarray, ttl: int, state_for_run):
+    """Fold one Arrow batch (rows sorted by key, t, tie), vectorised.
+
+    ``state_for_run(run_index, first_row)`` gives the state a key run starts
+    from (carried, boundary entry, ledger or None).  Successor claims come
+    from ``searchsorted``; Python only steps over *claimed* rows.  Returns
+    (status, existing, expires, post_until, post_fin, post_final, last_state).
+    """
+    n = len(keys)
+    fin = np.maximum(fin, t)
+    end = np.where(ok, fin + ttl, np.minimum(fin, t + ttl))  # blocked-until if the row claims
+    run_start = [0] + [i for i in range(1, n) if keys[i] != keys[i - 1]]
+    run_bounds = list(zip(run_start, run_start[1:] + [n]))
+    claimed = np.zeros(n, dtype=bool)
+    init_until = np.full(n, -1, dtype=np.int64)  # state a run starts with, per row (-1 = none)
+    init_fin = np.full(n, -1, dtype=np.int64)
+    init_final = np.empty(n, dtype=object)
+    for r, (s, e) in enumerate(run_bounds):
+        st = state_for_run(r, s)
+        ts = t[s:e]
+        nxt = np.maximum(np.arange(s + 1, e + 1), s + np.searchsorted(ts, end[s:e], "left"))
+        if st is None or st[0] is None:
+            i = s
+        else:
+            init_until[s:e], init_fin[s:e], init_final[s:e] = st[0], st[1], st[2]
+            i = s + int(np.searchsorted(ts, st[0], "left"))
+        while i < e:
+            claimed[i] = True
+            i = int(nxt[i - s])
+    idx = np.arange(n)
+    starts = np.zeros(n, dtype=np.int64)
+    for s, e in run_bounds:
+        starts[s:e] = s
+    last = np.maximum.accumulate(np.where(claimed, idx, -1)) if n else idx
+    has_claim = last >= starts  # a claim of this run at or before the row
+    lc = np.where(has_claim, last, 0)
+    # blocker of a skipped row: the run's last claim before it, else the initial state
+    b_until = np.where(has_claim, end[lc], init_until)
+    b_fin = np.where(has_claim, fin[lc], init_fin)
+    b_final = np.where(has_claim, np.where(ok[lc], PROCESSED, PROCESSING), init_final)
+    status = np.where(claimed, np.where(ok, PROCESSED, RELEASED), SKIPPED).astype(object)
+    existing = np.where(claimed, None, np.where(t < b_fin, PROCESSING, b_final)).astype(object)
+    expires = np.where(claimed, np.where(ok, end, -1), b_until)
+    post_until = np.where(has_claim, end[lc], init_until)
+    post_fin = np.where(has_claim, fin[lc], init_fin)
+    post_final = np.where(has_claim, np.where(ok[lc], PROCESSED, PROCESSING), init_final).astype(object)
+    if n:
+        u, f, fl = int(post_until[-1]), int(post_fin[-1]), post_final[-1]
+        last_state = None if u < 0 else (u, f, fl)
+    else:
+        last_state = None
+    return status, existing, expires, post_until, post_fin, post_final, last_state
+
+
 def _fold_partition(batches: Iterator[pd.DataFrame], ttl: int, entries: dict, emit_rows: bool):
-    fold = _Fold(ttl)
     pid = None
     n = 0
     first_key = None
-    started = False
+    last_key = None
+    carry = None  # (key, state) at the end of the previous batch
     for pdf in batches:
         if pdf.empty:
             continue
         if pid is None:
             pid = int(pdf["_pid"].iloc[0])
+            first_key = pdf["_key"].iloc[0]
         keys = pdf["_key"].tolist()
-        ts = pdf["_t"].tolist()
-        oks = pdf["_ok"].tolist()
-        fins = pdf["_fin"].tolist()
-        status, existing, expires, post = [], [], [], []
-        for i, (key, t, ok, fin) in enumerate(zip(keys, ts, oks, fins)):
-            if not started or key != fold.key:
-                if not started:
-                    first_key = key
-                    entry = entries.get(pid)
-                    fold.reset(key, entry if entry is not None else _initial(pdf, i))
-                    started = True
-                else:
-                    fold.reset(key, _initial(pdf, i))
-            s, e, x = fold.step(t, bool(ok), t if fin is None or pd.isna(fin) else int(fin))
-            status.append(s)
-            existing.append(e)
-            expires.append(x)
-            post.append(fold.state())
+        t = pdf["_t"].to_numpy(dtype=np.int64)
+        ok = pdf["_ok"].to_numpy(dtype=bool)
+        fin_raw = pdf["_fin"]
+        fin = np.where(fin_raw.isna().to_numpy(), t, fin_raw.fillna(0).to_numpy(dtype=np.int64))
+        first_batch = n == 0
+
+        def state_for_run(r, row, keys=keys, pdf=pdf, first_batch=first_batch, carry=carry):
+            if r == 0 and carry is not None and carry[0] == keys[row]:
+                return carry[1]
+            if r == 0 and first_batch and entries.get(pid) is not None:
+                return entries[pid]
+            return _initial(pdf, row)
+
+        status, existing, expires, pu, pf, pfl, last_state = _fold_batch(keys, t, ok, fin, ttl, state_for_run)
+        carry = (keys[-1], last_state)
+        last_key = keys[-1]
         n += len(keys)
         if emit_rows:
             out = pdf[["_key", "_t", "_tie", "_ok"]].copy()
             out["status"] = status
             out["existing_status"] = existing
-            out["_expires"] = pd.array(expires, dtype="Int64")
-            out["_post_until"] = pd.array([p[0] for p in post], dtype="Int64")
-            out["_post_fin"] = pd.array([p[1] for p in post], dtype="Int64")
-            out["_post_final"] = [p[2] for p in post]
+            out["_expires"] = pd.array([None if x < 0 else int(x) for x in expires], dtype="Int64")
+            out["_post_until"] = pd.array([None if x < 0 else int(x) for x in pu], dtype="Int64")
+            out["_post_fin"] = pd.array([None if x < 0 else int(x) for x in pf], dtype="Int64")
+            out["_post_final"] = [x if isinstance(x, str) else None for x in pfl]
             yield out
-    if not emit_rows and started:
-        until, fin, final = fold.state()
+    if not emit_rows and pid is not None:
+        state = carry[1] if carry is not None else None
+        until, fin, final = state if state is not None else (None, None, None)
         yield pd.DataFrame([{
-            "pid": pid, "n": n, "first_key": _key_token(first_key), "last_key": _key_token(fold.key),
+            "pid": pid, "n": n, "first_key": _key_token(first_key), "last_key": _key_token(last_key),
             "until": until, "fin": fin, "final": final,
         }]).astype({"until": "Int64", "fin": "Int64"})
 

@@ -74,3 +74,30 @@ def test_stream_matches_batch(spark, tmp_path):
     out = run_available_now(claim_deliveries_stream(stream, watermark="30 days"), "test_claims")
     got = [r["status"] for r in out.orderBy("delivery_id").collect()]
     assert got == ["released", "processed", "skipped", "processed", "skipped", "processed"]
+
+
+def test_vectorised_fold_matches_row_fold_with_finish_times(spark):
+    """Random keys, failures and finish delays over many partitions vs the
+    row-by-row fold (statuses, existing status and expiry)."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(2000):
+        key = f"k{rnd.randint(0, 4)}"
+        ts = T0 + dt.timedelta(hours=rnd.randint(0, 24 * 60))
+        fin = ts + dt.timedelta(hours=rnd.choice([0, 0, 1, 30])) if rnd.random() < 0.7 else None
+        rows.append((key, ts, i, rnd.random() > 0.3, fin))
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, delivery_id long, ok boolean, "
+                                     "fin timestamp_ntz")
+    got = {r["delivery_id"]: (r["status"], r["existing_status"], r["expires_at"])
+           for r in dedupe.claim_deliveries(df, finished_at="fin", num_partitions=8).collect()}
+    us = dt.timedelta(microseconds=1)
+    want = {}
+    fold = dedupe._Fold(int(dedupe.DEFAULT_TTL / us))
+    for key, ts, tie, ok, fin in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if fold.key != key:
+            fold.reset(key)
+        t = int((ts - dt.datetime(1970, 1, 1)) / us)
+        f = t if fin is None else int((fin - dt.datetime(1970, 1, 1)) / us)
+        s, e, x = fold.step(t, ok, f)
+        want[tie] = (s, e, None if x is None else dt.datetime(1970, 1, 1) + x * us)
+    assert got == want
