@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsre import WS, js_trim
 from ..functions.service_types import SERVICE_IDS, UNKNOWN_ID
+from ..session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # The model-output contract.
@@ -232,14 +233,20 @@ def validate_blocks(blocks: DataFrame, text: str = "text", type_col: str = "type
 
 
 def first_valid_block_rows(blocks: DataFrame, run: str = "run_id", pos: str = "pos",
-                           type_col: str = "type", text: str = "text") -> tuple[DataFrame, DataFrame]:
+                           type_col: str = "type", text: str = "text",
+                           materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """O9 on one row per block.  Returns (per-run winners, parse-error blocks).
 
     Winners: ``run, result, winner_pos, n_blocks, n_parse_errors``.  Parse
     errors are the failed text blocks *before* the winner (all of them when
     no block won), as the reference logs them while scanning.
     """
-    checked = validate_blocks(blocks, text, type_col)
+    checked = validate_blocks(blocks, text, type_col).select(run, pos, type_col, "result", "issues")
+    if materialize:
+        # both branches below read the validated blocks: validate once, keep
+        # only the narrow columns (no text), cut the lineage
+        checkpoint_dir(blocks.sparkSession)
+        checked = checked.checkpoint(eager=True)
     is_text = F.col(type_col) == "text"
     ok = is_text & F.col("result").isNotNull()
     per_run = checked.groupBy(run).agg(
