@@ -29,12 +29,6 @@ FENCE_CLOSE_PATTERN = rf"(?i)[{WS}]*```\z"
 
 NUMBER_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
-RESULT_SCHEMA = (
-    "struct<explanation:string,service_type_id:string,confidence_score:double,"
-    "should_alert_admin:boolean,alert_reason:string>"
-)
-
-
 def strip_fences(col: Column) -> Column:
     """Trim, then drop a leading ```json fence and a trailing ``` fence."""
     t = js_trim(col)

@@ -32,8 +32,6 @@ USAGE_TYPE = T.StructType([
     T.StructField("input", T.LongType()), T.StructField("output", T.LongType()),
     T.StructField("cache_read", T.LongType()), T.StructField("cache_write", T.LongType()),
     T.StructField("total_tokens", T.LongType()), T.StructField("cost_usd", T.DoubleType())])
-RESPONSE_FIELDS = ["response_provider", "response_model_id", "response_model", "stop_reason",
-                   "error_message", "content", "usage"]
 RESPONSE_SCHEMA = T.StructType([
     T.StructField("request_hash", T.StringType()),
     T.StructField("response_provider", T.StringType()),

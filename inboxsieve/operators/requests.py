@@ -48,7 +48,6 @@ Subject: """
 PROMPT_BODY_LABEL = "\nEmail Body: "
 
 # Model configuration defaults.
-PROVIDERS = ("openai", "anthropic", "google", "self-hosted")
 DEFAULT_PROVIDER = "openai"
 DEFAULT_MODEL = "gpt-4o-mini"
 DEFAULT_SELF_HOSTED_MODEL = "gemma4:e4b"

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.jsre import js_trim, utf16_length
 
 FEATURE_NAME = "categorizer"
-SOURCES = ("eval_endpoint", "inbound_email")
 SOURCE_MAX = 64
 NO_PERSON_PROFILE = "$process_person_profile"
 

@@ -116,10 +116,7 @@ def answer_text(seed: Column, hint: Column) -> Column:
         parts.append(F.lit("}"))
         return F.concat(*parts)
 
-    return _answer(shape, obj(sid, score, alert, reason), seed, sid, score, alert, reason, obj)
-
-
-def _answer(shape, plain, seed, sid, score, alert, reason, obj) -> Column:
+    plain = obj(sid, score, alert, reason)
     partial = plain.substr(F.lit(1), F.length(plain) - 12)
     return (
         F.when(shape == 0, plain)
