@@ -15,6 +15,8 @@ from ..functions.jsre import js_trim, utf16_length
 FEATURE_NAME = "categorizer"
 SOURCE_MAX = 64
 NO_PERSON_PROFILE = "$process_person_profile"
+# The traffic sources the categorizer accepts from metadata.
+TRAFFIC_SOURCES = ("eval_endpoint", "inbound_email")
 
 TELEMETRY_COLUMNS = [
     "run_id", "feature_name", "source", "provider", "request_model", "base_url_host", "subject_length",
@@ -32,8 +34,9 @@ def _finite(col: Column) -> Column:
 
 
 def source_label(source: Column) -> Column:
-    """Trimmed, cut to 64, default ``unknown``."""
-    t = F.substring(js_trim(source), 1, SOURCE_MAX)
+    """Whitelisted (other values count as absent), trimmed, cut to 64,
+    default ``unknown``."""
+    t = F.substring(js_trim(F.when(source.isin(*TRAFFIC_SOURCES), source)), 1, SOURCE_MAX)
     return F.when(t.isNull() | (t == ""), F.lit("unknown")).otherwise(t)
 
 

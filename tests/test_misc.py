@@ -92,3 +92,17 @@ def test_result_store_drops_content_and_overwrites_partition(spark, tmp_path):
     store.write_result_store(out, str(tmp_path / "s"), mode="overwrite")
     store.write_result_store(out, str(tmp_path / "s"), mode="overwrite")
     assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+
+
+def test_source_whitelist(spark):
+    df = spark.createDataFrame([("inbound_email",), ("eval_endpoint",), ("cron",), (None,)], "s string")
+    got = [r["x"] for r in df.select(telemetry.source_label(F.col("s")).alias("x")).collect()]
+    assert got == ["inbound_email", "eval_endpoint", "unknown", "unknown"]
+
+
+def test_unknown_channel_is_rejected(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1,)], "email_id long")
+    with pytest.raises(ValueError):
+        route.build_notifications(df, df, channel="sms")
