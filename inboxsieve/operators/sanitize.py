@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsre import NA, NB, WS, js_trim, js_trim_end
+from ..functions.jsre import NA, NB, WS, js_trim, js_trim_end, utf16_length
 
 # ---------------------------------------------------------------------------
 # PII patterns, applied in this order, and their replacement
@@ -136,7 +136,11 @@ def screen_raw_inbound(emails: DataFrame, subject: str = "subject", text: str =
     reason = screen_flag(F.col(subject), F.coalesce(F.col(text), F.lit("")), "inbound")
     flagged = emails.withColumn("reject_reason", reason)
     ok = sanitize_emails(flagged.filter(F.col("reject_reason").isNull()), subject, text, keep)
-    rejected = flagged.filter(F.col("reject_reason").isNotNull()).select(*keep, "reject_reason")
+    bad = sanitize_emails(flagged.filter(F.col("reject_reason").isNotNull()), subject, text,
+                          keep + ["reject_reason"])
+    # rejected mail keeps only the lengths of what the categorizer was handed
+    rejected = bad.select(*keep, "reject_reason", utf16_length(F.col("subject")).alias("subject_length"),
+                          utf16_length(F.col("body")).alias("body_length"))
     return ok, rejected
 
 

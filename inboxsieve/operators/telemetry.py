@@ -82,7 +82,9 @@ def run_telemetry(runs: DataFrame) -> DataFrame:
     model_error = ((opt("stop_reason") == "error")
                    | (opt("error_message").isNotNull() & (opt("error_message") != ""))
                    | opt("model_call_error").isNotNull())
-    usage = F.col("usage") if "usage" in has else F.lit(None)
+    usage = F.col("usage") if "usage" in has else F.lit(None).cast(
+        "struct<input:bigint,output:bigint,cache_read:bigint,cache_write:bigint,total_tokens:bigint,"
+        "cost_usd:double>")
     return runs.select(
         "run_id",
         F.lit(FEATURE_NAME).alias("feature_name"),

@@ -26,6 +26,8 @@ from ..operators.requests import ModelConfig, build_requests
 from ..session import checkpoint_dir
 
 UNKNOWN_MODEL_MESSAGE = "Unknown categorizer model configuration"
+RESULT_TYPE = ("struct<explanation:string,service_type_id:string,confidence_score:double,"
+               "should_alert_admin:boolean,alert_reason:string>")
 CATEGORIZE_FAILED = "There was a problem categorizing the email"
 
 
@@ -114,6 +116,19 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
     runs = processed.withColumn("run_id", F.concat_ws(":", F.col("email_id").cast("string"),
                                                        F.col("delivery_id").cast("string")))
     tel = telemetry.run_telemetry(runs)
+    # a claimed delivery of rejected mail also ran the categorizer: a run
+    # that failed to build its prompt
+    cfg = config or ModelConfig()
+    prompt_failed = (claims.filter(F.col("status") == dedupe.RELEASED)
+                     .join(rejected.select("email_id", "subject_length", "body_length"), "email_id", "inner")
+                     .select(F.concat_ws(":", F.col("email_id").cast("string"),
+                                         F.col("delivery_id").cast("string")).alias("run_id"),
+                             F.lit("inbound_email").alias("source"), F.lit(cfg.provider).alias("provider"),
+                             F.lit(cfg.model_id).alias("model"),
+                             F.lit(cfg.resolved_base_url).cast("string").alias("base_url"),
+                             "subject_length", "body_length", F.lit(True).alias("prompt_error"),
+                             F.lit(None).cast(RESULT_TYPE).alias("result")))
+    tel = tel.unionByName(telemetry.run_telemetry(prompt_failed))
     released = (claims.filter(F.col("status") == dedupe.RELEASED)
                 .select("email_id", "delivery_id",
                         F.lit(CATEGORIZE_FAILED).alias("error_message")))

@@ -100,3 +100,12 @@ def test_categorize_table_eval_projection(spark):
     res = out["results"].collect()
     assert [r["case_no"] for r in res] == [1] and res[0]["service_type"]["label"] == "Stump grinding"
     assert out["rejected"].count() == 1
+
+
+def test_prompt_errors_reach_telemetry(spark):
+    out = triage_batch(deliveries(spark, ROWS), emails(spark), EchoBackend(), ModelConfig())
+    tel = out["telemetry"]
+    errs = tel.filter("prompt_error").collect()
+    assert [r["run_id"] for r in errs] == ["2:3"]
+    assert errs[0]["subject_length"] == 0 and errs[0]["body_length"] == len("no subject")
+    assert tel.filter("NOT prompt_error").count() == 3
