@@ -128,7 +128,18 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
                              F.lit(cfg.resolved_base_url).cast("string").alias("base_url"),
                              "subject_length", "body_length", F.lit(True).alias("prompt_error"),
                              F.lit(None).cast(RESULT_TYPE).alias("result")))
-    tel = tel.unionByName(telemetry.run_telemetry(prompt_failed))
+    # ... and one whose model call failed (an error, not a fallback)
+    model_failed = (claims.filter(F.col("status") == dedupe.RELEASED)
+                    .join(model_errors.select("email_id", F.col("error_message").alias("model_call_error")),
+                          "email_id", "inner")
+                    .select(F.concat_ws(":", F.col("email_id").cast("string"),
+                                        F.col("delivery_id").cast("string")).alias("run_id"),
+                            F.lit("inbound_email").alias("source"), F.lit(cfg.provider).alias("provider"),
+                            F.lit(cfg.model_id).alias("model"),
+                            F.lit(cfg.resolved_base_url).cast("string").alias("base_url"),
+                            "model_call_error", F.lit(None).cast(RESULT_TYPE).alias("result")))
+    tel = (tel.unionByName(telemetry.run_telemetry(prompt_failed))
+              .unionByName(telemetry.run_telemetry(model_failed)))
     released = (claims.filter(F.col("status") == dedupe.RELEASED)
                 .select("email_id", "delivery_id",
                         F.lit(CATEGORIZE_FAILED).alias("error_message")))

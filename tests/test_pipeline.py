@@ -109,3 +109,20 @@ def test_prompt_errors_reach_telemetry(spark):
     assert [r["run_id"] for r in errs] == ["2:3"]
     assert errs[0]["subject_length"] == 0 and errs[0]["body_length"] == len("no subject")
     assert tel.filter("NOT prompt_error").count() == 3
+
+
+class SilentBackend(PandasBackend):
+    """Returns no answer for any request (a failed model call)."""
+
+    def complete(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({c: pd.Series(dtype="object") for c in RESPONSE_SCHEMA.fieldNames()})
+
+
+def test_model_errors_are_errors_not_fallbacks(spark):
+    out = triage_batch(deliveries(spark, ROWS[:2]), emails(spark), SilentBackend(), ModelConfig())
+    assert [r["status"] for r in out["claims"].orderBy("delivery_id").collect()] == ["released", "released"]
+    assert out["results"].count() == 0
+    stages = {r["stage"] for r in out["quarantine"].collect()}
+    assert "model" in stages and "delivery" in stages
+    tel = out["telemetry"].collect()
+    assert len(tel) == 2 and all(r["model_error"] and not r["prompt_error"] for r in tel)
