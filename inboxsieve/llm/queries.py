@@ -6,10 +6,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, decision_list, gbt_quality, langid
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -18,6 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def remainder(doc_id: str, k: int) -> Column:
+    """crc32 of the id as text, mod k."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
+
+
+def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats, _ = decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
+
+
+def op5_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = gbt_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                                           learn_from=remainder("doc_id", 3) != 1)
+    return scores.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: Added to the conversations: a text full of control strings.
 TRICKY_ID, TRICKY_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -40,6 +59,12 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op9_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, learn_from=remainder("doc_id", 4) != 2)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -60,7 +85,10 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decision_list": op4_decision_list,
+    "op5_gbt_quality": op5_gbt_quality,
     "op8_chat_format": op8_chat_format,
+    "op9_rank_language": op9_rank_language,
 }
 ORACLE: dict[str, str] = {
     "op8_chat_format": OP8_SQL,
