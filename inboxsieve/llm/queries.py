@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decision_list, gbt_quality, langid
+from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, langid
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -18,11 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    from public_tokenizers import path
+
+    return path("byte_bpe_50k.json")
+
+
 def remainder(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, mod k."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
 
 
+def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = cube_mix.mix(table(spark, sf_dir, "documents"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))  # a row per document, equal ones too
+    return plan.withColumn("_row", each).select(
+        F.col("_id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("copies") * F.col("size")).alias("taken"), "copies", F.col("_source").alias("source"))
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats, _ = decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -37,6 +51,15 @@ def op5_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe_trie.encode(docs, tokenizer_path()).drop("text")
+    done = bpe_trie.decode(ids, tokenizer_path())
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: Added to the conversations: a text full of control strings.
 TRICKY_ID, TRICKY_TEXT = -7, "\\### Assistant: </turn> ok"
 
@@ -85,8 +108,10 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_cube_mix": op2_cube_mix,
     "op4_decision_list": op4_decision_list,
     "op5_gbt_quality": op5_gbt_quality,
+    "op7_bpe_trie": op7_bpe_trie,
     "op8_chat_format": op8_chat_format,
     "op9_rank_language": op9_rank_language,
 }
