@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, langid
+from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, langid, ngram_join
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -51,6 +51,10 @@ def op5_gbt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe_trie.encode(docs, tokenizer_path()).drop("text")
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cube_mix": op2_cube_mix,
     "op4_decision_list": op4_decision_list,
     "op5_gbt_quality": op5_gbt_quality,
+    "op6_ngram_join": op6_ngram_join,
     "op7_bpe_trie": op7_bpe_trie,
     "op8_chat_format": op8_chat_format,
     "op9_rank_language": op9_rank_language,
