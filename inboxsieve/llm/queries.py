@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, langid, ngram_join
+from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, langid, ngram_join, rlz_dedup
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -37,6 +37,11 @@ def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("copies") * F.col("size")).alias("taken"), "copies", F.col("_source").alias("source"))
 
 
+def op3_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = rlz_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats, _ = decision_list.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -113,6 +118,7 @@ FROM t GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_cube_mix": op2_cube_mix,
+    "op3_rlz_dedup": op3_rlz_dedup,
     "op4_decision_list": op4_decision_list,
     "op5_gbt_quality": op5_gbt_quality,
     "op6_ngram_join": op6_ngram_join,
