@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, langid, ngram_join, rlz_dedup
+from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, imatch, langid, ngram_join, rlz_dedup
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -29,6 +29,10 @@ def remainder(doc_id: str, k: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % k
 
 
+def op1_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = cube_mix.mix(table(spark, sf_dir, "documents"))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))  # a row per document, equal ones too
@@ -117,6 +121,7 @@ FROM t GROUP BY conv_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_imatch": op1_imatch,
     "op2_cube_mix": op2_cube_mix,
     "op3_rlz_dedup": op3_rlz_dedup,
     "op4_decision_list": op4_decision_list,
