@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, imatch, langid, ngram_join, rlz_dedup
+from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, imatch, langid, ngram_join, pii_bootstrap, rlz_dedup
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -101,6 +101,16 @@ def op9_rank_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_bootstrap.find_identifiers(table(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["seed"])
+    count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *(count(k) for k in pii_bootstrap.KINDS),
+                        F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 OP8_SQL = r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -130,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_trie": op7_bpe_trie,
     "op8_chat_format": op8_chat_format,
     "op9_rank_language": op9_rank_language,
+    "op10_pii_bootstrap": op10_pii_bootstrap,
 }
 ORACLE: dict[str, str] = {
     "op8_chat_format": OP8_SQL,
