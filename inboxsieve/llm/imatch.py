@@ -149,9 +149,10 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     placed = docs.select(F.xxhash64("_id").alias("_k"), "_id", "_text").repartition("_k")
     heads = (placed.join(need, "_k").where("_id = _want")
-             .select(F.xxhash64("before").alias("_k"), "before", F.substring("_text", F.lit(1), F.col("need")).alias("head")))
+             .select(F.xxhash64("before").alias("_k"), "before", F.substring("_text", F.lit(1), F.col("need")).alias("head"),
+                     F.char_length("_text").alias("of")))
     if repeated:
-        heads = heads.groupBy("_k", "before").agg(F.max_by("head", F.char_length("head")).alias("head"))
+        heads = heads.groupBy("_k", "before").agg(F.max_by("head", F.struct("of", "head")).alias("head"))
     n = F.char_length("_text")
     both = (placed.join(heads, (placed["_k"] == heads["_k"]) & (placed["_id"] == heads["before"]), "left")
             .select(placed["_k"], "_id", "_text", n.alias("n"), F.concat(
