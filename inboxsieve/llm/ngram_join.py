@@ -11,17 +11,21 @@ over columns, and the columns are taken in blocks, rare ones first:
    ``l`` a tenth of the row).  Counting how many of those columns a row shares
    with any other drops the rows with too few.  A column found in several rows
    of one task is sent on once, so a very common n-gram is no hot key.
-2. *Rare block.*  Among the rows left, columns are ordered by document
+2. *Rare columns.*  Among the rows left, columns are ordered by document
    frequency; two linked rows share one of the first ``n - ceil(t n) + 1``.
    Only these columns are multiplied to find pairs.  First, each column's rows
-   are multiplied with one of them only (a star); the pairs' overlap counts,
-   and the sizes, bound what the other columns can add, and pairs below the
-   bound are dropped.
-3. *Other blocks.*  The overlap of the pairs left is completed over all
-   columns and compared exactly.
-4. Links make components.  Columns whose rows are still in several components
-   are multiplied again, but only across components and not with the row used
-   before, so a large group of near copies, joined by its star, emits no pairs.
+   are multiplied with two of them only (a star), and the pairs whose sizes and
+   numbers of shared columns allow a link are completed over all columns and
+   compared.  Links make components.
+3. *Across components.*  Columns whose rows are still in several components are
+   multiplied again, across components only, so a large group of near copies,
+   joined by its stars, emits no pairs.  Short columns (``SHORT`` rows) are
+   multiplied pair by pair; a pair whose overlap so far plus what its rows have
+   left is below the size-derived bound is dropped before it is completed.
+   The rows of longer columns are gathered by a component they share, those
+   outside it are set against all in blocks of ``BLOCK`` rows, and a task
+   multiplies two blocks: it accumulates the overlap counts over column blocks
+   as dense products and emits only links that join components.
    After this round every pair that could link two components was compared.
 
 The result is exact: bounds only drop pairs that cannot link (n-grams are
@@ -40,6 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +55,7 @@ from .words import WORD_BASE, Texts, chunks, lower_ascii, mix, prefix_hash
 _U = np.uint64
 MAX_BROADCAST_ROWS = 2_000_000  # ids of 8 bytes
 FLUSH = 1_000_000  # matrix entries a task holds before it sends them on
+SHORT, BLOCK, COLUMNS = 32, 128, 4096
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +81,10 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def class_keys(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set, as a signed number."""
+    """A 62-bit key of each set, as a signed number whose last two bits are 0."""
     sums = np.zeros(len(grams) + 1, dtype=np.uint64)
     np.cumsum(mix(grams), dtype=np.uint64, out=sums[1:])
-    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64) * WORD_BASE).view(np.int64)
+    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64) * WORD_BASE).view(np.int64) & -4
 
 
 def _least_overlap(n, percent: int):
@@ -118,12 +124,10 @@ def _shared_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
             group = np.cumsum(new) - 1
             several = np.bincount(group) > 1
             here, times = np.unique(cls[several[group]], return_counts=True)
-            # kind 0: a column of one row; 1: of several rows of this task; else: a row's columns known as shared
+            # last bits 0: a column of one row; 1: of several rows of this task; 2: how many columns of a row are known
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([grams[new].view(np.int64), here])),
-                 pa.array(np.concatenate([cls[new], here])),
-                 pa.array(np.concatenate([several.astype(np.int32), times.astype(np.int32) + 1]))],
-                ["col", "cls", "kind"])
+                 pa.array(np.concatenate([cls[new] | several, times << 2 | 2]))], ["col", "cls"])
 
         amount = 0
         for batch in chunks(batches, "_text"):
@@ -149,26 +153,26 @@ def _shared_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
         """Rows come sorted by column; a column's rows may run over batches."""
         rest: tuple[np.ndarray, ...] | None = None
 
-        def count(col, cls, kind) -> pa.RecordBatch:
-            known = kind > 1
-            out_cls, out_n = [cls[known]], [kind[known].astype(np.int64) - 1]
-            col, cls, kind = col[~known], cls[~known], kind[~known]
+        def count(col, cls) -> pa.RecordBatch:
+            known = cls & 3 == 2
+            out_cls, out_n = [col[known]], [cls[known] >> 2]
+            col, cls = col[~known], cls[~known]
             if len(col):
                 new = np.ones(len(col), dtype=bool)
                 new[1:] = col[1:] != col[:-1]
                 at = np.flatnonzero(new)
                 group = np.cumsum(new) - 1
-                many = ((np.maximum.reduceat(cls, at) != np.minimum.reduceat(cls, at))
+                one, kind = cls & -4, cls & 3
+                many = ((np.maximum.reduceat(one, at) != np.minimum.reduceat(one, at))
                         | (np.maximum.reduceat(kind, at) > 0))
-                hit = many[group] & (kind == 0)
-                found, times = np.unique(cls[hit], return_counts=True)
+                found, times = np.unique(one[many[group] & (kind == 0)], return_counts=True)
                 out_cls.append(found)
                 out_n.append(times)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_cls)),
                                                pa.array(np.concatenate(out_n).astype(np.int64))], ["cls", "n"])
 
         for batch in batches:
-            now = tuple(batch.column(c).to_numpy() for c in ("col", "cls", "kind"))
+            now = tuple(batch.column(c).to_numpy() for c in ("col", "cls"))
             if rest is not None:
                 now = tuple(np.concatenate([a, b]) for a, b in zip(rest, now, strict=True))
             if not len(now[0]):
@@ -180,7 +184,7 @@ def _shared_counts(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if rest is not None and len(rest[0]):
             yield count(*rest)
 
-    spread = (docs.mapInArrow(entries, "col bigint, cls bigint, kind int")
+    spread = (docs.mapInArrow(entries, "col bigint, cls bigint")
               .repartition("col").sortWithinPartitions("col"))
     return spread.mapInArrow(shared, "cls bigint, n bigint").groupBy("cls").agg(F.sum("n").alias("shared"))
 
@@ -216,12 +220,72 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def _may_link(percent: int) -> Column:
-    """Bounds from sizes, and from the overlap so far plus what is left."""
-    na, nb, total = F.col("na"), F.col("nb"), F.col("na") + F.col("nb")
-    # beyond the row whose rare block ends first, what it has left is all that can be shared
+def _sizes_allow(percent: int) -> Column:
+    """Bounds from the sizes, and from the columns each row shares with any other."""
+    na, nb = F.col("na"), F.col("nb")
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & ((100 + percent) * F.least("ca", "cb") >= percent * (na + nb)))
+
+
+def _count_allows(percent: int) -> Column:
+    """Bound from the overlap so far: beyond the row whose rare columns end
+    first, what it has left is all that can be shared."""
     most = F.col("so_far") + F.greatest("left_a", "left_b")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * total)
+    return (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+
+
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("col", *more, F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col("c").alias(f"c{name}"),
+                       F.col("left").alias(f"left_{name}"), F.col("comp").alias(f"comp_{name}"))
+
+
+def _block_product(table: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks of rows (``side`` 0 and 1) that join components."""
+    parts = []
+    for side in (0, 1):
+        rows = table.filter(pc.equal(table["side"], side))
+        grams = rows["grams"].combine_chunks()
+        grams = grams if not isinstance(grams, pa.ChunkedArray) else grams.chunk(0)
+        n = rows["n"].to_numpy()
+        parts.append((rows["cls"].to_numpy(), rows["comp"].to_numpy(), n, grams.flatten().to_numpy(zero_copy_only=False),
+                      np.repeat(np.arange(len(n)), n)))
+    (ca, compa, na, ga, ra), (cb, compb, nb, gb, rb) = parts
+    common = np.intersect1d(ga, gb)
+    overlap = np.zeros((len(na), len(nb)), dtype=np.float32)
+    place = []
+    for g, r in ((ga, ra), (gb, rb)):
+        at = np.searchsorted(common, g)
+        inside = at < len(common)
+        inside[inside] = common[at[inside]] == g[inside]
+        order = np.argsort(at[inside], kind="stable")
+        place.append((at[inside][order], r[inside][order]))
+    for begin in range(0, len(common), COLUMNS):
+        one = []
+        for (at, r), n in zip(place, (na, nb), strict=True):
+            lo, hi = np.searchsorted(at, [begin, begin + COLUMNS])
+            dense = np.zeros((len(n), COLUMNS), dtype=np.float32)
+            dense[r[lo:hi], at[lo:hi] - begin] = 1
+            one.append(dense)
+        overlap += one[0] @ one[1].T
+    both = overlap.astype(np.int64)
+    link = (100 * both >= percent * (na[:, None] + nb[None, :] - both)) & (compa[:, None] != compb[None, :])
+    i, j = np.nonzero(link)
+    _, first = np.unique(np.stack([compa[i], compb[j]]), axis=1, return_index=True)
+    return pa.table({"a": pa.array(ca[i[first]]), "b": pa.array(cb[j[first]])})
+
+
+def _links_in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components among the rows (``hub, cls, comp``) of each hub:
+    rows outside the hub's own component against all its rows, block by block."""
+    out = F.col("comp") != F.col("hub")
+    blocks = rows.groupBy("hub").agg(F.ceil(F.count_if(out) / BLOCK).alias("nl"), F.ceil(F.count("*") / BLOCK).alias("nr"))
+    rows = rows.join(blocks.where("nl > 0"), "hub")
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = rows.where(out).select("hub", "cls", "comp", F.lit(0).alias("side"), own("nl").alias("l"), every("nr").alias("r"))
+    right = rows.select("hub", "cls", "comp", F.lit(1).alias("side"), every("nl").alias("l"), own("nr").alias("r"))
+    dealt = left.unionByName(right).join(sets, "cls")
+    return dealt.groupBy("hub", "l", "r").applyInArrow(lambda t: _block_product(t, percent), "a bigint, b bigint")
 
 
 def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5,
@@ -240,52 +304,51 @@ def similarity_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "
               .select("cls", "_id").checkpoint())
     sets = _sets_of(present, wanted, width).checkpoint()
 
-    # the rare block: columns by document frequency, those of one row only come first and find nothing
-    ones = sets.select("cls", "n", F.explode("grams").alias("col"))
+    # columns by document frequency: those of one row only come first and find nothing
+    ones = sets.select("cls", F.explode("grams").alias("col"))
     often = ones.groupBy("col").agg(F.count("*").alias("df")).where("df > 1")
-    per_row = ones.join(often, "col").groupBy("cls", "n").agg(F.collect_list(F.struct("df", "col")).alias("cols"))
+    per_row = ones.join(often, "col").groupBy("cls").agg(F.collect_list(F.struct("df", "col")).alias("cols"))
     first = F.size("cols") - least + 1
-    rare = (per_row.where(first > 0)
-            .select("cls", "n", first.alias("first"), (F.size("cols") - first).alias("left"),
-                    F.slice(F.sort_array("cols"), F.lit(1), first.cast("int")).alias("cols"))
-            .select("cls", "n", "left", F.explode("cols.col").alias("col"))).checkpoint()
-
-    star = (rare.groupBy("col").agg(F.min("cls").alias("centre"), F.max("cls").alias("other"))
-            .where("centre <> other").select("col", "centre"))
-    width_of = rare.select("cls", "n", "left").distinct()
-    centre = width_of.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("left").alias("left_b"))
+    rare = (per_row.join(sets.select("cls", "n"), "cls").where(first > 0)
+            .select("cls", "n", F.size("cols").alias("c"), (F.size("cols") - first).alias("left"),
+                    F.slice(F.sort_array("cols"), F.lit(1), F.greatest(first, F.lit(0)).cast("int")).alias("cols"))
+            .select("cls", "n", "c", "left", F.explode("cols.col").alias("col"))).checkpoint()
+
+    star = (rare.groupBy("col").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi")
+            .select("col", F.explode(F.array("lo", "hi")).alias("centre")))
+    sized = _sizes_allow(percent)
+    width_of = rare.select("cls", "n", "c").distinct()
     pairs = (rare.join(star, "col").where("cls <> centre")
-             .groupBy(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("left").alias("left_a"),
-                      F.col("centre").alias("b")).agg(F.count("*").alias("so_far"))
-             .join(centre, "b"))
-    # a pair's columns found so far are only those whose centre is one of the two, so the sizes alone bound it here
-    sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+             .select(F.greatest("cls", "centre").alias("a"), F.least("cls", "centre").alias("b")).distinct())
+    for name in ("a", "b"):
+        pairs = pairs.join(width_of.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"),
+                                           F.col("c").alias(f"c{name}")), name)
     links = _links(pairs.where(sized), sets, percent).checkpoint()
     comps = components(links)
 
-    # columns whose rows are in several components, without the pairs compared above
+    # columns whose rows are in several components
     placed = (rare.join(comps, rare["cls"] == comps["node"], "left")
-              .select("col", "cls", "n", "left", F.coalesce("comp", "cls").alias("comp")))
-    several = (placed.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                         F.min(F.struct("cls", "comp")).alias("centre"))
-               .where("lo <> hi").select("col", F.col("centre.cls").alias("centre"), F.col("centre.comp").alias("main")))
+              .select("col", "cls", "n", "c", "left", F.coalesce("comp", "cls").alias("comp")))
+    several = (placed.groupBy("col").agg(F.min("comp").alias("hub"), F.max("comp").alias("last"), F.count("*").alias("m"),
+                                         F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+               .where("hub <> last").select("col", "hub", "m", "lo", "hi"))
     placed = placed.join(several, "col").checkpoint()
-    a = placed.where("comp <> main").select("col", *(F.col(x).alias(y) for x, y in (
-        ("cls", "a"), ("n", "na"), ("left", "left_a"), ("comp", "comp_a"))))
-    b = placed.select("col", "main", "centre", *(F.col(x).alias(y) for x, y in (
-        ("cls", "b"), ("n", "nb"), ("left", "left_b"), ("comp", "comp_b"))))
-    # a pair comes from either side, as each column has its own main component: put it in one order
+    short = placed.where(F.col("m") <= SHORT)
+    a = _side(short.where("comp <> hub"), "a")
+    b = _side(short, "b", "hub", "lo", "hi")
+    # a pair comes from either side, as each column has its own hub: put it in one order
     turn = F.col("a") > F.col("b")
-    side = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
-    across = (a.join(b, "col").where("comp_a <> comp_b AND (comp_b = main OR a < b)").where(sized)
-              .select(*(side(x + "a", x + "b").alias(x + "a") for x in ("", "n", "left_")),
-                      *(side(x + "b", x + "a").alias(x + "b") for x in ("", "n", "left_")),
-                      (F.col("b") == F.col("centre")).alias("compared"))
+    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
+    across = (a.join(b, "col").where("comp_a <> comp_b AND (comp_b = hub OR a < b)").where(sized)
+              .select(*(pick(x + "a", x + "b").alias(x + "a") for x in ("", "n", "left_")),
+                      *(pick(x + "b", x + "a").alias(x + "b") for x in ("", "n", "left_")),
+                      (F.col("a").isin(F.col("lo"), F.col("hi")) | F.col("b").isin(F.col("lo"), F.col("hi"))).alias("compared"))
               .groupBy("a", "b", "na", "nb", "left_a", "left_b")
-              .agg(F.count("*").alias("so_far"), F.max("compared").alias("compared"))
-              .where(~F.col("compared")).where(_may_link(percent)))
-    more = _links(across, sets, percent)
-    comps = components(links.unionByName(more)).checkpoint()
+              .agg(F.count("*").alias("so_far"), F.max("compared").alias("compared")))
+    # a pair that also meets in longer columns has more overlap than was counted; the blocks compare it
+    more = _links(across.where(~F.col("compared")).where(_count_allows(percent)), sets, percent)
+    long = placed.where(F.col("m") > SHORT).select("hub", "cls", "comp").distinct()
+    comps = components(links.unionByName(more).unionByName(_links_in_blocks(long, sets, percent))).checkpoint()
 
     named = (classes.join(comps, classes["cls"] == comps["node"], "left")
              .select("cls", "n", "_id", F.coalesce("comp", "cls").alias("comp")))
