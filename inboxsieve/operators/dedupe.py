@@ -21,15 +21,20 @@ Physical plan (skew-safe; a single key may hold a third of all rows):
 3. ``checkpoint()`` into the cluster's shared checkpoint folder: the passes
    below read stable partitions and lineage is cut;
 4. each partition folds its rows in order as a stream of Arrow batches
-   (``mapInPandas``, O(1) state).  Only the first key of a partition can
-   depend on the partition before it; the carried state is one small record
-   per partition.  Boundary states are iterated to a fixpoint (a key spanning
-   k partitions needs at most k rounds; chains of claims re-synchronise within
-   a partition, so in practice the second round confirms the first);
+   (``mapInArrow``, O(1) state) and reports one small summary: first and last
+   key, first and last time, exit state.  What a partition inherits can only
+   matter if it holds a single key (else its last key begins inside it), so
+   the summaries are composed from left to right: a claim that outlives a
+   partition passes through it, one that ended before it changes nothing, and
+   for one that ends inside it the summary tells the exit for every moment at
+   which it may end (``EXITS`` moments at most; a partition with more is
+   folded once more with its true entry, all such partitions of a pass
+   together).  There is no limit on passes; usually there is one;
 5. a last pass emits one status row per delivery.
 
-No group is ever collected; the driver only sees one summary row per
-partition per round.
+No group is ever collected; the driver only sees the summaries.  Rows without
+a time cannot be ordered: their status is ``invalid`` and they claim nothing.
+A NULL key is a key like any other.
 """
 
 from __future__ import annotations
@@ -38,7 +43,8 @@ import datetime as _dt
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +54,9 @@ from ..session import checkpoint_dir
 DEFAULT_TTL = _dt.timedelta(days=7)
 _EPOCH = _dt.datetime(1970, 1, 1)
 
-PROCESSED, RELEASED, SKIPPED, PROCESSING = "processed", "released", "skipped", "processing"
+PROCESSED, RELEASED, SKIPPED, PROCESSING, INVALID = "processed", "released", "skipped", "processing", "invalid"
+NONE = -(1 << 62)  # no claim blocks the key
+EXITS = 512
 
 
 def _micros(col: Column, dtype: T.DataType) -> Column:
@@ -68,199 +76,188 @@ def _from_micros(col: Column, dtype: T.DataType) -> Column:
     return F.when(col.isNotNull(), F.timestamp_add("MICROSECOND", col, epoch))
 
 
-class _Fold:
-    """The per-key fold, fed row by row in (key, t, tie) order."""
-
-    __slots__ = ("ttl", "key", "until", "fin", "final")
-
-    def __init__(self, ttl: int):
-        self.ttl = ttl
-        self.key = None
-        self.until = None  # blocked while t < until
-        self.fin = None  # the blocking claim finishes at fin
-        self.final = None  # status of the blocking claim once finished
-
-    def reset(self, key, state=None):
-        self.key = key
-        if state is None:
-            self.until = self.fin = self.final = None
-        else:
-            self.until, self.fin, self.final = state
-
-    def state(self):
-        return (self.until, self.fin, self.final)
-
-    def step(self, t: int, ok: bool, fin: int):
-        """Returns (status, existing_status, expires_at_micros)."""
-        if self.until is not None and self.until > t:
-            existing = PROCESSING if t < self.fin else self.final
-            return SKIPPED, existing, self.until
-        fin = max(fin, t)
-        if ok:
-            self.until, self.fin, self.final = fin + self.ttl, fin, PROCESSED
-            return PROCESSED, None, self.until
-        self.until, self.fin, self.final = min(fin, t + self.ttl), fin, PROCESSING
-        return RELEASED, None, None
-
-
-_SUMMARY_SCHEMA = T.StructType([
-    T.StructField("pid", T.IntegerType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("first_key", T.StringType()),
-    T.StructField("last_key", T.StringType()),
-    T.StructField("until", T.LongType()),
-    T.StructField("fin", T.LongType()),
-    T.StructField("final", T.StringType()),
-])
-
-
-def _key_token(value) -> str:
-    return repr(value)
-
-
-def _initial(pdf: pd.DataFrame, i: int):
-    if "_su" not in pdf.columns:
-        return None
-    until = pdf["_su"].iloc[i]
-    if until is None or pd.isna(until):
-        return None
-    fin = pdf["_sf"].iloc[i]
-    return (int(until), int(until) if fin is None or pd.isna(fin) else int(fin), pdf["_sfinal"].iloc[i])
-
-
-def _fold_batch(keys: list, t: np.ndarray, ok: np.ndarray, fin: np.ndarray, ttl: int, state_for_run):
-    """Fold one Arrow batch (rows sorted by key, t, tie), vectorised.
-
-    ``state_for_run(run_index, first_row)`` gives the state a key run starts
-    from (carried, boundary entry, ledger or None).  Successor claims come
-    from ``searchsorted``; Python only steps over *claimed* rows.  Returns
-    (status, existing, expires, post_until, post_fin, post_final, last_state).
-    """
-    n = len(keys)
-    fin = np.maximum(fin, t)
-    end = np.where(ok, fin + ttl, np.minimum(fin, t + ttl))  # blocked-until if the row claims
-    run_start = [0] + [i for i in range(1, n) if keys[i] != keys[i - 1]]
-    run_bounds = list(zip(run_start, run_start[1:] + [n]))
-    claimed = np.zeros(n, dtype=bool)
-    init_until = np.full(n, -1, dtype=np.int64)  # state a run starts with, per row (-1 = none)
-    init_fin = np.full(n, -1, dtype=np.int64)
-    init_final = np.empty(n, dtype=object)
-    for r, (s, e) in enumerate(run_bounds):
-        st = state_for_run(r, s)
-        ts = t[s:e]
-        nxt = np.maximum(np.arange(s + 1, e + 1), s + np.searchsorted(ts, end[s:e], "left"))
-        if st is None or st[0] is None:
-            i = s
-        else:
-            init_until[s:e], init_fin[s:e], init_final[s:e] = st[0], st[1], st[2]
-            i = s + int(np.searchsorted(ts, st[0], "left"))
-        while i < e:
-            claimed[i] = True
-            i = int(nxt[i - s])
-    idx = np.arange(n)
-    starts = np.zeros(n, dtype=np.int64)
-    for s, e in run_bounds:
-        starts[s:e] = s
-    last = np.maximum.accumulate(np.where(claimed, idx, -1)) if n else idx
-    has_claim = last >= starts  # a claim of this run at or before the row
-    lc = np.where(has_claim, last, 0)
-    # blocker of a skipped row: the run's last claim before it, else the initial state
-    b_until = np.where(has_claim, end[lc], init_until)
-    b_fin = np.where(has_claim, fin[lc], init_fin)
-    b_final = np.where(has_claim, np.where(ok[lc], PROCESSED, PROCESSING), init_final)
-    status = np.where(claimed, np.where(ok, PROCESSED, RELEASED), SKIPPED).astype(object)
-    existing = np.where(claimed, None, np.where(t < b_fin, PROCESSING, b_final)).astype(object)
-    expires = np.where(claimed, np.where(ok, end, -1), b_until)
-    post_until = np.where(has_claim, end[lc], init_until)
-    post_fin = np.where(has_claim, fin[lc], init_fin)
-    post_final = np.where(has_claim, np.where(ok[lc], PROCESSED, PROCESSING), init_final).astype(object)
-    if n:
-        u, f, fl = int(post_until[-1]), int(post_fin[-1]), post_final[-1]
-        last_state = None if u < 0 else (u, f, fl)
-    else:
-        last_state = None
-    return status, existing, expires, post_until, post_fin, post_final, last_state
-
-
-def _fold_partition(batches: Iterator[pd.DataFrame], ttl: int, entries: dict, emit_rows: bool):
-    pid = None
-    n = 0
-    first_key = None
-    last_key = None
-    carry = None  # (key, state) at the end of the previous batch
-    for pdf in batches:
-        if pdf.empty:
+def next_candidates(run: np.ndarray, run_end: np.ndarray, t: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each row, the first later row of its run with a time of ``end`` or
+    more (the run's end if there is none)."""
+    low = t.min()
+    span = int(t.max() - low) + 2
+    rows = np.arange(len(t))
+    if (int(run[-1]) + 1) * span < 1 << 62:
+        place = run * span + (t - low)
+        at = np.searchsorted(place, run * span + np.clip(end - low, 0, span - 1), "left")
+    else:  # times too far apart for one search over all runs
+        at = np.empty(len(t), dtype=np.int64)
+        for s, e in zip(np.unique(run_end - np.bincount(run)[run]), np.unique(run_end), strict=True):
+            at[s:e] = s + np.searchsorted(t[s:e], end[s:e], "left")
+    return np.minimum(np.maximum(at, rows + 1), run_end)
+
+
+class Folded:
+    """The fold of sorted rows, all runs (keys) at once.
+
+    ``until, fin, final`` hold, per run, the state it starts with.  Chains of
+    claims advance together: a step moves every run from a claim to the next
+    row that is not blocked by it."""
+
+    def __init__(self, run: np.ndarray, t: np.ndarray, ok: np.ndarray, fin: np.ndarray, ttl: int,
+                 until: np.ndarray, at_fin: np.ndarray, final: np.ndarray):
+        fin = np.maximum(fin, t)
+        self.end = np.where(ok, fin + ttl, np.minimum(fin, t + ttl))  # blocked until then if the row claims
+        size = np.bincount(run)
+        stop = np.cumsum(size)
+        begin = stop - size
+        self.next = next_candidates(run, stop[run], t, self.end)
+        # the first row of each run that its starting state does not block
+        opens = begin + np.bincount(run, weights=(t < until[run])).astype(np.int64)
+        claimed = np.zeros(len(t), dtype=bool)
+        at, limit = opens[opens < stop], stop[opens < stop]
+        while len(at):
+            claimed[at] = True
+            at = self.next[at]
+            at, limit = at[at < limit], limit[at < limit]
+        last = np.maximum.accumulate(np.where(claimed, np.arange(len(t)), -1))
+        own = last >= begin[run]  # the run's latest claim is one of these rows
+        k = np.where(own, last, 0)
+        self.post_until = np.where(own, self.end[k], until[run])
+        self.post_fin = np.where(own, fin[k], at_fin[run])
+        self.post_final = np.where(own, np.where(ok[k], PROCESSED, PROCESSING), final[run])
+        self.status = np.where(claimed, np.where(ok, PROCESSED, RELEASED), SKIPPED)
+        self.existing = np.where(t < self.post_fin, PROCESSING, self.post_final)
+        self.claimed = claimed
+        self.expires = np.where(claimed & ~ok, NONE, self.post_until)
+        self.fin, self.ok = fin, ok
+
+    def exits(self, t: np.ndarray) -> list[tuple[int, int, int, str]] | None:
+        """For rows of one key: ``(time, until, fin, final)`` - the state after
+        the last row if the inherited claim ends at the time or before it, but
+        after the time of the entry before.  None if there are too many."""
+        n = len(t)
+        last, go = np.arange(n), self.next.copy()
+        while (go < n).any():  # jump twice as far each time
+            inside = go < n
+            last = np.where(inside, last[np.minimum(go, n - 1)], last)
+            go = np.where(inside, go[np.minimum(go, n - 1)], n)
+        change = np.flatnonzero(np.concatenate([last[1:] != last[:-1], [True]]))
+        if len(change) > EXITS:
+            return None
+        return [(int(t[i]), int(self.end[last[i]]), int(self.fin[last[i]]),
+                 PROCESSED if self.ok[last[i]] else PROCESSING) for i in change]
+
+
+def _runs(batch: pa.RecordBatch) -> np.ndarray:
+    """The number of the run of equal keys each row belongs to."""
+    key = batch.column("_tok")
+    new = np.zeros(len(key), dtype=np.int64)
+    if len(key) > 1:
+        new[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _fold_stream(batches: Iterator[pa.RecordBatch], ttl: int, entries: dict):
+    """Fold the batches of one partition: yields ``(batch, Folded)``."""
+    carry = None  # (key, until, fin, final) after the batch before
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        if pid is None:
-            pid = int(pdf["_pid"].iloc[0])
-            first_key = pdf["_key"].iloc[0]
-        keys = pdf["_key"].tolist()
-        t = pdf["_t"].to_numpy(dtype=np.int64)
-        ok = pdf["_ok"].to_numpy(dtype=bool)
-        fin_raw = pdf["_fin"]
-        fin = np.where(fin_raw.isna().to_numpy(), t, fin_raw.fillna(0).to_numpy(dtype=np.int64))
-        first_batch = n == 0
-
-        def state_for_run(r, row, keys=keys, pdf=pdf, first_batch=first_batch, carry=carry):
-            if r == 0 and carry is not None and carry[0] == keys[row]:
-                return carry[1]
-            if r == 0 and first_batch and entries.get(pid) is not None:
-                return entries[pid]
-            return _initial(pdf, row)
-
-        status, existing, expires, pu, pf, pfl, last_state = _fold_batch(keys, t, ok, fin, ttl, state_for_run)
-        carry = (keys[-1], last_state)
-        last_key = keys[-1]
-        n += len(keys)
-        if emit_rows:
-            out = pdf[["_key", "_t", "_tie", "_ok"]].copy()
-            out["status"] = status
-            out["existing_status"] = existing
-            out["_expires"] = pd.array([None if x < 0 else int(x) for x in expires], dtype="Int64")
-            out["_post_until"] = pd.array([None if x < 0 else int(x) for x in pu], dtype="Int64")
-            out["_post_fin"] = pd.array([None if x < 0 else int(x) for x in pf], dtype="Int64")
-            out["_post_final"] = [x if isinstance(x, str) else None for x in pfl]
-            yield out
-    if not emit_rows and pid is not None:
-        state = carry[1] if carry is not None else None
-        until, fin, final = state if state is not None else (None, None, None)
-        yield pd.DataFrame([{
-            "pid": pid, "n": n, "first_key": _key_token(first_key), "last_key": _key_token(last_key),
-            "until": until, "fin": fin, "final": final,
-        }]).astype({"until": "Int64", "fin": "Int64"})
-
-
-def _resolve_entries(prepared: DataFrame, ttl: int, max_rounds: int) -> dict:
-    """Iterate the carried boundary states to a fixpoint (driver sees one
-    summary row per partition per round)."""
-    entries: dict = {}
-    for _ in range(max_rounds):
-        frozen = dict(entries)
-        summary = prepared.mapInPandas(
-            lambda it, e=frozen: _fold_partition(it, ttl, e, emit_rows=False), _SUMMARY_SCHEMA
-        ).collect()
-        summary.sort(key=lambda r: r["pid"])
-        new: dict = {}
-        prev = None
-        for row in summary:
-            if row["n"] == 0:
-                continue
-            if prev is not None and prev["last_key"] == row["first_key"] and prev["until"] is not None:
-                new[row["pid"]] = (prev["until"], prev["fin"], prev["final"])
-            prev = row
-        if new == entries:
+        run = _runs(batch)
+        t, ok, fin, until, at_fin = _numbers(batch, "_t", "_ok", "_fin", "_su", "_sf")
+        first = np.searchsorted(run, np.arange(run[-1] + 1))
+        until, at_fin = until[first].copy(), at_fin[first].copy()
+        final = batch.column("_sfinal").take(pa.array(first)).to_numpy(zero_copy_only=False).astype(object)
+        inherited = entries.get(int(batch.column("_pid")[0].as_py())) if carry is None else (
+            carry[1:] if carry[0] == batch.column("_tok")[0].as_py() else None)
+        if inherited is not None:
+            until[0], at_fin[0], final[0] = inherited
+        done = Folded(run, t, ok, fin, ttl, until, at_fin, final)
+        carry = (batch.column("_tok")[-1].as_py(), int(done.post_until[-1]), int(done.post_fin[-1]), str(done.post_final[-1]))
+        yield batch, done
+
+
+def _summary(batches: Iterator[pa.RecordBatch], ttl: int, entries: dict) -> Iterator[pa.RecordBatch]:
+    out, exits, n = None, [], 0
+    for batch, done in _fold_stream(batches, ttl, entries):
+        t = batch.column("_t").to_numpy(zero_copy_only=False)
+        ends = (batch.column("_tok")[0].as_py(), batch.column("_tok")[-1].as_py())
+        if out is None:
+            out = {"pid": batch.column("_pid")[0].as_py(), "first_key": ends[0], "first_t": int(t[0])}
+            one = ends[0] == ends[1] and not entries
+            exits = done.exits(t) if one else None
+        else:
+            exits = None  # a partition of several batches is folded again if need be
+        out |= {"last_key": ends[1], "last_t": int(t[-1]), "until": int(done.post_until[-1]),
+                "fin": int(done.post_fin[-1]), "final": str(done.post_final[-1])}
+        n += batch.num_rows
+    if out is not None:
+        out["exits"] = None if exits is None else [dict(zip(("t", "until", "fin", "final"), e, strict=True)) for e in exits]
+        yield pa.RecordBatch.from_pylist([out], schema=_SUMMARY_ARROW)
+
+
+_SUMMARY_ARROW = pa.schema([
+    ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("first_t", pa.int64()),
+    ("last_t", pa.int64()), ("until", pa.int64()), ("fin", pa.int64()), ("final", pa.string()),
+    ("exits", pa.list_(pa.struct([("t", pa.int64()), ("until", pa.int64()), ("fin", pa.int64()), ("final", pa.string())])))])
+_SUMMARY_SCHEMA = ("pid int, first_key string, last_key string, first_t bigint, last_t bigint, until bigint, fin bigint, "
+                   "final string, exits array<struct<t:bigint,until:bigint,fin:bigint,final:string>>")
+
+
+def _compose(summaries: list, refolded: dict) -> tuple[dict, set]:
+    """Entry states of the partitions from left to right, and the partitions
+    whose exit must be folded with their entry first.
+
+    ``refolded`` has the exits of partitions already folded so, by partition
+    and entry."""
+    entries, open_ = {}, set()
+    before = None  # (key, state) at the end of the partition before; state False: not known yet
+    for s in summaries:
+        entry = before[1] if before is not None and before[0] == s["first_key"] else None
+        exit_ = (s["until"], s["fin"], s["final"])
+        alone = s["first_key"] == s["last_key"]
+        if entry is False:
+            exit_ = False if alone else exit_
+        elif entry is not None and entry[0] != NONE:
+            entries[s["pid"]] = entry
+            if alone and entry[0] > s["last_t"]:
+                exit_ = entry
+            elif alone and entry[0] > s["first_t"]:
+                known = refolded.get((s["pid"], entry))
+                if known is not None:
+                    exit_ = known
+                elif s["exits"] is not None:
+                    e = next(e for e in s["exits"] if e["t"] >= entry[0])
+                    exit_ = (e["until"], e["fin"], e["final"])
+                else:
+                    open_.add(s["pid"])
+                    exit_ = False
+        before = (s["last_key"], exit_)
+    return entries, open_
+
+
+def _resolve_entries(prepared: DataFrame, ttl: int) -> dict:
+    """The state each partition inherits (the driver sees a summary of each)."""
+    rows = prepared.mapInArrow(lambda it: _summary(it, ttl, {}), _SUMMARY_SCHEMA).collect()
+    summaries = sorted((r.asDict() for r in rows), key=lambda r: r["pid"])
+    refolded: dict = {}
+    while True:
+        entries, open_ = _compose(summaries, refolded)
+        if not open_:
             return entries
-        entries = new
-    raise RuntimeError("claim_deliveries: boundary states did not converge")
+        some = {p: entries[p] for p in open_}
+        again = (prepared.where(F.col("_pid").isin(list(open_)))
+                 .mapInArrow(lambda it, e=some: _summary(it, ttl, e), _SUMMARY_SCHEMA).collect())
+        refolded |= {(r["pid"], some[r["pid"]]): (r["until"], r["fin"], r["final"]) for r in again}
 
 
 def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", tie: str = "delivery_id",
                      ok: str = "ok", finished_at: str | None = None,
                      ttl: _dt.timedelta = DEFAULT_TTL, num_partitions: int | None = None,
-                     max_rounds: int = 64, initial_state: DataFrame | None = None,
-                     with_state: bool = False) -> DataFrame:
+                     initial_state: DataFrame | None = None, with_state: bool = False) -> DataFrame:
     """One row per delivery with ``status`` (processed | released |
-    skipped), ``existing_status`` (for skipped rows) and ``expires_at``.
+    skipped | invalid), ``existing_status`` (for skipped rows) and
+    ``expires_at``.
 
     Output columns: ``key, ts, tie, ok, status, existing_status, expires_at``
     (named as in the input).  Join back on ``tie`` for other columns.
@@ -272,45 +269,60 @@ def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", ti
     """
     spark = deliveries.sparkSession
     checkpoint_dir(spark)
-    ts_type = deliveries.schema[ts].dataType
+    key_type, ts_type = deliveries.schema[key].dataType, deliveries.schema[ts].dataType
     ttl_us = int(ttl / _dt.timedelta(microseconds=1))
     fin_col = _micros(F.col(finished_at), ts_type) if finished_at else F.lit(None).cast("long")
     narrow = deliveries.select(
-        F.col(key).alias("_key"),
+        # one comparable token per key, so NULLs and numbers survive Arrow unchanged
+        F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("_tok"),
         _micros(F.col(ts), ts_type).alias("_t"),
         F.col(tie).alias("_tie"),
         F.coalesce(F.col(ok).cast("boolean"), F.lit(False)).alias("_ok"),
         fin_col.alias("_fin"),
     )
+    timed = narrow.where(F.col("_t").isNotNull()).withColumn("_fin", F.coalesce("_fin", "_t"))
     if initial_state is not None:
-        init = initial_state.select(F.col(key).alias("_key"), F.col("until").cast("long").alias("_su"),
-                                    F.col("fin").cast("long").alias("_sf"), F.col("final").alias("_sfinal"))
-        narrow = narrow.join(init, "_key", "left")
-    order = ["_key", "_t", "_tie"]
-    ranged = (narrow.repartitionByRange(num_partitions, *order) if num_partitions
-              else narrow.repartitionByRange(*order))
+        init = initial_state.select(
+            F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")).alias("_tok"),
+            F.col("until").cast("long").alias("_su"), F.col("fin").cast("long").alias("_sf"),
+            F.col("final").alias("_sfinal"))
+        timed = timed.join(init, "_tok", "left")
+    else:
+        timed = timed.withColumns({"_su": F.lit(None).cast("long"), "_sf": F.lit(None).cast("long"),
+                                   "_sfinal": F.lit(None).cast("string")})
+    timed = timed.withColumns({"_sf": F.coalesce("_sf", "_su", F.lit(NONE)), "_su": F.coalesce("_su", F.lit(NONE)),
+                               "_sfinal": F.coalesce("_sfinal", F.lit(PROCESSED))})
+    order = ["_tok", "_t", "_tie"]
+    ranged = (timed.repartitionByRange(num_partitions, *order) if num_partitions
+              else timed.repartitionByRange(*order))
     prepared = (ranged.sortWithinPartitions(*order)
                 .checkpoint(eager=True)
                 .withColumn("_pid", F.spark_partition_id()))
-
-    entries = _resolve_entries(prepared, ttl_us, max_rounds)
-
-    out_schema = T.StructType([
-        prepared.schema["_key"], prepared.schema["_t"], prepared.schema["_tie"], prepared.schema["_ok"],
-        T.StructField("status", T.StringType()),
-        T.StructField("existing_status", T.StringType()),
-        T.StructField("_expires", T.LongType()),
-        T.StructField("_post_until", T.LongType()),
-        T.StructField("_post_fin", T.LongType()),
-        T.StructField("_post_final", T.StringType()),
-    ])
-    rows = prepared.mapInPandas(
-        lambda it, e=dict(entries): _fold_partition(it, ttl_us, e, emit_rows=True), out_schema
-    )
+    entries = _resolve_entries(prepared, ttl_us)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda v: pa.array(v, pa.int64(), mask=v == NONE)
+        for batch, f in _fold_stream(batches, ttl_us, entries):
+            free = f.post_until == NONE
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("_tok", "_t", "_tie", "_ok")), pa.array(f.status.astype(object), pa.string()),
+                 pa.array(f.existing.astype(object), pa.string(), mask=f.claimed), number(f.expires), number(f.post_until),
+                 number(np.where(free, NONE, f.post_fin)), pa.array(f.post_final.astype(object), pa.string(), mask=free)],
+                names)
+
+    names = ["_tok", "_t", "_tie", "_ok", "status", "existing_status", "_expires", "_post_until", "_post_fin", "_post_final"]
+    tie_type = prepared.schema["_tie"].dataType.simpleString()
+    folded = prepared.mapInArrow(rows, f"_tok string, _t bigint, _tie {tie_type}, _ok boolean, status string, "
+                                       "existing_status string, _expires bigint, _post_until bigint, _post_fin bigint, "
+                                       "_post_final string")
+    untimed = narrow.where(F.col("_t").isNull()).select(
+        "_tok", "_t", "_tie", "_ok", F.lit(INVALID).alias("status"), F.lit(None).cast("string").alias("existing_status"),
+        *(F.lit(None).cast(k).alias(c) for c, k in (("_expires", "bigint"), ("_post_until", "bigint"),
+                                                    ("_post_fin", "bigint"), ("_post_final", "string"))))
     state = ([F.col("_post_until").alias("state_until"), F.col("_post_fin").alias("state_fin"),
               F.col("_post_final").alias("state_final")] if with_state else [])
-    return rows.select(
-        F.col("_key").alias(key),
+    return folded.unionByName(untimed).select(
+        F.when(F.col("_tok") != "", F.substring("_tok", 2, 1 << 30).cast(key_type)).alias(key),
         _from_micros(F.col("_t"), ts_type).alias(ts),
         F.col("_tie").alias(tie),
         F.col("_ok").alias(ok),

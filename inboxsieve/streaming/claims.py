@@ -13,13 +13,14 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.dedupe import DEFAULT_TTL, _Fold, _from_micros, _micros
+from ..operators.dedupe import DEFAULT_TTL, NONE, PROCESSED, Folded, _from_micros, _micros
 
 INPUT_COLUMNS = ["_key", "_ev", "_t", "_tie", "_ok", "_fin"]
 STATE_SCHEMA = T.StructType([
@@ -38,7 +39,7 @@ def _out_schema(key_type: T.DataType, tie_type: T.DataType) -> T.StructType:
 
 
 class ClaimProcessor(StatefulProcessor):
-    """Runs :class:`~inboxsieve.operators.dedupe._Fold` per key across
+    """Runs :class:`~inboxsieve.operators.dedupe.Folded` per key across
     micro-batches; the fold state lives in a value state."""
 
     def __init__(self, ttl_us: int):
@@ -55,25 +56,22 @@ class ClaimProcessor(StatefulProcessor):
         # Arrow hands the rows over with positional names; restore ours
         pdf.columns = INPUT_COLUMNS[: len(pdf.columns)]
         pdf = pdf.sort_values(["_t", "_tie"], kind="stable").reset_index(drop=True)
-        fold = _Fold(self.ttl_us)
-        state = self.claim.get() if self.claim.exists() else None
-        fold.reset(key[0], None if state is None else (int(state[0]), int(state[1]), state[2]))
-        before = fold.until
-        status, existing, expires = [], [], []
-        for t, ok, fin in zip(pdf["_t"].tolist(), pdf["_ok"].tolist(), pdf["_fin"].tolist()):
-            s, e, x = fold.step(int(t), bool(ok), int(t) if fin is None or pd.isna(fin) else int(fin))
-            status.append(s)
-            existing.append(e)
-            expires.append(x)
-        if fold.until is not None:
-            self.claim.update((fold.until, fold.fin, fold.final))
-            if fold.until != before:
+        before, fin, final = self.claim.get() if self.claim.exists() else (NONE, NONE, PROCESSED)
+        n = len(pdf)
+        done = Folded(np.zeros(n, dtype=np.int64), pdf["_t"].to_numpy(dtype=np.int64), pdf["_ok"].to_numpy(dtype=bool),
+                      pdf["_fin"].to_numpy(dtype=np.int64), self.ttl_us, np.array([int(before)]), np.array([int(fin)]),
+                      np.array([final], dtype=object))
+        until = int(done.post_until[-1])
+        if until != NONE:
+            self.claim.update((until, int(done.post_fin[-1]), str(done.post_final[-1])))
+            if until != before:
                 # evict once the claim can no longer block anything (timers are in ms)
-                self.handle.registerTimer(fold.until // 1000 + 1)
+                self.handle.registerTimer(until // 1000 + 1)
         out = pdf[["_key", "_t", "_tie", "_ok"]].copy()
-        out["status"] = status
-        out["existing_status"] = existing
-        out["_expires"] = pd.array(expires, dtype="Int64")
+        out["status"] = done.status
+        out["existing_status"] = np.where(done.claimed, None, done.existing)
+        out["_expires"] = pd.array(done.expires, dtype="Int64")
+        out.loc[done.expires == NONE, "_expires"] = pd.NA
         yield out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -100,7 +98,8 @@ def claim_deliveries_stream(deliveries: DataFrame, key: str = "key", ts: str = "
     narrow = (deliveries.withColumn("_ev", F.col(ts).cast("timestamp")).withWatermark("_ev", watermark).select(
         F.col(key).alias("_key"), F.col("_ev"), _micros(F.col(ts), ts_type).alias("_t"),
         F.col(tie).alias("_tie"), F.coalesce(F.col(ok).cast("boolean"), F.lit(False)).alias("_ok"),
-        fin.alias("_fin")))
+        F.coalesce(fin, _micros(F.col(ts), ts_type)).alias("_fin"))
+        .where(F.col("_t").isNotNull()))
     assert narrow.columns == INPUT_COLUMNS
     schema = _out_schema(deliveries.schema[key].dataType, deliveries.schema[tie].dataType)
     out = narrow.groupBy("_key").transformWithStateInPandas(

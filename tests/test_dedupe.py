@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from inboxsieve.operators import dedupe
 
 T0 = dt.datetime(2024, 1, 1)
@@ -90,14 +92,72 @@ def test_vectorised_fold_matches_row_fold_with_finish_times(spark):
                                      "fin timestamp_ntz")
     got = {r["delivery_id"]: (r["status"], r["existing_status"], r["expires_at"])
            for r in dedupe.claim_deliveries(df, finished_at="fin", num_partitions=8).collect()}
-    us = dt.timedelta(microseconds=1)
-    want = {}
-    fold = dedupe._Fold(int(dedupe.DEFAULT_TTL / us))
-    for key, ts, tie, ok, fin in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        if fold.key != key:
-            fold.reset(key)
-        t = int((ts - dt.datetime(1970, 1, 1)) / us)
-        f = t if fin is None else int((fin - dt.datetime(1970, 1, 1)) / us)
-        s, e, x = fold.step(t, ok, f)
-        want[tie] = (s, e, None if x is None else dt.datetime(1970, 1, 1) + x * us)
-    assert got == want
+    assert got == row_fold(rows)
+
+
+def row_fold(rows):
+    """Row by row, with finish times: tie -> (status, existing, expires)."""
+    want, state, ttl = {}, {}, dedupe.DEFAULT_TTL
+    for key, ts, tie, ok, fin in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        until, until_fin, final = state.get(key, (None, None, None))
+        if until is not None and until > ts:
+            want[tie] = ("skipped", "processing" if ts < until_fin else final, until)
+            continue
+        fin = ts if fin is None else max(fin, ts)
+        state[key] = (fin + ttl, fin, "processed") if ok else (min(fin, ts + ttl), fin, "processing")
+        want[tie] = ("processed", None, state[key][0]) if ok else ("released", None, None)
+    return want
+
+
+def hot_rows(kind, n=1500, days=400):
+    """One key with two thirds of the rows over many lifetimes of a claim."""
+    rnd = random.Random(5)
+    name = {"string": lambda k: f"k{k}", "bigint": lambda k: 10 ** 12 + k, "int": lambda k: k}[kind]
+    rows = []
+    for i in range(n):
+        ts = T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * days))
+        fin = ts + dt.timedelta(hours=rnd.choice([0, 1, 30])) if rnd.random() < 0.5 else None
+        rows.append((name(0 if i % 3 else i % 5 + 1), ts, i, rnd.random() > 0.25, fin))
+    return rows
+
+
+def claimed(spark, rows, kind, parts):
+    df = spark.createDataFrame(rows, f"key {kind}, ts timestamp_ntz, delivery_id long, ok boolean, fin timestamp_ntz")
+    return {r["delivery_id"]: (r["status"], r["existing_status"], r["expires_at"])
+            for r in dedupe.claim_deliveries(df, finished_at="fin", num_partitions=parts).collect()}
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "int"])
+def test_any_number_of_partitions_gives_the_same_rows(spark, kind):
+    rows = hot_rows(kind)
+    want = row_fold(rows)
+    for parts in (1, 4, 16, 80, 200):
+        assert claimed(spark, rows, kind, parts) == want, parts
+
+
+def test_partitions_without_exit_tables_are_folded_again(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "EXITS", 0)
+    rows = hot_rows("bigint", 600, 60)
+    assert claimed(spark, rows, "bigint", 16) == row_fold(rows)
+
+
+def test_one_claim_over_eighty_partitions(spark):
+    rows = [(7, T0 + dt.timedelta(seconds=i), i, True, None) for i in range(4000)]
+    got = claimed(spark, rows, "bigint", 80)
+    assert [k for k, v in got.items() if v[0] != "skipped"] == [0]
+
+
+def test_rows_without_a_time_or_key(spark):
+    rows = [(None, T0, 0, True), (None, T0, 1, True), (1, None, 2, True), (1, T0, 3, True), (1, None, 4, True)]
+    df = spark.createDataFrame(rows, "key bigint, ts timestamp_ntz, delivery_id long, ok boolean")
+    got = {r["delivery_id"]: (r["key"], r["status"], r["expires_at"]) for r in dedupe.claim_deliveries(df).collect()}
+    until = T0 + dedupe.DEFAULT_TTL
+    assert got == {0: (None, "processed", until), 1: (None, "skipped", until), 2: (1, "invalid", None),
+                   3: (1, "processed", until), 4: (1, "invalid", None)}
+
+
+def test_far_apart_times_are_searched_run_by_run():
+    import numpy as np
+    run, t = np.array([0, 0, 1, 1, 1]), np.array([-(1 << 60), 5, 0, 3, 1 << 60])
+    stop = np.array([2, 2, 5, 5, 5])
+    assert dedupe.next_candidates(run, stop, t, t + 3).tolist() == [1, 2, 3, 4, 5]
