@@ -44,6 +44,11 @@ UNKNOWN_ID = "unknown"
 SERVICE_IDS = [t["id"] for t in SERVICE_TYPES]
 
 
+def service_ids(service_types: list[dict] | None = None) -> list[str]:
+    """The ids an answer may name, in definition order."""
+    return [t["id"] for t in service_types or SERVICE_TYPES]
+
+
 def normalise_key_py(value: str) -> str:
     """Driver-side twin of :func:`normalise_key` for building the lookup map."""
     return "".join(ch for ch in value.lower() if ch.isascii() and ch.isalnum())

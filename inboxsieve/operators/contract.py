@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsre import WS, js_trim
-from ..functions.service_types import SERVICE_IDS, UNKNOWN_ID
-from ..session import checkpoint_dir
+from ..functions.service_types import UNKNOWN_ID, service_ids
 
 # ---------------------------------------------------------------------------
 # The model-output contract.
@@ -71,9 +70,11 @@ def _field_type(v: Column, key: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
 
 
-def _stages(src: str):
+def _stages(src: str, service_types: list[dict] | None = None):
     """[(name, fn(get) -> Column)] per stage; ``get(name)`` reads a value of
     an earlier stage (or the source text under ``src``)."""
+    ids = service_ids(service_types)
+
     def text_issue(key, t, value):
         return (F.when(t.isNull(), F.lit(f"{key}:missing"))
                 .when(t != "STRING", F.lit(f"{key}:invalid_type"))
@@ -83,7 +84,7 @@ def _stages(src: str):
         return F.array_compact(F.array(
             text_issue("explanation", g("_t_expl"), g("_expl")),
             F.when(g("_t_sid").isNull(), F.lit("serviceTypeId:missing"))
-            .when((g("_t_sid") != "STRING") | ~g("_sid").isin(*SERVICE_IDS), F.lit("serviceTypeId:invalid_enum")),
+            .when((g("_t_sid") != "STRING") | ~g("_sid").isin(*ids), F.lit("serviceTypeId:invalid_enum")),
             F.when(g("_t_score").isNull(), F.lit("confidenceScore:missing"))
             .when(~g("_t_score").rlike(NUMBER_TYPE), F.lit("confidenceScore:invalid_type"))
             .when((g("_score") < 0) | (g("_score") > 1) | F.isnan(g("_score")),
@@ -140,7 +141,8 @@ def _stages(src: str):
 CHECK_FIELDS = ["pos", "is_text", "json_text", "issues", "result"]
 
 
-def _stage_chain(arr: Column, extra: list | None = None, out: list[str] | None = None) -> Column:
+def _stage_chain(arr: Column, extra: list | None = None, out: list[str] | None = None,
+                 service_types: list[dict] | None = None) -> Column:
     """Run the stages over an array of ``struct(pos, is_text, _src)``, one
     nested ``transform`` per stage (plus ``extra`` stages), keeping ``out``.
 
@@ -157,18 +159,18 @@ def _stage_chain(arr: Column, extra: list | None = None, out: list[str] | None =
             return F.struct(*keep, *new)
         return step
 
-    for stage in _stages("_src") + (extra or []):
+    for stage in _stages("_src", service_types) + (extra or []):
         arr = F.transform(arr, make_step(stage, tuple(fields)))
         fields += [n for n, _ in stage]
     keep = out or CHECK_FIELDS
     return F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in keep]))
 
 
-def checked_col(text: Column, is_text: Column | None = None) -> Column:
+def checked_col(text: Column, is_text: Column | None = None, service_types: list[dict] | None = None) -> Column:
     """O7 + O8 of one text: ``struct(json_text, issues, result)``."""
     flag = F.lit(True) if is_text is None else is_text
     one = F.array(F.struct(F.lit(0).alias("pos"), flag.alias("is_text"), text.alias("_src")))
-    return F.element_at(_stage_chain(one), 1)
+    return F.element_at(_stage_chain(one, service_types=service_types), 1)
 
 
 def extract_json(df: DataFrame, col: str, out: str = "json_text") -> DataFrame:
@@ -176,10 +178,11 @@ def extract_json(df: DataFrame, col: str, out: str = "json_text") -> DataFrame:
     return df.withColumn(out, pick_object(strip_fences(F.col(col))))
 
 
-def validate_output(df: DataFrame, col: str, keep_json_text: bool = False) -> DataFrame:
+def validate_output(df: DataFrame, col: str, keep_json_text: bool = False,
+                    service_types: list[dict] | None = None) -> DataFrame:
     """O7 + O8: add ``result`` (the trimmed contract output, NULL when
     invalid) and ``issues`` (our issue codes; empty when valid)."""
-    out = (df.withColumn("_chk", checked_col(F.col(col)))
+    out = (df.withColumn("_chk", checked_col(F.col(col), service_types=service_types))
              .withColumn("result", F.col("_chk.result"))
              .withColumn("issues", F.col("_chk.issues")))
     if keep_json_text:
@@ -188,14 +191,15 @@ def validate_output(df: DataFrame, col: str, keep_json_text: bool = False) -> Da
 
 
 def _apply_stages_array(df: DataFrame, arr: str, out: str, text_field: str = "text",
-                        type_field: str = "type") -> DataFrame:
+                        type_field: str = "type", service_types: list[dict] | None = None) -> DataFrame:
     """The stages over every block of an array column (non-text blocks get NULLs)."""
     blocks = F.transform(F.col(arr), lambda b, i: F.struct(
         i.alias("pos"), (b[type_field] == "text").alias("is_text"), b[text_field].alias("_src")))
-    return df.withColumn(out, _stage_chain(blocks))
+    return df.withColumn(out, _stage_chain(blocks, service_types=service_types))
 
 
-def first_valid_block(responses: DataFrame, content: str = "content") -> DataFrame:
+def first_valid_block(responses: DataFrame, content: str = "content",
+                      service_types: list[dict] | None = None) -> DataFrame:
     """O9 on responses carrying ``content ARRAY<STRUCT<type,text>>``.
 
     Adds ``result`` (first text block, in order, that passes O8),
@@ -203,7 +207,7 @@ def first_valid_block(responses: DataFrame, content: str = "content") -> DataFra
     text block before the winner - all of them when none won) and
     ``parse_error``.  Array HOFs only: no explode, no shuffle.
     """
-    tmp = _apply_stages_array(responses, content, "_blocks")
+    tmp = _apply_stages_array(responses, content, "_blocks", service_types=service_types)
     winner = F.try_element_at(F.filter(F.col("_blocks"), lambda x: x["result"].isNotNull()), F.lit(1))
     return (
         tmp.withColumn("_winner", F.struct(winner["pos"].alias("pos"), winner["result"].alias("result")))
@@ -218,9 +222,10 @@ def first_valid_block(responses: DataFrame, content: str = "content") -> DataFra
     )
 
 
-def validate_blocks(blocks: DataFrame, text: str = "text", type_col: str = "type") -> DataFrame:
+def validate_blocks(blocks: DataFrame, text: str = "text", type_col: str = "type",
+                    service_types: list[dict] | None = None) -> DataFrame:
     """O7+O8 on one row per block; non-text blocks get NULL result/issues."""
-    return (blocks.withColumn("_chk", checked_col(F.col(text), F.col(type_col) == "text"))
+    return (blocks.withColumn("_chk", checked_col(F.col(text), F.col(type_col) == "text", service_types))
             .withColumn("result", F.col("_chk.result"))
             .withColumn("issues", F.col("_chk.issues"))
             .drop("_chk"))
@@ -228,33 +233,27 @@ def validate_blocks(blocks: DataFrame, text: str = "text", type_col: str = "type
 
 def first_valid_block_rows(blocks: DataFrame, run: str = "run_id", pos: str = "pos",
                            type_col: str = "type", text: str = "text",
-                           materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+                           service_types: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
     """O9 on one row per block.  Returns (per-run winners, parse-error blocks).
 
     Winners: ``run, result, winner_pos, n_blocks, n_parse_errors``.  Parse
     errors are the failed text blocks *before* the winner (all of them when
-    no block won), as the reference logs them while scanning.
+    no block won), as the reference logs them while scanning.  Both come from
+    one aggregation; a run's list holds the failed blocks of one response.
     """
-    checked = validate_blocks(blocks, text, type_col).select(run, pos, type_col, "result", "issues")
-    if materialize:
-        # both branches below read the validated blocks: validate once, keep
-        # only the narrow columns (no text), cut the lineage
-        checkpoint_dir(blocks.sparkSession)
-        checked = checked.checkpoint(eager=True)
+    checked = validate_blocks(blocks, text, type_col, service_types).select(run, pos, type_col, "result", "issues")
     is_text = F.col(type_col) == "text"
     ok = is_text & F.col("result").isNotNull()
+    failed = F.collect_list(F.when(is_text & F.col("result").isNull(), F.struct(F.col(pos).alias("pos"), "issues")))
     per_run = checked.groupBy(run).agg(
         F.min_by(F.col("result"), F.when(ok, F.col(pos))).alias("result"),
         F.min(F.when(ok, F.col(pos))).alias("winner_pos"),
-        F.count(F.lit(1)).alias("n_blocks"),
+        F.count(F.lit(1)).alias("n_blocks"), failed.alias("_failed"),
     )
-    errors = (checked.filter(is_text & F.col("result").isNull())
-              .join(per_run.select(run, "winner_pos"), run, "left")
-              .filter(F.col("winner_pos").isNull() | (F.col(pos) < F.col("winner_pos")))
-              .select(run, pos, "issues"))
-    n_err = errors.groupBy(run).agg(F.count(F.lit(1)).alias("n_parse_errors"))
-    winners = (per_run.join(n_err, run, "left")
-               .withColumn("n_parse_errors", F.coalesce("n_parse_errors", F.lit(0)).cast("long")))
+    per_run = per_run.withColumn("_failed", F.filter("_failed", lambda x: F.col("winner_pos").isNull()
+                                                     | (x["pos"] < F.col("winner_pos"))))
+    winners = per_run.select(run, "result", "winner_pos", "n_blocks", F.size("_failed").cast("long").alias("n_parse_errors"))
+    errors = per_run.select(run, F.explode("_failed").alias("e")).select(run, F.col("e.pos").alias(pos), "e.issues")
     return winners, errors
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsre import js_trim
-from ..functions.service_types import SERVICE_IDS, UNKNOWN_ID
+from ..functions import service_types as st
+from ..functions.service_types import UNKNOWN_ID
 from .contract import NUMBER_TYPE, _stage_chain
 
 # ---------------------------------------------------------------------------
@@ -43,6 +44,7 @@ PROVIDERS = [
      "max_tokens": None, "context": None, "response_format": None},
 ]
 BASE_CHECKS = 6
+NOT_AN_OBJECT = "Output must be a JSON object."
 DEFAULT_THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9]
 # ---------------------------------------------------------------------------
 
@@ -61,14 +63,15 @@ def eval_matrix(cases: DataFrame, providers: list[dict] | None = None, pattern:
     rows = [p for p in (providers or PROVIDERS) if pattern is None or re.search(pattern, p["label"])]
     if first_n is not None:
         cases = cases.orderBy(case_no).limit(first_n)
+    entry = ("struct<provider_ord:int,provider_id:string,provider_label:string,temperature:double,max_tokens:int,"
+             "context:int,response_format:string>")
     lit_rows = F.array(*[F.struct(
         F.lit(i).alias("provider_ord"), F.lit(p["id"]).alias("provider_id"),
         F.lit(p["label"]).alias("provider_label"), F.lit(float(p["temperature"])).alias("temperature"),
         F.lit(p["max_tokens"]).cast("int").alias("max_tokens"), F.lit(p["context"]).cast("int").alias("context"),
         F.lit(p["response_format"]).cast("string").alias("response_format"),
-    ) for i, p in enumerate(rows)])
-    if not rows:
-        return cases.limit(0)
+    ) for i, p in enumerate(rows)]).cast(f"array<{entry}>")
+    # no match: an empty array, so no rows but the same columns
     return cases.withColumn("_p", F.explode(lit_rows)).select("*", "_p.*").drop("_p")
 
 
@@ -91,17 +94,27 @@ def as_number(col: Column) -> Column:
                   t.try_cast("double")))
 
 
-def expected_ids(plural: Column, single: Column) -> Column:
+def expected_ids(plural: Column, single: Column, plural_is_array: bool = False) -> Column:
     """Plural list wins when non-blank (and may end up empty), else the
-    trimmed single id, else empty."""
+    trimmed single id, else empty.  An ARRAY of ids is taken element by
+    element (trimmed, blanks dropped) and wins even when empty."""
+    if plural_is_array:
+        given = F.filter(F.transform(plural, lambda x: js_trim(x.cast("string"))), lambda x: x != "")
+        return F.when(plural.isNotNull(), given).otherwise(expected_ids(F.lit(None).cast("string"), single))
     parts = F.filter(F.transform(F.split(plural, ",", -1), lambda x: js_trim(x)), lambda x: x != "")
     return (F.when(plural.isNotNull() & (js_trim(plural) != ""), parts)
             .when(single.isNotNull() & (js_trim(single) != ""), F.array(js_trim(single)))
             .otherwise(F.array().cast("array<string>")))
 
 
-def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column):
-    ids_set = [F.lit(x) for x in SERVICE_IDS]
+def _number_text(x: Column) -> Column:
+    """A double as JavaScript prints it: no point for whole numbers."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column, service_types: list[dict] | None = None):
+    known = st.service_ids(service_types)
+    ids_set = [F.lit(x) for x in known]
 
     def no_braces(g):
         w = g("_w")
@@ -122,20 +135,32 @@ def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column):
         def fails_if(cond):  # a failure condition; NULL does not fail
             return F.coalesce(cond, F.lit(False))
 
-        flags = [
-            must((g("_t_expl") == "STRING") & (g("_expl") != "")),
-            must((g("_t_sid") == "STRING") & g("_sid").isin(*ids_set)),
-            must(num & (g("_score") >= 0) & (g("_score") <= 1)),
-            must(alert_is_bool),
-            must((g("_t_reason") == "STRING") & (g("_reason") != "")),
-            notify.isNull(),
-            fails_if(notify.isNotNull() & alert_is_bool & (g("_alert") != notify)),
-            fails_if((F.size(ids) > 0) & ~F.coalesce((g("_t_sid") == "STRING")
-                                                    & F.array_contains(ids, g("_sid")), F.lit(False))),
-            fails_if(min_c.isNotNull() & num & (g("_score") < min_c)),
-            fails_if(max_c.isNotNull() & num & (g("_score") > max_c)),
+        sid = F.coalesce(g("_sid"), F.lit("undefined"))
+        alert = F.when(alert_is_bool, g("_alert").cast("string"))
+        rules = [
+            (must((g("_t_expl") == "STRING") & (g("_expl") != "")), F.lit("explanation must be a non-empty string")),
+            (must((g("_t_sid") == "STRING") & g("_sid").isin(*ids_set)),
+             F.lit("serviceTypeId must be one of " + ", ".join(known))),
+            (must(num & (g("_score") >= 0) & (g("_score") <= 1)),
+             F.lit("confidenceScore must be a number between 0 and 1")),
+            (must(alert_is_bool), F.lit("shouldAlertAdmin must be a boolean")),
+            (must((g("_t_reason") == "STRING") & (g("_reason") != "")), F.lit("alertReason must be a non-empty string")),
+            (notify.isNull(), F.lit("expectedShouldNotify test variable must be true or false")),
+            (fails_if(notify.isNotNull() & alert_is_bool & (g("_alert") != notify)),
+             F.concat(F.lit("expected shouldAlertAdmin "), notify.cast("string"), F.lit(", got "), alert)),
+            (fails_if((F.size(ids) > 0) & ~F.coalesce((g("_t_sid") == "STRING")
+                                                     & F.array_contains(ids, g("_sid")), F.lit(False))),
+             F.concat(F.lit("expected serviceTypeId "), F.array_join(ids, " or "), F.lit(", got "), sid)),
+            (fails_if(min_c.isNotNull() & num & (g("_score") < min_c)),
+             F.concat(F.lit("expected confidenceScore >= "), _number_text(min_c), F.lit(", got "), _number_text(g("_score")))),
+            (fails_if(max_c.isNotNull() & num & (g("_score") > max_c)),
+             F.concat(F.lit("expected confidenceScore <= "), _number_text(max_c), F.lit(", got "), _number_text(g("_score")))),
         ]
-        return sum((f.cast("long") for f in flags), F.lit(0).cast("long"))
+        return F.array_compact(F.array(*(F.when(cond, text) for cond, text in rules)))
+
+    def passed_text(g):
+        return F.concat(F.lit("Parsed "), g("_sid"), F.lit(" at confidence "), _number_text(g("_score")),
+                        F.lit("; shouldAlertAdmin="), g("_alert").cast("string"))
 
     def checks(g):
         return (F.lit(BASE_CHECKS).cast("long") + notify.isNotNull().cast("long")
@@ -147,7 +172,10 @@ def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column):
 
     return [
         [("_nobrace", no_braces)],
-        [("parsed", parsed), ("n_failures", failures), ("n_checks", checks)],
+        [("parsed", parsed), ("_failures", failures), ("n_checks", checks)],
+        [("n_failures", lambda g: F.size(g("_failures")).cast("long")),
+         ("reason", lambda g: F.when(~g("parsed"), F.lit(NOT_AN_OBJECT)).when(
+             F.size(g("_failures")) > 0, F.array_join(g("_failures"), "; ")).otherwise(passed_text(g)))],
         [("pass", lambda g: g("parsed") & (g("n_failures") == 0)),
          ("score", lambda g: F.when(g("parsed"), F.greatest(
              F.lit(0.0), (g("n_checks") - g("n_failures")).cast("double") / g("n_checks")))
@@ -159,29 +187,32 @@ def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column):
     ]
 
 
-SCORE_FIELDS = ["parsed", "n_failures", "n_checks", "pass", "score", "contract_pass", "eligible_score"]
+SCORE_FIELDS = ["parsed", "n_failures", "n_checks", "pass", "score", "reason", "contract_pass", "eligible_score"]
 
 
 def score_cases(df: DataFrame, output: str = "output", should_notify: str = "expected_should_notify",
                 service_id: str = "expected_service_type_id", service_ids: str = "expected_service_type_ids",
-                min_confidence: str = "min_confidence", max_confidence: str = "max_confidence") -> DataFrame:
+                min_confidence: str = "min_confidence", max_confidence: str = "max_confidence",
+                service_types: list[dict] | None = None) -> DataFrame:
     """The assertion verdict for every (case, output) row.
 
-    Adds ``parsed, n_failures, n_checks, pass, score, contract_pass,
-    eligible_score`` and ``expected_notify`` (the cast expectation).
+    Adds ``parsed, n_failures, n_checks, pass, score, reason, contract_pass,
+    eligible_score`` (``reason``: the failures in order, or what was parsed) and ``expected_notify`` (the cast expectation).
     ``contract_pass`` applies the production contract to the same output;
     an output can pass the eval and fail the contract.
     """
     cast = df.withColumns({
         "expected_notify": as_boolean(F.col(should_notify)),
-        "_ids": expected_ids(F.col(service_ids), F.col(service_id)),
+        "_ids": expected_ids(F.col(service_ids), F.col(service_id),
+                             df.schema[service_ids].dataType.typeName() == "array"),
         "_min": as_number(F.col(min_confidence)),
         "_max": as_number(F.col(max_confidence)),
     })
-    stages = _score_stages(F.col("expected_notify"), F.col("_ids"), F.col("_min"), F.col("_max"))
+    stages = _score_stages(F.col("expected_notify"), F.col("_ids"), F.col("_min"), F.col("_max"),
+                           service_types)
     one = F.array(F.struct(F.lit(0).alias("pos"), F.lit(True).alias("is_text"),
                            F.coalesce(F.col(output).cast("string"), F.lit("")).alias("_src")))
-    verdict = F.element_at(_stage_chain(one, stages, SCORE_FIELDS), 1)
+    verdict = F.element_at(_stage_chain(one, stages, SCORE_FIELDS, service_types), 1)
     out = cast.withColumn("_verdict", verdict)
     return out.select(*[c for c in out.columns if c not in ("_verdict", "_ids", "_min", "_max")],
                       *[F.col(f"_verdict.{f}").alias(f) for f in SCORE_FIELDS])
@@ -206,8 +237,11 @@ def _summary_aggs() -> list[Column]:
 
 
 def eval_buckets(verdicts: DataFrame, bucket: str = "path_type", provider: str = "provider_id") -> DataFrame:
-    """The summary by path bucket and provider with rollup subtotals."""
-    return verdicts.rollup(bucket, provider).agg(*_summary_aggs())
+    """The summary by path bucket and provider with rollup subtotals;
+    ``level`` tells them apart (``provider``, ``bucket``, ``all``), as a bucket
+    may itself be NULL."""
+    level = (F.when(F.grouping(bucket) == 1, "all").when(F.grouping(provider) == 1, "bucket").otherwise("provider"))
+    return verdicts.rollup(bucket, provider).agg(*_summary_aggs(), level.alias("level"))
 
 
 def gate_sweep(verdicts: DataFrame, thresholds: list[float] | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 Backends:
 
 * :class:`RecordedBackend` - recorded responses keyed by ``request_hash``
-  (a join; deterministic; what tests and the bench use);
+  (prompt, provider and model; a join; deterministic; what tests and the
+  bench use);
 * :class:`KeywordBackend` - a model-free classifier built from native
   expressions over the service labels (the design asks for a categorizer
   that works without a model at all);
@@ -57,12 +58,34 @@ class Backend:
         go to :meth:`respond` once, ``on_responses`` (e.g. validation) runs
         on those distinct answers, and they are joined back on the hash; the
         text columns never enter the join."""
-        distinct = requests.dropDuplicates(["request_hash"])
-        responses = self.respond(distinct).dropDuplicates(["request_hash"])
+        responses = one_per_request(self.respond(self.distinct(requests)))
         if on_responses is not None:
             responses = on_responses(responses)
         return _narrow(requests).join(responses, "request_hash", "left")
 
+    def distinct(self, requests: DataFrame) -> DataFrame:
+        """One row per request.  With an id column the choice is made on
+        narrow columns, so the prompts are not shuffled to find copies."""
+        key = next((c for c in ("email_id", "case_no") if c in requests.columns), None)
+        if key is None:
+            return requests.dropDuplicates(["request_hash"])
+        chosen = (requests.groupBy("request_hash").agg(F.min(key).alias("_first"))
+                  .withColumnRenamed("request_hash", "_hash"))
+        first = (requests["request_hash"] == chosen["_hash"]) & (requests[key].eqNullSafe(chosen["_first"]))
+        rows = requests.join(chosen, first, "left_semi")
+        # ids may repeat in the input: then copies of one row are left
+        return rows.dropDuplicates(["request_hash"]) if self.ids_repeat else rows
+
+    #: Set to False if the id column is known to be unique.
+    ids_repeat = True
+
+
+def one_per_request(responses: DataFrame) -> DataFrame:
+    """The least of a request's responses (recordings may repeat)."""
+    fields = [c for c in responses.columns if c != "request_hash"]
+    one = responses.groupBy("request_hash").agg(F.min(F.struct(*fields)).alias("_r"))
+    return one.select("request_hash", *[F.col(f"_r.{c}").alias(c) for c in fields])
+
 
 # Request columns holding mail or prompt text: dropped before any shuffle.
 TEXT_COLUMNS = ("subject", "body", "text", "user_prompt", "system_prompt")
@@ -79,12 +102,13 @@ class RecordedBackend(Backend):
         self.recorded = recorded.select(*RESPONSE_SCHEMA.fieldNames())
 
     def respond(self, requests: DataFrame) -> DataFrame:
-        return requests.select("request_hash").join(self.recorded, "request_hash", "left")
+        return requests.select("request_hash").join(one_per_request(self.recorded), "request_hash", "left")
 
     def respond_rows(self, requests: DataFrame, on_responses=None) -> DataFrame:
         # a lookup: one left join of the narrow request rows; answers are
         # post-processed once per recording, not once per request row
-        recorded = self.recorded if on_responses is None else on_responses(self.recorded)
+        recorded = one_per_request(self.recorded)
+        recorded = recorded if on_responses is None else on_responses(recorded)
         return _narrow(requests).join(recorded, "request_hash", "left")
 
 

@@ -7,12 +7,13 @@ configuration is resolved once on the driver and added as literal columns.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.service_types import UNKNOWN_ID, prompt_json
+from ..functions.service_types import UNKNOWN_ID, prompt_json, service_ids
 
 # ---------------------------------------------------------------------------
 # System prompt and user prompt template.
@@ -145,11 +146,42 @@ class ModelConfig:
         return "unchanged"
 
 
+#: The name of the response format, and the JSON schema's bounds.
+RESPONSE_FORMAT_NAME = "email_categorization"
+
+
+def output_schema(service_types: list[dict] | None = None) -> dict:
+    """The JSON schema of an answer; the ids follow the configured types."""
+    text = {"type": "string", "minLength": 1}
+    fields = {"explanation": text, "serviceTypeId": {"type": "string", "enum": service_ids(service_types)},
+              "confidenceScore": {"type": "number", "minimum": 0, "maximum": 1},
+              "shouldAlertAdmin": {"type": "boolean"}, "alertReason": text}
+    return {"type": "object", "properties": fields, "required": list(fields), "additionalProperties": False}
+
+
+def response_format(payload_mode: str, service_types: list[dict] | None = None) -> str | None:
+    """What a request's payload gets for the answer's format, as JSON."""
+    if payload_mode == "json_schema":
+        form = {"type": "json_schema", "name": RESPONSE_FORMAT_NAME, "strict": True, "schema": output_schema(service_types)}
+        return json.dumps({"text": {"format": form}}, separators=(",", ":"))
+    if payload_mode == "json_object":
+        return json.dumps({"response_format": {"type": "json_object"}, "think": False}, separators=(",", ":"))
+    return None
+
+
+def request_key(user_prompt: Column, provider: Column, model: Column) -> Column:
+    """One key per request: another provider's or model's answer is no answer.
+    Never NULL, so that joins on it infer no filter that would run the prompt
+    chain once more below the join."""
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.sha2(F.concat_ws("\n", F.sha2(part(user_prompt), 256), part(provider), part(model)), 256)
+
+
 def build_requests(df: DataFrame, config: ModelConfig | None = None, subject: str = "subject",
                    body: str = "body", service_types: list[dict] | None = None) -> DataFrame:
     """Add ``system_prompt, user_prompt, request_hash`` and the resolved
     model options (``provider, model, api, base_url, max_tokens,
-    temperature, context_window, payload_mode``)."""
+    temperature, context_window, payload_mode, response_format``)."""
     cfg = config or ModelConfig()
     prompt = user_prompt_col(F.col(subject), F.col(body), service_types)
     return (df.withColumn("user_prompt", prompt)
@@ -158,7 +190,7 @@ def build_requests(df: DataFrame, config: ModelConfig | None = None, subject: st
                   # non-nullable on purpose: joins on the hash then infer no
                   # isnotnull() filter that would re-run the whole prompt
                   # chain below the join
-                  "request_hash": F.coalesce(F.sha2(F.col("user_prompt"), 256), F.lit("")),
+                  "request_hash": request_key(F.col("user_prompt"), F.lit(cfg.provider), F.lit(cfg.model_id)),
                   "provider": F.lit(cfg.provider),
                   "model": F.lit(cfg.model_id),
                   "api": F.lit(cfg.api).cast("string"),
@@ -167,4 +199,5 @@ def build_requests(df: DataFrame, config: ModelConfig | None = None, subject: st
                   "temperature": F.lit(float(cfg.temperature)),
                   "context_window": F.lit(cfg.context_window).cast("int"),
                   "payload_mode": F.lit(cfg.payload_mode),
+                  "response_format": F.lit(response_format(cfg.payload_mode, service_types)).cast("string"),
               }))

@@ -15,7 +15,8 @@ ALERT_TITLE = "New estimate request received"
 EMBED_TITLE = "Details"
 FIELD_VALUE_LIMIT = 1024
 EMPTY_FIELD_VALUE = "N/A"
-MISSING_EMAIL_MESSAGE = "Resend did not return email data"
+MISSING_EMAIL_MESSAGE = "The mail service did not return email data"
+LOOKUP_FAILED_PREFIX = "Error fetching email: "
 # ---------------------------------------------------------------------------
 
 
@@ -25,16 +26,23 @@ def filter_events(deliveries: DataFrame, type_col: str = "type") -> tuple[DataFr
     return deliveries.filter(is_received), deliveries.filter(~is_received)
 
 
-def attach_email(deliveries: DataFrame, emails: DataFrame, key: str = "email_id") -> tuple[DataFrame, DataFrame]:
-    """(deliveries joined with their mail, deliveries whose mail is missing
-    with ``error_message``).  One left join on the id; the mail table is
-    the lookup side and is never collected."""
+def lookup_email(deliveries: DataFrame, emails: DataFrame, key: str = "email_id") -> DataFrame:
+    """O17 as one left join: the deliveries with their mail's columns and
+    ``error_message`` (NULL when found).  A mail row with a ``lookup_error``
+    is a failed lookup, another cause than a missing mail."""
     joined = deliveries.join(emails.withColumn("_found", F.lit(True)), key, "left")
-    found = joined.filter(F.col("_found").isNotNull()).drop("_found")
-    missing = (joined.filter(F.col("_found").isNull())
-               .select(*deliveries.columns)
-               .withColumn("error_message", F.lit(MISSING_EMAIL_MESSAGE)))
-    return found, missing
+    failed = F.col("lookup_error") if "lookup_error" in emails.columns else F.lit(None).cast("string")
+    cause = (F.when(failed.isNotNull(), F.concat(F.lit(LOOKUP_FAILED_PREFIX), failed))
+             .when(F.col("_found").isNull(), F.lit(MISSING_EMAIL_MESSAGE)))
+    return joined.withColumn("error_message", cause).drop("_found", "lookup_error")
+
+
+def attach_email(deliveries: DataFrame, emails: DataFrame, key: str = "email_id") -> tuple[DataFrame, DataFrame]:
+    """O17 split: (deliveries joined with their mail, deliveries whose mail is
+    missing or could not be fetched, with ``error_message``)."""
+    joined = lookup_email(deliveries, emails, key)
+    return (joined.filter(F.col("error_message").isNull()).drop("error_message"),
+            joined.filter(F.col("error_message").isNotNull()).select(*deliveries.columns, "error_message"))
 
 
 def alert_gate(results: DataFrame, flag: str = "should_alert_admin") -> tuple[DataFrame, DataFrame]:
@@ -71,20 +79,27 @@ def discord_body(title: Column, message: Column | None, fields: list[tuple[str,
 CHANNELS: dict[str, Callable[..., Column]] = {"discord": discord_body}
 
 
-def build_notifications(alerts: DataFrame, emails: DataFrame, channel: str = "discord",
+def build_notifications(alerts: DataFrame, emails: DataFrame | None = None, channel: str = "discord",
                         timestamp: str = "1970-01-01T00:00:00.000Z", key: str = "email_id") -> DataFrame:
     """One notification body per alert.
 
     Fields come from the *raw* mail (sender, original subject) and the
     result (service label, explanation).  ``timestamp`` is a parameter so
-    the output is deterministic.  Unknown channels are rejected.
+    the output is deterministic.  Unknown channels are rejected.  Without
+    ``emails`` the alerts carry the raw mail themselves (``from``,
+    ``raw_subject``).  ``delivery_id`` and ``received_at`` stay on the rows
+    when the alerts have them.
     """
     if channel not in CHANNELS:
         raise ValueError(f"Unsupported notification channel: {channel}")
-    raw = emails.select(key, F.col("from").alias("_from"), F.col("subject").alias("_raw_subject"))
-    joined = alerts.join(raw, key, "inner")
+    if emails is None:
+        joined = alerts.withColumns({"_from": F.col("from"), "_raw_subject": F.col("raw_subject")})
+    else:
+        raw = emails.select(key, F.col("from").alias("_from"), F.col("subject").alias("_raw_subject"))
+        joined = alerts.join(raw, key, "inner")
+    claim = [c for c in ("delivery_id", "received_at") if c in alerts.columns]
     fields = [("customerEmail", F.col("_from")), ("emailSubject", F.col("_raw_subject")),
               ("serviceType", F.col("service_type_label")), ("summary", F.col("explanation"))]
     body = CHANNELS[channel](F.lit(ALERT_TITLE), None, fields, F.lit(timestamp))
-    return joined.select(key, F.lit(channel).alias("channel"), F.lit(ALERT_TITLE).alias("title"),
+    return joined.select(key, *claim, F.lit(channel).alias("channel"), F.lit(ALERT_TITLE).alias("title"),
                          body.alias("body_json"))

@@ -164,16 +164,25 @@ DEFAULT_PRESCREEN_RULES: dict[str, str] = {
 }
 
 
-def prescreen(emails: DataFrame, rules: dict[str, str] | None = None, subject: str = "subject",
-              body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped with ``prescreen_rule`` = first matching rule)."""
+def prescreen_flag(emails: DataFrame, rules: dict[str, str] | None = None, subject: str = "subject",
+                   body: str = "body") -> DataFrame:
+    """The mails with ``prescreen_rule`` = first matching rule (NULL: keep).
+
+    A rule whose pattern matches only the whole body is tested on the body;
+    its name does not matter."""
     rules = DEFAULT_PRESCREEN_RULES if rules is None else rules
     text = F.concat_ws("\n", F.coalesce(F.col(subject), F.lit("")), F.coalesce(F.col(body), F.lit("")))
     body_only = F.coalesce(F.col(body), F.lit(""))
     rule = F.lit(None).cast("string")
     for name, pattern in reversed(list(rules.items())):
-        target = body_only if name == "empty_body" else text
+        target = body_only if pattern.startswith("\\A") and pattern.endswith("\\z") else text
         rule = F.when(target.rlike(pattern), F.lit(name)).otherwise(rule)
-    flagged = emails.withColumn("prescreen_rule", rule)
+    return emails.withColumn("prescreen_rule", rule)
+
+
+def prescreen(emails: DataFrame, rules: dict[str, str] | None = None, subject: str = "subject",
+              body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """O28 split: (kept, dropped with ``prescreen_rule``)."""
+    flagged = prescreen_flag(emails, rules, subject, body)
     return (flagged.filter(F.col("prescreen_rule").isNull()).drop("prescreen_rule"),
             flagged.filter(F.col("prescreen_rule").isNotNull()))

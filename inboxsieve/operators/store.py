@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CONTENT_COLUMNS = ("subject", "body", "text", "user_prompt", "system_prompt", "content", "explanation",
-                   "alert_reason", "from")
+                   "alert_reason", "from", "raw_subject", "redacted_subject", "redacted_body")
 
 
 def result_store(results: DataFrame, retain_content: bool = False, ts: str = "received_at") -> DataFrame:

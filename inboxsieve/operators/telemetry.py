@@ -15,6 +15,7 @@ from ..functions.jsre import js_trim, utf16_length
 FEATURE_NAME = "categorizer"
 SOURCE_MAX = 64
 NO_PERSON_PROFILE = "$process_person_profile"
+SERVICE_DISTINCT_ID = "email-triage"  # distinct id of events that belong to no mail
 # The traffic sources the categorizer accepts from metadata.
 TRAFFIC_SOURCES = ("eval_endpoint", "inbound_email")
 
@@ -136,7 +137,7 @@ def event_rows(df: DataFrame, event: str, distinct_id: Column, props: dict[str,
 def lifecycle_events(received: DataFrame | None = None, skipped: DataFrame | None = None,
                      categorized: DataFrame | None = None, alerts: DataFrame | None = None,
                      eval_results: DataFrame | None = None, fallbacks: DataFrame | None = None,
-                     channel: str = "discord") -> DataFrame | None:
+                     channel: str = "discord", service_id: str = SERVICE_DISTINCT_ID) -> DataFrame | None:
     """The six analytics events as one table (``unionByName``).
 
     received: ``email_id, received_at``; skipped: ``email_id,
@@ -163,11 +164,11 @@ def lifecycle_events(received: DataFrame | None = None, skipped: DataFrame | Non
             "service_type_id": F.col("service_type_id"), "service_type_label": F.col("service_type_label"),
             "notification_channel": F.lit(channel)}, ts(alerts)))
     if eval_results is not None:
-        parts.append(event_rows(eval_results, "eval_email_categorized", F.lit("ai-email-categorizer"), {
+        parts.append(event_rows(eval_results, "eval_email_categorized", F.lit(service_id), {
             "service_type_id": F.col("service_type_id"), "confidence_score": F.col("confidence_score"),
             "should_alert_admin": F.col("should_alert_admin")}))
     if fallbacks is not None:
-        parts.append(event_rows(fallbacks, "categorizer_fallback_result", F.lit("ai-email-categorizer"), {
+        parts.append(event_rows(fallbacks, "categorizer_fallback_result", F.lit(service_id), {
             "provider": F.col("provider"), "model_id": F.col("model"), "stop_reason": F.col("stop_reason"),
             "has_model_error": F.col("error_message").isNotNull() & (F.col("error_message") != ""),
             "source": source_label(F.col("source"))}))
@@ -212,9 +213,13 @@ def usage_rollup(telemetry: DataFrame, by: tuple[str, ...] = ("provider", "reque
     keys = [F.col(c) for c in by]
     if time_col:
         keys.append(F.date_trunc(unit, F.col(time_col)).alias("bucket"))
+    return telemetry.groupBy(*keys).agg(*_usage_aggs())
+
+
+def _usage_aggs() -> list[Column]:
     latency = (F.unix_micros(F.col("ended_at").cast("timestamp"))
                - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
-    return telemetry.groupBy(*keys).agg(
+    return [
         F.count(F.lit(1)).alias("runs"),
         F.sum(F.col("model_error").cast("long")).alias("model_errors"),
         F.sum(F.col("parse_error").cast("long")).alias("parse_errors"),
@@ -225,4 +230,14 @@ def usage_rollup(telemetry: DataFrame, by: tuple[str, ...] = ("provider", "reque
         F.sum("total_tokens").alias("total_tokens"),
         F.sum("cost_usd").alias("cost_usd"),
         F.avg(latency).alias("avg_latency_s"),
-    )
+    ]
+
+
+def usage_rollup_stream(telemetry: DataFrame, by: tuple[str, ...] = ("provider", "request_model", "source"),
+                        time_col: str = "started_at", window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+    """O24 on a stream: the rollup per event-time window, written in append
+    mode once the watermark has passed a window's end."""
+    event_time = telemetry.withColumn("_at", F.col(time_col).cast("timestamp")).withWatermark("_at", watermark)
+    keys = [F.window("_at", window).alias("_w"), *[F.col(c) for c in by]]
+    out = event_time.groupBy(*keys).agg(*_usage_aggs())
+    return out.select(F.col("_w.start").alias("bucket"), *[c for c in out.columns if c != "_w"])

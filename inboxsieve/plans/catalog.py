@@ -14,7 +14,7 @@ from ..functions.jsre import utf16_length
 from ..operators import contract, dedupe, evaluate, route, sanitize, service, store, telemetry
 from ..operators.inference import KeywordBackend, RecordedBackend, classify
 from ..operators.requests import ModelConfig, build_requests
-from . import triage
+from . import eval_run, triage
 from ..session import prepare
 from ..sources import driver_tables as dt
 
@@ -63,10 +63,9 @@ def q_sanitize_emails(spark, sf_dir):
 @query("screen_inputs")
 def q_screen_inputs(spark, sf_dir):
     """O4 in both modes: eval on raw mail, inbound on sanitized mail."""
-    raw = dt.emails(spark, sf_dir)
-    clean = sanitize.sanitize_emails(raw)
-    return clean.join(raw.select("email_id", F.col("subject").alias("raw_subject"),
-                                 F.col("text").alias("raw_text")), "email_id").select(
+    raw = dt.emails(spark, sf_dir).withColumns({"raw_subject": F.col("subject"), "raw_text": F.col("text")})
+    clean = sanitize.sanitize_emails(raw, keep=("email_id", "raw_subject", "raw_text"))
+    return clean.select(
         "email_id",
         sanitize.screen_flag(F.col("raw_subject"), F.col("raw_text"), "eval").alias("eval_reject_reason"),
         sanitize.screen_flag(F.col("subject"), F.col("body"), "inbound").alias("inbound_reject_reason"),
@@ -77,9 +76,7 @@ def q_screen_inputs(spark, sf_dir):
 def q_prescreen(spark, sf_dir):
     """O28 with the default rules; one row per mail, rule NULL = kept."""
     e = dt.emails(spark, sf_dir).select("email_id", "subject", F.col("text").alias("body"))
-    kept, dropped = sanitize.prescreen(e)
-    return (kept.select("email_id", F.lit(None).cast("string").alias("prescreen_rule"))
-            .unionByName(dropped.select("email_id", "prescreen_rule")))
+    return sanitize.prescreen_flag(e).select("email_id", "prescreen_rule")
 
 
 # ------------------------------------------------------------------ O7-O11
@@ -132,6 +129,9 @@ def q_resolve_service_type(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------- O14
+CLAIM_PARTITIONS = 16  # so that keys run over partition bounds at any scale
+
+
 def _received(spark, sf_dir) -> DataFrame:
     d = dt.deliveries(spark, sf_dir)
     return d.filter(F.col("type") == dt.RECEIVED_TYPE)
@@ -141,7 +141,7 @@ def _received(spark, sf_dir) -> DataFrame:
 def q_claim_deliveries(spark, sf_dir):
     """O14 over all received deliveries (key = email id, ok = no error)."""
     claims = dedupe.claim_deliveries(_received(spark, sf_dir), key="email_id", ts="received_at",
-                                     tie="delivery_id", ok="ok")
+                                     tie="delivery_id", ok="ok", num_partitions=CLAIM_PARTITIONS)
     return claims.select("delivery_id", "email_id", "status", "existing_status",
                          _ts_text(F.col("expires_at")).alias("expires_at"))
 
@@ -158,7 +158,7 @@ def q_build_requests(spark, sf_dir):
     r = build_requests(_accepted(spark, sf_dir), ModelConfig(provider="self-hosted"))
     return r.select("email_id", F.md5("user_prompt").alias("prompt_md5"),
                     utf16_length(F.col("user_prompt")).alias("prompt_length"),
-                    "provider", "model", "base_url", "max_tokens", "payload_mode")
+                    "provider", "model", "base_url", "max_tokens", "payload_mode", "response_format")
 
 
 @query("classify")
@@ -184,9 +184,8 @@ def _run_results(spark, sf_dir, with_meta: bool = False) -> DataFrame:
 @query("alert_gate")
 def q_alert_gate(spark, sf_dir):
     """O12 over per-run results: which runs alert."""
-    alerts, quiet = route.alert_gate(_run_results(spark, sf_dir))
-    return (alerts.select("run_id", F.lit("alert").alias("route"))
-            .unionByName(quiet.select("run_id", F.lit("quiet").alias("route"))))
+    alerts = F.col("should_alert_admin").eqNullSafe(F.lit(True))
+    return _run_results(spark, sf_dir).select("run_id", F.when(alerts, "alert").otherwise("quiet").alias("route"))
 
 
 @query("build_notifications")
@@ -200,53 +199,44 @@ def q_build_notifications(spark, sf_dir):
 @query("filter_events")
 def q_filter_events(spark, sf_dir):
     """Deliveries kept / ignored per webhook type."""
-    kept, ignored = route.filter_events(dt.deliveries(spark, sf_dir))
-    return (kept.withColumn("kept", F.lit(True)).unionByName(ignored.withColumn("kept", F.lit(False)))
-            .groupBy("type", "kept").agg(F.count(F.lit(1)).alias("n")))
+    kept = F.col("type").eqNullSafe(F.lit(route.RECEIVED_TYPE)).alias("kept")
+    return dt.deliveries(spark, sf_dir).groupBy("type", kept).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("attach_email")
 def q_attach_email(spark, sf_dir):
     """Received deliveries with their mail, or the missing-mail error."""
     kept, _ = route.filter_events(dt.deliveries(spark, sf_dir))
-    found, missing = route.attach_email(kept.select("delivery_id", "email_id"), dt.emails(spark, sf_dir))
-    return (found.select("delivery_id", "email_id", F.lit(None).cast("string").alias("error_message"),
-                         utf16_length(F.col("subject")).alias("subject_length"))
-            .unionByName(missing.select("delivery_id", "email_id", "error_message",
-                                        F.lit(None).cast("int").alias("subject_length"))))
+    # only the length of a subject enters the join, no text
+    mails = dt.emails(spark, sf_dir).select("email_id", utf16_length(F.col("subject")).alias("subject_length"))
+    return route.lookup_email(kept.select("delivery_id", "email_id"), mails)
 
 
 # ---------------------------------------------------------------- P1, P3
-_RECORDINGS: dict = {}
-
-
 def recorded_backend(spark, sf_dir, config: ModelConfig) -> RecordedBackend:
-    """Recorded completions for every accepted mail of the table, written
-    once per session to the checkpoint folder (a recorded table on disk)."""
-    key = (id(spark), sf_dir, repr(config))
-    if key not in _RECORDINGS:
-        rec = dt.recorded_responses(build_requests(_accepted(spark, sf_dir), config))
-        _RECORDINGS[key] = rec.checkpoint(eager=True)
-    return RecordedBackend(_RECORDINGS[key])
+    """Recorded completions for every accepted mail of the table."""
+    return RecordedBackend(dt.recorded_responses(build_requests(_accepted(spark, sf_dir), config)))
 
 
-def triage_outputs(spark, sf_dir) -> dict[str, DataFrame]:
+def triage_outputs(spark, sf_dir, **how) -> dict[str, DataFrame]:
     cfg = ModelConfig()
     return triage.triage_batch(dt.deliveries(spark, sf_dir), dt.emails(spark, sf_dir),
                                recorded_backend(spark, sf_dir, cfg), cfg,
-                               notify_timestamp="2024-01-01T00:00:00.000Z")
+                               notify_timestamp="2024-01-01T00:00:00.000Z", claim_partitions=CLAIM_PARTITIONS, **how)
 
 
 @query("triage_batch")
 def q_triage_batch(spark, sf_dir):
-    """P1 summary: deliveries, alerts and fallbacks per claim status."""
+    """The status of every delivery, with the outcome of processed ones."""
     out = triage_outputs(spark, sf_dir)
-    claims = out["claims"]
-    res = out["results"].select("delivery_id", "should_alert_admin", "fallback")
-    return (claims.join(res, "delivery_id", "left").groupBy("status").agg(
-        F.count(F.lit(1)).alias("n_deliveries"),
-        F.sum(F.coalesce(F.col("should_alert_admin"), F.lit(False)).cast("long")).alias("n_alerts"),
-        F.sum(F.coalesce(F.col("fallback"), F.lit(False)).cast("long")).alias("n_fallbacks")))
+    return _triage_rows(out["claims"], out["results"])
+
+
+def _triage_rows(claims: DataFrame, results: DataFrame) -> DataFrame:
+    res = results.select("delivery_id", "service_type_id", "should_alert_admin", "fallback")
+    return claims.join(res, "delivery_id", "left").select(
+        "delivery_id", "email_id", "status", "existing_status", _ts_text(F.col("expires_at")).alias("expires_at"),
+        "service_type_id", "should_alert_admin", "fallback")
 
 
 @query("triage_summary")
@@ -273,13 +263,22 @@ def _telemetry_runs(spark, sf_dir) -> DataFrame:
     """Categorizer runs: per-run results + response metadata + the sanitized
     mail of the same id as the run input."""
     res = _run_results(spark, sf_dir, with_meta=True).drop("email_id")
+    # the mail side is pruned by the run ids first
+    wanted = res.select("run_id").distinct()
     # join the raw mail first, then sanitize only the mails that have a run
-    raw = dt.emails(spark, sf_dir).select(F.col("email_id").alias("run_id"), "subject", "text")
+    raw = dt.emails(spark, sf_dir).select(F.col("email_id").alias("run_id"), "subject", "text").join(wanted, "run_id", "left_semi")
     runs = res.join(raw, "run_id", "left").withColumns({
         "subject": sanitize.redact_pii_col(F.col("subject")),
         "body": sanitize.redact_pii_col(sanitize.strip_signature_col(F.coalesce(F.col("text"), F.lit("")))),
     })
     runs = runs.withColumn("body", F.when(F.col("text").isNotNull(), F.col("body"))).drop("text")
+    return _run_columns(runs)
+
+
+RUN_EPOCH = 1_704_067_200  # runs of the rollup start a minute apart from here
+
+
+def _run_columns(runs: DataFrame) -> DataFrame:
     return runs.select(
         "*",
         F.col("model").alias("model_req"),
@@ -305,41 +304,60 @@ def q_run_telemetry(spark, sf_dir):
 
 @query("usage_rollup")
 def q_usage_rollup(spark, sf_dir):
-    """Runs, errors, tokens and cost per provider/model/source."""
-    t = telemetry.run_telemetry(_telemetry_runs(spark, sf_dir))
-    r = telemetry.usage_rollup(t, time_col=None)
-    return r.drop("avg_latency_s").withColumn("cost_usd", F.round("cost_usd", 9))
+    """Runs, errors, tokens, cost and latency per provider/model/source
+    and hour."""
+    begun = F.timestamp_seconds(F.lit(RUN_EPOCH) + F.col("run_id") * 60).cast("timestamp_ntz")
+    runs = _run_results(spark, sf_dir, with_meta=True).withColumns({
+        "started_at": begun, "ended_at": F.timestamp_add("SECOND", F.col("run_id") % 30, begun)})
+    t = telemetry.run_telemetry(_run_columns(runs))
+    r = telemetry.usage_rollup(t)
+    return r.withColumn("cost_usd", F.round("cost_usd", 9))
 
 
 @query("lifecycle_events")
 def q_lifecycle_events(spark, sf_dir):
-    """O19 over the batch triage run: events per name."""
+    """O19 over the batch triage run and the eval table: events by name and
+    properties."""
     ev = triage_outputs(spark, sf_dir)["events"]
-    return ev.groupBy("event").agg(F.count(F.lit(1)).alias("n"),
-                                   F.sum(F.size("properties").cast("long")).alias("n_properties"))
+    ev = ev.unionByName(triage.categorize_table(dt.eval_cases(spark, sf_dir), KeywordBackend())["events"])
+    props = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"])), "|")
+    return ev.groupBy("event", props.alias("properties")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("distinct_id").alias("n_ids"))
 
 
 @query("quarantine")
 def q_quarantine(spark, sf_dir):
-    """O20 over the batch triage run: error rows per stage."""
+    """Every failed delivery of the batch triage run with its cause, and
+    every case of the eval table under an unknown model configuration."""
     q = triage_outputs(spark, sf_dir)["quarantine"]
-    return q.groupBy("stage", "error_message").agg(F.count(F.lit(1)).alias("n"))
+    q = q.select("stage", "email_id", F.get_json_object("context", "$.delivery_id").alias("delivery_id"), "error_message")
+    none = triage.categorize_table(dt.eval_cases(spark, sf_dir), KeywordBackend(), ModelConfig(provider="none"))
+    return q.unionByName(none["errors"].select(
+        F.lit("model").alias("stage"), F.col("case_no").cast("string").alias("email_id"),
+        F.lit(None).cast("string").alias("delivery_id"), "error_message"))
 
 
 @query("result_store")
 def q_result_store(spark, sf_dir):
-    """Stored rows of the batch triage run, content dropped."""
-    rows = store.result_store(triage_outputs(spark, sf_dir)["results"], retain_content=False)
+    """Stored rows of the batch triage run, redacted input retained,
+    written to a date-partitioned table and read back."""
+    from ..streaming.runner import scratch_path
+    rows = store.result_store(triage_outputs(spark, sf_dir, retain_input=True)["results"], retain_content=True)
+    path = scratch_path(spark, "store")
+    store.write_result_store(rows, path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     return rows.select("delivery_id", "email_id", "service_type_id", "confidence_score",
-                       "should_alert_admin", "fallback", F.col("dt").cast("string").alias("dt"))
+                       "should_alert_admin", "fallback", F.md5("redacted_subject").alias("subject_md5"),
+                       F.md5("redacted_body").alias("body_md5"), F.col("dt").cast("string").alias("dt"))
 
 
 # ------------------------------------------------------- O21-O23, O25, O26
 def _verdicts(spark, sf_dir) -> DataFrame:
-    cases = dt.eval_cases(spark, sf_dir).drop("body", "description")
+    cases = dt.eval_cases(spark, sf_dir).drop("description")
     m = evaluate.eval_matrix(cases)
     seed = F.col("case_no") * 10 + F.col("provider_ord")
-    out = m.withColumn("output", dt.answer_text(seed, F.col("subject")))
+    out = m.withColumn("output", dt.answer_text(seed, F.col("body")))
     n_in = (F.lit(900) + F.col("case_no") % 100).cast("long")
     n_out = F.ceil(F.length("output") / 4).cast("long")
     out = out.withColumns({
@@ -347,7 +365,7 @@ def _verdicts(spark, sf_dir) -> DataFrame:
         "cost_usd": F.when(F.col("provider_id").startswith("ollama"), F.lit(0.0))
         .otherwise((n_in * 0.15 + n_out * 0.6) / 1e6),
     })
-    return evaluate.score_cases(out)
+    return evaluate.score_cases(out.drop("body")).drop("output")
 
 
 @query("eval_matrix")
@@ -361,7 +379,7 @@ def q_eval_matrix(spark, sf_dir):
 def q_score_cases(spark, sf_dir):
     """The verdict of every (case, provider) output."""
     return _verdicts(spark, sf_dir).select("case_no", "provider_id", "pass", "score", "n_failures",
-                                           "n_checks", "contract_pass")
+                                           "n_checks", "contract_pass", "reason")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -380,6 +398,17 @@ def q_eval_buckets(spark, sf_dir):
     return _rounded(evaluate.eval_buckets(_verdicts(spark, sf_dir)))
 
 
+@query("eval_run")
+def q_eval_run(spark, sf_dir):
+    """O21 -> O5 -> O6 -> O22 -> O23: the labelled cases answered by recordings
+    of every provider, summarised."""
+    requests = eval_run.eval_requests(dt.eval_cases(spark, sf_dir))
+    verdicts = eval_run.eval_run(requests, RecordedBackend(dt.recorded_eval_responses(requests)))
+    failed = F.sum(F.col("model_call_error").isNotNull().cast("long")).alias("failed_calls")
+    summary = verdicts.groupBy("provider_id").agg(*evaluate._summary_aggs(), failed)
+    return _rounded(summary)
+
+
 @query("gate_sweep")
 def q_gate_sweep(spark, sf_dir):
     """Confusion counts of the alert gate at thresholds 0.5 .. 0.9."""
@@ -411,21 +440,16 @@ def q_claim_deliveries_stream(spark, sf_dir):
 
 @query("triage_stream")
 def q_triage_stream(spark, sf_dir):
-    """The streaming triage (availableNow run), summarised like P1."""
+    """The streaming triage (availableNow run), the rows of P1."""
     from ..streaming.runner import scratch_path
     from ..streaming.triage_stream import triage_stream
     cfg = ModelConfig()
     out_dir = scratch_path(spark, "triage")
     q = triage_stream(_delivery_stream(spark, sf_dir), dt.emails(spark, sf_dir),
                       recorded_backend(spark, sf_dir, cfg), out_dir, cfg,
-                      notify_timestamp="2024-01-01T00:00:00.000Z")
+                      notify_timestamp="2024-01-01T00:00:00.000Z", claim_partitions=CLAIM_PARTITIONS)
     q.awaitTermination()
-    claims = spark.read.parquet(f"{out_dir}/claims")
-    res = spark.read.parquet(f"{out_dir}/results").select("delivery_id", "should_alert_admin", "fallback")
-    return (claims.join(res, "delivery_id", "left").groupBy("status").agg(
-        F.count(F.lit(1)).alias("n_deliveries"),
-        F.sum(F.coalesce(F.col("should_alert_admin"), F.lit(False)).cast("long")).alias("n_alerts"),
-        F.sum(F.coalesce(F.col("fallback"), F.lit(False)).cast("long")).alias("n_fallbacks")))
+    return _triage_rows(spark.read.parquet(f"{out_dir}/claims"), spark.read.parquet(f"{out_dir}/results"))
 
 
 def all_queries() -> dict[str, Query]:

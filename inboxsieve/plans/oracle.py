@@ -51,7 +51,8 @@ def rtrim_js(x: str) -> str:
     return f"rtrim({x}, {WSSET})"
 
 
-# RE2 spellings of the fixed PII patterns (``\b`` is ASCII in RE2, as in JS).
+# Fixed values, here to the separators and sign-offs below: RE2 spellings of
+# the PII patterns (``\b`` is ASCII in RE2, as in JS).
 RE2_PII = [
     (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[EMAIL]"),
     (rf"(?:\+?1[-.{WS_RE2}]?)?(?:\(?\d{{3}}\)?[-.{WS_RE2}]?)\d{{3}}[-.{WS_RE2}]?\d{{4}}", "[PHONE]"),
@@ -173,7 +174,7 @@ def answers_cte(name: str, src: str, seed: str, hint: str, keep: str) -> str:
   SELECT {keep}, {seed} AS seed, ({seed}) % 12 AS shape,
          {ids}[CAST(floor(({seed}) / 12) AS BIGINT) % 6 + 1] AS sid,
          (({seed}) * 37) % 101 AS score_int,
-         replace(replace(substring(split_part({hint}, {NL}, 1), 1, 40), '\\', '\\\\'), '"', '\\"') AS words
+         replace(replace(replace(replace(replace({hint}, '\\', '\\\\'), '"', '\\"'), {NL}, '\\n'), chr(13), '\\r'), chr(9), '\\t') AS words
   FROM {src}),
 {name}_g AS (
   SELECT *, CAST(score_int AS VARCHAR) || 'e-2' AS score,
@@ -359,7 +360,8 @@ ACCEPTED = "(SELECT * FROM sanitized WHERE subject IS NOT NULL AND body IS NOT N
 ORACLE["build_requests"] = f"""WITH {SANITIZED_CTES}
 SELECT email_id, md5({PROMPT_SQL}) AS prompt_md5, {utf16len(PROMPT_SQL)} AS prompt_length,
   'self-hosted' AS provider, {q(DEFAULT_SELF_HOSTED_MODEL)} AS model, {q(DEFAULT_SELF_HOSTED_BASE_URL)} AS base_url,
-  CAST({DEFAULT_SELF_HOSTED_MAX_TOKENS} AS INTEGER) AS max_tokens, 'json_object' AS payload_mode
+  CAST({DEFAULT_SELF_HOSTED_MAX_TOKENS} AS INTEGER) AS max_tokens, 'json_object' AS payload_mode,
+  '{{"response_format":{{"type":"json_object"}},"think":false}}' AS response_format
 FROM {ACCEPTED}"""
 
 
@@ -420,7 +422,7 @@ GROUP BY ALL"""
 
 ORACLE["attach_email"] = f"""WITH {EMAILS_CTE}, {RECEIVED_CTE}
 SELECT r.delivery_id, r.email_id,
-  CASE WHEN e.email_id IS NULL THEN 'Resend did not return email data' END AS error_message,
+  CASE WHEN e.email_id IS NULL THEN 'The mail service did not return email data' END AS error_message,
   {utf16len('e.subject')} AS subject_length
 FROM received r LEFT JOIN emails e ON e.email_id = r.email_id"""
 
@@ -428,11 +430,14 @@ FROM received r LEFT JOIN emails e ON e.email_id = r.email_id"""
 # identical prompts share the recording of the smallest email id
 P1_ANSWERS = answers_cte(
     "p1ans", f"(SELECT *, min(email_id) OVER (PARTITION BY subject, body) AS rec_id FROM {ACCEPTED})",
-    "rec_id", "subject", "email_id")
+    "rec_id", "body", "email_id")
 P1_CTES = f"""{SANITIZED_CTES},
+recs AS (SELECT email_id, min(email_id) OVER (PARTITION BY subject, body) AS rec_id FROM {ACCEPTED}),
 {P1_ANSWERS},
 {validate_ctes("(SELECT *, true AS is_text FROM p1ans)", "email_id", name="p1chk")},
 outcome AS (SELECT email_id, len(issues) = 0 AS valid, sid, score, alert FROM p1chk),
+fin_ AS (SELECT email_id, valid, CASE WHEN valid THEN sid ELSE 'unknown' END AS sid,
+  CASE WHEN valid THEN score ELSE 0.0 END AS score, valid AND alert AS alert FROM outcome),
 {RECEIVED_CTE.replace("received AS (", "received0 AS (")},
 received AS (
   SELECT r.delivery_id, r.email_id, r.received_at, r.ok AND o.email_id IS NOT NULL AS ok
@@ -440,41 +445,59 @@ received AS (
 {CLAIMS_CTES[CLAIMS_CTES.index("ranked AS"):]}"""
 
 ORACLE["triage_batch"] = f"""WITH RECURSIVE {P1_CTES}
-SELECT w.status, count(*) AS n_deliveries,
-  CAST(sum(CASE WHEN w.status = 'processed' AND o.valid AND o.alert THEN 1 ELSE 0 END) AS BIGINT) AS n_alerts,
-  CAST(sum(CASE WHEN w.status = 'processed' AND NOT o.valid THEN 1 ELSE 0 END) AS BIGINT) AS n_fallbacks
-FROM walk w LEFT JOIN outcome o USING (email_id)
-GROUP BY w.status"""
-
+SELECT w.delivery_id, w.email_id, w.status, w.existing_status,
+  strftime(w.expires_at, '%Y-%m-%d %H:%M:%S.%f') AS expires_at,
+  CASE WHEN w.status = 'processed' THEN o.sid END AS service_type_id,
+  CASE WHEN w.status = 'processed' THEN o.alert END AS should_alert_admin,
+  CASE WHEN w.status = 'processed' THEN NOT o.valid END AS fallback
+FROM walk w LEFT JOIN fin_ o USING (email_id)"""
+
+_LABEL = "CASE f.sid " + " ".join(f"WHEN {q(t['id'])} THEN {q(t['label'])}" for t in SERVICE_TYPES) + " END"
+_NO_PERSON = "'$process_person_profile=false'"
+_DOUBLE = "CASE WHEN f.score = floor(f.score) THEN CAST(CAST(f.score AS BIGINT) AS VARCHAR) || '.0' ELSE CAST(f.score AS VARCHAR) END"
+EVENT_CASES = """ecase AS (
+  SELECT d.doc_id AS case_no, split_part(d.text, chr(10), 1) AS subject, d.text AS body
+  FROM labels l JOIN documents d USING (doc_id))"""
 ORACLE["lifecycle_events"] = f"""WITH RECURSIVE {P1_CTES},
+{EVENT_CASES},
+{keyword_cte('ekw', f"(SELECT * FROM ecase WHERE {trim_js('subject')} <> '' AND {trim_js('body')} <> '')", 'case_no')},
+done AS (SELECT w.email_id, f.* EXCLUDE (email_id) FROM walk w JOIN fin_ f USING (email_id) WHERE w.status = 'processed'),
 ev AS (
-  SELECT 'inbound_email_received' AS event, 1 AS k FROM received
-  UNION ALL SELECT 'email_processing_skipped', 2 FROM walk WHERE status = 'skipped'
-  UNION ALL SELECT 'email_categorized', 5 FROM walk JOIN outcome USING (email_id) WHERE status = 'processed'
-  UNION ALL SELECT 'admin_alert_sent', 4 FROM walk JOIN outcome USING (email_id)
-            WHERE status = 'processed' AND valid AND alert
-  UNION ALL SELECT 'categorizer_fallback_result', 6 FROM walk JOIN outcome USING (email_id)
-            WHERE status = 'processed' AND NOT valid)
-SELECT event, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_properties FROM ev GROUP BY event"""
+  SELECT 'inbound_email_received' AS event, {_NO_PERSON} AS properties, CAST(email_id AS VARCHAR) AS id FROM received
+  UNION ALL SELECT 'email_processing_skipped', {_NO_PERSON} || '|existing_status=' || existing_status,
+    CAST(email_id AS VARCHAR) FROM walk WHERE status = 'skipped'
+  UNION ALL SELECT 'email_categorized', {_NO_PERSON} || '|confidence_score=' || {_DOUBLE} || '|service_type_id=' || f.sid
+    || '|service_type_label=' || {_LABEL} || '|should_alert_admin=' || CAST(f.alert AS VARCHAR), CAST(email_id AS VARCHAR)
+    FROM done f
+  UNION ALL SELECT 'admin_alert_sent', {_NO_PERSON} || '|notification_channel=discord|service_type_id=' || f.sid
+    || '|service_type_label=' || {_LABEL}, CAST(email_id AS VARCHAR) FROM done f WHERE f.alert
+  UNION ALL SELECT 'categorizer_fallback_result', {_NO_PERSON} || '|has_model_error='
+    || CASE WHEN r.rec_id % 9 = 0 THEN 'true' ELSE 'false' END
+    || '|model_id=gpt-4o-mini|provider=openai|source=inbound_email|stop_reason='
+    || CASE WHEN r.rec_id % 9 = 0 THEN 'error' ELSE 'stop' END, 'email-triage'
+    FROM done f JOIN recs r USING (email_id) WHERE NOT f.valid
+  UNION ALL SELECT 'eval_email_categorized', {_NO_PERSON} || '|confidence_score=' || CAST(score AS VARCHAR)
+    || '|service_type_id=' || sid || '|should_alert_admin=' || CAST(alert AS VARCHAR), 'email-triage' FROM ekw)
+SELECT event, properties, count(*) AS n, count(DISTINCT id) AS n_ids FROM ev GROUP BY ALL"""
 
 ORACLE["quarantine"] = f"""WITH RECURSIVE {P1_CTES},
-ids AS (SELECT DISTINCT email_id FROM received),
-q AS (
-  SELECT 'fetch' AS stage, 'Resend did not return email data' AS error_message FROM ids
-    WHERE email_id NOT IN (SELECT email_id FROM emails)
-  UNION ALL SELECT 'prompt', {q(INBOUND_REJECT_REASON)} FROM ids JOIN sanitized USING (email_id)
-    WHERE subject IS NULL OR body IS NULL OR subject = '' OR body = ''
-  UNION ALL SELECT 'delivery', 'There was a problem categorizing the email' FROM walk WHERE status = 'released')
-SELECT stage, error_message, count(*) AS n FROM q GROUP BY ALL"""
+rejected AS (SELECT email_id FROM sanitized WHERE subject IS NULL OR body IS NULL OR subject = '' OR body = '')
+SELECT CASE WHEN e.email_id IS NULL THEN 'fetch' WHEN r.email_id IS NOT NULL THEN 'prompt' ELSE 'delivery' END AS stage,
+  CAST(w.email_id AS VARCHAR) AS email_id, CAST(w.delivery_id AS VARCHAR) AS delivery_id,
+  CASE WHEN e.email_id IS NULL THEN 'The mail service did not return email data'
+       WHEN r.email_id IS NOT NULL THEN {q(INBOUND_REJECT_REASON)}
+       ELSE 'The delivery failed after its mail was categorized' END AS error_message
+FROM walk w LEFT JOIN emails e USING (email_id) LEFT JOIN rejected r USING (email_id) WHERE w.status = 'released'
+UNION ALL
+SELECT 'model', CAST(d.doc_id AS VARCHAR), NULL, 'Unknown categorizer model configuration'
+FROM labels l JOIN documents d USING (doc_id)
+WHERE {trim_js(f'split_part(d.text, {NL}, 1)')} <> '' AND {trim_js('d.text')} <> ''"""
 
 ORACLE["result_store"] = f"""WITH RECURSIVE {P1_CTES}
-SELECT w.delivery_id, w.email_id,
-  CASE WHEN o.valid THEN o.sid ELSE 'unknown' END AS service_type_id,
-  CASE WHEN o.valid THEN o.score ELSE 0.0 END AS confidence_score,
-  CASE WHEN o.valid THEN o.alert ELSE false END AS should_alert_admin,
-  NOT o.valid AS fallback,
+SELECT w.delivery_id, w.email_id, o.sid AS service_type_id, o.score AS confidence_score,
+  o.alert AS should_alert_admin, NOT o.valid AS fallback, md5(s.subject) AS subject_md5, md5(s.body) AS body_md5,
   CAST(CAST(w.received_at AS DATE) AS VARCHAR) AS dt
-FROM walk w JOIN outcome o USING (email_id) WHERE w.status = 'processed'"""
+FROM walk w JOIN fin_ o USING (email_id) JOIN sanitized s USING (email_id) WHERE w.status = 'processed'"""
 
 CASES_CTE = """cases AS (
   SELECT d.doc_id AS case_no, split_part(d.text, chr(10), 1) AS subject, d.text AS body
@@ -527,13 +550,15 @@ ORACLE["run_telemetry"] = f"""WITH {TELEMETRY_CTES}
 SELECT * FROM tel"""
 
 ORACLE["usage_rollup"] = f"""WITH {TELEMETRY_CTES}
-SELECT provider, request_model, source, count(*) AS runs,
+SELECT provider, request_model, source,
+  date_trunc('hour', make_timestamp((1704067200 + run_id * 60) * 1000000)) AS bucket, count(*) AS runs,
   CAST(sum(CAST(model_error AS INT)) AS BIGINT) AS model_errors,
   CAST(sum(CAST(parse_error AS INT)) AS BIGINT) AS parse_errors,
   CAST(sum(CAST(fallback AS INT)) AS BIGINT) AS fallbacks,
   CAST(sum(CAST(should_alert_admin AS INT)) AS BIGINT) AS alerts,
   CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 9) AS cost_usd
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 9) AS cost_usd,
+  avg(CAST(run_id % 30 AS DOUBLE)) AS avg_latency_s
 FROM tel GROUP BY ALL"""
 
 # ------------------------------------------------------- O21-O23, O25, O26
@@ -545,7 +570,7 @@ PROVIDERS_VALUES = ", ".join(
 CASE_IDS = "[" + ", ".join(q(t["id"]) for t in SERVICE_TYPES) + "]"
 
 ECASES_CTE = f"""ecases AS (
-  SELECT d.doc_id AS case_no, d.lang AS path_type, split_part(d.text, chr(10), 1) AS subject,
+  SELECT d.doc_id AS case_no, d.lang AS path_type, split_part(d.text, chr(10), 1) AS subject, d.text AS body,
     CASE WHEN d.doc_id % 11 = 0 THEN 'stumpRemoval,rootRemoval' WHEN d.doc_id % 11 = 1 THEN ' , ' END AS ids_plural,
     CASE WHEN d.doc_id % 11 NOT IN (0, 1) THEN {CASE_IDS}[d.doc_id % 5 + 1] END AS id_single,
     CASE WHEN l.toxic = 1 THEN ' maybe ' WHEN l.quality = 1 THEN ' TRUE' ELSE 'false' END AS notify_s,
@@ -555,6 +580,10 @@ ECASES_CTE = f"""ecases AS (
 providers AS (SELECT * FROM (VALUES {PROVIDERS_VALUES}) p(provider_ord, provider_id, provider_label, max_tokens))"""
 
 
+def number_text(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
 def as_number_sql(x: str) -> str:
     t = trim_js(x)
     return (f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN {t} = '' THEN 0.0 "
@@ -562,10 +591,20 @@ def as_number_sql(x: str) -> str:
 
 
 EKEEP = "case_no, provider_id, provider_ord, path_type, ids_plural, id_single, notify_s, min_s, max_s"
-VERDICT_CTES = f"""{ECASES_CTE},
-mx AS (SELECT c.*, p.provider_ord, p.provider_id FROM ecases c CROSS JOIN providers p),
-{answers_cte("evans", "mx", "case_no * 10 + provider_ord", "subject", EKEEP)},
-{validate_ctes("(SELECT * FROM evans)", EKEEP + ", text", name="evchk")},
+def verdict_ctes(run: bool = False) -> str:
+    """The verdicts of every (case, provider).  In an eval run a call without
+    a recording (seed divisible by 17) gives no output and no usage, and the
+    input tokens follow the prompt."""
+    keep = EKEEP + (", n_prompt, rec_no" if run else "")
+    seed = "rec_no * 10 + provider_ord" if run else "case_no * 10 + provider_ord"
+    prompt = f"({lit(prompt_head())} || subject || {lit(PROMPT_BODY_LABEL)} || body)"
+    extra = (f", length({prompt}) AS n_prompt, min(case_no) OVER (PARTITION BY subject, body) AS rec_no" if run else "")
+    failed = f"({seed}) % 17 = 0" if run else "false"
+    n_in = "CAST(ceil(n_prompt / 4) AS BIGINT)" if run else "900 + case_no % 100"
+    return f"""{ECASES_CTE},
+mx AS (SELECT c.*, p.provider_ord, p.provider_id{extra} FROM ecases c CROSS JOIN providers p),
+{answers_cte("evans", "mx", seed, "body", keep)},
+{validate_ctes(f"(SELECT * REPLACE (CASE WHEN {failed} THEN '' ELSE text END AS text) FROM evans)", keep + ", text", name="evchk")},
 evs AS (
   SELECT *,
     CASE lower({trim_js('notify_s')}) WHEN 'true' THEN true WHEN 'false' THEN false END AS exp_notify,
@@ -578,7 +617,7 @@ evs AS (
          OR (strpos(w0, '{{') > 0 AND strpos(reverse(w0), '}}') > 0
              AND length(w0) - strpos(reverse(w0), '}}') + 1 > strpos(w0, '{{'))) AS nobrace,
     coalesce(t_score IN {NUMBER_TYPES}, false) AS num,
-    900 + case_no % 100 AS n_in, CAST(ceil(length(text) / 4) AS BIGINT) AS n_out
+    {failed} AS failed, CASE WHEN NOT {failed} THEN {n_in} END AS n_in, CAST(ceil(length(text) / 4) AS BIGINT) AS n_out
   FROM evchk),
 evf AS (
   SELECT *, (NOT nobrace AND j IS NOT NULL AND root = 'OBJECT') AS parsed,
@@ -596,22 +635,46 @@ evf AS (
     CAST(6 + CAST(exp_notify IS NOT NULL AS INT) + CAST(len(exp_ids) > 0 AS INT) + CAST(min_c IS NOT NULL AS INT)
       + CAST(max_c IS NOT NULL AS INT) AS BIGINT) AS n_checks,
     n_in + n_out AS total_tokens,
-    CASE WHEN provider_id LIKE 'ollama%' THEN 0.0
+    CASE WHEN failed THEN NULL WHEN provider_id LIKE 'ollama%' THEN 0.0
          ELSE (n_in * CAST(0.15 AS DOUBLE) + n_out * CAST(0.6 AS DOUBLE)) / 1e6 END AS cost_usd
   FROM evs),
 verdicts AS (
   SELECT *, parsed AND n_failures = 0 AS pass,
+    CASE WHEN NOT parsed THEN 'Output must be a JSON object.'
+         WHEN n_failures = 0 THEN 'Parsed ' || sid || ' at confidence ' || {number_text('score')} || '; shouldAlertAdmin='
+           || CAST(alert AS VARCHAR)
+         ELSE array_to_string(list_filter([
+           CASE WHEN NOT coalesce(t_expl = 'VARCHAR' AND expl <> '', false) THEN 'explanation must be a non-empty string' END,
+           CASE WHEN NOT coalesce(t_sid = 'VARCHAR' AND sid IN {ENUM}, false)
+                THEN {q('serviceTypeId must be one of ' + ', '.join(SERVICE_IDS))} END,
+           CASE WHEN NOT coalesce(num AND score >= 0 AND score <= 1, false)
+                THEN 'confidenceScore must be a number between 0 and 1' END,
+           CASE WHEN NOT coalesce(t_alert = 'BOOLEAN', false) THEN 'shouldAlertAdmin must be a boolean' END,
+           CASE WHEN NOT coalesce(t_reason = 'VARCHAR' AND reason <> '', false) THEN 'alertReason must be a non-empty string' END,
+           CASE WHEN exp_notify IS NULL THEN 'expectedShouldNotify test variable must be true or false' END,
+           CASE WHEN exp_notify IS NOT NULL AND t_alert = 'BOOLEAN' AND alert <> exp_notify
+                THEN 'expected shouldAlertAdmin ' || CAST(exp_notify AS VARCHAR) || ', got ' || CAST(alert AS VARCHAR) END,
+           CASE WHEN len(exp_ids) > 0 AND NOT coalesce(t_sid = 'VARCHAR' AND list_contains(exp_ids, sid), false)
+                THEN 'expected serviceTypeId ' || array_to_string(exp_ids, ' or ') || ', got ' || coalesce(sid, 'undefined') END,
+           CASE WHEN min_c IS NOT NULL AND num AND score < min_c
+                THEN 'expected confidenceScore >= ' || {number_text('min_c')} || ', got ' || {number_text('score')} END,
+           CASE WHEN max_c IS NOT NULL AND num AND score > max_c
+                THEN 'expected confidenceScore <= ' || {number_text('max_c')} || ', got ' || {number_text('score')} END],
+           lambda x: x IS NOT NULL), '; ') END AS vreason,
     CASE WHEN parsed THEN greatest(0.0, CAST(n_checks - n_failures AS DOUBLE) / n_checks) ELSE 0.0 END AS vscore,
     len(issues) = 0 AS contract_pass,
     CASE WHEN parsed AND t_sid = 'VARCHAR' AND sid IN {ENUM} AND sid <> 'unknown' AND num THEN score END AS eligible_score
   FROM evf)"""
 
+
+VERDICT_CTES = verdict_ctes()
+
 ORACLE["eval_matrix"] = f"""WITH {ECASES_CTE}
 SELECT c.case_no, p.provider_id, p.provider_label, CAST(p.max_tokens AS INTEGER) AS max_tokens
 FROM ecases c CROSS JOIN providers p"""
 
 ORACLE["score_cases"] = f"""WITH {VERDICT_CTES}
-SELECT case_no, provider_id, pass, vscore AS score, n_failures, n_checks, contract_pass FROM verdicts"""
+SELECT case_no, provider_id, pass, vscore AS score, n_failures, n_checks, contract_pass, vreason AS reason FROM verdicts"""
 
 SUMMARY_AGGS = """count(*) AS cases, CAST(sum(CAST(pass AS INT)) AS BIGINT) AS passes,
   round(avg(CAST(pass AS DOUBLE)), 9) AS pass_rate, round(avg(vscore), 9) AS avg_score,
@@ -623,6 +686,13 @@ SELECT provider_id, {SUMMARY_AGGS} FROM verdicts GROUP BY provider_id"""
 
 ORACLE["eval_buckets"] = f"""WITH {VERDICT_CTES}
 SELECT path_type, provider_id, {SUMMARY_AGGS} FROM verdicts GROUP BY ROLLUP (path_type, provider_id)"""
+ORACLE["eval_buckets"] = ORACLE["eval_buckets"].replace(
+    "SELECT path_type, provider_id,", """SELECT path_type, provider_id,
+  CASE WHEN grouping(path_type) = 1 THEN 'all' WHEN grouping(provider_id) = 1 THEN 'bucket' ELSE 'provider' END AS level,""")
+
+ORACLE["eval_run"] = f"""WITH {verdict_ctes(run=True)}
+SELECT provider_id, {SUMMARY_AGGS}, CAST(sum(CAST(failed AS INT)) AS BIGINT) AS failed_calls
+FROM verdicts GROUP BY provider_id"""
 
 THRESHOLDS_VALUES = ", ".join(f"(CAST({t} AS DOUBLE))" for t in DEFAULT_THRESHOLDS)
 ORACLE["gate_sweep"] = f"""WITH {VERDICT_CTES},

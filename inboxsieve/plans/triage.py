@@ -1,12 +1,12 @@
 """P1 triage_batch and P3 categorize_table: the operators composed.
 
-P1 (inbound mail, batch): type filter -> distinct ids -> mail lookup ->
+P1 (inbound mail, batch): type filter -> distinct ids that no live claim blocks -> mail lookup ->
 sanitize -> screen -> requests -> classify (once per distinct request) ->
 first valid block -> fallback -> service type; the outcome per mail decides
 ``ok`` for the claim fold over *all* deliveries; only processed deliveries
 give results, alerts, notifications, telemetry and events; every failure is
-a quarantine row.  Classification output is checkpointed before it fans out
-to the sinks, so the model never runs twice.
+a quarantine row with its cause.  The responses are checkpointed before they
+fan out to the sinks, so the model never runs twice.
 
 Difference to the one-at-a-time service (documented): all deliveries of one
 mail in one batch share one classification outcome.
@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 
 from ..functions.jsre import utf16_length
 from ..operators import contract, dedupe, route, sanitize, service, telemetry
-from ..operators.inference import Backend, classify
+from ..operators.inference import Backend, KeywordBackend, classify
 from ..operators.requests import ModelConfig, build_requests
 from ..session import checkpoint_dir
 
 UNKNOWN_MODEL_MESSAGE = "Unknown categorizer model configuration"
 RESULT_TYPE = ("struct<explanation:string,service_type_id:string,confidence_score:double,"
                "should_alert_admin:boolean,alert_reason:string>")
-CATEGORIZE_FAILED = "There was a problem categorizing the email"
+UPSTREAM_MESSAGE = "The delivery failed after its mail was categorized"
+NO_TIME_MESSAGE = "The delivery has no time of receipt"
 
 
 def categorize(inputs: DataFrame, backend: Backend, config: ModelConfig | None = None,
@@ -38,28 +39,38 @@ def categorize(inputs: DataFrame, backend: Backend, config: ModelConfig | None =
 
     Returns (results, errors).  Results carry the request/response columns,
     ``result`` (never NULL), ``fallback``, ``parse_error``,
-    ``service_type_label``.  Errors are model-call failures and unknown
-    model configurations (errors, not safe fallbacks).
+    ``service_type_label``.  Errors (``key, error_message, provider, model,
+    subject_length, body_length``) are failed model calls, and every input
+    when the model configuration is unknown (errors, not safe fallbacks).
+
+    The responses are checkpointed before they are split, so the backend is
+    called once per distinct request however many sinks read the outcome.
     """
     cfg = config or ModelConfig()
+    lengths = {"subject_length": utf16_length(F.col("subject")), "body_length": utf16_length(F.col("body"))}
     src = inputs.withColumn("source", F.lit(source).cast("string"))
+    error_columns = [key, "error_message", "provider", "model", "subject_length", "body_length"]
+    unknown = src.withColumns(lengths).withColumns({
+        "error_message": F.lit(UNKNOWN_MODEL_MESSAGE), "provider": F.lit(cfg.provider), "model": F.lit(cfg.model_id),
+    }).select(*error_columns)
     if not cfg.known:
-        return (src.limit(0), src.select(key, F.lit(UNKNOWN_MODEL_MESSAGE).alias("error_message")))
-    requests = build_requests(src, cfg, service_types=service_types).withColumns({
-        "subject_length": utf16_length(F.col("subject")),
-        "body_length": utf16_length(F.col("body")),
-    })
+        # no call is made; an empty run of the same chain gives the columns
+        src, backend = src.where(F.lit(False)), KeywordBackend()
+    requests = build_requests(src, cfg, service_types=service_types).withColumns(lengths)
     # validate each distinct answer once, before it meets the request rows
-    responses = classify(requests, backend, on_responses=lambda r: contract.first_valid_block(r, "content"))
-    errors = responses.filter(F.col("model_call_error").isNotNull()).select(
-        key, F.col("model_call_error").alias("error_message"), "provider", "model")
+    responses = classify(requests, backend, on_responses=lambda r: contract.first_valid_block(
+        r, "content", service_types=service_types))
+    checkpoint_dir(inputs.sparkSession)
+    responses = responses.checkpoint(eager=True)
+    errors = responses.filter(F.col("model_call_error").isNotNull()).withColumn(
+        "error_message", F.col("model_call_error")).select(*error_columns)
     answered = responses.filter(F.col("model_call_error").isNull()).withColumn(
         "content_block_count", F.size("content"))
     results = contract.safe_fallback(answered)
     results = service.resolve_service_type(results, "result.service_type_id", out="service_type",
                                            service_types=service_types)
     results = results.withColumn("service_type_label", F.col("service_type.label"))
-    return results, errors
+    return results, (errors if cfg.known else unknown)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -72,86 +83,99 @@ def _flat(df: DataFrame) -> DataFrame:
     })
 
 
+def unblocked(kept: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """The ids with a delivery that no live claim of the ledger blocks: only
+    these need a mail lookup and a model call."""
+    if ledger is None:
+        return kept.select("email_id").distinct()
+    at = dedupe._micros(F.col("received_at"), kept.schema["received_at"].dataType)
+    live = ledger.select(F.col("email_id").alias("_id"), "until")
+    return (kept.join(live, kept["email_id"].eqNullSafe(live["_id"]), "left")
+            .where(F.col("until").isNull() | (F.col("until") <= at)).select("email_id").distinct())
+
+
 def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
                  config: ModelConfig | None = None, ttl: _dt.timedelta = dedupe.DEFAULT_TTL,
                  channel: str = "discord", notify_timestamp: str = "1970-01-01T00:00:00.000Z",
-                 service_types: list[dict] | None = None,
-                 ledger: DataFrame | None = None) -> dict[str, DataFrame]:
+                 service_types: list[dict] | None = None, ledger: DataFrame | None = None,
+                 claim_partitions: int | None = None, retain_input: bool = False) -> dict[str, DataFrame]:
     """P1 over a batch of deliveries (``delivery_id, type, email_id,
     received_at`` and optionally ``ok`` for failures outside this job) and a
-    mail table (``email_id, from, subject, text``).
+    mail table (``email_id, from, subject, text``, and ``lookup_error`` where a
+    mail could not be fetched).
 
     ``ledger`` (``email_id, until, fin, final``) carries live claims of
     earlier batches; the returned ``ledger`` holds the state after this one.
+    Mail whose every delivery is blocked by it is neither looked up nor
+    classified.  ``retain_input`` keeps the redacted subject and body on the
+    results, for a store that retains them.
     """
     spark = deliveries.sparkSession
     checkpoint_dir(spark)
+    cfg = config or ModelConfig()
     kept, ignored = route.filter_events(deliveries)
-    ids = kept.select("email_id").distinct()
+    ids = unblocked(kept, ledger)
     found, missing = route.attach_email(ids, emails)
-    accepted, rejected = sanitize.screen_raw_inbound(found, keep=("email_id",))
-    results, model_errors = categorize(accepted, backend, config, "inbound_email",
-                                       service_types=service_types)
-    # one classification per mail, materialised before it fans out
-    results = _flat(results).checkpoint(eager=True)
-
-    outcome = ids.join(results.select("email_id", F.lit(True).alias("_outcome_ok")), "email_id", "left")
+    found = found.withColumn("raw_subject", F.col("subject"))
+    accepted, rejected = sanitize.screen_raw_inbound(found, keep=("email_id", "from", "raw_subject"))
+    if retain_input:
+        accepted = accepted.withColumns({"redacted_subject": F.col("subject"), "redacted_body": F.col("body")})
+    results, model_errors = categorize(accepted, backend, cfg, "inbound_email", service_types=service_types)
+    results = _flat(results)
+
+    no_model = {c: F.lit(None).cast(t) for c, t in (("provider", "string"), ("model", "string"))}
+    no_length = {c: F.lit(None).cast("long") for c in ("subject_length", "body_length")}
+    columns = ["email_id", "stage", "error_message", "provider", "model", "subject_length", "body_length"]
+    # one narrow row per mail that failed, read by several sinks
+    failures = (missing.withColumns({"stage": F.lit("fetch"), **no_model, **no_length}).select(*columns)
+                .unionByName(rejected.withColumns({"stage": F.lit("prompt"), "error_message": F.col("reject_reason"),
+                                                   "provider": F.lit(cfg.provider), "model": F.lit(cfg.model_id)})
+                             .select(*columns))
+                .unionByName(model_errors.withColumn("stage", F.lit("model")).select(*columns))).checkpoint(eager=True)
+
+    outcome = results.select("email_id", F.lit(True).alias("_outcome_ok"))
     upstream_ok = F.col("ok") if "ok" in kept.columns else F.lit(True)
     attempts = (kept.join(outcome, "email_id", "left")
                 .withColumn("ok", upstream_ok & F.coalesce(F.col("_outcome_ok"), F.lit(False)))
                 .drop("_outcome_ok"))
     claims = dedupe.claim_deliveries(attempts, key="email_id", ts="received_at", tie="delivery_id",
-                                     ok="ok", ttl=ttl, initial_state=ledger, with_state=True)
+                                     ok="ok", ttl=ttl, initial_state=ledger, with_state=True,
+                                     num_partitions=claim_partitions)
     # claims feed several sinks: materialise once
     claims = claims.checkpoint(eager=True)
 
     processed = (claims.filter(F.col("status") == dedupe.PROCESSED)
                  .join(results.drop("ok"), "email_id", "inner"))
     alerts, _quiet = route.alert_gate(processed)
-    notifications = route.build_notifications(alerts, emails, channel, notify_timestamp)
+    notifications = route.build_notifications(alerts, None, channel, notify_timestamp)
     skipped = claims.filter(F.col("status") == dedupe.SKIPPED)
     events = telemetry.lifecycle_events(
         received=kept, skipped=skipped, categorized=processed, alerts=alerts,
         fallbacks=processed.filter(F.col("fallback")), channel=channel)
-    runs = processed.withColumn("run_id", F.concat_ws(":", F.col("email_id").cast("string"),
-                                                       F.col("delivery_id").cast("string")))
-    tel = telemetry.run_telemetry(runs)
-    # a claimed delivery of rejected mail also ran the categorizer: a run
-    # that failed to build its prompt
-    cfg = config or ModelConfig()
-    prompt_failed = (claims.filter(F.col("status") == dedupe.RELEASED)
-                     .join(rejected.select("email_id", "subject_length", "body_length"), "email_id", "inner")
-                     .select(F.concat_ws(":", F.col("email_id").cast("string"),
-                                         F.col("delivery_id").cast("string")).alias("run_id"),
-                             F.lit("inbound_email").alias("source"), F.lit(cfg.provider).alias("provider"),
-                             F.lit(cfg.model_id).alias("model"),
-                             F.lit(cfg.resolved_base_url).cast("string").alias("base_url"),
-                             "subject_length", "body_length", F.lit(True).alias("prompt_error"),
-                             F.lit(None).cast(RESULT_TYPE).alias("result")))
-    # ... and one whose model call failed (an error, not a fallback)
-    model_failed = (claims.filter(F.col("status") == dedupe.RELEASED)
-                    .join(model_errors.select("email_id", F.col("error_message").alias("model_call_error")),
-                          "email_id", "inner")
-                    .select(F.concat_ws(":", F.col("email_id").cast("string"),
-                                        F.col("delivery_id").cast("string")).alias("run_id"),
-                            F.lit("inbound_email").alias("source"), F.lit(cfg.provider).alias("provider"),
-                            F.lit(cfg.model_id).alias("model"),
-                            F.lit(cfg.resolved_base_url).cast("string").alias("base_url"),
-                            "model_call_error", F.lit(None).cast(RESULT_TYPE).alias("result")))
-    tel = (tel.unionByName(telemetry.run_telemetry(prompt_failed))
-              .unionByName(telemetry.run_telemetry(model_failed)))
-    released = (claims.filter(F.col("status") == dedupe.RELEASED)
-                .select("email_id", "delivery_id",
-                        F.lit(CATEGORIZE_FAILED).alias("error_message")))
-    errors = telemetry.quarantine(
-        ("fetch", missing.select("email_id", "error_message")),
-        ("prompt", rejected.select("email_id", F.col("reject_reason").alias("error_message"))),
-        ("model", model_errors),
-        ("delivery", released),
-    )
+    run_id = F.concat_ws(":", F.col("email_id").cast("string"), F.col("delivery_id").cast("string")).alias("run_id")
+    runs = processed.withColumn("run_id", run_id)
+    released = (claims.filter(F.col("status") == dedupe.RELEASED).select("email_id", "delivery_id", "received_at")
+                .join(failures, "email_id", "left"))
+    # a claimed delivery of mail that could not be categorized ran the
+    # categorizer too: no prompt, or a failed model call (an error, not a fallback)
+    failed_runs = released.where(F.col("stage").isin("prompt", "model")).select(
+        run_id, F.lit("inbound_email").alias("source"), "provider", "model",
+        F.lit(cfg.resolved_base_url).cast("string").alias("base_url"), "subject_length", "body_length",
+        (F.col("stage") == "prompt").alias("prompt_error"),
+        F.when(F.col("stage") == "model", F.col("error_message")).alias("model_call_error"),
+        F.lit(None).cast(RESULT_TYPE).alias("result"))
+    tel = telemetry.run_telemetry(runs).unionByName(telemetry.run_telemetry(failed_runs))
+    # one row per failed delivery, with its real cause
+    invalid = claims.filter(F.col("status") == dedupe.INVALID).select(
+        "email_id", "delivery_id", F.lit("delivery").alias("stage"), F.lit(NO_TIME_MESSAGE).alias("error_message"))
+    causes = released.select(
+        "email_id", "delivery_id", F.coalesce("stage", F.lit("delivery")).alias("stage"),
+        F.coalesce("error_message", F.lit(UPSTREAM_MESSAGE)).alias("error_message")).unionByName(invalid)
+    errors = telemetry.quarantine(*((stage, causes.where(F.col("stage") == stage).drop("stage"))
+                                    for stage in ("fetch", "prompt", "model", "delivery")))
     result_cols = ["delivery_id", "email_id", "received_at", "service_type_id", "service_type_label",
                    "confidence_score", "should_alert_admin", "explanation", "alert_reason", "fallback",
-                   "parse_error"]
+                   "parse_error"] + (["redacted_subject", "redacted_body"] if retain_input else [])
     return {
         "results": processed.select(*result_cols),
         "alerts": alerts.select(*result_cols),
@@ -180,6 +204,12 @@ def categorize_table(cases: DataFrame, backend: Backend, config: ModelConfig | N
     events = telemetry.lifecycle_events(
         eval_results=results,
         fallbacks=results.filter(F.col("fallback")))
-    return {"results": projected, "rejected": rejected,
-            "errors": errors.withColumnRenamed("email_id", key), "events": events,
-            "telemetry": telemetry.run_telemetry(results.withColumn("run_id", F.col(key).cast("string")))}
+    errors = errors.withColumnRenamed("email_id", key)
+    cfg = config or ModelConfig()
+    failed_runs = errors.select(
+        F.col(key).cast("string").alias("run_id"), F.lit("eval_endpoint").alias("source"), "provider", "model",
+        F.lit(cfg.resolved_base_url).cast("string").alias("base_url"), "subject_length", "body_length",
+        F.col("error_message").alias("model_call_error"), F.lit(None).cast(RESULT_TYPE).alias("result"))
+    runs = results.withColumn("run_id", F.col(key).cast("string"))
+    return {"results": projected, "rejected": rejected, "errors": errors, "events": events,
+            "telemetry": telemetry.run_telemetry(runs).unionByName(telemetry.run_telemetry(failed_runs))}

@@ -16,26 +16,9 @@ from pyspark.sql import functions as F
 TABLES = ["documents", "labels", "conversations", "events", "part"]
 
 
-# Text-heavy tables and the key their consumers join / group on.
-TEXT_TABLE_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table.
-
-    Text tables whose scan yields fewer partitions than twice the cluster's
-    parallelism (a small file, or one large row group) are hash-partitioned
-    on their key, so regex work spreads over all cores and later joins or
-    aggregations on that key reuse the partitioning.  Large inputs keep the
-    scan's own partitioning (no extra shuffle).
-    """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = TEXT_TABLE_KEYS.get(name)
-    if key is not None:
-        target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        if df.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
-            df = df.repartition(max(target, spark.sparkContext.defaultParallelism), key)
-    return df
+    """One table, as it lies in its files."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # ---------------------------------------------------------------------------
@@ -90,18 +73,20 @@ ANSWER_IDS = ["stumpGrinding", "stumpRemoval", "rootRemoval", "treePruning", "un
 
 
 def _json_escape(col: Column) -> Column:
-    return F.replace(F.replace(col, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        col = F.replace(col, F.lit(plain), F.lit(code))
+    return col
 
 
 def answer_text(seed: Column, hint: Column) -> Column:
-    """A model answer derived from a seed and a text (first 40 chars of its
-    first line go into the explanation)."""
+    """A model answer derived from a seed and a text (the whole text goes into
+    the explanation)."""
     shape = seed % 12
     sid = _pick(F.floor(seed / 12) % 6, ANSWER_IDS)
     score_int = (seed * 37) % 101
     score = F.concat(score_int.cast("string"), F.lit("e-2"))
     alert = F.when((score_int > 70) & (sid != "unknown"), F.lit("true")).otherwise(F.lit("false"))
-    words = _json_escape(F.substring(F.substring_index(hint, "\n", 1), 1, 40))
+    words = _json_escape(hint)
     expl = F.concat(F.lit("Mail "), seed.cast("string"), F.lit(": "), words)
     reason = F.concat(F.lit("Reason for "), seed.cast("string"))
 
@@ -235,10 +220,10 @@ def eval_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recorded_responses(requests: DataFrame, key: str = "email_id") -> DataFrame:
     """Recorded model responses for rendered requests (stand-in for a live
-    model): one text block ``answer_text(key, subject)``; ids divisible by 9
+    model): one text block ``answer_text(key, body)``; ids divisible by 9
     carry a model error message as well.  One recording per request hash."""
     k = F.col(key)
-    text = answer_text(k, F.col("subject"))
+    text = answer_text(k, F.col("body"))
     err = F.when(k % 9 == 0, F.lit("upstream timeout"))
     n_in = F.ceil(F.length("user_prompt") / 4).cast("long")
     n_out = F.ceil(F.length(text) / 4).cast("long")
@@ -259,3 +244,27 @@ def recorded_responses(requests: DataFrame, key: str = "email_id") -> DataFrame:
     fields = [c for c in answers.columns if c not in ("request_hash", "_k")]
     one = answers.groupBy("request_hash").agg(F.min_by(F.struct(*fields), F.col("_k")).alias("_r"))
     return one.select("request_hash", *[F.col(f"_r.{c}").alias(c) for c in fields])
+
+
+def recorded_eval_responses(requests: DataFrame) -> DataFrame:
+    """Recordings of an eval run as ``answer_text(case_no * 10 +
+    provider_ord, body)``, one per request: equal prompts share that of the
+    smallest case.  A call fails, without a recording, where that seed is
+    divisible by 17."""
+    seed = F.col("case_no") * 10 + F.col("provider_ord")
+    text = answer_text(seed, F.col("body"))
+    n_in = F.ceil(F.length("user_prompt") / 4).cast("long")
+    n_out = F.ceil(F.length(text) / 4).cast("long")
+    cost = F.when(F.col("provider_id").startswith("ollama"), F.lit(0.0)).otherwise((n_in * 0.15 + n_out * 0.6) / 1e6)
+    answers = requests.select(
+        "request_hash", F.col("case_no").alias("_k"), (seed % 17 == 0).alias("_failed"),
+        F.col("provider").alias("response_provider"), F.col("model").alias("response_model_id"),
+        F.lit(None).cast("string").alias("response_model"), F.lit("stop").alias("stop_reason"),
+        F.lit(None).cast("string").alias("error_message"),
+        F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"),
+        F.struct(n_in.alias("input"), n_out.alias("output"), F.lit(0).cast("long").alias("cache_read"),
+                 F.lit(0).cast("long").alias("cache_write"), (n_in + n_out).alias("total_tokens"),
+                 cost.alias("cost_usd")).alias("usage"))
+    fields = [c for c in answers.columns if c not in ("request_hash", "_k")]
+    one = answers.groupBy("request_hash").agg(F.min_by(F.struct(*fields), F.col("_k")).alias("_r")).where("NOT _r._failed")
+    return one.select("request_hash", *[F.col(f"_r.{c}").alias(c) for c in fields if c != "_failed"])

@@ -31,16 +31,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def current_ledger(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+def current_ledger(spark: SparkSession, path: str, before_batch: int, since) -> DataFrame | None:
     """The latest claim state per mail written by batches before
-    ``before_batch`` (a partial max_by aggregation)."""
-    if not _exists(spark, path):
+    ``before_batch`` that may still block something at ``since`` (the first
+    time of the new batch).
+
+    The ledger is partitioned by the day a claim ends, and a key's claims only
+    ever end later, so older days are never read: what a micro-batch reads is
+    bounded by the claims alive, not by the age of the stream."""
+    if since is None or not _exists(spark, path):
         return None
-    rows = spark.read.parquet(path).filter(F.col("batch_id") < before_batch)
+    rows = (spark.read.parquet(path).filter(F.col("until_day") >= F.date_sub(F.to_date(F.lit(since)), 1))  # a day of slack for time zones
+            .filter(F.col("batch_id") < before_batch))
     latest = rows.groupBy("email_id").agg(F.max_by(F.struct("until", "fin", "final"), F.col("batch_id")).alias("s"))
     return latest.select("email_id", "s.until", "s.fin", "s.final")
 
 
+def _write_ledger(df: DataFrame, path: str, batch_id: int) -> None:
+    day = F.to_date(F.timestamp_micros(F.col("until")))
+    (df.withColumns({"until_day": day, "batch_id": F.lit(batch_id)}).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("until_day", "batch_id").parquet(path))
+
+
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
     (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
@@ -49,19 +61,21 @@ def _write(df: DataFrame, path: str, batch_id: int) -> None:
 def triage_stream(deliveries: DataFrame, emails: DataFrame, backend: Backend, out_dir: str,
                   config: ModelConfig | None = None, ttl: _dt.timedelta = DEFAULT_TTL,
                   checkpoint_location: str | None = None, trigger: dict | None = None,
-                  notify_timestamp: str = "1970-01-01T00:00:00.000Z") -> StreamingQuery:
+                  notify_timestamp: str = "1970-01-01T00:00:00.000Z",
+                  claim_partitions: int | None = None) -> StreamingQuery:
     """Start the streaming triage; outputs go to ``out_dir/<sink>``."""
     ledger_path = f"{out_dir.rstrip('/')}/ledger"
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ledger = current_ledger(spark, ledger_path, batch_id)
+        since = batch.agg(F.min("received_at")).first()[0]
+        ledger = current_ledger(spark, ledger_path, batch_id, since)
         outs = triage_batch(batch, emails, backend, config, ttl, notify_timestamp=notify_timestamp,
                             ledger=ledger)
         for name in SINKS:
             if outs.get(name) is not None:
                 _write(outs[name], f"{out_dir.rstrip('/')}/{name}", batch_id)
-        _write(outs["ledger"], ledger_path, batch_id)
+        _write_ledger(outs["ledger"], ledger_path, batch_id)
 
     writer = deliveries.writeStream.foreachBatch(run_batch).option(
         "checkpointLocation", checkpoint_location or f"{out_dir.rstrip('/')}/_checkpoint")
