@@ -144,32 +144,33 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     follow = next_ids(sizes, "_id").checkpoint()
     quarter = lambda n: F.floor(n / 4).cast("int")
     need = (sizes.groupBy("_id").agg(F.max("n").alias("n")).join(follow, "_id")
-            .select(F.col("_id").alias("before"), F.col("_next").alias("_want"),
-                    F.xxhash64("_next").alias("_k"), quarter(F.col("n")).alias("need")))
+            .select(F.struct("_id").alias("before"), F.struct(F.col("_next").alias("_id")).alias("_k"),
+                    quarter(F.col("n")).alias("need")))
 
-    placed = docs.select(F.xxhash64("_id").alias("_k"), "_id", "_text").repartition("_k")
-    heads = (placed.join(need, "_k").where("_id = _want")
-             .select(F.xxhash64("before").alias("_k"), "before", F.substring("_text", F.lit(1), F.col("need")).alias("head"),
+    # one key that is never null, so both joins and the grouping below use one exchange of the texts
+    placed = docs.select(F.struct("_id").alias("_k"), "_text").repartition("_k")
+    heads = (placed.join(need, "_k")
+             .select(F.col("before").alias("_k"), F.substring("_text", F.lit(1), F.col("need")).alias("head"),
                      F.char_length("_text").alias("of")))
     if repeated:
-        heads = heads.groupBy("_k", "before").agg(F.max_by("head", F.struct("of", "head")).alias("head"))
+        heads = heads.groupBy("_k").agg(F.max_by("head", F.struct("of", "head")).alias("head"))
     n = F.char_length("_text")
-    both = (placed.join(heads, (placed["_k"] == heads["_k"]) & (placed["_id"] == heads["before"]), "left")
-            .select(placed["_k"], "_id", "_text", n.alias("n"), F.concat(
+    both = (placed.join(heads.select("_k", "head"), "_k", "left")
+            .select("_k", "_text", n.alias("n"), F.concat(
                 F.substring("_text", F.lit(1), n - quarter(n)),
                 F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter(n))).alias("edited")))
-    own = both.select("_k", "_id", F.xxhash64("_text").alias("_key"), "n", F.unhex(F.sha2("edited", 256)).alias("sha"),
+    own = both.select("_k", F.xxhash64("_text").alias("_key"), "n", F.unhex(F.sha2("edited", 256)).alias("sha"),
                       F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("_text").alias("t")),
                                         F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
-    each = own.select("_k", "_id", "_key", "n", "sha", F.col("x.v").alias("v"),
+    each = own.select("_k", "_key", "n", "sha", F.col("x.v").alias("v"),
                       F.explode_outer(terms(F.col("x.t"))).alias("seen"))
     known = words.select(F.col("term"))
     of = lambda v, c: F.when(F.col("v") == v, F.col(c))
-    got = (each.join(known, each["seen"] == known["term"], "left").groupBy("_k", "_id", "_key")
+    got = (each.join(known, each["seen"] == known["term"], "left").groupBy("_k", "_key")
            .agg(F.any_value("n").alias("n"), F.any_value("sha").alias("sha"),
                 *(F.sort_array(F.collect_list(of(v, "term"))).alias(f"t{v}") for v in (0, 1)),
                 *(F.coalesce(F.bit_xor(of(v, "seen")), F.lit(0)).alias(f"all{v}") for v in (0, 1))))
-    prints = got.select("_id", "_key", "n", F.lower(F.hex("sha")).alias("edited_sha256"),
+    prints = got.select("_k._id", "_key", "n", F.lower(F.hex("sha")).alias("edited_sha256"),
                         fingerprint(F.col("t0"), F.col("all0")).alias("f"),
                         fingerprint(F.col("t1"), F.col("all1")).alias("g")).checkpoint()
     after = prints.select(F.col("_id").alias("_want"), F.col("f").alias("h"), F.col("n").alias("_m"))
