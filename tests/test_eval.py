@@ -74,3 +74,45 @@ def test_gate_sweep_counts(spark):
     r = sweep[0.5]
     assert r["tp"] + r["fp"] + r["tn"] + r["fn"] == 10
     assert (r["tp"], r["fp"]) == (2, 2)  # scores 0.6..0.9 are eligible: 7, 9 expected; 6, 8 not
+
+
+def test_reason_lists_the_failures_in_order(spark):
+    rows = [(1, "p", "rootRemoval", None, "true", "0.95", None, out("rootRemoval", 0.9, False)),
+            (2, "p", "rootRemoval", None, "true", None, None, out("rootRemoval", 1, True)), (3, "p", None, None, "true", None, None, "x")]
+    r = score(spark, rows)
+    assert r[1]["reason"] == "expected shouldAlertAdmin true, got false; expected confidenceScore >= 0.95, got 0.9"
+    assert r[2]["reason"] == "Parsed rootRemoval at confidence 1; shouldAlertAdmin=true"
+    assert r[3]["reason"] == "Output must be a JSON object."
+
+
+def test_matrix_without_a_match_keeps_its_columns(spark):
+    cases = spark.createDataFrame([(1, "x")], "case_no long, path_type string")
+    none = evaluate.eval_matrix(cases, pattern="no such provider")
+    assert none.count() == 0 and none.columns == evaluate.eval_matrix(cases).columns
+
+
+def test_expected_ids_may_be_an_array(spark):
+    schema = CASE_COLS.replace("expected_service_type_ids string", "expected_service_type_ids array<string>")
+    rows = [(1, "p", "stumpRemoval", [" rootRemoval ", ""], "true", None, None, out("rootRemoval", 0.9, True)),
+            (2, "p", "stumpRemoval", None, "true", None, None, out("rootRemoval", 0.9, True))]
+    r = {x["case_no"]: x["pass"] for x in evaluate.score_cases(spark.createDataFrame(rows, schema)).collect()}
+    assert r == {1: True, 2: False}
+
+
+def test_usage_rollup_on_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    from inboxsieve.operators import telemetry
+    from inboxsieve.streaming.runner import run_available_now
+    cols = "run_id string, provider string, request_model string, source string, started_at timestamp, ended_at timestamp, "
+    cols += "model_error boolean, parse_error boolean, fallback boolean, should_alert_admin boolean, input_tokens long, "
+    cols += "output_tokens long, total_tokens long, cost_usd double"
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(str(i), "p", "m", "s", t0 + dt.timedelta(minutes=25 * i), t0 + dt.timedelta(minutes=25 * i, seconds=4),
+             False, i % 2 == 0, False, True, 1, 2, 3, 0.5) for i in range(8)]
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(cols).parquet(str(tmp_path / "t"))
+    got = run_available_now(telemetry.usage_rollup_stream(stream, watermark="0 seconds"), "usage").orderBy("bucket").collect()
+    batch = telemetry.usage_rollup(spark.createDataFrame(rows, cols)).orderBy("bucket").collect()
+    assert [r["runs"] for r in got] == [r["runs"] for r in batch][:len(got)] and len(got) >= 2
+    assert got[0]["avg_latency_s"] == 4.0

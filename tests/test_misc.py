@@ -108,3 +108,15 @@ def test_unknown_channel_is_rejected(spark):
     df = spark.createDataFrame([(1,)], "email_id long")
     with pytest.raises(ValueError):
         route.build_notifications(df, df, channel="sms")
+
+
+def test_response_format_follows_the_service_types(spark):
+    types = [{"id": "mowing", "label": "Mowing", "description": "Grass."}, {"id": "unknown", "label": "U", "description": "-"}]
+    form = json.loads(requests.response_format("json_schema", types))["text"]["format"]
+    assert form["strict"] and form["schema"]["properties"]["serviceTypeId"]["enum"] == ["mowing", "unknown"]
+    assert form["schema"]["required"][0] == "explanation" and form["schema"]["additionalProperties"] is False
+    assert json.loads(requests.response_format("json_object"))["response_format"] == {"type": "json_object"}
+    assert requests.response_format("unchanged") is None
+    mails = spark.createDataFrame([("s", "b")], "subject string, body string")
+    row = requests.build_requests(mails, requests.ModelConfig()).first()
+    assert json.loads(row["response_format"])["text"]["format"]["type"] == "json_schema"

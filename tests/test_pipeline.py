@@ -123,6 +123,122 @@ def test_model_errors_are_errors_not_fallbacks(spark):
     assert [r["status"] for r in out["claims"].orderBy("delivery_id").collect()] == ["released", "released"]
     assert out["results"].count() == 0
     stages = {r["stage"] for r in out["quarantine"].collect()}
-    assert "model" in stages and "delivery" in stages
+    assert stages == {"model"} and out["quarantine"].count() == 2  # one row per failed delivery, with its cause
     tel = out["telemetry"].collect()
     assert len(tel) == 2 and all(r["model_error"] and not r["prompt_error"] for r in tel)
+    assert all(r["subject_length"] == len("Stump") and r["body_length"] > 0 for r in tel)
+
+
+class CountingBackend(EchoBackend):
+    """Leaves a file for every request it is asked, in a folder."""
+
+    def __init__(self, folder):
+        super().__init__()
+        self.folder = str(folder)
+
+    def complete(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        import os
+        import uuid
+        for h in pdf["request_hash"]:
+            open(os.path.join(self.folder, f"{h[:12]}-{uuid.uuid4().hex}"), "w").close()
+        return super().complete(pdf)
+
+    def calls(self):
+        import os
+        return len(os.listdir(self.folder))
+
+
+def test_one_call_per_request_however_many_sinks_are_written(spark, tmp_path):
+    backend = CountingBackend(tmp_path)
+    out = triage_batch(deliveries(spark, ROWS), emails(spark), backend, ModelConfig())
+    for df in out.values():
+        df.write.format("noop").mode("overwrite").save()
+    assert backend.calls() == 2  # mails 1 and 3; mail 2 has no subject, mail 9 does not exist
+
+
+def test_blocked_mail_is_neither_looked_up_nor_classified(spark, tmp_path):
+    first = triage_batch(deliveries(spark, ROWS[:2]), emails(spark), EchoBackend(), ModelConfig())
+    backend = CountingBackend(tmp_path)
+    again = deliveries(spark, [("email.received", 1, d) for d in (2, 3, 4)])
+    out = triage_batch(again, emails(spark).where("email_id <> 1"), backend, ModelConfig(), ledger=first["ledger"])
+    assert {r["status"] for r in out["claims"].collect()} == {"skipped"}
+    assert backend.calls() == 0 and out["quarantine"].count() == 0
+
+
+def test_unknown_configuration_is_an_error_of_every_mail(spark):
+    cfg = ModelConfig(provider="none")
+    out = triage_batch(deliveries(spark, ROWS[:2]), emails(spark), EchoBackend(), cfg)
+    assert {r["status"] for r in out["claims"].collect()} == {"released"} and out["results"].count() == 0
+    q = out["quarantine"].collect()
+    assert {(r["stage"], r["error_message"]) for r in q} == {("model", "Unknown categorizer model configuration")}
+    assert all(r["model_error"] for r in out["telemetry"].collect())
+    cases = spark.createDataFrame([(1, "Stump", "quote please")], "case_no long, subject string, body string")
+    table = categorize_table(cases, EchoBackend(), cfg)
+    assert table["results"].count() == 0 and table["errors"].count() == 1 and table["telemetry"].count() == 1
+
+
+def test_a_failed_lookup_is_not_a_missing_mail(spark):
+    mails = emails(spark).withColumn("lookup_error", F.when(F.col("email_id") == 3, "quota"))
+    out = triage_batch(deliveries(spark, ROWS), mails, EchoBackend(), ModelConfig())
+    got = {r["email_id"]: (r["stage"], r["error_message"]) for r in out["quarantine"].collect()}
+    assert got["3"] == ("fetch", "Error fetching email: quota")
+    assert got["9"] == ("fetch", "The mail service did not return email data") and got["2"][0] == "prompt"
+
+
+def test_upstream_failures_and_missing_times_have_their_own_cause(spark):
+    d = deliveries(spark, ROWS[:2]).withColumn("ok", F.col("delivery_id") != 0)
+    d = d.unionByName(d.where("delivery_id = 1").withColumns({"delivery_id": F.lit(7).cast("long"),
+                                                              "received_at": F.lit(None).cast("timestamp_ntz")}))
+    out = triage_batch(d, emails(spark), EchoBackend(), ModelConfig())
+    got = {json.loads(r["context"])["delivery_id"]: (r["stage"], r["error_message"]) for r in out["quarantine"].collect()}
+    assert got == {0: ("delivery", "The delivery failed after its mail was categorized"),
+                   7: ("delivery", "The delivery has no time of receipt")}
+
+
+CUSTOM = [{"id": "mowing", "label": "Mowing", "description": "Cutting grass."},
+          {"id": "unknown", "label": "Unknown", "description": "Anything else."}]
+
+
+class MowingBackend(EchoBackend):
+    def complete(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = super().complete(pdf)
+        out["content"] = [[{"type": "text", "text": ANSWER.replace("stumpGrinding", "mowing")}]] * len(out)
+        return out
+
+
+def test_configured_service_types_reach_the_contract(spark):
+    out = triage_batch(deliveries(spark, ROWS), emails(spark), MowingBackend(), ModelConfig(), service_types=CUSTOM)
+    assert {(r["service_type_id"], r["fallback"]) for r in out["results"].collect()} == {("mowing", False)}
+    built_in = triage_batch(deliveries(spark, ROWS), emails(spark), MowingBackend(), ModelConfig())
+    assert {(r["service_type_id"], r["fallback"]) for r in built_in["results"].collect()} == {("unknown", True)}
+
+
+def test_recordings_of_another_model_are_no_answer(spark):
+    from inboxsieve.operators.inference import RecordedBackend
+    mails = emails(spark).withColumnRenamed("text", "body").filter("subject <> ''")
+    asked = build_requests(mails, ModelConfig())
+    other = build_requests(mails, ModelConfig(model="gpt-4.1-mini"))
+    answers = [classify(r, EchoBackend()).select(*RESPONSE_SCHEMA.fieldNames()) for r in (asked, other, asked)]
+    recorded = RecordedBackend(answers[0].unionByName(answers[1]).unionByName(answers[2]))
+    out = classify(asked, recorded)
+    assert out.count() == 2 and out.where("model_call_error IS NOT NULL").count() == 0
+    assert classify(asked, RecordedBackend(answers[1])).where("model_call_error IS NULL").count() == 0
+
+
+def test_the_ledger_read_stays_bounded(spark, tmp_path):
+    from inboxsieve.streaming.triage_stream import _write_ledger, current_ledger
+    path = str(tmp_path / "ledger")
+    for batch in range(20):
+        until = int((T0 + dt.timedelta(days=batch)).replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+        rows = [(k, until, until, "processed") for k in range(batch * 10, batch * 10 + 10)]
+        _write_ledger(spark.createDataFrame(rows, "email_id long, until long, fin long, final string"), path, batch)
+    live = current_ledger(spark, path, 20, T0 + dt.timedelta(days=18))
+    assert sorted(r["email_id"] for r in live.collect()) == list(range(170, 200))
+    assert current_ledger(spark, path, 20, None) is None
+
+
+def test_retained_input_is_redacted(spark):
+    mails = emails(spark).withColumn("text", F.concat("text", F.lit(" mail me at x@y.com")))
+    out = triage_batch(deliveries(spark, ROWS[:1]), mails, EchoBackend(), ModelConfig(), retain_input=True)
+    row = out["results"].first()
+    assert row["redacted_subject"] == "Stump" and "x@y.com" not in row["redacted_body"]
