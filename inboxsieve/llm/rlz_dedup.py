@@ -8,7 +8,9 @@ consecutive windows with one anchor form a block.  Equal passages are cut
 equally, whatever stands around them, so a shared index of blocks replaces
 comparing documents with each other:
 
-1. *Index.*  For every (anchor, block content) the smallest id that has it.
+1. *Index.*  For every anchor that several documents have, and for every
+   (anchor, block content) where an anchor has several contents, the smallest
+   id that has it.
 2. *Factors.*  A document is parsed against the index block by block; a run of
    blocks found under a smaller id is a factor, and as its blocks are whole
    windows, it is long enough by construction and is a duplicate span.
@@ -167,28 +169,28 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     docs = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_row"), F.col(text).cast("string").alias("_text"))
     blocks = _blocks(docs, window, gram)
 
-    index = blocks.groupBy("anchor", "content").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
-    edges = index.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select(
-        F.col("anchor").alias("_a"))
-    index = (index.join(edges, index["anchor"] == edges["_a"], "left")
-             .select("anchor", "content", "lo", F.col("_a").isNotNull().alias("edge"), "hi")
-             .where("lo < hi OR edge").drop("hi"))
-    found = (blocks.join(index, ["anchor", "content"]).where("lo < _id OR (edge AND lo = _id)")
-             .select("_id", "_row", "anchor", "start", "n", (F.col("lo") < F.col("_id")).alias("factor"))).checkpoint()
-    factors = found.where("factor").select("_id", "_row", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
-
-    listed = (found.where("NOT factor").groupBy("_id", "_row")
+    # only anchors in several documents; where all their blocks are alike, the smallest id tells all
+    several = (blocks.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"),
+                                            (F.min("content") != F.max("content")).alias("edge"))
+               .where("lo < hi").drop("hi"))
+    shared = blocks.join(several, "anchor").where("edge OR lo < _id").checkpoint()
+    edges = shared.where("edge").drop("edge", "lo")
+    index = edges.groupBy("anchor", "content").agg(F.min("_id").alias("lo"))
+    edges = edges.join(index, ["anchor", "content"])
+    end = (F.col("start") + F.col("n") + (window - 1)).alias("end")
+    key = F.struct("_id", "_row").alias("_k")
+    factors = (shared.where("NOT edge").select(key, "start", end)
+               .unionByName(edges.where("lo < _id").select(key, "start", end)))
+
+    # the texts are dealt out once, by id and row, for the windows at the boundaries and for the result
+    placed = docs.select(key, "_text").repartition("_k")
+    listed = (edges.where("lo = _id").groupBy(key)
               .agg(F.collect_list(F.struct("anchor", "start", "n")).alias("blocks")))
-    here = docs.join(listed.withColumnsRenamed({"_id": "_i", "_row": "_r"}),
-                     (F.col("_id") == F.col("_i")) & (F.col("_row") == F.col("_r"))).select("_id", "_row", "_text", "blocks")
-    windows = _windows(here, window).checkpoint()
+    windows = _windows(placed.join(listed, "_k").select("_k._id", "_k._row", "_text", "blocks"), window)
     least = (windows.groupBy("anchor", "content").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
              .where("lo < hi").drop("hi"))
     again = (windows.join(least, ["anchor", "content"]).where("lo < _id")
-             .select("_id", "_row", "start", (F.col("start") + window).alias("end")))
-
-    spans = (factors.unionByName(again).groupBy("_id", "_row")
-             .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-             .withColumnsRenamed({"_id": "_i", "_row": "_r"}))
-    texts = docs.join(spans, (F.col("_id") == F.col("_i")) & (F.col("_row") == F.col("_r")), "left")
-    return _kept(texts.select("_id", "_text", "spans")).withColumnRenamed("_id", doc_id)
+             .select(key, "start", (F.col("start") + window).alias("end")))
+    spans = factors.unionByName(again).groupBy("_k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    texts = placed.join(spans, "_k", "left").select("_k._id", "_text", "spans")
+    return _kept(texts).withColumnRenamed("_id", doc_id)
