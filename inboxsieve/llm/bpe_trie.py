@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding through a trie of distinct words.
 
-Texts are split into pre-tokens ("words").  Each task inserts its distinct
-words, as bytes, into a trie; a node's state is the last token of the encoding
-of the path from the root.  A word's encoding is that of a shorter prefix plus
-one token, so a state follows from its ancestors' states alone: it is the one
-token that ends here and may stand after the last token of the node where it
-begins.  Two tokens may stand side by side when merging their joined bytes
+Texts are split into pre-tokens ("words").  Each worker inserts the distinct
+words it meets, as bytes, into a trie (a map from paths to states); a node's
+state is the last token of the encoding of the path from the root.  A word's
+encoding is that of a shorter prefix plus one token, so a state follows from
+its ancestors' states alone: it is the one token that ends here and may stand
+after the last token of the node where it begins.  Two tokens may stand side by side when merging their joined bytes
 gives those two tokens again.  So a prefix shared by many words is encoded
 once, and an encoding is read off by walking the states back to the root.
 
-The trie and the memo of words are bounded (``MAX_NODES``); when they are full
-they are begun anew, which costs time but changes no result.
+The trie and the memo of pieces are bounded (``MAX_NODES``, ``MAX_PIECES``);
+when they are full they are begun anew, which costs time but changes no result.
 
 Cases: null and empty texts have no tokens and decode to the empty text; null
 ids decode to the empty text; ids outside the vocabulary are left out; special
@@ -22,11 +22,15 @@ to the tasks: its size is fixed (a few MB).
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +44,8 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MAX_NODES = 400_000
+MAX_NODES = 600_000  # paths of the trie; as many pairs of tokens times four
+MAX_PIECES = 300_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -53,8 +58,10 @@ class Vocabulary:
     """Token bytes, ids and merges of a byte-level BPE tokenizer file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(path, "rb") as f:
+            raw = f.read()
+        self.digest = hashlib.sha256(raw).hexdigest()
+        spec = json.loads(raw)
         of_char = _byte_of_char()
         to_bytes = lambda s: bytes(of_char[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -64,7 +71,36 @@ class Vocabulary:
         for order, pair in enumerate(spec["model"]["merges"]):
             a, b = (to_bytes(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merge[self.id_of[a], self.id_of[b]] = order, self.id_of[a + b]
-        self.longest = max(map(len, self.id_of))
+        #: the longest token with each ending of three bytes
+        self.longest: dict[bytes, int] = {}
+        for b in self.id_of:
+            self.longest[b[-3:]] = max(self.longest.get(b[-3:], 0), len(b))
+        # how each token is made; joining in order of the merges, its parts are made before it
+        self.made = {token: (order, *pair) for pair, (order, token) in self.merge.items()}
+        order_of = lambda t: self.made[t][0] if t in self.made else -1
+        self.plain = len(self.made) == len(self.merge) == len(self.id_of) - 256 and all(
+            order > max(order_of(a), order_of(b)) for order, a, b in self.made.values())
+
+    def stand_together(self, left: int, right: int) -> bool:
+        """Whether merging the joined bytes gives the two tokens again: no part
+        at the end of ``left`` and part at the beginning of ``right`` may merge
+        with each other before either is used up inside its own token."""
+        if not self.plain:
+            return self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        a, used_a = left, 1 << 60
+        while True:
+            b, used_b = right, 1 << 60
+            while True:
+                order = self.merge.get((a, b))
+                # of equal merges the left one goes first
+                if order is not None and order[0] < used_a and order[0] <= used_b:
+                    return False
+                if b not in self.made:
+                    break
+                used_b, b, _ = self.made[b]
+            if a not in self.made:
+                return True
+            used_a, _, a = self.made[a]
 
     def merged(self, data: bytes) -> list[int]:
         """Plain merging, for the short strings of two tokens."""
@@ -77,74 +113,115 @@ class Vocabulary:
         return ids
 
 
+class Pieces(dict):
+    """Memo of pieces of text (no white space at either end, after ``before``),
+    as the bytes of their 32-bit ids."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        super().__init__()
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        if len(self) >= MAX_PIECES:
+            self.clear()
+        got = self[piece] = self.encoder.ids_of(self.before + piece)
+        return got
+
+
 class Encoder:
-    """The trie of one task."""
+    """The trie of one task: ``last`` has the last token of every path (the
+    bytes from the root), ``joins`` which tokens may stand side by side."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.split = regex.compile(PATTERN)
-        self.specials = (regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len)[::-1])) + ")")
-                         if vocabulary.special else None)
+        self.between = re.compile(r"(?<=\S) (?=\S)")
+        self.special = (re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len)[::-1])) + ")")
+                        if vocabulary.special else None)
         self.joins: dict[tuple[int, int], bool] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.edges: dict[int, int] = {}  # node << 8 | byte -> node
-        self.token = [-1]  # last token of each node, the root has none
-        self.start = [0]  # node where that token begins
-        self.words: dict[str, list[int]] = {}
+        self.last: dict[bytes, int] = {b"": -1}
+        self.bare, self.spaced = Pieces(self, ""), Pieces(self, " ")
+        self.line_end = self.ids_of("\n")
 
     def may_follow(self, left: int, right: int) -> bool:
         """left -1: at the beginning of a word."""
-        key = left, right
-        known = self.joins.get(key)
+        if left < 0:
+            return self.v.plain or self.v.merged(self.v.bytes_of[right]) == [right]
+        known = self.joins.get((left, right))
         if known is None:
             if len(self.joins) > 4 * MAX_NODES:
                 self.joins.clear()
-            own = self.v.bytes_of[right]
-            known = self.joins[key] = (self.v.merged(own) == [right] if left < 0 else
-                                       self.v.merged(self.v.bytes_of[left] + own) == [left, right])
+            known = self.joins[left, right] = self.v.stand_together(left, right)
         return known
 
     def insert(self, data: bytes) -> list[int]:
-        """Walk down the bytes, add missing nodes with their states, and read
-        the encoding off the path."""
-        node, path = 0, [0]
-        for k, byte in enumerate(data):
-            below = self.edges.get(node << 8 | byte)
-            if below is None:
-                for begin in range(max(0, k + 1 - self.v.longest), k + 1):  # the longest token first
-                    token = self.v.id_of.get(data[begin:k + 1])
-                    if token is not None and self.may_follow(self.token[path[begin]], token):
+        """Find the deepest node on the word's path, add those below it with
+        their states, and read the encoding off the path."""
+        last, id_of, joins, longest = self.last, self.v.id_of, self.joins, self.v.longest.get
+        size = known = len(data)
+        while data[:known] not in last:
+            known -= 1
+        for end in range(known + 1, size + 1):
+            # the longest token first
+            for begin in range(max(0, end - longest(data[end - 3:end], 2)) if end > 2 else 0, end):
+                token = id_of.get(data[begin:end])
+                if token is not None:
+                    left = last[data[:begin]]
+                    fits = joins.get((left, token))
+                    if fits or (fits is None and self.may_follow(left, token)):
                         break
-                below = len(self.token)
-                self.edges[node << 8 | byte] = below
-                self.token.append(token)
-                self.start.append(path[begin])
-            node = below
-            path.append(node)
-        ids = []
-        while node:
-            ids.append(self.token[node])
-            node = self.start[node]
-        return ids[::-1]
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        words = self.words
-        for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
+            last[data[:end]] = token
+        ids, bytes_of = [], self.v.bytes_of
+        while size:
+            token = last[data[:size]]
+            ids.append(token)
+            size -= len(bytes_of[token])
+        ids.reverse()
+        return ids
+
+    def ids_of(self, text: str) -> bytes:
+        if len(self.last) > MAX_NODES:
+            self.last = {b"": -1}
+        # letters only, or with a space before them: one word, and the pattern need not be asked
+        words = [text] if text.isalpha() or text[1:].isalpha() and text[0] == " " else self.split.findall(text)
+        ids = array("i")
+        for word in words:
+            ids.extend(self.insert(word.encode()))
+        return ids.tobytes()
+
+    def _encode(self, text: str) -> bytes:
+        """A single space between other characters belongs to what follows it,
+        a single line feed stands alone: there the text can be cut into pieces
+        that are encoded independently.  Where a cut would touch other white
+        space, only single spaces between other characters are cut at."""
+        spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
+        try:
+            lines = (line.split(" ") for line in text.split("\n"))
+            return self.line_end.join([b"".join([bare(p[0]), *map(spaced, p[1:])]) for p in lines])
+        except TypeError:  # a piece with white space at an end
+            first, *others = self.between.split(text)
+            return b"".join([self.ids_of(first), *(spaced(p) or self.ids_of(" " + p) for p in others)])
+
+    def encode(self, text: str) -> np.ndarray:
+        out = []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                out.append(self.v.special[part])
-                continue
-            for word in self.split.findall(part):
-                ids = words.get(word)
-                if ids is None:
-                    if len(self.token) > MAX_NODES:
-                        self.clear()
-                        words = self.words
-                    ids = words[word] = self.insert(word.encode())
-                out += ids
-        return out
+                out.append(np.int32(self.v.special[part]).tobytes())
+            elif part:
+                out.append(self._encode(part))
+        return np.frombuffer(b"".join(out), dtype=np.int32)
+
+
+_encoders: dict[str, Encoder] = {}  # of this worker, for its next tasks
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    if vocabulary.digest not in _encoders:
+        _encoders.clear()
+        _encoders[vocabulary.digest] = Encoder(vocabulary)
+    return _encoders[vocabulary.digest]
 
 
 def _with(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -158,17 +235,37 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        encoder = _encoder(held.value)
         for batch in chunks(batches, text):
             got = [encoder.encode(t or "") for t in batch.column(text).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-            flat = np.fromiter((i for x in got for i in x), dtype=np.int32, count=int(ends[-1]))
+            flat = np.concatenate([*got, np.zeros(0, dtype=np.int32)])
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, ids])
 
     return base.mapInArrow(rows, f"{schema}, `{ids}` array<int>")
 
 
+class Decoder:
+    """All token bytes in one array; texts are gathered from it at once."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        size = np.zeros(max(bytes_of, default=-1) + 1, dtype=np.int64)
+        size[list(bytes_of)] = [len(b) for b in bytes_of.values()]
+        self.size, self.start = size, np.cumsum(size) - size
+        self.data = np.frombuffer(b"".join(bytes_of[k] for k in sorted(bytes_of)), dtype=np.uint8)
+
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of the lists that end at ``ends``."""
+        known = (flat >= 0) & (flat < len(self.size))
+        flat = np.where(known, flat, 0)
+        n = self.size[flat] * known
+        upto = np.concatenate([[0], np.cumsum(n)])
+        data = self.data[np.repeat(self.start[flat] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+        at = upto[np.concatenate([[0], ends])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+
+
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of its token ids; bytes that are not UTF-8 become
     U+FFFD."""
@@ -176,12 +273,14 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     held = df.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer).bytes_of)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
+        decoder = Decoder(held.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = [b"".join([table[i] for i in x or () if i in table]).decode("utf-8", "replace")
-                       for x in part.column(ids).to_pylist()]
+                lists = part.column(ids)
+                flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                got = decoder.decode(flat, np.cumsum(n.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())],
                                                  [*part.schema.names, text])
 
