@@ -130,6 +130,42 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id
 """
 
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+least_ AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least_ USING (h) WHERE lo < doc_id),
+each AS (SELECT doc_id, unnest(ws) AS wd, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT e.doc_id, count(g.p) AS n_removed, string_agg(wd, ' ' ORDER BY e.p) FILTER (g.p IS NULL) AS txt
+  FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p GROUP BY e.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.txt, '')) AS kept_sha256
+FROM w LEFT JOIN kept k USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * both_ >= 85 * (na.n + nb.n - both_)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION SELECT reach.doc_id, sides.b FROM reach JOIN sides ON sides.a = reach.r)
+SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_cube_mix": op2_cube_mix,
@@ -143,5 +179,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_bootstrap": op10_pii_bootstrap,
 }
 ORACLE: dict[str, str] = {
+    "op3_rlz_dedup": OP3_SQL,
+    "op6_ngram_join": OP6_SQL,
     "op8_chat_format": OP8_SQL,
 }
