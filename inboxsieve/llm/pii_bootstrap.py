@@ -47,7 +47,9 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-MARK = {"email": "@", "ip": ".", "card": None, "phone": "+"}  # a text without it has no match
+#: A text without a place like this has no match; one cheap scan spares most texts the patterns above.
+HINT = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9]", "phone": "[+][0-9]",
+        "candidate": r"[0-9@_]|[A-Za-z0-9][.(\[{][A-Za-z0-9]"}
 IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A whole word with a digit, @ or _, or with a dot or bracket between letters or digits.
@@ -59,15 +61,26 @@ MIN_SUPPORT, ACCEPT, ROUNDS = 5, 0.8, 3
 MAX_BROADCAST_PATTERNS = 500_000
 
 
-def _matches(text: Column, kind: str, pattern: str, mark: str | None) -> Column:
-    """Array of ``kind, k, match, gap, left``: every match, the number of
-    characters since the match before it, and the end of the text between."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
-                         F.split(text, pattern, -1).alias("before"))
-    one = F.transform(F.filter(pairs, lambda z: z["match"].isNotNull()), lambda z, k: F.struct(
-        F.lit(kind).alias("kind"), k.alias("k"), z["match"].alias("match"),
-        F.char_length(z["before"]).alias("gap"), F.right(z["before"], F.lit(CONTEXT)).alias("left")))
-    return one if mark is None else F.when(F.contains(text, F.lit(mark)), one)
+def _matches(docs: DataFrame) -> DataFrame:
+    """One row per match: ``kind, k, match, gap, left`` - its number, the
+    number of characters since the match before it, and the end of the text
+    between.  Texts are searched only where their hint is found, and split
+    only where something was matched."""
+    text = F.col("_text")
+    patterns = PATTERNS | {"candidate": CANDIDATE}
+    docs = docs.withColumns({f"m_{k}": F.when(text.rlike(HINT[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+                             for k, p in patterns.items()})
+    docs = docs.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.split(text, p, -1)) for k, p in patterns.items()})
+
+    def structs(kind: str) -> Column:
+        pairs = F.arrays_zip(F.col(f"m_{kind}").alias("match"), F.col(f"p_{kind}").alias("before"))
+        return F.coalesce(F.transform(F.filter(pairs, lambda z: z["match"].isNotNull()), lambda z, k: F.struct(
+            F.lit(kind).alias("kind"), k.alias("k"), z["match"].alias("match"), F.char_length(z["before"]).alias("gap"),
+            F.right(z["before"], F.lit(CONTEXT)).alias("left"))), F.array())
+
+    found = [structs(k) for k in patterns]
+    return (docs.select("_row", "_id", "_key", F.explode(F.concat(*found)).alias("m"))
+            .select("_row", "_id", "_key", "m.*"))
 
 
 def _luhn(match: Column) -> Column:
@@ -90,12 +103,7 @@ def _places(docs: DataFrame) -> DataFrame:
     """Every seed and candidate with its place: ``_row, _id, _key, kind,
     match, start, end, w1, w2`` (kind null: candidate; w1, w2: the word
     before, the two words before)."""
-    text = F.col("_text")
-    found = F.concat(
-        *(F.coalesce(_matches(text, k, PATTERNS[k], MARK[k]), F.array()) for k in ("email", "ip", "phone")),
-        F.when(text.rlike("[0-9]"), _matches(text, "card", PATTERNS["card"], None)).otherwise(F.array()),
-        _matches(text, "candidate", CANDIDATE, None))
-    rows = docs.select("_row", "_id", "_key", F.explode(found).alias("m")).select("_row", "_id", "_key", "m.*")
+    rows = _matches(docs)
     size = F.char_length("match")
     upto = F.sum(F.col("gap") + size).over(Window.partitionBy("_row", "kind").orderBy("k"))
     rows = rows.withColumn("end", upto).withColumn("start", F.col("end") - size)
@@ -126,16 +134,20 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern, places``: how often each pattern stands before a word."""
+    """``pattern, places``: how often each pattern (a word or two) stands
+    before a word.  Words are counted by their hashes."""
     words = F.filter(F.split(F.lower("_text"), SPACE), lambda w: w != "")
-    each = docs.select(words.alias("w")).where("size(w) > 1").select(
-        F.explode(F.slice("w", F.lit(1), F.size("w") - 1)).alias("pattern"))
-    twos = docs.select(words.alias("w")).where("size(w) > 2").select(F.explode(F.zip_with(
-        F.slice("w", F.lit(1), F.size("w") - 2), F.slice("w", F.lit(2), F.size("w") - 2),
-        lambda a, b: F.concat(a, F.lit(" "), b))).alias("pattern"))
-    small = patterns.count() <= MAX_BROADCAST_PATTERNS
-    side = F.broadcast(patterns) if small else patterns
-    return (each.unionByName(twos).join(side, "pattern").groupBy("pattern").agg(F.count("*").alias("places")))
+    hashed = docs.select(F.transform(words, lambda w: F.xxhash64(w)).alias("h")).where("size(h) > 1")
+    ones = F.slice("h", F.lit(1), F.size("h") - 1)
+    twos = F.zip_with(F.slice("h", F.lit(1), F.size("h") - 2), F.slice("h", F.lit(2), F.size("h") - 2),
+                      lambda a, b: F.xxhash64(a, b))
+    each = hashed.select(F.explode(F.when(F.size("h") > 2, F.concat(ones, twos)).otherwise(ones)).alias("_h"))
+    parts = F.transform(F.split("pattern", " "), lambda w: F.xxhash64(w))
+    known = patterns.select("pattern", F.when(F.size(parts) > 1, F.xxhash64(parts[0], F.get(parts, F.lit(1))))
+                            .otherwise(parts[0]).alias("_h"))
+    side = F.broadcast(known) if patterns.count() <= MAX_BROADCAST_PATTERNS else known
+    counts = each.join(side.select("_h"), "_h").groupBy("_h").agg(F.count("*").alias("places"))
+    return known.join(counts, "_h").select("pattern", "places")
 
 
 def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT, accept: float = ACCEPT,
@@ -152,7 +164,7 @@ def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT,
     seeds = graph.where("kind IS NOT NULL").withColumn("score", F.lit(1.0)).drop("places")
     candidates = graph.where("kind IS NULL").select("pattern", "match", "n")
     everywhere = graph.select("pattern", "places").distinct()
-    scored = None
+    scored, accepted = None, -1
     for _ in range(rounds):
         known = seeds if scored is None else seeds.unionByName(
             candidates.join(scored.where(F.col("score") >= accept), "match").select(
@@ -164,6 +176,9 @@ def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT,
         miss = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf"))))
         scored = (candidates.join(confidence, "pattern").groupBy("match", "kind")
                   .agg((1 - F.exp(miss)).alias("score"))).checkpoint()
+        before, accepted = accepted, scored.where(F.col("score") >= accept).count()
+        if accepted in (0, before):  # nothing new to learn from
+            break
     best = F.max_by("kind", F.struct("score", "kind"))
     return scored.where(F.col("score") >= accept).groupBy("match").agg(best.alias("kind"))
 
