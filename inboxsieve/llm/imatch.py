@@ -10,8 +10,8 @@ two documents are.
 
 One density of the subsets does not suit short and long documents alike.
 Subsets come in densities 1, 1/4, 1/16, ...; a document with D terms uses the
-density next to 1/D and the one after it, ten subsets each, so a subset has
-about one term.  Two fingerprints are compared at the densities they have in
+density next to 1/D and the one after it, up to ten disjoint subsets each, so
+a subset has about one term.  Two fingerprints are compared at the densities they have in
 common; a subset that is empty in both counts for nothing.
 
 Size of the lexicon: a term of it stands in a share ``min_df`` of all
@@ -39,8 +39,8 @@ from ..session import checkpoint_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
 MIN_DF, MAX_DF = 0.001, 0.1
-SUBSETS = 10  # for each density: five places of 12 bits in two hashes
-BITS = 12
+SUBSETS = 10  # for each density
+EACH = 0  # stands for a document itself among its terms, so that none is lost in the join
 MAX_DENSITY = 6  # 4^-6
 NOTHING = 42  # the hash of an empty list
 MAX_BROADCAST_TERMS = 2_000_000
@@ -48,8 +48,8 @@ MAX_BROADCAST_TERMS = 2_000_000
 
 def terms(text: Column) -> Column:
     """The distinct lower-cased words of a text, as 64-bit hashes."""
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    hashes = F.transform(F.split(F.lower(text), SPACE), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit("")))  # white space at an end gives an empty word
 
 
 def lexicon(docs: DataFrame, text: str = "text", min_df: float = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
@@ -61,25 +61,32 @@ def lexicon(docs: DataFrame, text: str = "text", min_df: float = MIN_DF, max_df:
             .where((F.col("df") >= min_df * n) & (F.col("df") <= max(max_df * n, 1))).select("term"))
 
 
-def fingerprint(found: Column, other: Column) -> Column:
-    """The fingerprint of sorted lexicon terms (``found``), as a struct of the
-    density's exponent and the hashes at it and at the next; ``other`` is
-    used if there are none."""
-    e = F.when(F.size(found) > 0, F.least(F.lit(MAX_DENSITY - 1), F.floor(F.log2(F.size(found)) / 2))).otherwise(-1).cast("int")
-    mixed = F.transform(found, lambda t: F.struct(t.alias("t"), F.xxhash64(t, F.lit(1)).alias("r0"),
-                                                  F.xxhash64(t, F.lit(2)).alias("r1")))
+def with_fingerprints(rows: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add fingerprints (name -> columns of the sorted lexicon terms and of the
+    hash of all terms): structs of the density's exponent (-1: no lexicon
+    term), the hashes at it and at the next, and the hash of all terms.
 
-    def hashes(exponent: Column) -> Column:
-        mask = F.expr("1L").cast("long") * F.pow(F.lit(4.0), F.greatest(exponent, F.lit(0))).cast("long") - 1
+    The lexicon is dealt at random into 4^e subsets by the terms' hashes; the
+    first ten count.  Their terms are picked out first, so that the ten subsets
+    are looked for among few.  These parts are columns of their own, in steps:
+    in one expression they would be worked out once for each subset."""
+    e = lambda t: F.when(F.size(t) > 0, F.least(F.lit(MAX_DENSITY - 1), F.floor(F.log2(F.size(t)) / 2))).otherwise(-1)
+    rows = rows.withColumns({f"_e_{n}": e(t).cast("int") for n, (t, _) in names.items()})
+    mask = lambda n, more: F.pow(F.lit(4.0), F.greatest(F.col(f"_e_{n}") + more, F.lit(0))).cast("long") - 1
+    rows = rows.withColumns({f"_mask_{n}_{m}": mask(n, m) for n in names for m in (0, 1)})
 
-        def one(k: int) -> Column:
-            inside = lambda x: F.shiftrightunsigned(x[f"r{k % 2}"], BITS * (k // 2)).bitwiseAND(mask) == 0
-            return F.hash(F.transform(F.filter(mixed, inside), lambda x: x["t"]))
+    def few(n: str, m: int) -> Column:
+        return F.filter(names[n][0], lambda x: x.bitwiseAND(F.col(f"_mask_{n}_{m}")) < SUBSETS)
 
-        return F.when(exponent >= 0, F.array(*[one(k) for k in range(SUBSETS)]))
+    rows = rows.withColumns({f"_few_{n}_{m}": few(n, m) for n in names for m in (0, 1)})
 
-    return F.struct(e.alias("e"), hashes(e).alias("at"), hashes(F.when(e >= 0, e + 1).otherwise(-1)).alias("after"),
-                    other.alias("all"))
+    def hashes(n: str, m: int) -> Column:
+        one = lambda k: F.hash(F.filter(f"_few_{n}_{m}", lambda x: x.bitwiseAND(F.col(f"_mask_{n}_{m}")) == k))
+        return F.when(F.col(f"_e_{n}") >= 0, F.array(*[one(k) for k in range(SUBSETS)]))
+
+    return rows.withColumns({n: F.struct(F.col(f"_e_{n}").alias("e"), hashes(n, 0).alias("at"),
+                                         hashes(n, 1).alias("after"), F.col(all_).alias("all"))
+                             for n, (_, all_) in names.items()})
 
 
 def as_text(f: Column) -> Column:
@@ -133,7 +140,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     checkpoint_dir(spark)
     docs = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    words = lexicon(docs, "_text", min_df, max_df).checkpoint()
+    words = lexicon(docs, "_text", min_df, max_df)
+    words = words.unionByName(docs.sparkSession.range(1).select(F.lit(EACH).cast("long").alias("term"))).checkpoint()
     if words.count() <= MAX_BROADCAST_TERMS:
         words = F.broadcast(words)
     sizes = docs.select("_id", F.char_length("_text").alias("n"))
@@ -159,20 +167,20 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             .select("_k", "_text", n.alias("n"), F.concat(
                 F.substring("_text", F.lit(1), n - quarter(n)),
                 F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter(n))).alias("edited")))
-    own = both.select("_k", F.xxhash64("_text").alias("_key"), "n", F.unhex(F.sha2("edited", 256)).alias("sha"),
-                      F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("_text").alias("t")),
-                                        F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
-    each = own.select("_k", "_key", "n", "sha", F.col("x.v").alias("v"),
-                      F.explode_outer(terms(F.col("x.t"))).alias("seen"))
-    known = words.select(F.col("term"))
-    of = lambda v, c: F.when(F.col("v") == v, F.col(c))
-    got = (each.join(known, each["seen"] == known["term"], "left").groupBy("_k", "_key")
-           .agg(F.any_value("n").alias("n"), F.any_value("sha").alias("sha"),
-                *(F.sort_array(F.collect_list(of(v, "term"))).alias(f"t{v}") for v in (0, 1)),
-                *(F.coalesce(F.bit_xor(of(v, "seen")), F.lit(0)).alias(f"all{v}") for v in (0, 1))))
-    prints = got.select("_k._id", "_key", "n", F.lower(F.hex("sha")).alias("edited_sha256"),
-                        fingerprint(F.col("t0"), F.col("all0")).alias("f"),
-                        fingerprint(F.col("t1"), F.col("all1")).alias("g")).checkpoint()
+    # the term lists are columns first, as both their hash and their elements are used
+    lists = both.select("_k", F.xxhash64("_text").alias("_key"), "n", F.unhex(F.sha2("edited", 256)).alias("sha"),
+                        terms(F.col("_text")).alias("l0"), terms(F.col("edited")).alias("l1"))
+    lists = lists.withColumns({f"all{v}": F.xxhash64(F.sort_array(f"l{v}")) for v in (0, 1)})
+    own = lists.select("_k", "_key", "n", "sha", "all0", "all1", F.explode(F.array(
+        F.struct(F.lit(0).alias("v"), F.array_append("l0", F.lit(EACH).cast("long")).alias("l")),
+        F.struct(F.lit(1).alias("v"), F.col("l1").alias("l")))).alias("x"))
+    each = own.select("_k", "_key", "n", "sha", "all0", "all1", F.col("x.v").alias("v"), F.explode("x.l").alias("term"))
+    of = lambda v: F.when((F.col("v") == v) & (F.col("term") != EACH), F.col("term"))
+    got = (each.join(words, "term").groupBy("_k", "_key")
+           .agg(*(F.any_value(c).alias(c) for c in ("n", "sha", "all0", "all1")),
+                *(F.sort_array(F.collect_list(of(v))).alias(f"t{v}") for v in (0, 1))))
+    prints = (with_fingerprints(got, {"f": ("t0", "all0"), "g": ("t1", "all1")})
+              .select("_k._id", "_key", "n", F.lower(F.hex("sha")).alias("edited_sha256"), "f", "g")).checkpoint()
     after = prints.select(F.col("_id").alias("_want"), F.col("f").alias("h"), F.col("n").alias("_m"))
     if repeated:
         after = after.groupBy("_want").agg(F.max_by("h", "_m").alias("h"))
