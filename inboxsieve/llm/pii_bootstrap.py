@@ -6,8 +6,12 @@ found by pattern and checked (parts, Luhn digits, lengths).
 *Candidates.*  Other words that look like identifiers: with a digit, ``@`` or
 ``_``, or a dot or bracket inside.
 *Graph.*  The word before a seed or candidate, and the two words before it, are
-lexical patterns; a pattern is linked with the instances (strings) it stands
-before.  A pattern's confidence for a kind is the sum of its instances' scores
+lexical patterns, told apart by their hashes; whatever these words are, they
+are those before the white-space delimited word in which the match begins.
+Punctuation between the beginning of that word and the match is passed over; a
+match right after a letter, digit or match has no pattern, as the pattern
+stands before something else.  Seeds of a kind that share a word share its
+place.  A pattern is linked with the instances (strings) it stands before.  A pattern's confidence for a kind is the sum of its instances' scores
 for that kind over all places in the corpus where the pattern stands before
 any word, so frequent words get next to none; an instance's score is the
 noisy-or of the confidences of its patterns.  Seeds keep score 1.  A pattern
@@ -55,31 +59,55 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A whole word with a digit, @ or _, or with a dot or bracket between letters or digits.
 CANDIDATE = (r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@_]*+[0-9@_]|"
              r"[^\x20\x09-\x0D]*?[A-Za-z0-9][.(\[{][A-Za-z0-9])[^\x20\x09-\x0D]++")
-CONTEXT = 120  # characters before a match in which its two words of context are looked for
 MIN_LENGTH = 5
 MIN_SUPPORT, ACCEPT, ROUNDS = 5, 0.8, 3
 MAX_BROADCAST_PATTERNS = 500_000
 
 
+def _word_hashes(text: Column) -> Column:
+    return F.transform(F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def _candidates(text: Column) -> Column:
+    """``match, w1, w2`` of every word that ``CANDIDATE`` matches, in order,
+    with the hashes of the word before it and of the two words before it.
+    Zipped, so that each list is worked out once for a text."""
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+
+    def before(h: Column) -> Column:  # h: the list of all words' hashes
+        n = F.greatest(F.size(h) - 1, F.lit(0))
+        none = F.lit(None).cast("long")
+        twos = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+        return F.arrays_zip(words.alias("match"), F.concat(F.array(none), h).alias("w1"),
+                            F.concat(F.array(none, none), twos).alias("w2"))
+
+    # a list of one, so that the hashes are a variable and not worked out for each use
+    zipped = F.element_at(F.transform(F.array(_word_hashes(text)), before), 1)
+    return F.filter(zipped, lambda z: z["match"].rlike(HINT["candidate"]))
+
+
 def _matches(docs: DataFrame) -> DataFrame:
-    """One row per match: ``kind, k, match, gap, left`` - its number, the
-    number of characters since the match before it, and the end of the text
-    between.  Texts are searched only where their hint is found, and split
-    only where something was matched."""
+    """One row per match: ``kind, k, match, gap, left, w1, w2`` - its number,
+    the number of characters since the match before it, the last of them, and
+    for candidates the words before.  Texts are searched only where their hint
+    is found, and split only where something was matched."""
     text = F.col("_text")
     patterns = PATTERNS | {"candidate": CANDIDATE}
-    docs = docs.withColumns({f"m_{k}": F.when(text.rlike(HINT[k]), F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-                             for k, p in patterns.items()})
+    none = F.lit(None).cast("long")
+    alone = lambda m: F.transform(m, lambda x: F.struct(x.alias("match"), none.alias("w1"), none.alias("w2")))
+    found = {k: alone(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for k, p in PATTERNS.items()}
+    found["candidate"] = _candidates(text)
+    docs = docs.withColumns({f"m_{k}": F.when(text.rlike(HINT[k]), m) for k, m in found.items()})
     docs = docs.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.split(text, p, -1)) for k, p in patterns.items()})
 
     def structs(kind: str) -> Column:
-        pairs = F.arrays_zip(F.col(f"m_{kind}").alias("match"), F.col(f"p_{kind}").alias("before"))
-        return F.coalesce(F.transform(F.filter(pairs, lambda z: z["match"].isNotNull()), lambda z, k: F.struct(
-            F.lit(kind).alias("kind"), k.alias("k"), z["match"].alias("match"), F.char_length(z["before"]).alias("gap"),
-            F.right(z["before"], F.lit(CONTEXT)).alias("left"))), F.array())
+        pairs = F.arrays_zip(F.col(f"m_{kind}").alias("m"), F.col(f"p_{kind}").alias("before"))
+        return F.coalesce(F.transform(F.filter(pairs, lambda z: z["m"].isNotNull()), lambda z, k: F.struct(
+            F.lit(kind).alias("kind"), k.alias("k"), z["m"]["match"].alias("match"),
+            F.char_length(z["before"]).alias("gap"), F.right(z["before"], F.lit(1)).alias("left"),
+            z["m"]["w1"].alias("w1"), z["m"]["w2"].alias("w2"))), F.array())
 
-    found = [structs(k) for k in patterns]
-    return (docs.select("_row", "_id", "_key", F.explode(F.concat(*found)).alias("m"))
+    return (docs.select("_row", "_id", "_key", F.explode(F.concat(*[structs(k) for k in patterns])).alias("m"))
             .select("_row", "_id", "_key", "m.*"))
 
 
@@ -100,25 +128,30 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """Every seed and candidate with its place: ``_row, _id, _key, kind,
-    match, start, end, w1, w2`` (kind null: candidate; w1, w2: the word
-    before, the two words before)."""
-    rows = _matches(docs)
+    """Every seed and candidate with its place: ``_id, _key, kind, match,
+    start, end, w1, w2, share`` (kind null: candidate; w1, w2: the hashes of
+    the word before and of the two words before; share: its part of the place
+    after them).
+
+    Every seed begins in a word that ``CANDIDATE`` matches, so it takes its
+    context from there."""
+    rows = _matches(docs).repartition("_row")  # for all windows
     size = F.char_length("match")
     upto = F.sum(F.col("gap") + size).over(Window.partitionBy("_row", "kind").orderBy("k"))
     rows = rows.withColumn("end", upto).withColumn("start", F.col("end") - size)
-    words = F.filter(F.split(F.lower("left"), SPACE), lambda w: w != "")
-    glued = F.col("left").rlike(r"[^\x20\x09-\x0D]$")  # the word goes on into the match
-    rows = rows.withColumn("_w", words).select(
-        "_row", "_id", "_key", "kind", "match", "start", "end",
-        F.when((F.size("_w") > 0) & ~glued, F.element_at("_w", -1)).alias("w1"),
-        F.when((F.size("_w") > 1) & ~glued, F.array_join(F.slice("_w", -2, 2), " ")).alias("w2"))
-    seed = (F.col("kind") != "candidate") & _valid(F.col("kind"), F.col("match"))
+    cand = F.col("kind") == "candidate"
+    rows = rows.where(cand | _valid(F.col("kind"), F.col("match")))
+    begun = Window.partitionBy("_row").orderBy("start", (~cand).cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_word", F.last(F.when(cand, F.struct(F.col("start").alias("at"), "w1", "w2")), True).over(begun))
+    # the word goes on into the match
+    glued = ~cand & (F.col("start") > 0) & ((F.col("left") == "") | F.col("left").rlike(r"[\p{L}\p{N}]"))
+    rows = rows.withColumns({w: F.when(~glued, F.col(f"_word.{w}")) for w in ("w1", "w2")} | {"_at": F.col("_word.at"), "_glued": glued})
+    together = F.sum((~F.col("_glued")).cast("int")).over(Window.partitionBy("_row", "kind", "_at"))
+    rows = rows.withColumn("share", F.when(F.col("_glued"), 0.0).otherwise(1 / together)).drop("_word", "_at", "_glued", "left")
     # a candidate without the punctuation around it
     lead = F.char_length("match") - F.char_length(F.regexp_replace("match", r"^[^\p{L}\p{N}+]+", ""))
     core = F.regexp_replace(F.regexp_replace("match", r"^[^\p{L}\p{N}+]+", ""), r"[^\p{L}\p{N}]++$", "")
-    cand = F.col("kind") == "candidate"
-    rows = (rows.where(seed | cand).withColumn("start", F.when(cand, F.col("start") + lead).otherwise(F.col("start")))
+    rows = (rows.withColumn("start", F.when(cand, F.col("start") + lead).otherwise(F.col("start")))
             .withColumn("match", F.when(cand, core).otherwise(F.col("match")))
             .withColumn("end", F.col("start") + F.char_length("match"))
             .where(~cand | (F.col("end") - F.col("start") >= MIN_LENGTH)))
@@ -130,24 +163,20 @@ def _places(docs: DataFrame) -> DataFrame:
     clear = (F.coalesce(F.col("_begun") <= F.col("start"), F.lit(True))
              & F.coalesce(F.col("_coming") >= F.col("end"), F.lit(True)))
     return rows.where(~cand | clear).select(
-        "_id", "_key", F.when(~cand, F.col("kind")).alias("kind"), "match", "start", "end", "w1", "w2").distinct()
+        "_id", "_key", F.when(~cand, F.col("kind")).alias("kind"), "match", "start", "end", "w1", "w2", "share").distinct()
 
 
 def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``pattern, places``: how often each pattern (a word or two) stands
-    before a word.  Words are counted by their hashes."""
-    words = F.filter(F.split(F.lower("_text"), SPACE), lambda w: w != "")
-    hashed = docs.select(F.transform(words, lambda w: F.xxhash64(w)).alias("h")).where("size(h) > 1")
+    """``pattern, places``: how often each pattern (a word or two, hashed)
+    stands before a word."""
+    hashed = docs.select(_word_hashes(F.col("_text")).alias("h")).where("size(h) > 1")
     ones = F.slice("h", F.lit(1), F.size("h") - 1)
     twos = F.zip_with(F.slice("h", F.lit(1), F.size("h") - 2), F.slice("h", F.lit(2), F.size("h") - 2),
                       lambda a, b: F.xxhash64(a, b))
-    each = hashed.select(F.explode(F.when(F.size("h") > 2, F.concat(ones, twos)).otherwise(ones)).alias("_h"))
-    parts = F.transform(F.split("pattern", " "), lambda w: F.xxhash64(w))
-    known = patterns.select("pattern", F.when(F.size(parts) > 1, F.xxhash64(parts[0], F.get(parts, F.lit(1))))
-                            .otherwise(parts[0]).alias("_h"))
+    each = hashed.select(F.explode(F.when(F.size("h") > 2, F.concat(ones, twos)).otherwise(ones)).alias("pattern"))
+    known = patterns.select("pattern")
     side = F.broadcast(known) if patterns.count() <= MAX_BROADCAST_PATTERNS else known
-    counts = each.join(side.select("_h"), "_h").groupBy("_h").agg(F.count("*").alias("places"))
-    return known.join(counts, "_h").select("pattern", "places")
+    return each.join(side, "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
 
 
 def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT, accept: float = ACCEPT,
@@ -155,8 +184,8 @@ def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT,
     """``match, kind``: accepted candidate strings with their kind (``docs``:
     ``_text``; ``places``: from ``_places``)."""
     # one row for each pattern, instance and kind, with the number of places
-    graph = (places.select("kind", "match", F.explode(F.array("w1", "w2")).alias("pattern")).where("pattern IS NOT NULL")
-             .groupBy("pattern", "match", "kind").agg(F.count("*").alias("n")))
+    graph = (places.select("kind", "match", "share", F.explode(F.array("w1", "w2")).alias("pattern")).where("pattern IS NOT NULL")
+             .groupBy("pattern", "match", "kind").agg(F.sum("share").alias("n")))
     support = graph.groupBy("pattern").agg(F.count("*").alias("m")).where(F.col("m") > min_support).select("pattern")
     # only patterns that also stand before a candidate can discover anything
     support = support.join(graph.where("kind IS NULL").select("pattern").distinct(), "pattern", "left_semi").checkpoint()
@@ -193,7 +222,7 @@ def find_identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     docs = docs.withColumn("_key", F.xxhash64("_text"))
     places = _places(docs).checkpoint()
-    new = discover(docs, places.select("kind", "match", "w1", "w2"), min_support, accept, rounds)
+    new = discover(docs, places.select("kind", "match", "w1", "w2", "share"), min_support, accept, rounds)
     seeds = places.where("kind IS NOT NULL").select("_id", "_key", "kind", "start", "end", F.lit(True).alias("seed"))
     more = places.where("kind IS NULL").drop("kind").join(new, "match").select(
         "_id", "_key", "kind", "start", "end", F.lit(False).alias("seed"))

@@ -74,6 +74,27 @@ def test_context_discovers_unseen_identifiers(spark):
     assert clean[3] == "hello there, my mailbox: [EMAIL] is open, see chapter 1300"
 
 
+def discovered(spark, seeds, rest):
+    """What is found in ``rest`` beside the texts of ``seeds`` (each of 12 addresses)."""
+    rows = [(k, s.format(m=f"user{k}.{n}@example.com"), "en", "a") for n, s in enumerate(seeds) for k in range(12)]
+    rows += [(1000 + k, t, "en", "a") for k, t in enumerate(rest)]
+    found = pii.find_identifiers(messy_table(spark, rows)).where("doc_id >= 1000").orderBy("doc_id").collect()
+    return [[rest[r.doc_id - 1000][s.start:s.end] for s in r.spans if not s.seed] for r in found]
+
+
+def test_context_is_taken_from_the_whole_text(spark):
+    long, seeds = "w" * 200, [
+        "see user_id: <{m}> here", "line_2 mailbox {m}", "x_1@home.example {m}", "w" * 200 + " " * 200 + "{m}", "at mail:{m};z.{m}"]
+    rest = {
+        'old user_id: "a(at)corp.example" left': ["a(at)corp.example"], "new chapter.2 begins": [],
+        "line_2 mailbox b(at)corp.example": ["b(at)corp.example"], "mailbox full " * 90: [],  # only the two words tell
+        "x_1@home.example c(at)corp.example": ["c(at)corp.example"],  # the second of a list
+        f"{long} d(at)corp.example": ["d(at)corp.example"], "at e(at)corp.example": ["e(at)corp.example"]}
+    assert discovered(spark, seeds, list(rest)) == list(rest.values())
+    # seeds that share a word share its place: 12 of 25 places, not 24
+    assert discovered(spark, seeds[-1:], ["at e(at)corp.example", "at home " * 12]) == [[], []]
+
+
 def test_redaction_merges_overlaps_and_keeps_columns(spark, messy, nothing):
     docs = messy_table(spark, [(1, "x +14111111111111111 4111111111111111 y 1.2.3.4@a.b", "en", "a")])
     assert pii.redact(docs).first().text == re.sub("", "", redacted(docs.first().text))
