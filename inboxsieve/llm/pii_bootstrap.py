@@ -15,7 +15,8 @@ place.  A pattern is linked with the instances (strings) it stands before.  A pa
 for that kind over all places in the corpus where the pattern stands before
 any word, so frequent words get next to none; an instance's score is the
 noisy-or of the confidences of its patterns.  Seeds keep score 1.  A pattern
-needs ``MIN_SUPPORT`` different scored instances.  Scores are iterated; a
+needs ``MIN_SUPPORT`` different scored instances.  Scores are iterated until
+those of accepted strings no longer grow (they only grow, so this ends); a
 candidate whose score reaches ``ACCEPT`` is an identifier of that kind, counts
 as an instance in the next round, and all its places become spans.
 
@@ -60,7 +61,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 CANDIDATE = (r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@_]*+[0-9@_]|"
              r"[^\x20\x09-\x0D]*?[A-Za-z0-9][.(\[{][A-Za-z0-9])[^\x20\x09-\x0D]++")
 MIN_LENGTH = 5
-MIN_SUPPORT, ACCEPT, ROUNDS = 5, 0.8, 3
+MIN_SUPPORT, ACCEPT = 5, 0.8
+STEP = 1e-6  # scores are compared between rounds in steps of this
 MAX_BROADCAST_PATTERNS = 500_000
 
 
@@ -179,8 +181,7 @@ def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return each.join(side, "pattern").groupBy("pattern").agg(F.count("*").alias("places"))
 
 
-def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT, accept: float = ACCEPT,
-             rounds: int = ROUNDS) -> DataFrame:
+def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """``match, kind``: accepted candidate strings with their kind (``docs``:
     ``_text``; ``places``: from ``_places``)."""
     # one row for each pattern, instance and kind, with the number of places
@@ -193,8 +194,8 @@ def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT,
     seeds = graph.where("kind IS NOT NULL").withColumn("score", F.lit(1.0)).drop("places")
     candidates = graph.where("kind IS NULL").select("pattern", "match", "n")
     everywhere = graph.select("pattern", "places").distinct()
-    scored, accepted = None, -1
-    for _ in range(rounds):
+    scored, total = None, 0
+    while True:
         known = seeds if scored is None else seeds.unionByName(
             candidates.join(scored.where(F.col("score") >= accept), "match").select(
                 "pattern", "match", "kind", "n", "score"))
@@ -205,15 +206,17 @@ def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT,
         miss = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf"))))
         scored = (candidates.join(confidence, "pattern").groupBy("match", "kind")
                   .agg((1 - F.exp(miss)).alias("score"))).checkpoint()
-        before, accepted = accepted, scored.where(F.col("score") >= accept).count()
-        if accepted in (0, before):  # nothing new to learn from
+        # whole numbers, as their sum does not depend on the order
+        steps = F.sum(F.floor(F.col("score") / STEP))
+        before, total = total, scored.where(F.col("score") >= accept).agg(steps).first()[0] or 0
+        if total <= before:  # nothing new to learn from
             break
     best = F.max_by("kind", F.struct("score", "kind"))
     return scored.where(F.col("score") >= accept).groupBy("match").agg(best.alias("kind"))
 
 
 def find_identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT,
-                     accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
+                     accept: float = ACCEPT) -> DataFrame:
     """``<doc_id>, _key, spans`` of every different row (id and text): array
     of ``start, rank, end, kind, seed`` ordered by start, then kind as listed.
     ``_key`` is ``xxhash64`` of the text (null: empty)."""
@@ -222,7 +225,7 @@ def find_identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     docs = docs.withColumn("_key", F.xxhash64("_text"))
     places = _places(docs).checkpoint()
-    new = discover(docs, places.select("kind", "match", "w1", "w2", "share"), min_support, accept, rounds)
+    new = discover(docs, places.select("kind", "match", "w1", "w2", "share"), min_support, accept)
     seeds = places.where("kind IS NOT NULL").select("_id", "_key", "kind", "start", "end", F.lit(True).alias("seed"))
     more = places.where("kind IS NULL").drop("kind").join(new, "match").select(
         "_id", "_key", "kind", "start", "end", F.lit(False).alias("seed"))

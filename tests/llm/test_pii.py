@@ -95,6 +95,15 @@ def test_context_is_taken_from_the_whole_text(spark):
     assert discovered(spark, seeds[-1:], ["at e(at)corp.example", "at home " * 12]) == [[], []]
 
 
+def test_rounds_go_on_to_the_end_of_a_chain(spark):
+    steps = 6  # instances of each step are known by the pattern they share with the one before
+    rows = [f"w0 user{k}@example.com" for k in range(12)]
+    rows += [f"w{n} s{n}k{k}.x" for n in range(steps) for k in range(6)] + [f"w{n + 1} s{n}k{k}.x" for n in range(steps) for k in range(6)]
+    docs = messy_table(spark, [(k, t, "en", "a") for k, t in enumerate(rows)])
+    found = {r.doc_id for r in pii.find_identifiers(docs, accept=0.4).collect() if r.spans}
+    assert found == set(range(len(rows)))
+
+
 def test_redaction_merges_overlaps_and_keeps_columns(spark, messy, nothing):
     docs = messy_table(spark, [(1, "x +14111111111111111 4111111111111111 y 1.2.3.4@a.b", "en", "a")])
     assert pii.redact(docs).first().text == re.sub("", "", redacted(docs.first().text))
