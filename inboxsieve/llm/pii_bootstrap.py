@@ -133,7 +133,7 @@ def _places(docs: DataFrame) -> DataFrame:
     """Every seed and candidate with its place: ``_id, _key, kind, match,
     start, end, w1, w2, share`` (kind null: candidate; w1, w2: the hashes of
     the word before and of the two words before; share: its part of the place
-    after them).
+    after them, added up over rows equal in id and text, as their places are).
 
     Every seed begins in a word that ``CANDIDATE`` matches, so it takes its
     context from there."""
@@ -164,8 +164,8 @@ def _places(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_begun", begun).withColumn("_coming", coming)
     clear = (F.coalesce(F.col("_begun") <= F.col("start"), F.lit(True))
              & F.coalesce(F.col("_coming") >= F.col("end"), F.lit(True)))
-    return rows.where(~cand | clear).select(
-        "_id", "_key", F.when(~cand, F.col("kind")).alias("kind"), "match", "start", "end", "w1", "w2", "share").distinct()
+    return (rows.where(~cand | clear).withColumn("kind", F.when(~cand, F.col("kind")))
+            .groupBy("_id", "_key", "kind", "match", "start", "end", "w1", "w2").agg(F.sum("share").alias("share")))
 
 
 def _pattern_places(docs: DataFrame, patterns: DataFrame) -> DataFrame:

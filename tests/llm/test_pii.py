@@ -104,6 +104,12 @@ def test_rounds_go_on_to_the_end_of_a_chain(spark):
     assert found == set(range(len(rows)))
 
 
+def test_repeated_rows_leave_the_confidence_as_it_is(spark):
+    docs = messy_table(spark, [(i, t, "en", "a") for i, t in context_rows()])
+    got = {r.doc_id: r.spans for r in pii.find_identifiers(docs.unionByName(docs)).collect()}
+    assert got == {r.doc_id: r.spans for r in pii.find_identifiers(docs).collect()} and got[50]
+
+
 def test_redaction_merges_overlaps_and_keeps_columns(spark, messy, nothing):
     docs = messy_table(spark, [(1, "x +14111111111111111 4111111111111111 y 1.2.3.4@a.b", "en", "a")])
     assert pii.redact(docs).first().text == re.sub("", "", redacted(docs.first().text))
