@@ -58,6 +58,18 @@ def test_the_band_leaves_out_rare_and_common_terms(spark):
     assert imatch.lexicon(docs, min_df=0.08, max_df=0.5).count() == 10
 
 
+def test_copies_count_once_and_near_copies_stay_alike(spark):
+    copies = [(k, "same old words", "en", "a") for k in range(50)] + [(50 + k, f"other text {k}", "en", "a") for k in range(10)]
+    assert imatch.lexicon(messy_table(spark, copies), min_df=0.08, max_df=0.5).count() == 3 + 10
+    base = prose(1, 60).split()  # near copies, one word apart, are a third of the rows
+    near = [(k, " ".join([*base[:k], f"new{k}", *base[k + 1:]]), "en", "a") for k in range(30)]
+    rest = [(30 + k, prose(100 + k, 60, 5000), "en", "a") for k in range(60)]
+    got = {r.doc_id: r for r in imatch.edited_fingerprints(messy_table(spark, near + rest)).collect()}
+    assert sum(got[k].near_next for k in range(29)) / 29 > 0.6
+    assert sum(got[k].near_edited for k in range(29)) / 29 > 0.4
+    assert sum(got[30 + k].near_next for k in range(59)) / 59 < 0.1
+
+
 def test_empty_table(nothing):
     assert imatch.edited_fingerprints(nothing).count() == 0
 
