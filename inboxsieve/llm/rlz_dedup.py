@@ -1,4 +1,5 @@
-"""Substring deduplication by relative Lempel-Ziv parsing over reference blocks.
+"""Substring deduplication by a content-defined index of reference blocks, in
+place of relative Lempel-Ziv parsing.
 
 A passage is a duplicate if ``window`` (50) or more consecutive words of it
 also stand in a document with a smaller id.  Every document is a reference for
@@ -11,14 +12,15 @@ comparing documents with each other:
 1. *Index.*  For every anchor that several documents have, and for every
    (anchor, block content) where an anchor has several contents, the smallest
    id that has it.
-2. *Factors.*  A document is parsed against the index block by block; a run of
-   blocks found under a smaller id is a factor, and as its blocks are whole
-   windows, it is long enough by construction and is a duplicate span.
-3. *Factor boundaries.*  Where a passage begins or ends, a block's content is
+2. *Known blocks.*  Every block is looked up on its own; one found under a
+   smaller id (any, not the same for its neighbours) is a duplicate span, and
+   as it is made of whole windows, it is long enough by construction.  No run
+   of blocks is extended against one reference.
+3. *Boundaries.*  Where a passage begins or ends, a block's content is
    new although its anchor is known, and part of its windows may still be
    duplicates.  Only there, windows are compared one by one - and only those
    of a block content's first document, as a later document with the same
-   content is covered by its factor already.  The windows seen there are
+   content is covered by its block already.  The windows seen there are
    indexed the same way (smallest id for each window).
 
 The spans are exact: each window is compared by its whole content (64-bit
