@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_trie, chat, cube_mix, decision_list, gbt_quality, imatch, langid, ngram_join, pii_bootstrap, rlz_dedup
+from . import (bpe_trie, chat, cost_packing, cube_mix, decision_list, filter_audit, gbt_quality, imatch, langid,
+               ngram_join, pii_bootstrap, rlz_dedup, token_align)
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -18,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     from public_tokenizers import path
 
-    return path("byte_bpe_50k.json")
+    return path(name)
 
 
 def remainder(doc_id: str, k: int) -> Column:
@@ -111,6 +112,22 @@ def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = token_align.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"),
+                             digest=True)
+    return done.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cost_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset", "sequence_tokens")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP8_SQL = r"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -166,6 +183,42 @@ SELECT reach.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS compon
 FROM reach LEFT JOIN n ON n.doc_id = reach.doc_id GROUP BY reach.doc_id
 """
 
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+d AS (
+  SELECT part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic FROM w),
+alike AS (
+  SELECT part, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, coalesce(good, false) AS good,
+         coalesce(toxic, false) AS toxic, count(*) AS n FROM d GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS o FROM l p, l q, l r, l s, l t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+seen AS (
+  SELECT part, o, step, o[step] AS f, n, good, toxic, fails[o[step]] AS here,
+         len(list_filter(map_keys(fails), lambda x: fails[x])) AS n_fails,
+         len(list_filter(range(1, step::BIGINT), lambda k: fails[o[k]])) > 0 AS gone
+  FROM alike, steps),
+sums AS (
+  SELECT part, o, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT here), 0) AS kept,
+         coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (here AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (here AND n_fails = 1), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (here AND NOT gone AND good), 0) AS good_lost,
+         coalesce(sum(n) FILTER (here AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM seen GROUP BY ALL)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM sums
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_imatch": op1_imatch,
     "op2_cube_mix": op2_cube_mix,
@@ -177,9 +230,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_rank_language": op9_rank_language,
     "op10_pii_bootstrap": op10_pii_bootstrap,
+    "op11_token_align": op11_token_align,
+    "op12_cost_packing": op12_cost_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE: dict[str, str] = {
     "op3_rlz_dedup": OP3_SQL,
     "op6_ngram_join": OP6_SQL,
     "op8_chat_format": OP8_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
