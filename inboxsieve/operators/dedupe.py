@@ -20,19 +20,26 @@ Physical plan (skew-safe; a single key may hold a third of all rows):
    is split over many range partitions instead of landing in one task;
 3. ``checkpoint()`` into the cluster's shared checkpoint folder: the passes
    below read stable partitions and lineage is cut;
-4. each partition folds its rows in order as a stream of Arrow batches
-   (``mapInArrow``, O(1) state) and reports one small summary: first and last
-   key, first and last time, exit state.  What a partition inherits can only
-   matter if it holds a single key (else its last key begins inside it), so
-   the summaries are composed from left to right: a claim that outlives a
-   partition passes through it, one that ended before it changes nothing, and
-   for one that ends inside it the summary tells the exit for every moment at
-   which it may end (``EXITS`` moments at most; a partition with more is
-   folded once more with its true entry, all such partitions of a pass
-   together).  There is no limit on passes; usually there is one;
-5. a last pass emits one status row per delivery.
-
-No group is ever collected; the driver only sees the summaries.  Rows without
+4. a first pass folds each partition's rows in order as a stream of Arrow
+   batches (``mapInArrow``, O(1) carried state) and reports one summary: first
+   and last key, first and last time, exit state.  What a partition inherits
+   can only matter beyond it if it holds a single key (else its last key begins
+   inside it).  For such a partition the exit is a piecewise constant function
+   of the moment at which the inherited claim ends, and the pass lists its
+   pieces, over all batches.  An inherited claim ends at the latest ``ttl`` plus
+   the longest run after the partition's first row, so only rows up to there
+   begin a piece;
+5. the driver walks over the summaries (O(partitions) numbers): a claim that
+   outlives a partition passes through it.  Only where a claim ends inside a
+   single-key partition the pieces are needed.  Each piece leads to the piece
+   of a later partition in which its own exit ends (one lookup), and the chain
+   that begins with the known claim is found by pointer doubling: a round joins
+   the pieces with themselves and doubles the known part of every chain, so a
+   key over p partitions takes log2(p) rounds, whatever the number of claims;
+6. a last pass folds with the states found and emits one row per delivery.
+
+No group is ever collected; the driver sees the summaries and one piece per
+partition.  Rows without
 a time cannot be ordered: their status is ``invalid`` and they claim nothing.
 A NULL key is a key like any other.
 """
@@ -49,14 +56,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint, checkpoint_dir
 
 DEFAULT_TTL = _dt.timedelta(days=7)
 _EPOCH = _dt.datetime(1970, 1, 1)
 
 PROCESSED, RELEASED, SKIPPED, PROCESSING, INVALID = "processed", "released", "skipped", "processing", "invalid"
 NONE = -(1 << 62)  # no claim blocks the key
-EXITS = 512
+LOOKUPS = 1 << 20  # exits looked up by one task; more are dealt out
 
 
 def _micros(col: Column, dtype: T.DataType) -> Column:
@@ -127,21 +134,56 @@ class Folded:
         self.expires = np.where(claimed & ~ok, NONE, self.post_until)
         self.fin, self.ok = fin, ok
 
-    def exits(self, t: np.ndarray) -> list[tuple[int, int, int, str]] | None:
-        """For rows of one key: ``(time, until, fin, final)`` - the state after
-        the last row if the inherited claim ends at the time or before it, but
-        after the time of the entry before.  None if there are too many."""
+
+class Exits:
+    """The exits of a partition of one key, as a function of the moment at
+    which the claim that it inherits ends.
+
+    A row is an entry if an inherited claim may end at its time, after that of
+    the row before.  Entries whose latest claim is the same row form one chain;
+    a batch moves each chain to its last claim inside the batch."""
+
+    def __init__(self, span: int):
+        self.span, self.limit = span, None
+        self.times = np.zeros(0, dtype=np.int64)  # of the entries
+        self.chain = np.zeros(0, dtype=np.int64)  # which chain each is in
+        self.until, self.fin = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)  # by chain
+        self.ok = np.zeros(0, dtype=bool)
+
+    def add(self, t: np.ndarray, done: Folded) -> None:
         n = len(t)
-        last, go = np.arange(n), self.next.copy()
-        while (go < n).any():  # jump twice as far each time
-            inside = go < n
-            last = np.where(inside, last[np.minimum(go, n - 1)], last)
-            go = np.where(inside, go[np.minimum(go, n - 1)], n)
-        change = np.flatnonzero(np.concatenate([last[1:] != last[:-1], [True]]))
-        if len(change) > EXITS:
-            return None
-        return [(int(t[i]), int(self.end[last[i]]), int(self.fin[last[i]]),
-                 PROCESSED if self.ok[last[i]] else PROCESSING) for i in change]
+        if self.limit is None:
+            self.limit = int(t[0]) + self.span
+        last, go = np.arange(n), done.next.copy()
+        while (go < n).any():  # the last claim of a chain from each row, jumping twice as far each time
+            inside = np.minimum(go, n - 1)
+            last, go = np.where(go < n, last[inside], last), np.where(go < n, go[inside], n)
+        landed = np.searchsorted(t, self.until, "left")
+        # of rows at one time the first is claimed; one row beyond the limit is an entry too
+        new = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        if len(self.times):
+            new = new[t[new] != self.times[-1]] if self.times[-1] <= self.limit else new[:0]
+        new = new[:np.searchsorted(t[new], self.limit, "right") + 1]
+        # chains by their last claim: a row of this batch, or none (numbered from n on)
+        at = np.concatenate([np.where(landed < n, last[np.minimum(landed, n - 1)], n + np.arange(len(landed))), last[new]])
+        names, place = np.unique(at, return_inverse=True)
+        here, before = names < n, names[names >= n] - n
+        rows = names[here]
+        self.times = np.concatenate([self.times, t[new]])
+        self.chain = place[np.concatenate([self.chain, len(landed) + np.arange(len(new))])]
+        self.until = np.concatenate([done.end[rows], self.until[before]])
+        self.fin = np.concatenate([done.fin[rows], self.fin[before]])
+        self.ok = np.concatenate([done.ok[rows], self.ok[before]])
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(time, until, fin, ok)``: the state after the last row if the
+        inherited claim ends at the time or before it, but after the time of
+        the piece before."""
+        if not len(self.times):
+            return self.times, self.until, self.fin, self.ok
+        k = np.flatnonzero(np.concatenate([self.chain[1:] != self.chain[:-1], [True]]))
+        c = self.chain[k]
+        return self.times[k], self.until[c], self.fin[c], self.ok[c]
 
 
 def _runs(batch: pa.RecordBatch) -> np.ndarray:
@@ -177,78 +219,167 @@ def _fold_stream(batches: Iterator[pa.RecordBatch], ttl: int, entries: dict):
         yield batch, done
 
 
-def _summary(batches: Iterator[pa.RecordBatch], ttl: int, entries: dict) -> Iterator[pa.RecordBatch]:
-    out, exits, n = None, [], 0
-    for batch, done in _fold_stream(batches, ttl, entries):
+_FOUND = pa.schema([
+    ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("first_t", pa.int64()),
+    ("last_t", pa.int64()), ("until", pa.int64()), ("fin", pa.int64()), ("final", pa.string()),
+    ("k", pa.int32()), ("t", pa.int64())])
+_FOUND_SQL = ("pid int, first_key string, last_key string, first_t bigint, last_t bigint, until bigint, fin bigint, "
+              "final string, k int, t bigint")
+PIECE_ROWS = 1 << 16
+
+
+def _boundaries(batches: Iterator[pa.RecordBatch], ttl: int, span: int) -> Iterator[pa.RecordBatch]:
+    """The summary of a partition (``k`` null) and the pieces of its exit
+    function (``k`` from 0 on; ``t``, and the state it leads to)."""
+    out, exits = None, Exits(span)
+    for batch, done in _fold_stream(batches, ttl, {}):
         t = batch.column("_t").to_numpy(zero_copy_only=False)
         ends = (batch.column("_tok")[0].as_py(), batch.column("_tok")[-1].as_py())
         if out is None:
             out = {"pid": batch.column("_pid")[0].as_py(), "first_key": ends[0], "first_t": int(t[0])}
-            one = ends[0] == ends[1] and not entries
-            exits = done.exits(t) if one else None
-        else:
-            exits = None  # a partition of several batches is folded again if need be
         out |= {"last_key": ends[1], "last_t": int(t[-1]), "until": int(done.post_until[-1]),
                 "fin": int(done.post_fin[-1]), "final": str(done.post_final[-1])}
-        n += batch.num_rows
-    if out is not None:
-        out["exits"] = None if exits is None else [dict(zip(("t", "until", "fin", "final"), e, strict=True)) for e in exits]
-        yield pa.RecordBatch.from_pylist([out], schema=_SUMMARY_ARROW)
-
-
-_SUMMARY_ARROW = pa.schema([
-    ("pid", pa.int32()), ("first_key", pa.string()), ("last_key", pa.string()), ("first_t", pa.int64()),
-    ("last_t", pa.int64()), ("until", pa.int64()), ("fin", pa.int64()), ("final", pa.string()),
-    ("exits", pa.list_(pa.struct([("t", pa.int64()), ("until", pa.int64()), ("fin", pa.int64()), ("final", pa.string())])))])
-_SUMMARY_SCHEMA = ("pid int, first_key string, last_key string, first_t bigint, last_t bigint, until bigint, fin bigint, "
-                   "final string, exits array<struct<t:bigint,until:bigint,fin:bigint,final:string>>")
-
-
-def _compose(summaries: list, refolded: dict) -> tuple[dict, set]:
-    """Entry states of the partitions from left to right, and the partitions
-    whose exit must be folded with their entry first.
-
-    ``refolded`` has the exits of partitions already folded so, by partition
-    and entry."""
-    entries, open_ = {}, set()
-    before = None  # (key, state) at the end of the partition before; state False: not known yet
-    for s in summaries:
-        entry = before[1] if before is not None and before[0] == s["first_key"] else None
-        exit_ = (s["until"], s["fin"], s["final"])
+        if exits is not None and out["first_key"] == ends[1]:
+            exits.add(t, done)
+        else:
+            exits = None
+    if out is None:
+        return
+    yield pa.RecordBatch.from_pylist([out], schema=_FOUND)
+    if exits is None:
+        return
+    t, until, fin, ok = exits.pieces()
+    for a in range(0, len(t), PIECE_ROWS):
+        part = slice(a, a + PIECE_ROWS)
+        n = len(t[part])
+        nothing = pa.nulls(n, pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, out["pid"], dtype=np.int32)), nothing, nothing, pa.nulls(n, pa.int64()),
+             pa.nulls(n, pa.int64()), pa.array(until[part]), pa.array(fin[part]),
+             pa.array(np.where(ok[part], PROCESSED, PROCESSING).astype(object), pa.string()),
+             pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(t[part])], schema=_FOUND)
+
+
+def _walk(summaries: list) -> tuple[dict, list]:
+    """Entry states of the partitions that the summaries alone tell, and the
+    runs they do not: ``(state, partitions, partition after)`` where a claim
+    ends inside the first of the single-key partitions."""
+    entries, runs = {}, []
+    key, state, i = None, None, 0
+    while i < len(summaries):
+        s = summaries[i]
         alone = s["first_key"] == s["last_key"]
-        if entry is False:
-            exit_ = False if alone else exit_
-        elif entry is not None and entry[0] != NONE:
+        entry = state if i and key == s["first_key"] else None
+        exit_ = (s["until"], s["fin"], s["final"])
+        if entry is not None and entry[0] != NONE:
             entries[s["pid"]] = entry
-            if alone and entry[0] > s["last_t"]:
+        if entry is not None and alone:
+            if entry[0] > s["last_t"]:
                 exit_ = entry
-            elif alone and entry[0] > s["first_t"]:
-                known = refolded.get((s["pid"], entry))
-                if known is not None:
-                    exit_ = known
-                elif s["exits"] is not None:
-                    e = next(e for e in s["exits"] if e["t"] >= entry[0])
-                    exit_ = (e["until"], e["fin"], e["final"])
-                else:
-                    open_.add(s["pid"])
-                    exit_ = False
-        before = (s["last_key"], exit_)
-    return entries, open_
-
-
-def _resolve_entries(prepared: DataFrame, ttl: int) -> dict:
-    """The state each partition inherits (the driver sees a summary of each)."""
-    rows = prepared.mapInArrow(lambda it: _summary(it, ttl, {}), _SUMMARY_SCHEMA).collect()
-    summaries = sorted((r.asDict() for r in rows), key=lambda r: r["pid"])
-    refolded: dict = {}
-    while True:
-        entries, open_ = _compose(summaries, refolded)
-        if not open_:
-            return entries
-        some = {p: entries[p] for p in open_}
-        again = (prepared.where(F.col("_pid").isin(list(open_)))
-                 .mapInArrow(lambda it, e=some: _summary(it, ttl, e), _SUMMARY_SCHEMA).collect())
-        refolded |= {(r["pid"], some[r["pid"]]): (r["until"], r["fin"], r["final"]) for r in again}
+            elif entry[0] > s["first_t"]:
+                j = i
+                while j < len(summaries) and summaries[j]["first_key"] == summaries[j]["last_key"] == s["first_key"]:
+                    j += 1
+                runs.append((entry, summaries[i:j], summaries[j]["pid"] if j < len(summaries)
+                             and summaries[j]["first_key"] == s["first_key"] else None))
+                # nothing of this key reaches over the partition after the run
+                key, state, i = None, None, j
+                continue
+        key, state, i = s["last_key"], exit_, i + 1
+    return entries, runs
+
+
+def _name(pid, k):
+    """One number for a piece."""
+    return pid * (1 << 32) + k
+
+
+def _double(jumps: DataFrame) -> DataFrame:
+    """Jumps twice as far."""
+    further = jumps.select(F.col("name").alias("target"), F.col("target").alias("beyond"))
+    return jumps.join(further, "target").select("name", F.col("beyond").alias("target"))
+
+
+def _jumps(found: DataFrame, runs: list) -> DataFrame:
+    """From each piece of the runs (``name``) the piece that its exit ends in
+    (``target``; no row if that is beyond the run)."""
+    spark = found.sparkSession
+    of = {s["pid"]: r for r, (_, parts, _) in enumerate(runs) for s in parts}
+    bounds = [tuple(np.array([s[c] for s in parts], dtype=np.int64) for c in ("pid", "first_t", "last_t"))
+              for _, parts, _ in runs]
+    known = spark.sparkContext.broadcast((of, bounds))  # three numbers a partition
+
+    def land(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, bounds = known.value
+        for batch in batches:
+            pid, k, until = _numbers(batch, "pid", "k", "until")
+            where, inside = np.full(len(pid), -1, dtype=np.int64), np.zeros(len(pid), dtype=bool)
+            for p in np.unique(pid).tolist():
+                if p not in of:
+                    continue
+                rows = np.flatnonzero(pid == p)
+                pids, first, last = bounds[of[p]]
+                # a later one: a claim that ends at once ends at the last time of its own
+                q = np.maximum(np.searchsorted(last, until[rows], "left"), np.searchsorted(pids, p) + 1)
+                rows, q = rows[q < len(pids)], q[q < len(pids)]
+                where[rows], inside[rows] = pids[q], until[rows] > first[q]
+            ours = where >= 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_name(pid.astype(np.int64), k)[ours]), pa.array(until[ours]), pa.array(where[ours]),
+                 pa.array(inside[ours])], ["name", "until", "pid", "inside"])
+
+    pieces = found.where(F.col("k").isNotNull())
+    landed = pieces.select("pid", "k", "until").mapInArrow(land, "name bigint, until bigint, pid bigint, inside boolean")
+    first = landed.where("NOT inside").select("name", _name(F.col("pid"), F.lit(0)).alias("target"))
+    asks = landed.where("inside").select("name", "until", "pid")
+    # how many exits end inside each partition: a task looks up so many at most
+    counts = {r["pid"]: r["count"] for r in asks.groupBy("pid").count().collect()}
+    parts = {p: -(-n // LOOKUPS) for p, n in counts.items()}
+    deal = spark.createDataFrame(list(parts.items()) or [(-1, 1)], "pid long, parts long")
+    salted = asks.join(F.broadcast(deal), "pid").select(
+        "name", "until", "pid", F.pmod(F.xxhash64("name"), "parts").alias("part"))
+    copies = (pieces.select(F.col("pid").cast("long").alias("pid"), "k", "t").join(F.broadcast(deal), "pid")
+              .select("pid", "k", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+
+    def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        t, k, pid = (table.column(c).to_numpy() for c in ("t", "k", "pid"))
+        at = np.searchsorted(t, asked.column("until").to_numpy(), "left")
+        return pa.table({"name": asked.column("name"), "target": pa.array(_name(pid[at], k[at].astype(np.int64)))})
+
+    return first.unionByName(salted.groupBy("pid", "part").cogroup(copies.groupBy("pid", "part")).applyInArrow(
+        look_up, "name bigint, target bigint"))
+
+
+def _resolve_entries(prepared: DataFrame, ttl: int, span: int) -> dict:
+    """The state each partition inherits."""
+    spark = prepared.sparkSession
+    found = checkpoint(prepared.mapInArrow(lambda it: _boundaries(it, ttl, span), _FOUND_SQL))
+    summaries = sorted((r.asDict() for r in found.where("k IS NULL").collect()), key=lambda r: r["pid"])
+    entries, runs = _walk(summaries)
+    if not runs:
+        return entries
+    # the piece in which each run's first claim ends
+    starts = spark.createDataFrame([(parts[0]["pid"], state[0]) for state, parts, _ in runs], "pid int, at long")
+    pieces = found.where("k IS NOT NULL")
+    begin = (pieces.join(F.broadcast(starts), "pid").where("t >= at").groupBy("pid").agg(F.min("k").alias("k")))
+    path = {_name(r["pid"], r["k"]) for r in begin.collect()}
+    jumps, longest, length = None, max(len(parts) for _, parts, _ in runs), 1
+    while length < longest:
+        jumps = checkpoint(_jumps(found, runs) if jumps is None else _double(jumps))
+        known = spark.createDataFrame([(p,) for p in path], "name long")  # one piece a partition at most
+        path |= {r["target"] for r in jumps.join(F.broadcast(known), "name").select("target").collect()}
+        length *= 2
+    names = spark.createDataFrame([(p >> 32, p & 0xFFFFFFFF) for p in path], "pid int, k int")
+    after = {r["pid"]: (r["until"], r["fin"], r["final"])
+             for r in pieces.join(F.broadcast(names), ["pid", "k"]).select("pid", "until", "fin", "final").collect()}
+    for state, parts, then in runs:
+        for s in parts:
+            entries[s["pid"]] = state
+            state = after.get(s["pid"], state)
+        if then is not None:
+            entries[then] = state
+    return {p: e for p, e in entries.items() if e[0] != NONE}
 
 
 def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", tie: str = "delivery_id",
@@ -295,10 +426,12 @@ def claim_deliveries(deliveries: DataFrame, key: str = "key", ts: str = "ts", ti
     order = ["_tok", "_t", "_tie"]
     ranged = (timed.repartitionByRange(num_partitions, *order) if num_partitions
               else timed.repartitionByRange(*order))
-    prepared = (ranged.sortWithinPartitions(*order)
-                .checkpoint(eager=True)
-                .withColumn("_pid", F.spark_partition_id()))
-    entries = _resolve_entries(prepared, ttl_us)
+    prepared = checkpoint(ranged.sortWithinPartitions(*order)).withColumn("_pid", F.spark_partition_id())
+    span = ttl_us  # a claim lasts so long at most
+    if finished_at or initial_state is not None:
+        longest = F.max(F.greatest(F.col("_fin") - F.col("_t") + ttl_us, F.col("_su") - F.col("_t")))
+        span = max(span, prepared.agg(longest).first()[0] or 0)
+    entries = _resolve_entries(prepared, ttl_us, span)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda v: pa.array(v, pa.int64(), mask=v == NONE)

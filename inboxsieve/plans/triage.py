@@ -23,7 +23,7 @@ from ..functions.jsre import utf16_length
 from ..operators import contract, dedupe, route, sanitize, service, telemetry
 from ..operators.inference import Backend, KeywordBackend, classify
 from ..operators.requests import ModelConfig, build_requests
-from ..session import checkpoint_dir
+from ..session import checkpoint
 
 UNKNOWN_MODEL_MESSAGE = "Unknown categorizer model configuration"
 RESULT_TYPE = ("struct<explanation:string,service_type_id:string,confidence_score:double,"
@@ -60,8 +60,7 @@ def categorize(inputs: DataFrame, backend: Backend, config: ModelConfig | None =
     # validate each distinct answer once, before it meets the request rows
     responses = classify(requests, backend, on_responses=lambda r: contract.first_valid_block(
         r, "content", service_types=service_types))
-    checkpoint_dir(inputs.sparkSession)
-    responses = responses.checkpoint(eager=True)
+    responses = checkpoint(responses)
     errors = responses.filter(F.col("model_call_error").isNotNull()).withColumn(
         "error_message", F.col("model_call_error")).select(*error_columns)
     answered = responses.filter(F.col("model_call_error").isNull()).withColumn(
@@ -110,8 +109,6 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
     classified.  ``retain_input`` keeps the redacted subject and body on the
     results, for a store that retains them.
     """
-    spark = deliveries.sparkSession
-    checkpoint_dir(spark)
     cfg = config or ModelConfig()
     kept, ignored = route.filter_events(deliveries)
     ids = unblocked(kept, ledger)
@@ -127,11 +124,11 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
     no_length = {c: F.lit(None).cast("long") for c in ("subject_length", "body_length")}
     columns = ["email_id", "stage", "error_message", "provider", "model", "subject_length", "body_length"]
     # one narrow row per mail that failed, read by several sinks
-    failures = (missing.withColumns({"stage": F.lit("fetch"), **no_model, **no_length}).select(*columns)
+    failures = checkpoint(missing.withColumns({"stage": F.lit("fetch"), **no_model, **no_length}).select(*columns)
                 .unionByName(rejected.withColumns({"stage": F.lit("prompt"), "error_message": F.col("reject_reason"),
                                                    "provider": F.lit(cfg.provider), "model": F.lit(cfg.model_id)})
                              .select(*columns))
-                .unionByName(model_errors.withColumn("stage", F.lit("model")).select(*columns))).checkpoint(eager=True)
+                .unionByName(model_errors.withColumn("stage", F.lit("model")).select(*columns)))
 
     outcome = results.select("email_id", F.lit(True).alias("_outcome_ok"))
     upstream_ok = F.col("ok") if "ok" in kept.columns else F.lit(True)
@@ -142,7 +139,7 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
                                      ok="ok", ttl=ttl, initial_state=ledger, with_state=True,
                                      num_partitions=claim_partitions)
     # claims feed several sinks: materialise once
-    claims = claims.checkpoint(eager=True)
+    claims = checkpoint(claims)
 
     processed = (claims.filter(F.col("status") == dedupe.PROCESSED)
                  .join(results.drop("ok"), "email_id", "inner"))

@@ -3,10 +3,13 @@ options the operators rely on.  Library code never creates a session."""
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL options the operators need; set on whatever session is given.
 RUNTIME_CONF = {
@@ -45,6 +48,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+_held: contextvars.ContextVar[list | None] = contextvars.ContextVar("held", default=None)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` into the shared folder; inside
+    :func:`checkpoints_released` its files go at the end of the block."""
+    checkpoint_dir(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    held = _held.get()
+    if held is not None:
+        held.append(done)
+    return done
+
+
+@contextlib.contextmanager
+def checkpoints_released() -> Iterator[None]:
+    """Delete the files of all checkpoints made inside the block at its end,
+    whether or not the session cleans them up: a stream makes some in every
+    micro-batch.  Nothing that reads them may outlive the block."""
+    token = _held.set([])
+    try:
+        yield
+    finally:
+        held = _held.get() or []
+        _held.reset(token)
+        for df in held:
+            file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if file.isDefined():
+                delete(df.sparkSession, file.get())
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "inboxsieve") -> SparkSession:
     """A local session for tests and the bench (UI off, UTC, AQE on)."""
     spark = (

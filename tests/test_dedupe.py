@@ -1,6 +1,7 @@
 """The TTL claim fold, batch (range-partitioned) and streaming."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -135,12 +136,92 @@ def test_any_number_of_partitions_gives_the_same_rows(spark, kind):
         assert claimed(spark, rows, kind, parts) == want, parts
 
 
-def test_partitions_without_exit_tables_are_folded_again(spark, monkeypatch):
-    monkeypatch.setattr(dedupe, "EXITS", 0)
+@pytest.fixture
+def rounds(monkeypatch):
+    """How many rounds of lookups and doublings a fold takes."""
+    made = []
+    for name in ("_jumps", "_double"):
+        whole = getattr(dedupe, name)
+        monkeypatch.setattr(dedupe, name, lambda *a, whole=whole, name=name: made.append(name) or whole(*a))
+    return made
+
+
+@pytest.mark.parametrize("parts", [16, 32, 200])
+def test_a_hot_key_takes_logarithmic_rounds(spark, rounds, parts):
+    """One key, every partition longer than a claim lives and of several Arrow
+    batches; claims begin out of step, so no partition tells its exit alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    try:
+        rnd = random.Random(parts)
+        rows = [(1, T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 12 * parts)), i, rnd.random() > 0.2,
+                 None) for i in range(parts * 200)]
+        got = claimed(spark, rows, "bigint", parts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert got == row_fold(rows)
+    assert 1 <= len(rounds) <= math.ceil(math.log2(parts))
+
+
+def test_partitions_shorter_than_a_claim(spark, rounds):
+    """Claims pass through several partitions and end inside another."""
+    rnd = random.Random(3)
+    rows = [(1, T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 60)), i, rnd.random() > 0.3,
+             T0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 70)) if rnd.random() < 0.05 else None) for i in range(3000)]
+    assert claimed(spark, rows, "bigint", 90) == row_fold(rows)
+    assert 1 <= len(rounds) <= 7
+
+
+def test_lookups_of_a_partition_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "LOOKUPS", 7)
     rows = hot_rows("bigint", 600, 60)
     assert claimed(spark, rows, "bigint", 16) == row_fold(rows)
 
 
+def test_ordinary_keys_take_no_round(spark, rounds):
+    rows = [(i % 500, T0 + dt.timedelta(hours=i), i, True, None) for i in range(5000)]
+    assert claimed(spark, rows, "bigint", 16) == row_fold(rows) and rounds == []
+
+
+def test_exit_function_against_the_fold():
+    """Over batches of any size: the state after the last row for every moment
+    at which an inherited claim may end."""
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    for _ in range(40):
+        n, ttl = int(rnd.integers(1, 120)), int(rnd.integers(1, 60))
+        t = np.sort(rnd.integers(0, 300, n))
+        ok, fin = rnd.random(n) > 0.3, np.maximum(t, t + rnd.integers(-5, 40, n))
+        span = int((fin - t).max()) + ttl
+        exits = dedupe.Exits(span)
+        cuts = np.unique(np.concatenate([[0, n], rnd.integers(0, n, 4)]))
+        none = np.array([dedupe.NONE])
+        for a, b in zip(cuts, cuts[1:]):
+            exits.add(t[a:b], dedupe.Folded(np.zeros(b - a, dtype=np.int64), t[a:b], ok[a:b], fin[a:b], ttl, none, none,
+                                            np.array(["processed"], dtype=object)))
+        times, until, at_fin, done = exits.pieces()
+        for u in range(-1, min(span + int(t[0]), int(t[-1])) + 1):
+            whole = dedupe.Folded(np.zeros(n, dtype=np.int64), t, ok, fin, ttl, np.array([u]), np.array([u]),
+                                  np.array(["processed"], dtype=object))
+            k = np.searchsorted(times, u, "left")
+            assert (until[k], at_fin[k]) == (whole.post_until[-1], whole.post_fin[-1])
+            assert done[k] == (whole.post_final[-1] == "processed")
+
+
+def test_a_ledger_claim_that_ends_inside_a_later_partition(spark, rounds):
+    rows = [(1, T0 + dt.timedelta(minutes=7 * i), i, True, None) for i in range(8000)]
+    df = spark.createDataFrame(rows, "key bigint, ts timestamp_ntz, delivery_id long, ok boolean, fin timestamp_ntz")
+    until = T0 + dt.timedelta(days=11, minutes=3)
+    micros = int(until.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
+    ledger = spark.createDataFrame([(1, micros, micros - 10, "processed")], "key bigint, until long, fin long, final string")
+    got = dedupe.claim_deliveries(df, initial_state=ledger, num_partitions=40).where("status = 'processed'")
+    want, at = [], until
+    for _, ts, i, _, _ in rows:
+        if ts >= at:
+            want.append(i)
+            at = ts + dedupe.DEFAULT_TTL
+    assert sorted(r["delivery_id"] for r in got.collect()) == want
+
+
 def test_one_claim_over_eighty_partitions(spark):
     rows = [(7, T0 + dt.timedelta(seconds=i), i, True, None) for i in range(4000)]
     got = claimed(spark, rows, "bigint", 80)
