@@ -137,7 +137,7 @@ def event_rows(df: DataFrame, event: str, distinct_id: Column, props: dict[str,
 def lifecycle_events(received: DataFrame | None = None, skipped: DataFrame | None = None,
                      categorized: DataFrame | None = None, alerts: DataFrame | None = None,
                      eval_results: DataFrame | None = None, fallbacks: DataFrame | None = None,
-                     channel: str = "discord", service_id: str = SERVICE_DISTINCT_ID) -> DataFrame | None:
+                     channel: str | Column = "discord", service_id: str = SERVICE_DISTINCT_ID) -> DataFrame | None:
     """The six analytics events as one table (``unionByName``).
 
     received: ``email_id, received_at``; skipped: ``email_id,
@@ -145,7 +145,9 @@ def lifecycle_events(received: DataFrame | None = None, skipped: DataFrame | Non
     service_type_id, service_type_label, confidence_score,
     should_alert_admin``; eval_results: ``service_type_id,
     confidence_score, should_alert_admin``; fallbacks: ``provider, model,
-    stop_reason, error_message, source``.
+    stop_reason, error_message, source``.  An event's time is the row's
+    ``received_at`` (NULL where there is none).  ``channel``: a name or a
+    column of the alerts.
     """
     parts = []
     ts = lambda df, c="received_at": F.col(c) if c in df.columns else None
@@ -162,16 +164,16 @@ def lifecycle_events(received: DataFrame | None = None, skipped: DataFrame | Non
     if alerts is not None:
         parts.append(event_rows(alerts, "admin_alert_sent", F.col("email_id"), {
             "service_type_id": F.col("service_type_id"), "service_type_label": F.col("service_type_label"),
-            "notification_channel": F.lit(channel)}, ts(alerts)))
+            "notification_channel": F.lit(channel) if isinstance(channel, str) else channel}, ts(alerts)))
     if eval_results is not None:
         parts.append(event_rows(eval_results, "eval_email_categorized", F.lit(service_id), {
             "service_type_id": F.col("service_type_id"), "confidence_score": F.col("confidence_score"),
-            "should_alert_admin": F.col("should_alert_admin")}))
+            "should_alert_admin": F.col("should_alert_admin")}, ts(eval_results)))
     if fallbacks is not None:
         parts.append(event_rows(fallbacks, "categorizer_fallback_result", F.lit(service_id), {
             "provider": F.col("provider"), "model_id": F.col("model"), "stop_reason": F.col("stop_reason"),
             "has_model_error": F.col("error_message").isNotNull() & (F.col("error_message") != ""),
-            "source": source_label(F.col("source"))}))
+            "source": source_label(F.col("source"))}, ts(fallbacks)))
     if not parts:
         return None
     out = parts[0]

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsre import utf16_length
@@ -95,13 +95,18 @@ def unblocked(kept: DataFrame, ledger: DataFrame | None) -> DataFrame:
 
 def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
                  config: ModelConfig | None = None, ttl: _dt.timedelta = dedupe.DEFAULT_TTL,
-                 channel: str = "discord", notify_timestamp: str = "1970-01-01T00:00:00.000Z",
+                 channel: str | Column = "discord", notify_timestamp: str = "1970-01-01T00:00:00.000Z",
                  service_types: list[dict] | None = None, ledger: DataFrame | None = None,
-                 claim_partitions: int | None = None, retain_input: bool = False) -> dict[str, DataFrame]:
+                 claim_partitions: int | None = None, retain_input: bool = False,
+                 version: str | None = None) -> dict[str, DataFrame]:
     """P1 over a batch of deliveries (``delivery_id, type, email_id,
     received_at`` and optionally ``ok`` for failures outside this job) and a
     mail table (``email_id, from, subject, text``, and ``lookup_error`` where a
-    mail could not be fetched).
+    mail could not be fetched).  Of several rows of one id the latest
+    ``version`` counts; different ones of one version are a failed lookup.
+
+    ``channel`` is a name or a column expression over the results; an alert
+    whose channel is unknown fails its delivery, which releases the claim.
 
     ``ledger`` (``email_id, until, fin, final``) carries live claims of
     earlier batches; the returned ``ledger`` holds the state after this one.
@@ -112,13 +117,21 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
     cfg = config or ModelConfig()
     kept, ignored = route.filter_events(deliveries)
     ids = unblocked(kept, ledger)
-    found, missing = route.attach_email(ids, emails)
-    found = found.withColumn("raw_subject", F.col("subject"))
+    # the mails asked for, once for the branch of the found and that of the missing
+    looked_up = checkpoint(route.lookup_email(ids, emails, version=version))
+    missing = looked_up.where(F.col("error_message").isNotNull()).select("email_id", "error_message")
+    found = (looked_up.where(F.col("error_message").isNull()).drop("error_message")
+             .withColumn("raw_subject", F.col("subject")))
     accepted, rejected = sanitize.screen_raw_inbound(found, keep=("email_id", "from", "raw_subject"))
     if retain_input:
         accepted = accepted.withColumns({"redacted_subject": F.col("subject"), "redacted_body": F.col("body")})
     results, model_errors = categorize(accepted, backend, cfg, "inbound_email", service_types=service_types)
-    results = _flat(results)
+    alerting = F.col("should_alert_admin").eqNullSafe(F.lit(True))
+    results = _flat(results).withColumns({
+        "channel": F.lit(channel) if isinstance(channel, str) else channel,
+        "notify_error": F.when(alerting, route.channel_error(channel))})
+    # read by the claims and by every sink; text is only what notifications need
+    results = checkpoint(results)
 
     no_model = {c: F.lit(None).cast(t) for c, t in (("provider", "string"), ("model", "string"))}
     no_length = {c: F.lit(None).cast("long") for c in ("subject_length", "body_length")}
@@ -128,9 +141,11 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
                 .unionByName(rejected.withColumns({"stage": F.lit("prompt"), "error_message": F.col("reject_reason"),
                                                    "provider": F.lit(cfg.provider), "model": F.lit(cfg.model_id)})
                              .select(*columns))
-                .unionByName(model_errors.withColumn("stage", F.lit("model")).select(*columns)))
+                .unionByName(model_errors.withColumn("stage", F.lit("model")).select(*columns))
+                .unionByName(results.where(F.col("notify_error").isNotNull()).withColumns(
+                    {"stage": F.lit("notify"), "error_message": F.col("notify_error")}).select(*columns)))
 
-    outcome = results.select("email_id", F.lit(True).alias("_outcome_ok"))
+    outcome = results.where(F.col("notify_error").isNull()).select("email_id", F.lit(True).alias("_outcome_ok"))
     upstream_ok = F.col("ok") if "ok" in kept.columns else F.lit(True)
     attempts = (kept.join(outcome, "email_id", "left")
                 .withColumn("ok", upstream_ok & F.coalesce(F.col("_outcome_ok"), F.lit(False)))
@@ -141,16 +156,20 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
     # claims feed several sinks: materialise once
     claims = checkpoint(claims)
 
-    processed = (claims.filter(F.col("status") == dedupe.PROCESSED)
-                 .join(results.drop("ok"), "email_id", "inner"))
+    # deliveries whose mail was categorized: all processed ones, and those
+    # released because their notification failed after that
+    categorized = checkpoint(claims.filter(F.col("status").isin(dedupe.PROCESSED, dedupe.RELEASED))
+                             .join(results.drop("ok"), "email_id", "inner"))
+    processed = categorized.where(F.col("status") == dedupe.PROCESSED)
+    categorized = categorized.where((F.col("status") == dedupe.PROCESSED) | F.col("notify_error").isNotNull())
     alerts, _quiet = route.alert_gate(processed)
-    notifications = route.build_notifications(alerts, None, channel, notify_timestamp)
+    notifications = route.build_notifications(alerts, None, F.col("channel"), notify_timestamp)
     skipped = claims.filter(F.col("status") == dedupe.SKIPPED)
     events = telemetry.lifecycle_events(
-        received=kept, skipped=skipped, categorized=processed, alerts=alerts,
-        fallbacks=processed.filter(F.col("fallback")), channel=channel)
+        received=kept, skipped=skipped, categorized=categorized, alerts=alerts,
+        fallbacks=categorized.filter(F.col("fallback")), channel=F.col("channel"))
     run_id = F.concat_ws(":", F.col("email_id").cast("string"), F.col("delivery_id").cast("string")).alias("run_id")
-    runs = processed.withColumn("run_id", run_id)
+    runs = categorized.withColumn("run_id", run_id)
     released = (claims.filter(F.col("status") == dedupe.RELEASED).select("email_id", "delivery_id", "received_at")
                 .join(failures, "email_id", "left"))
     # a claimed delivery of mail that could not be categorized ran the
@@ -169,7 +188,7 @@ def triage_batch(deliveries: DataFrame, emails: DataFrame, backend: Backend,
         "email_id", "delivery_id", F.coalesce("stage", F.lit("delivery")).alias("stage"),
         F.coalesce("error_message", F.lit(UPSTREAM_MESSAGE)).alias("error_message")).unionByName(invalid)
     errors = telemetry.quarantine(*((stage, causes.where(F.col("stage") == stage).drop("stage"))
-                                    for stage in ("fetch", "prompt", "model", "delivery")))
+                                    for stage in ("fetch", "prompt", "model", "notify", "delivery")))
     result_cols = ["delivery_id", "email_id", "received_at", "service_type_id", "service_type_label",
                    "confidence_score", "should_alert_admin", "explanation", "alert_reason", "fallback",
                    "parse_error"] + (["redacted_subject", "redacted_body"] if retain_input else [])
@@ -190,13 +209,17 @@ EVAL_FIELDS = ["explanation", "service_type_id", "confidence_score", "should_ale
 
 
 def categorize_table(cases: DataFrame, backend: Backend, config: ModelConfig | None = None,
-                     key: str = "case_no", service_types: list[dict] | None = None) -> dict[str, DataFrame]:
+                     key: str = "case_no", service_types: list[dict] | None = None,
+                     at: Column | None = None) -> dict[str, DataFrame]:
     """Eval screening on the raw text (no redaction), categorization with
-    source ``eval_endpoint``, the 6-field projection and its events."""
+    source ``eval_endpoint``, the 6-field projection and its events.  ``at``:
+    the time of the run, which its events carry."""
     accepted, rejected = sanitize.screen_inputs(cases.select(key, "subject", "body"), "eval")
     results, errors = categorize(accepted.withColumnRenamed(key, "email_id"), backend, config,
                                  "eval_endpoint", service_types=service_types)
     results = _flat(results).withColumnRenamed("email_id", key)
+    if at is not None:
+        results = results.withColumn("received_at", at)
     projected = results.select(key, *EVAL_FIELDS, "service_type", "fallback")
     events = telemetry.lifecycle_events(
         eval_results=results,

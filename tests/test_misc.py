@@ -102,12 +102,10 @@ def test_source_whitelist(spark):
     assert got == ["inbound_email", "eval_endpoint", "unknown", "unknown"]
 
 
-def test_unknown_channel_is_rejected(spark):
-    import pytest
-
-    df = spark.createDataFrame([(1,)], "email_id long")
-    with pytest.raises(ValueError):
-        route.build_notifications(df, df, channel="sms")
+def test_unknown_channel_is_an_error_of_its_row(spark):
+    df = spark.createDataFrame([("discord",), ("sms",), (None,)], "via string")
+    got = [r["x"] for r in df.select(route.channel_error(F.col("via")).alias("x")).collect()]
+    assert got == [None, "Unsupported notification channel: sms", "Unsupported notification channel: null"]
 
 
 def test_response_format_follows_the_service_types(spark):

@@ -226,15 +226,132 @@ def test_recordings_of_another_model_are_no_answer(spark):
 
 
 def test_the_ledger_read_stays_bounded(spark, tmp_path):
-    from inboxsieve.streaming.triage_stream import _write_ledger, current_ledger
-    path = str(tmp_path / "ledger")
-    for batch in range(20):
-        until = int((T0 + dt.timedelta(days=batch)).replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
-        rows = [(k, until, until, "processed") for k in range(batch * 10, batch * 10 + 10)]
-        _write_ledger(spark.createDataFrame(rows, "email_id long, until long, fin long, final string"), path, batch)
-    live = current_ledger(spark, path, 20, T0 + dt.timedelta(days=18))
-    assert sorted(r["email_id"] for r in live.collect()) == list(range(170, 200))
-    assert current_ledger(spark, path, 20, None) is None
+    """Over many batches: few files, old claims gone, the state whole."""
+    import os
+    from inboxsieve.streaming.triage_stream import claim_ledger, close_ledger, live_claims
+    day = 24 * 3600 * 10 ** 6
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        ledger = claim_ledger(spark, str(tmp_path / "ledger"), "email_id", "bigint", every=5)
+        most = 0
+        for batch in range(60):
+            rows = spark.createDataFrame([(batch // 2, (batch + 7) * day, batch * day, "processed")],
+                                         "email_id long, until long, fin long, final string").coalesce(1)
+            close_ledger(ledger, rows, batch, batch * day, dt.timedelta(days=7))
+            folders = [f for _, f in ledger.parts(batch + 1)]
+            most = max(most, sum(f.endswith(".parquet") for d in folders for f in os.listdir(tmp_path / "ledger" / d)))
+            assert len(ledger._deltas()) <= 11 and len(ledger._names("snapshots")) <= 2
+        assert most <= 8
+        live = {r["email_id"]: r["until"] // day for r in live_claims(ledger, 60, 59 * day).collect()}
+        assert live == {k // 2: k + 7 for k in range(53, 60, 2)}  # the later batch of each key
+        assert ledger.read(60).count() < 20 and live_claims(ledger, 60, None) is None
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_a_retried_batch_leaves_no_stale_claim(spark, tmp_path):
+    from inboxsieve.streaming.triage_stream import claim_ledger, close_ledger, live_claims
+    day = 24 * 3600 * 10 ** 6
+    ledger = claim_ledger(spark, str(tmp_path / "ledger"), "email_id", "bigint", every=2)
+    make = lambda key, until: spark.createDataFrame(
+        [(key, until * day, 0, "processed")], "email_id long, until long, fin long, final string")
+    for batch, (key, until) in enumerate([(1, 7), (2, 8), (3, 9)]):
+        close_ledger(ledger, make(key, until), batch, batch * day, dt.timedelta(days=7))
+    before = sorted(map(tuple, live_claims(ledger, 3, 0).collect()))
+    close_ledger(ledger, make(4, 30), 3, 3 * day, dt.timedelta(days=7))  # writes a snapshot, then fails
+    assert sorted(map(tuple, live_claims(ledger, 3, 0).collect())) == before
+    close_ledger(ledger, make(4, 10), 3, 3 * day, dt.timedelta(days=7))  # the claim ends on another day now
+    assert {r["email_id"]: r["until"] // day for r in ledger.read(4).collect()} == {1: 7, 2: 8, 3: 9, 4: 10}
+
+
+def test_claims_of_a_stream_through_the_batch_fold(spark, tmp_path):
+    """A key with most rows of every trigger, over many Arrow batches and range
+    partitions, against the fold over the whole table."""
+    import os
+    from inboxsieve.operators import dedupe
+    from inboxsieve.streaming.triage_stream import claim_stream
+    rows = [(0 if i % 4 else i % 9, T0 + dt.timedelta(minutes=11 * i), i, i % 5 > 0) for i in range(9000)]
+    df = spark.createDataFrame(rows, "key long, ts timestamp_ntz, delivery_id long, ok boolean")
+    for k in range(3):
+        df.where(f"delivery_id BETWEEN {3000 * k} AND {3000 * k + 2999}").coalesce(1).write.parquet(str(tmp_path / "src" / f"p{k}"))
+    stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+              .parquet(str(tmp_path / "src")))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    left = lambda: sum(len(f) for _, _, f in os.walk(folder))
+    before = left()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        claim_stream(stream, str(tmp_path / "out"), claim_partitions=8, compact_every=2).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert left() <= before  # no checkpoint of a micro-batch is left
+    columns = ["delivery_id", "status", "existing_status", "expires_at"]
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "claims")).select(*columns).collect()))
+    assert got == sorted(map(tuple, dedupe.claim_deliveries(df).select(*columns).collect()))
+
+
+def test_repeated_mail_rows_are_one_mail(spark):
+    mails = emails(spark)
+    out = triage_batch(deliveries(spark, ROWS[:1]), mails.unionByName(mails).repartition(5), EchoBackend(), ModelConfig())
+    assert [(r["delivery_id"], r["status"]) for r in out["claims"].collect()] == [(0, "processed")]
+    assert out["results"].count() == out["notifications"].count() == out["telemetry"].count() == 1
+
+
+def test_the_latest_version_of_a_mail_counts(spark):
+    from inboxsieve.operators.route import attach_email, one_mail
+    rows = [(1, "old", T0, "a"), (1, "new", T0 + dt.timedelta(days=1), "b"), (1, "older", None, "c"),
+            (2, "x", T0, "a"), (2, "y", T0, "a"), (2, "x", None, "a"), (3, "same", None, "a"), (3, "same", None, "a"),
+            (None, "nobody", T0, "a")]
+    mails = spark.createDataFrame(rows, "email_id long, subject string, fetched_at timestamp_ntz, text string")
+    for parts in (1, 4):
+        got = {r["email_id"]: (r["subject"], r["lookup_error"])
+               for r in one_mail(mails.repartition(parts), version="fetched_at").collect()}
+        assert got[1] == ("new", None) and got[3] == ("same", None) and got.keys() == {1, 2, 3}
+        assert got[2][1] == "Several different mails have this id"
+    asked = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (13, 4), (14, None)], "delivery_id long, email_id long")
+    found, missing = attach_email(asked, mails, version="fetched_at")
+    assert sorted((r["delivery_id"], r["subject"]) for r in found.collect()) == [(10, "new"), (11, "new")]
+    assert {r["delivery_id"]: r["error_message"] for r in missing.collect()} == {
+        12: "Several different mails have this id", 13: "The mail service did not return email data",
+        14: "The mail service did not return email data"}
+
+
+def test_an_unknown_channel_fails_its_delivery_alone(spark):
+    """Mixed channels in one batch: the unknown one is released, with its
+    cause; it was categorized, but not alerted."""
+    channel = F.when(F.col("email_id") == 3, F.lit("pager")).otherwise(F.lit("discord"))
+    out = triage_batch(deliveries(spark, ROWS), emails(spark), EchoBackend(), ModelConfig(), channel=channel)
+    status = {r["delivery_id"]: r["status"] for r in out["claims"].collect()}
+    assert status == {0: "processed", 1: "skipped", 3: "released", 4: "released", 5: "released", 6: "processed", 7: "released"}
+    q = [(r["email_id"], r["error_message"]) for r in out["quarantine"].where("stage = 'notify'").collect()]
+    assert q == [("3", "Unsupported notification channel: pager")] * 2
+    assert {r["email_id"] for r in out["notifications"].collect()} == {1} == {r["email_id"] for r in out["results"].collect()}
+    events = {(r["event"], r["distinct_id"]) for r in out["events"].collect()}
+    assert ("email_categorized", "3") in events and ("admin_alert_sent", "3") not in events
+    assert {r["email_id"] for r in out["ledger"].where("final = 'processed'").collect()} == {1}
+
+
+def test_channels_are_chosen_row_by_row(spark):
+    from inboxsieve.operators.route import route_notifications
+    rows = [(1, "discord"), (2, "pager"), (3, None)]
+    alerts = spark.createDataFrame([(i, c, "a@x.io", "S", "Label", "why") for i, c in rows],
+                                   "email_id long, via string, from string, raw_subject string, service_type_label string, explanation string")
+    sent, failed = route_notifications(alerts, channel=F.col("via"))
+    assert [r["email_id"] for r in sent.collect()] == [1]
+    assert sorted((r["email_id"], r["error_message"]) for r in failed.collect()) == [
+        (2, "Unsupported notification channel: pager"), (3, "Unsupported notification channel: null")]
+    sent, failed = route_notifications(alerts, channel="pager")
+    assert sent.count() == 0 and failed.count() == 3
+
+
+def test_every_event_of_a_delivery_has_its_time(spark):
+    out = triage_batch(deliveries(spark, ROWS), emails(spark), MowingBackend(), ModelConfig())
+    events = out["events"]
+    assert events.where("event = 'categorizer_fallback_result'").count() == 3
+    assert events.where("ts IS NULL").count() == 0
+    cases = spark.createDataFrame([(1, "Stump", "quote please")], "case_no long, subject string, body string")
+    table = categorize_table(cases, MowingBackend(), at=F.lit(T0))
+    assert {r["ts"] for r in table["events"].collect()} == {T0} and table["events"].count() == 2
 
 
 def test_retained_input_is_redacted(spark):
