@@ -20,12 +20,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jsre import utf16_length
 from ..functions.service_types import SERVICE_TYPES, UNKNOWN_ID
+from ..session import data_files, delete, exists
 
 CONTENT_TYPE = T.ArrayType(T.StructType([
     T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
@@ -180,35 +181,114 @@ class KeywordBackend(Backend):
         )
 
 
+CALL_FIELDS = ["request_hash", "system_prompt", "user_prompt", "provider", "model", "max_tokens", "temperature",
+               "payload_mode"]
+CALL_ERROR = "call_error"
+CALL_SCHEMA = T.StructType([*RESPONSE_SCHEMA.fields, T.StructField(CALL_ERROR, T.StringType())])
+
+
 class PandasBackend(Backend):
     """Base for backends that call code per Arrow batch (e.g. an HTTP model
     client).  Subclasses implement :meth:`complete`; it receives a pandas
     frame with ``request_hash, system_prompt, user_prompt, provider, model,
     max_tokens, temperature, payload_mode`` and returns one row per request
-    with the :data:`RESPONSE_SCHEMA` columns."""
+    with the :data:`RESPONSE_SCHEMA` columns.
 
-    def __init__(self, partitions: int | None = None, batch_rows: int = 64):
+    A failure concerns one request only: if ``complete`` raises for several
+    requests, they are asked one by one, and one that raises alone gives a row
+    with ``call_error`` (an error, not an answer).
+
+    With ``store`` (a folder all tasks can write, as an URL or path that
+    pyarrow opens) every answer is kept before the next call is made:
+    :meth:`respond` asks only what the store does not have, so a batch that is
+    killed and run again repeats no answered call.  Failed calls are not kept.
+    The store is a table of small files; :meth:`compact` merges them.
+    """
+
+    def __init__(self, partitions: int | None = None, batch_rows: int = 64, store: str | None = None):
         self.partitions = partitions
         self.batch_rows = batch_rows
+        self.store = store
 
     def complete(self, pdf: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
+    def _ask(self, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Answers of some requests, and an error row for each that raises."""
+        try:
+            yield self.complete(pdf)
+        except Exception as e:
+            if len(pdf) > 1:
+                for k in range(len(pdf)):
+                    yield from self._ask(pdf.iloc[k:k + 1].reset_index(drop=True))
+            else:
+                row = dict.fromkeys(RESPONSE_SCHEMA.fieldNames())
+                yield pd.DataFrame([row | {"request_hash": pdf["request_hash"][0],
+                                           CALL_ERROR: f"{type(e).__name__}: {e}"}], dtype=object)
+
+    def answered(self, spark: SparkSession) -> DataFrame | None:
+        """The answers kept in the store."""
+        if not self.store or not exists(spark, self.store):
+            return None
+        return one_per_request(spark.read.schema(RESPONSE_SCHEMA).parquet(self.store))
+
+    def compact(self, spark: SparkSession) -> None:
+        """Merge the store's files.  The old ones go when the new ones are
+        there; in between a request may stand twice, which readers allow."""
+        known = self.answered(spark)
+        if known is not None:
+            old = data_files(spark, self.store)
+            known.write.mode("append").parquet(self.store)
+            for path in old:
+                delete(spark, path)
+
     def respond(self, requests: DataFrame) -> DataFrame:
-        cols = ["request_hash", "system_prompt", "user_prompt", "provider", "model", "max_tokens",
-                "temperature", "payload_mode"]
-        reqs = requests.select(*cols)
+        known = self.answered(requests.sparkSession)
+        reqs = requests.select(*CALL_FIELDS)
+        if known is not None:
+            reqs = reqs.join(known.select("request_hash"), "request_hash", "left_anti")
         if self.partitions:
             reqs = reqs.repartition(self.partitions, "request_hash")
-        complete = self.complete
-        rows = self.batch_rows
+        ask, size, store = self._ask, self.batch_rows, self.store
+        columns = CALL_SCHEMA.fieldNames()
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for start in range(0, len(pdf), rows):
-                    yield complete(pdf.iloc[start:start + rows].reset_index(drop=True))
-
-        return reqs.mapInPandas(run, RESPONSE_SCHEMA)
+                for start in range(0, len(pdf), size):
+                    for rows in ask(pdf.iloc[start:start + size].reset_index(drop=True)):
+                        if CALL_ERROR not in rows:
+                            rows = rows.assign(**{CALL_ERROR: pd.Series([None] * len(rows), dtype=object)})
+                        rows = rows[columns]
+                        if store:
+                            _keep(store, rows[rows[CALL_ERROR].isna()])
+                        yield rows
+
+        calls = reqs.mapInPandas(run, CALL_SCHEMA)
+        if known is None:
+            return calls
+        asked = known.join(requests.select("request_hash"), "request_hash", "left_semi")
+        return asked.withColumn(CALL_ERROR, F.lit(None).cast("string")).unionByName(calls)
+
+
+def _keep(store: str, rows: pd.DataFrame) -> None:
+    """Add answers to the store: a file is written under a name that readers
+    pass over and then renamed, so that a half-written one is never read."""
+    if not len(rows):
+        return
+    import uuid
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    system, folder = fs.FileSystem.from_uri(store)
+    system.create_dir(folder, recursive=True)
+    name = uuid.uuid4().hex
+    records = rows[RESPONSE_SCHEMA.fieldNames()].to_dict("records")
+    clean = [{k: None if isinstance(v, float) and pd.isna(v) else v for k, v in r.items()} for r in records]
+    pq.write_table(pa.Table.from_pylist(clean, to_arrow_schema(RESPONSE_SCHEMA)), f"{folder}/_{name}", filesystem=system)
+    system.move(f"{folder}/_{name}", f"{folder}/{name}.parquet")
 
 
 def classify(requests: DataFrame, backend: Backend, on_responses=None) -> DataFrame:
@@ -219,11 +299,12 @@ def classify(requests: DataFrame, backend: Backend, on_responses=None) -> DataFr
     the backend once and the responses are joined back on ``request_hash``;
     recorded answers are a single lookup join, keyword answers a projection.
     ``on_responses`` (DataFrame -> DataFrame) runs on the distinct answers
-    before they are joined to the request rows.  A request without a response gets
-    ``model_call_error`` (the reference treats a failed call as an error,
-    not as a safe fallback).
+    before they are joined to the request rows.  A request whose call raised,
+    or without a response, gets ``model_call_error`` (a failed call is an
+    error, not a safe fallback).
     """
     joined = backend.respond_rows(requests, on_responses)
-    return joined.withColumn(
-        "model_call_error",
-        F.when(F.col("content").isNull() & F.col("error_message").isNull(), F.lit(MISSING_RESPONSE)))
+    raised = F.col(CALL_ERROR) if CALL_ERROR in joined.columns else F.lit(None).cast("string")
+    return joined.withColumn("model_call_error", F.coalesce(
+        raised, F.when(F.col("content").isNull() & F.col("error_message").isNull(), F.lit(MISSING_RESPONSE)))
+    ).drop(CALL_ERROR)

@@ -196,6 +196,18 @@ def q_build_notifications(spark, sf_dir):
                                      "2024-01-01T00:00:00.000Z")
 
 
+@query("route_notifications")
+def q_route_notifications(spark, sf_dir):
+    """O13 with a channel per row: sent ones, and the error of each other."""
+    alerts, _ = route.alert_gate(_run_results(spark, sf_dir))
+    channel = F.element_at(F.array(*[F.lit(c) for c in ("discord", "sms", None)]), (F.col("run_id") % 3 + 1).cast("int"))
+    mails = dt.emails(spark, sf_dir).select("email_id", "from", "subject")
+    sent, failed = route.route_notifications(alerts, mails, channel, "2024-01-01T00:00:00.000Z")
+    return (sent.select("email_id", "channel", F.md5("body_json").alias("body_md5"), F.lit(None).cast("string").alias("error_message"))
+            .unionByName(failed.select("email_id", F.lit(None).cast("string").alias("channel"),
+                                       F.lit(None).cast("string").alias("body_md5"), "error_message")))
+
+
 @query("filter_events")
 def q_filter_events(spark, sf_dir):
     """Deliveries kept / ignored per webhook type."""
@@ -220,7 +232,9 @@ def recorded_backend(spark, sf_dir, config: ModelConfig) -> RecordedBackend:
 
 def triage_outputs(spark, sf_dir, **how) -> dict[str, DataFrame]:
     cfg = ModelConfig()
-    return triage.triage_batch(dt.deliveries(spark, sf_dir), dt.emails(spark, sf_dir),
+    mails = dt.emails(spark, sf_dir)
+    mails = mails.unionByName(mails.where("email_id % 5 = 0"))  # the mail table repeats rows
+    return triage.triage_batch(dt.deliveries(spark, sf_dir), mails,
                                recorded_backend(spark, sf_dir, cfg), cfg,
                                notify_timestamp="2024-01-01T00:00:00.000Z", claim_partitions=CLAIM_PARTITIONS, **how)
 
@@ -302,18 +316,44 @@ def q_run_telemetry(spark, sf_dir):
     return t.select(*TELEMETRY_QUERY_COLUMNS).withColumn("cost_usd", F.round("cost_usd", 9))
 
 
+def _timed_telemetry(spark, sf_dir) -> DataFrame:
+    begun = F.timestamp_seconds(F.lit(RUN_EPOCH) + F.col("run_id") * 60).cast("timestamp_ntz")
+    runs = _run_results(spark, sf_dir, with_meta=True).withColumns({
+        "started_at": begun, "ended_at": F.timestamp_add("SECOND", F.col("run_id") % 30, begun)})
+    return telemetry.run_telemetry(_run_columns(runs))
+
+
 @query("usage_rollup")
 def q_usage_rollup(spark, sf_dir):
     """Runs, errors, tokens, cost and latency per provider/model/source
     and hour."""
-    begun = F.timestamp_seconds(F.lit(RUN_EPOCH) + F.col("run_id") * 60).cast("timestamp_ntz")
-    runs = _run_results(spark, sf_dir, with_meta=True).withColumns({
-        "started_at": begun, "ended_at": F.timestamp_add("SECOND", F.col("run_id") % 30, begun)})
-    t = telemetry.run_telemetry(_run_columns(runs))
-    r = telemetry.usage_rollup(t)
+    r = telemetry.usage_rollup(_timed_telemetry(spark, sf_dir))
     return r.withColumn("cost_usd", F.round("cost_usd", 9))
 
 
+@query("usage_levels")
+def q_usage_levels(spark, sf_dir):
+    """Coarser levels added up from the rollup by hour, sketches merged."""
+    levels = telemetry.roll_up(telemetry.usage_rollup(_timed_telemetry(spark, sf_dir), sketch=True))
+    # how many latencies the merged sketch stands for; quantiles are compared in the tests
+    n = F.kll_sketch_get_n_double("latency_sketch").alias("n_latencies")
+    return levels.select("*", n).drop("latency_sketch").withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+@query("usage_rollup_stream")
+def q_usage_rollup_stream(spark, sf_dir):
+    """O24 on a stream: windows that the watermark has closed, with quantiles
+    (exact here, as a group has fewer runs than the sketch holds)."""
+    from ..streaming.runner import run_available_now, scratch_path
+    path = scratch_path(spark, "telemetry")
+    rows = _timed_telemetry(spark, sf_dir)
+    rows.write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    out = run_available_now(telemetry.usage_rollup_stream(stream, watermark="0 seconds"), "usage")
+    out = telemetry.latency_quantiles(out).drop("latency_sketch")
+    return out.withColumns({"bucket": F.col("bucket").cast("timestamp_ntz"), "cost_usd": F.round("cost_usd", 9)})
+
+
 @query("lifecycle_events")
 def q_lifecycle_events(spark, sf_dir):
     """O19 over the batch triage run and the eval table: events by name and
@@ -341,12 +381,13 @@ def q_quarantine(spark, sf_dir):
 @query("result_store")
 def q_result_store(spark, sf_dir):
     """Stored rows of the batch triage run, redacted input retained,
-    written to a date-partitioned table and read back."""
+    upserted into a date-partitioned table and read back."""
     from ..streaming.runner import scratch_path
     rows = store.result_store(triage_outputs(spark, sf_dir, retain_input=True)["results"], retain_content=True)
     path = scratch_path(spark, "store")
     store.write_result_store(rows, path)
-    rows = spark.read.schema(rows.schema).parquet(path)
+    store.write_result_store(rows.where("email_id % 2 = 0"), path)  # written again: still one copy
+    rows = spark.read.parquet(path)
     return rows.select("delivery_id", "email_id", "service_type_id", "confidence_score",
                        "should_alert_admin", "fallback", F.md5("redacted_subject").alias("subject_md5"),
                        F.md5("redacted_body").alias("body_md5"), F.col("dt").cast("string").alias("dt"))
@@ -438,6 +479,20 @@ def q_claim_deliveries_stream(spark, sf_dir):
                          _ts_text(F.col("expires_at")).alias("expires_at"))
 
 
+@query("claim_stream")
+def q_claim_stream(spark, sf_dir):
+    """O15 through the batch fold per micro-batch and the claim ledger."""
+    from ..streaming.runner import scratch_path
+    from ..streaming.triage_stream import claim_stream
+    out_dir = scratch_path(spark, "claims")
+    received = _delivery_stream(spark, sf_dir).filter(F.col("type") == dt.RECEIVED_TYPE)
+    claim_stream(received, out_dir, key="email_id", ts="received_at", tie="delivery_id", ok="ok",
+                 claim_partitions=CLAIM_PARTITIONS).awaitTermination()
+    claims = spark.read.parquet(f"{out_dir}/claims")
+    return claims.select("delivery_id", "email_id", "status", "existing_status",
+                         _ts_text(F.col("expires_at")).alias("expires_at"))
+
+
 @query("triage_stream")
 def q_triage_stream(spark, sf_dir):
     """The streaming triage (availableNow run), the rows of P1."""

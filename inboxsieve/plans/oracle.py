@@ -416,6 +416,15 @@ SELECT e.email_id, 'discord' AS channel, 'New estimate request received' AS titl
 FROM final f JOIN emails e ON e.email_id = f.run_id
 WHERE f.should_alert_admin"""
 
+ORACLE["route_notifications"] = f"""WITH sent AS ({ORACLE["build_notifications"]})
+SELECT email_id, CASE WHEN email_id % 3 = 0 THEN channel END AS channel,
+  CASE WHEN email_id % 3 = 0 THEN md5(body_json) END AS body_md5,
+  CASE email_id % 3 WHEN 1 THEN 'Unsupported notification channel: sms'
+                    WHEN 2 THEN 'Unsupported notification channel: null' END AS error_message
+FROM (SELECT email_id, channel, body_json FROM sent
+      UNION ALL SELECT run_id, NULL, NULL FROM (SELECT run_id, route FROM ({ORACLE["alert_gate"]})
+        WHERE route = 'alert' AND run_id % 3 > 0 AND run_id NOT IN (SELECT email_id FROM sent)))"""
+
 ORACLE["filter_events"] = """SELECT type, type = 'email.received' AS kept, count(*) AS n
 FROM (SELECT CASE event_type WHEN 'view' THEN 'email.opened' ELSE 'email.received' END AS type FROM events)
 GROUP BY ALL"""
@@ -561,6 +570,28 @@ SELECT provider, request_model, source,
   avg(CAST(run_id % 30 AS DOUBLE)) AS avg_latency_s
 FROM tel GROUP BY ALL"""
 
+_USAGE_TEL = """SELECT *, date_trunc('hour', make_timestamp((1704067200 + run_id * 60) * 1000000)) AS bucket,
+    CAST(run_id % 30 AS DOUBLE) AS latency FROM tel"""
+_USAGE_SUMS = """count(*) AS runs,
+  CAST(sum(CAST(model_error AS INT)) AS BIGINT) AS model_errors,
+  CAST(sum(CAST(parse_error AS INT)) AS BIGINT) AS parse_errors,
+  CAST(sum(CAST(fallback AS INT)) AS BIGINT) AS fallbacks,
+  CAST(sum(CAST(should_alert_admin AS INT)) AS BIGINT) AS alerts,
+  CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(sum(cost_usd), 9) AS cost_usd"""
+
+ORACLE["usage_levels"] = f"""WITH {TELEMETRY_CTES}, u AS ({_USAGE_TEL})
+SELECT provider, request_model, source, bucket,
+  CAST(4 - grouping(provider) - grouping(request_model) - grouping(source) - grouping(bucket) AS INT) AS level,
+  {_USAGE_SUMS}, count(latency) AS n_latencies
+FROM u GROUP BY ROLLUP (provider, request_model, source, bucket)"""
+
+ORACLE["usage_rollup_stream"] = f"""WITH {TELEMETRY_CTES}, u AS ({_USAGE_TEL})
+SELECT provider, request_model, source, bucket, {_USAGE_SUMS}, avg(latency) AS avg_latency_s,
+  quantile_disc(latency, 0.5) AS p50_latency_s, quantile_disc(latency, 0.95) AS p95_latency_s
+FROM u WHERE bucket + INTERVAL 1 HOUR <= make_timestamp((1704067200 + (SELECT max(run_id) FROM tel) * 60) * 1000000)
+GROUP BY provider, request_model, source, bucket"""
+
 # ------------------------------------------------------- O21-O23, O25, O26
 from ..operators.evaluate import DEFAULT_THRESHOLDS, NUMERIC_TEXT, PROVIDERS  # noqa: E402
 
@@ -704,7 +735,7 @@ SELECT threshold,
   CAST(sum(CAST(NOT el AND NOT ex AS INT)) AS BIGINT) AS tn, CAST(sum(CAST(NOT el AND ex AS INT)) AS BIGINT) AS fn
 FROM g GROUP BY threshold"""
 
-ORACLE["claim_deliveries_stream"] = ORACLE["claim_deliveries"]
+ORACLE["claim_deliveries_stream"] = ORACLE["claim_stream"] = ORACLE["claim_deliveries"]
 ORACLE["triage_stream"] = ORACLE["triage_batch"]
 
 ORACLE["triage_summary"] = f"""WITH {SANITIZED_CTES},

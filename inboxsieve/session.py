@@ -48,10 +48,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared file system, if it is there."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Remove a folder or file of the shared file system, if it is there."""
+    place, fs = _file_system(spark, path)
+    fs.delete(place, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder (none if it is not there)."""
+    place, fs = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder that readers take for data."""
+    return [f"{path.rstrip('/')}/{n}" for n in file_names(spark, path) if n[0] not in "._"]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file (configuration), wherever Spark can read it."""
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 _held: contextvars.ContextVar[list | None] = contextvars.ContextVar("held", default=None)

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import delete
+from ..session import delete, file_names
 
 BATCH = "_batch"
 
@@ -33,9 +33,7 @@ class KeyedLog:
         self.spark, self.path, self.key, self.schema, self.every = spark, path.rstrip("/"), key, schema, every
 
     def _names(self, folder: str) -> list[str]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return file_names(self.spark, f"{self.path}/{folder}")
 
     def _manifests(self) -> list[tuple[int, str]]:
         """``(last batch in it, snapshot folder)``, oldest first."""

@@ -116,3 +116,37 @@ def test_usage_rollup_on_a_stream(spark, tmp_path):
     batch = telemetry.usage_rollup(spark.createDataFrame(rows, cols)).orderBy("bucket").collect()
     assert [r["runs"] for r in got] == [r["runs"] for r in batch][:len(got)] and len(got) >= 2
     assert got[0]["avg_latency_s"] == 4.0
+
+
+def test_latency_quantiles_of_merged_sketches(spark):
+    """Every level of the rollup, against exact ranks of all its runs."""
+    import bisect
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from inboxsieve.operators import telemetry
+    cols = "provider string, request_model string, source string, started_at timestamp_ntz, ended_at timestamp_ntz, "
+    cols += "model_error boolean, parse_error boolean, fallback boolean, should_alert_admin boolean, input_tokens long, "
+    cols += "output_tokens long, total_tokens long, cost_usd double"
+    rnd, t0, rows = random.Random(2), dt.datetime(2024, 1, 1), []
+    for i in range(6000):
+        begun = t0 + dt.timedelta(seconds=rnd.randrange(3600 * 20))
+        took = dt.timedelta(microseconds=int(rnd.lognormvariate(14, 1)))
+        rows.append((f"p{i % 2}", f"m{i % 3}", "s", begun, None if i % 50 == 0 else begun + took, False, False, False, True,
+                     1, 2, 3, 0.5))
+    rollup = telemetry.usage_rollup(spark.createDataFrame(rows, cols).repartition(4), sketch=True)
+    levels = telemetry.latency_quantiles(telemetry.roll_up(rollup)).collect()
+    assert {r["level"] for r in levels} == {0, 1, 2, 3, 4} and sum(r["runs"] for r in levels if r["level"] == 0) == 6000
+    for r in levels:
+        own = sorted((b - a).total_seconds() for p, m, s, a, b, *_ in rows if b is not None and all(
+            x is None or x == y for x, y in ((r["provider"], p), (r["request_model"], m), (r["source"], s),
+                                             (r["bucket"], a.replace(minute=0, second=0, microsecond=0)))))
+        for name, q in telemetry.QUANTILES.items():
+            rank = bisect.bisect_right(own, r[name] + 1e-9) / len(own)
+            low = bisect.bisect_left(own, r[name] - 1e-9) / len(own)
+            assert low - 0.0165 <= q <= rank + 0.0165, (r["level"], name)
+    none = telemetry.usage_rollup(spark.createDataFrame(rows[:1], cols).withColumn("ended_at", F.lit(None).cast("timestamp_ntz")),
+                                  sketch=True)
+    assert telemetry.latency_quantiles(none).first()["p50_latency_s"] is None

@@ -82,18 +82,41 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and df.columns == ["service_type_id", "should_alert_admin", "n_mails"]
 
 
-def test_result_store_drops_content_and_overwrites_partition(spark, tmp_path):
+STORE_COLS = "email_id long, body string, service_type_id string, received_at timestamp_ntz"
+
+
+def test_result_store_is_an_upsert(spark, tmp_path):
+    import datetime as dt
+
+    from inboxsieve.operators import store
+
+    path, day = str(tmp_path / "s"), lambda d: dt.datetime(2024, 1, d)
+    stored = lambda: sorted(((r["email_id"], r["service_type_id"], r["received_at"])
+                             for r in spark.read.parquet(path).collect()), key=str)
+    make = lambda rows: store.result_store(spark.createDataFrame(rows, STORE_COLS))
+    first = make([(1, "secret", "a", day(2)), (2, "secret", "b", day(2)), (3, "secret", "c", day(3)), (4, "x", "d", None)])
+    assert "body" not in first.columns and "dt" in first.columns
+    store.write_result_store(first, path)
+    store.write_result_store(first, path)
+    want = [(1, "a", day(2)), (2, "b", day(2)), (3, "c", day(3)), (4, "d", None)]
+    assert stored() == sorted(want, key=str)
+    store.write_result_store(make([(2, "x", "new", day(2)), (1, "x", "later claim", day(4)), (4, "x", "e", None)]), path)
+    want = [(1, "a", day(2)), (2, "new", day(2)), (3, "c", day(3)), (1, "later claim", day(4)), (4, "e", None)]
+    assert stored() == sorted(want, key=str)
+
+
+def test_retained_content_expires(spark, tmp_path):
     import datetime as dt
 
     from inboxsieve.operators import store
 
-    rows = spark.createDataFrame([(1, "secret body", "stumpGrinding", dt.datetime(2024, 1, 2))],
-                                 "email_id long, body string, service_type_id string, received_at timestamp_ntz")
-    out = store.result_store(rows)
-    assert "body" not in out.columns and "dt" in out.columns
-    store.write_result_store(out, str(tmp_path / "s"), mode="overwrite")
-    store.write_result_store(out, str(tmp_path / "s"), mode="overwrite")
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+    path = str(tmp_path / "s")
+    rows = [(i, f"body {i}", "a", dt.datetime(2024, 1, i)) for i in range(1, 6)]
+    store.write_result_store(store.result_store(spark.createDataFrame(rows, STORE_COLS), retain_content=True), path)
+    assert store.expire_content(spark, path, dt.date(2024, 1, 4)) == 3
+    assert store.expire_content(spark, path, dt.date(2024, 1, 4)) == 0
+    got = {r["email_id"]: (r["body"], r["service_type_id"]) for r in spark.read.parquet(path).collect()}
+    assert got == {1: (None, "a"), 2: (None, "a"), 3: (None, "a"), 4: ("body 4", "a"), 5: ("body 5", "a")}
 
 
 def test_source_whitelist(spark):

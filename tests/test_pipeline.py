@@ -359,3 +359,62 @@ def test_retained_input_is_redacted(spark):
     out = triage_batch(deliveries(spark, ROWS[:1]), mails, EchoBackend(), ModelConfig(), retain_input=True)
     row = out["results"].first()
     assert row["redacted_subject"] == "Stump" and "x@y.com" not in row["redacted_body"]
+
+
+class Moody(CountingBackend):
+    """Raises on the subjects in ``bad``; ends the process on those in ``kill``."""
+
+    def __init__(self, folder, store=None, bad=(), kill=(), batch_rows=3):
+        super().__init__(folder)
+        self.store, self.bad, self.kill, self.batch_rows = store, bad, kill, batch_rows
+
+    def complete(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        import os
+        for prompt in pdf["user_prompt"]:
+            if any(k in prompt for k in self.kill):
+                os._exit(1)
+            if any(b in prompt for b in self.bad):
+                raise ConnectionError("no route")
+        return super().complete(pdf)
+
+
+def _asked(spark, n):
+    rows = [(i, f"subject {i:03d}", "please quote") for i in range(n)]
+    return build_requests(spark.createDataFrame(rows, "email_id long, subject string, body string").coalesce(1))
+
+
+def test_a_failed_call_concerns_one_request(spark, tmp_path):
+    out = classify(_asked(spark, 8), Moody(tmp_path, bad=("subject 004",))).collect()
+    errors = {r["email_id"]: r["model_call_error"] for r in out if r["model_call_error"] is not None}
+    assert errors == {4: "ConnectionError: no route"} and len(out) == 8
+    assert all(r["content"][0]["text"] == ANSWER for r in out if r["email_id"] != 4)
+    mails = emails(spark)
+    whole = triage_batch(deliveries(spark, ROWS), mails, Moody(tmp_path, bad=("Trim my tree",)), ModelConfig())
+    status = {r["delivery_id"]: r["status"] for r in whole["claims"].collect()}
+    assert status[0] == "processed" and status[5] == status[7] == "released"
+    assert {(r["email_id"], r["error_message"]) for r in whole["quarantine"].where("stage = 'model'").collect()} == {
+        ("3", "ConnectionError: no route")}
+
+
+def test_answered_requests_are_not_asked_again(spark, tmp_path):
+    """A batch is killed in the middle and run again."""
+    import os
+
+    import pytest
+    calls, store = tmp_path / "calls", str(tmp_path / "store")
+    calls.mkdir()
+    requests = _asked(spark, 12)
+    with pytest.raises(Exception):  # noqa: B017 - the worker dies
+        classify(requests, Moody(calls, store, kill=("subject 007",))).collect()
+    assert 0 < len(os.listdir(calls)) < 12  # calls of three requests before the one that ends the process
+    again = Moody(calls, store, bad=("subject 009",))
+    out = classify(requests, again).collect()
+    assert {r["email_id"] for r in out if r["model_call_error"] is not None} == {9} and len(out) == 12
+    assert again.calls() == 11  # every other request once, in both runs together
+    again.bad = ()
+    again.compact(spark)
+    out = classify(requests, again).checkpoint()
+    assert out.where("model_call_error IS NULL").count() == 12 and again.calls() == 12
+    first = {r["email_id"]: r["content"] for r in out.collect()}
+    assert {c[0]["text"] for c in first.values()} == {ANSWER}
+    assert classify(requests, Moody(calls, store)).where("usage.total_tokens = 15").count() == 12 and again.calls() == 12

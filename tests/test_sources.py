@@ -34,7 +34,31 @@ def test_webhook_events_batch_and_stream(spark, tmp_path):
     assert streamed.count() == 2
 
 
-def test_service_types_keep_definition_order(tmp_path):
+def test_service_types_keep_definition_order(spark, tmp_path):
     p = tmp_path / "types.json"
     p.write_text(json.dumps({"b": {"label": "B", "description": "x"}, "a": {"label": "A", "description": "y"}}))
-    assert [t["id"] for t in readers.load_service_types(str(p))] == ["b", "a"]
+    assert [t["id"] for t in readers.load_service_types(spark, str(p))] == ["b", "a"]
+
+
+def test_equal_deliveries_without_an_id_are_two(spark, tmp_path):
+    """Their ids are stable, and they arrive when their files do."""
+    import datetime as dt
+    import os
+    event = json.dumps({"type": "email.received", "created_at": "2020-05-05T00:00:00Z", "data": {"email_id": "m1"}})
+    named = json.dumps({"id": "e1", "type": "email.received", "data": {"email_id": "m2"}})
+    arrived = {}
+    for k, lines in enumerate([[event, event, named], [event], [named] + [event] * 3000]):
+        path = tmp_path / f"{k}.json"
+        path.write_text("\n".join(lines), encoding="utf-8")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+        arrived[k] = dt.datetime.fromtimestamp(1_700_000_000 + k, dt.timezone.utc).replace(tzinfo=None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        seen = [readers.read_webhook_events(spark, str(tmp_path)).collect() for _ in range(2)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    ids = [{r["delivery_id"] for r in rows} for rows in seen]
+    assert ids[0] == ids[1] and len(ids[0]) == 3004 and len(seen[0]) == 3005  # e1 came twice
+    times = sorted(r["received_at"] for r in seen[0] if r["email_id"] == "m1")
+    assert times == sorted([arrived[0]] * 2 + [arrived[1]] + [arrived[2]] * 3000)
+    assert {r["created_at"] for r in seen[0] if r["email_id"] == "m1"} == {dt.datetime(2020, 5, 5)}
