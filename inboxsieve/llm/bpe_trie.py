@@ -1,16 +1,20 @@
 """Byte-level BPE encoding and decoding through a trie of distinct words.
 
-Texts are split into pre-tokens ("words").  Each worker inserts the distinct
-words it meets, as bytes, into a trie (a map from paths to states); a node's
-state is the last token of the encoding of the path from the root.  A word's
-encoding is that of a shorter prefix plus one token, so a state follows from
-its ancestors' states alone: it is the one token that ends here and may stand
-after the last token of the node where it begins.  Two tokens may stand side by side when merging their joined bytes
-gives those two tokens again.  So a prefix shared by many words is encoded
-once, and an encoding is read off by walking the states back to the root.
-
-The trie and the memo of pieces are bounded (``MAX_NODES``, ``MAX_PIECES``);
-when they are full they are begun anew, which costs time but changes no result.
+Texts are split into pre-tokens ("words").  Each task inserts the distinct
+words it meets, as bytes, into a trie of linked nodes; a node's state is the
+last token of the encoding of the path from the root.  A word's encoding is
+that of a shorter prefix plus one token, so going down a path a state follows
+from those above it: it is the one token that ends here and may stand after the
+last token of the node where it begins.  Two tokens may stand side by side when
+merging their joined bytes gives those two tokens again.  So a prefix shared by
+many words is encoded once, and an encoding is read off by walking the states
+back to the root.
+
+The trie has the first ``MAX_DEPTH`` bytes of a word; the states below stand in
+a list by position while the word is encoded, so memory is linear in its length.
+What a task remembers is bounded in bytes (``MAX_NODES`` nodes and pairs of
+tokens of about 160 bytes each, ``PIECE_BYTES`` of pieces, twice); what is full
+is begun anew, which costs time but changes no result.
 
 Cases: null and empty texts have no tokens and decode to the empty text; null
 ids decode to the empty text; ids outside the vocabulary are left out; special
@@ -44,8 +48,10 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-MAX_NODES = 600_000  # paths of the trie; as many pairs of tokens times four
-MAX_PIECES = 300_000
+MAX_DEPTH = 48
+MAX_NODES = 400_000  # of the trie, and as many pairs of tokens
+PIECE_BYTES = 72 << 20
+ENTRY_BYTES = 230  # of a piece and its ids, beside their characters
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -119,20 +125,26 @@ class Pieces(dict):
 
     def __init__(self, encoder: Encoder, before: str):
         super().__init__()
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.size = encoder, before, 0
 
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        if len(self) >= MAX_PIECES:
-            self.clear()
-        got = self[piece] = self.encoder.ids_of(self.before + piece)
+        got = self.encoder.ids_of(self.before + piece)
+        size = 4 * len(piece) + len(got) + ENTRY_BYTES
+        if size < PIECE_BYTES >> 8:  # a long piece hardly comes again
+            self.size += size
+            if self.size > PIECE_BYTES:
+                self.clear()
+                self.size = size
+            self[piece] = got
         return got
 
 
 class Encoder:
-    """The trie of one task: ``last`` has the last token of every path (the
-    bytes from the root), ``joins`` which tokens may stand side by side."""
+    """The trie of one task: ``child`` has the node below a node by a byte,
+    ``last`` the last token of a node's path, ``joins`` which tokens may stand
+    side by side."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -140,8 +152,9 @@ class Encoder:
         self.between = re.compile(r"(?<=\S) (?=\S)")
         self.special = (re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len)[::-1])) + ")")
                         if vocabulary.special else None)
-        self.joins: dict[tuple[int, int], bool] = {}
-        self.last: dict[bytes, int] = {b"": -1}
+        self.joins: dict[int, bool] = {}
+        self.child: dict[int, int] = {}
+        self.last = array("i", [-1])  # of the root: at the beginning of a word
         self.bare, self.spaced = Pieces(self, ""), Pieces(self, " ")
         self.line_end = self.ids_of("\n")
 
@@ -149,33 +162,41 @@ class Encoder:
         """left -1: at the beginning of a word."""
         if left < 0:
             return self.v.plain or self.v.merged(self.v.bytes_of[right]) == [right]
-        known = self.joins.get((left, right))
-        if known is None:
-            if len(self.joins) > 4 * MAX_NODES:
-                self.joins.clear()
-            known = self.joins[left, right] = self.v.stand_together(left, right)
+        if len(self.joins) >= MAX_NODES:
+            self.joins.clear()
+        known = self.joins[left << 32 | right] = self.v.stand_together(left, right)
         return known
 
     def insert(self, data: bytes) -> list[int]:
-        """Find the deepest node on the word's path, add those below it with
-        their states, and read the encoding off the path."""
-        last, id_of, joins, longest = self.last, self.v.id_of, self.joins, self.v.longest.get
-        size = known = len(data)
-        while data[:known] not in last:
-            known -= 1
-        for end in range(known + 1, size + 1):
+        """Go down the word's path, add the nodes it lacks with their states,
+        and read the encoding off the states."""
+        child, last, longest = self.child, self.last, self.v.longest.get
+        id_of, joins, below = self.v.id_of.get, self.joins.get, child.get
+        node, states = 0, [-1]  # the last token by position
+        add = states.append
+        for byte in data:
+            found = below(node << 8 | byte)
+            if found is None:
+                break
+            node = found
+            add(last[found])
+        size = len(data)
+        for end in range(len(states), size + 1):
             # the longest token first
             for begin in range(max(0, end - longest(data[end - 3:end], 2)) if end > 2 else 0, end):
-                token = id_of.get(data[begin:end])
+                token = id_of(data[begin:end])
                 if token is not None:
-                    left = last[data[:begin]]
-                    fits = joins.get((left, token))
+                    left = states[begin]
+                    fits = joins(left << 32 | token)
                     if fits or (fits is None and self.may_follow(left, token)):
                         break
-            last[data[:end]] = token
+            add(token)
+            if end <= MAX_DEPTH:
+                child[node << 8 | data[end - 1]] = node = len(last)
+                last.append(token)
         ids, bytes_of = [], self.v.bytes_of
         while size:
-            token = last[data[:size]]
+            token = states[size]
             ids.append(token)
             size -= len(bytes_of[token])
         ids.reverse()
@@ -183,7 +204,8 @@ class Encoder:
 
     def ids_of(self, text: str) -> bytes:
         if len(self.last) > MAX_NODES:
-            self.last = {b"": -1}
+            self.child.clear()
+            del self.last[1:]
         # letters only, or with a space before them: one word, and the pattern need not be asked
         words = [text] if text.isalpha() or text[1:].isalpha() and text[0] == " " else self.split.findall(text)
         ids = array("i")
@@ -214,16 +236,6 @@ class Encoder:
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
 
-_encoders: dict[str, Encoder] = {}  # of this worker, for its next tasks
-
-
-def _encoder(vocabulary: Vocabulary) -> Encoder:
-    if vocabulary.digest not in _encoders:
-        _encoders.clear()
-        _encoders[vocabulary.digest] = Encoder(vocabulary)
-    return _encoders[vocabulary.digest]
-
-
 def _with(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     kept = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()))
     return kept, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
@@ -235,7 +247,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held.value)
+        encoder = Encoder(held.value)  # of this task: an idle worker holds nothing for it
         for batch in chunks(batches, text):
             got = [encoder.encode(t or "") for t in batch.column(text).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)

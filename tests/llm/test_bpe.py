@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 from inboxsieve.llm import bpe_trie
 from inboxsieve.llm.queries import op7_bpe_trie, table, tokenizer_path
 
-from .conftest import SF, messy_rows
+from .conftest import SF, messy_rows, prose
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_tokens_side_by_side(encoder):
 
 def test_a_full_trie_is_begun_anew(monkeypatch, library):
     monkeypatch.setattr(bpe_trie, "MAX_NODES", 50)
-    monkeypatch.setattr(bpe_trie, "MAX_PIECES", 20)
+    monkeypatch.setattr(bpe_trie, "PIECE_BYTES", 100_000)
     small = bpe_trie.Encoder(bpe_trie.Vocabulary(tokenizer_path()))
     s = " ".join(f"word{k} thing{k * 7}" for k in range(300))
     assert small.encode(s).tolist() == library.encode(s, add_special_tokens=False).ids
@@ -71,3 +71,27 @@ def test_query_against_the_library(spark, library, nothing):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
     assert bpe_trie.encode(nothing, tokenizer_path()).count() == 0
+
+
+def test_a_very_long_word_takes_linear_memory():
+    """A word of a million letters, against the library's merge loop."""
+    import random
+    import resource
+
+    from inboxsieve.llm.token_files import ByteLevel
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = bpe_trie.Encoder(bpe_trie.Vocabulary(tokenizer_path())).encode(word)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert got.tolist() == ByteLevel(tokenizer_path()).encode(word)
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe_trie, "MAX_NODES", 50)
+    monkeypatch.setattr(bpe_trie, "PIECE_BYTES", 100_000)
+    encoder = bpe_trie.Encoder(bpe_trie.Vocabulary(tokenizer_path()))
+    text = prose(1, 3000, 10 ** 6)
+    whole = bpe_trie.Encoder(encoder.v).encode(text)
+    assert encoder.encode(text).tolist() == whole.tolist() == encoder.encode(text).tolist()
+    assert len(encoder.last) < 200 and len(encoder.joins) <= 50 and len(encoder.spaced) < 500
