@@ -108,8 +108,17 @@ def expected_ids(plural: Column, single: Column, plural_is_array: bool = False)
 
 
 def _number_text(x: Column) -> Column:
-    """A double as JavaScript prints it: no point for whole numbers."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    """A double as JavaScript prints it: no point for whole numbers, digits
+    written out from 1e-6 up to 1e21, else ``1e-7``, ``1.5e+21``."""
+    text, size = x.cast("string"), F.abs(x)
+
+    def written_out(scale: int) -> Column:
+        digits = text.try_cast(f"decimal(38,{scale})").cast("string")
+        return F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", "")
+
+    power = F.regexp_replace(F.regexp_replace(text, r"\.0E|E", "e"), r"e(\d)", r"e+$1")
+    return (F.when(x == 0, F.lit("0")).when((size >= 1e21) | (size < 1e-6), power)
+            .when(size < 1, written_out(30)).otherwise(written_out(16)))
 
 
 def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column, service_types: list[dict] | None = None):
@@ -137,6 +146,7 @@ def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column, ser
 
         sid = F.coalesce(g("_sid"), F.lit("undefined"))
         alert = F.when(alert_is_bool, g("_alert").cast("string"))
+        # The wording of a verdict's failures.
         rules = [
             (must((g("_t_expl") == "STRING") & (g("_expl") != "")), F.lit("explanation must be a non-empty string")),
             (must((g("_t_sid") == "STRING") & g("_sid").isin(*ids_set)),

@@ -150,3 +150,13 @@ def test_latency_quantiles_of_merged_sketches(spark):
     none = telemetry.usage_rollup(spark.createDataFrame(rows[:1], cols).withColumn("ended_at", F.lit(None).cast("timestamp_ntz")),
                                   sketch=True)
     assert telemetry.latency_quantiles(none).first()["p50_latency_s"] is None
+
+
+def test_numbers_are_printed_as_in_javascript(spark):
+    from inboxsieve.operators.evaluate import _number_text
+    want = {0.0: "0", -0.0: "0", 1.0: "1", 0.7: "0.7", 100.0: "100", 1e7: "10000000", 1.5e7: "15000000", 0.0005: "0.0005",
+            1e-6: "0.000001", 1e-7: "1e-7", 1.25e-9: "1.25e-9", -2.5e-8: "-2.5e-8", 1e20: "100000000000000000000",
+            1e21: "1e+21", 1.5e300: "1.5e+300", 0.1234567890123456: "0.1234567890123456", -12.5: "-12.5"}
+    df = spark.createDataFrame([(x,) for x in want], "x double")
+    got = {r["x"]: r["t"] for r in df.select("x", _number_text(df["x"]).alias("t")).collect()}
+    assert got == {x: t for x, t in want.items()}
