@@ -60,7 +60,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A whole word with a digit, @ or _, or with a dot or bracket between letters or digits.
 CANDIDATE = (r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@_]*+[0-9@_]|"
              r"[^\x20\x09-\x0D]*?[A-Za-z0-9][.(\[{][A-Za-z0-9])[^\x20\x09-\x0D]++")
-MIN_LENGTH = 5
+MIN_LENGTH = 1  # characters of a candidate, without the punctuation around it
 MIN_SUPPORT, ACCEPT = 5, 0.8
 STEP = 1e-6  # scores are compared between rounds in steps of this
 MAX_BROADCAST_PATTERNS = 500_000
@@ -129,7 +129,7 @@ def _valid(kind: Column, match: Column) -> Column:
             .when(kind == "phone", digits.between(9, 15)).otherwise(True))
 
 
-def _places(docs: DataFrame) -> DataFrame:
+def _places(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     """Every seed and candidate with its place: ``_id, _key, kind, match,
     start, end, w1, w2, share`` (kind null: candidate; w1, w2: the hashes of
     the word before and of the two words before; share: its part of the place
@@ -156,11 +156,13 @@ def _places(docs: DataFrame) -> DataFrame:
     rows = (rows.withColumn("start", F.when(cand, F.col("start") + lead).otherwise(F.col("start")))
             .withColumn("match", F.when(cand, core).otherwise(F.col("match")))
             .withColumn("end", F.col("start") + F.char_length("match"))
-            .where(~cand | (F.col("end") - F.col("start") >= MIN_LENGTH)))
+            .where(~cand | (F.col("end") - F.col("start") >= min_length)))
     # candidates that overlap a seed go: seeds that began before, and seeds that begin inside
     order = Window.partitionBy("_row").orderBy("start", cand.cast("int"))
     begun = F.max(F.when(~cand, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    coming = F.min(F.when(~cand, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # the other way round, so that this too is a running frame: one that reaches to the end is worked out anew for each row
+    back = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc(cand.cast("int")))
+    coming = F.min(F.when(~cand, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_begun", begun).withColumn("_coming", coming)
     clear = (F.coalesce(F.col("_begun") <= F.col("start"), F.lit(True))
              & F.coalesce(F.col("_coming") >= F.col("end"), F.lit(True)))
@@ -216,15 +218,16 @@ def discover(docs: DataFrame, places: DataFrame, min_support: int = MIN_SUPPORT,
 
 
 def find_identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_support: int = MIN_SUPPORT,
-                     accept: float = ACCEPT) -> DataFrame:
+                     accept: float = ACCEPT, min_length: int = MIN_LENGTH) -> DataFrame:
     """``<doc_id>, _key, spans`` of every different row (id and text): array
     of ``start, rank, end, kind, seed`` ordered by start, then kind as listed.
-    ``_key`` is ``xxhash64`` of the text (null: empty)."""
+    ``_key`` is ``xxhash64`` of the text (null: empty).  Candidates have
+    ``min_length`` characters at least."""
     checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
     docs = docs.withColumn("_key", F.xxhash64("_text"))
-    places = _places(docs).checkpoint()
+    places = _places(docs, min_length).checkpoint()
     new = discover(docs, places.select("kind", "match", "w1", "w2", "share"), min_support, accept)
     seeds = places.where("kind IS NOT NULL").select("_id", "_key", "kind", "start", "end", F.lit(True).alias("seed"))
     more = places.where("kind IS NULL").drop("kind").join(new, "match").select(
@@ -243,19 +246,27 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -
     """``docs`` with every span replaced by its kind in brackets; spans that
     overlap become one, named after the first.  Null texts stay null."""
     found = (find_identifiers(docs, doc_id, text, **how).where(F.size("spans") > 0).dropDuplicates([doc_id, "_key"])
-             .select(F.col(doc_id).alias("_i"), F.col("_key").alias("_k"), "spans").withColumnRenamed("spans", "_spans"))
+             .select(F.col(doc_id).alias("_i"), F.col("_key").alias("_k"), F.explode("spans").alias("s"))
+             .select("_i", "_k", "s.*"))
+    # what is written anew, and from where to where the text before it stays
+    used = Window.partitionBy("_i", "_k").orderBy("start", "rank", "end").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("upto", F.coalesce(F.max("end").over(used), F.lit(0)))
+    piece = F.when(F.col("start") >= F.col("upto"), F.struct("start", "upto", "kind"))
+    found = found.groupBy("_i", "_k").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"), F.max("end").alias("_tail"))
     own = F.xxhash64(F.coalesce(F.col(f"d.`{text}`").cast("string"), F.lit("")))
     joined = docs.alias("d").join(found.alias("f"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("f._i")) & (own == F.col("f._k")), "left")
     whole = F.col(f"d.`{text}`")
-    # fold the sorted spans: what is written so far, and how far the text is used up
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(whole, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        added = F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(s["start"] >= acc["at"], added).otherwise(acc["out"]).alias("out"),
-                        F.greatest(acc["at"], s["end"]).alias("at"))
+    def part(points: Column, start: Column, n: Column) -> Column:
+        return F.decode(F.substring(points, (4 * start + 1).cast("int"), (4 * n).cast("int")), "UTF-32")
 
-    finish = lambda acc: F.concat(acc["out"], F.substring(whole, (acc["at"] + 1).cast("int"), F.char_length(whole)))
-    clean = F.when(F.col("f._spans").isNull(), whole).otherwise(F.aggregate("f._spans", start, step, finish))
+    def written(points: Column) -> Column:
+        pieces = F.transform("f._pieces", lambda p: F.concat(
+            part(points, p["upto"], p["start"] - p["upto"]), F.lit("["), F.upper(p["kind"]), F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), part(points, F.col("f._tail"), F.octet_length(points)))
+
+    # four bytes a character, so that each part is found without counting from the beginning; in a list of one, so
+    # that they are a variable and not worked out for each part
+    clean = F.when(F.col("f._tail").isNull(), whole).otherwise(
+        F.element_at(F.transform(F.array(F.encode(whole, "UTF-32")), written), 1))
     return joined.select(*(clean.alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns))

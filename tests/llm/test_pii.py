@@ -50,12 +50,36 @@ def test_hard_and_messy_texts(spark, messy):
 
 
 def test_query_on_the_table(spark):
-    for r in op10_pii_bootstrap(spark, SF).collect():
-        text = table(spark, SF, "documents").where(F.col("doc_id") == r.doc_id).first().text if r.n_email else None
-        if text:
-            spans = base(text)
-            assert r.base_sha256 == hashlib.sha256(written(spans).encode()).hexdigest()
-            assert set(written(spans).split(",")) <= set(r.spans.split(","))
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    rows = op10_pii_bootstrap(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = base(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(written(spans).encode()).hexdigest()
+        assert {k: getattr(r, f"n_{k}") for k in PLAIN} == {k: sum(s[3] == k for s in spans) for k in PLAIN}
+        assert set(written(spans).split(",")) <= set(r.spans.split(",")) or not spans
+
+
+def test_a_text_full_of_identifiers(spark):
+    """200,000 identifiers in one text, and 50,000 to be replaced."""
+    import time
+    many = " ".join(f"u{k}@x.io" for k in range(200_000))
+    some = "é中😀 " + " and ".join(f"u{k}@x.io" for k in range(50_000)) + " end"
+    docs = messy_table(spark, [(1, many, "en", "a"), (2, some, "en", "a")])
+    began = time.time()
+    got = {r.doc_id: r.n for r in pii.find_identifiers(docs).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got == {1: 200_000, 2: 50_000}
+    clean = pii.redact(docs.where("doc_id = 2")).first().text
+    assert clean == "é中😀 " + " and ".join(["[EMAIL]"] * 50_000) + " end"
+    assert time.time() - began < 120
+
+
+def test_short_candidates_may_be_left_out(spark):
+    rows = [(k, f"agent id: a{k}@x.io spoke") for k in range(12)] + [(50, "agent id: x7 spoke")]
+    docs = messy_table(spark, [(i, t, "en", "a") for i, t in rows])
+    found = lambda **how: [(s.start, s.end) for r in pii.find_identifiers(docs, **how).where("doc_id = 50").collect()
+                           for s in r.spans]
+    assert found() == [(10, 12)] and found(min_length=3) == []
 
 
 def context_rows():
