@@ -1,39 +1,47 @@
-"""Substring deduplication by a content-defined index of reference blocks, in
-place of relative Lempel-Ziv parsing.
+"""Substring deduplication by relative Lempel-Ziv parsing.
 
 A passage is a duplicate if ``window`` (50) or more consecutive words of it
 also stand in a document with a smaller id.  Every document is a reference for
-the later ones and is cut into overlapping *blocks* by content: each window of
+the later ones.  It is cut into overlapping *blocks* by content: each window of
 50 words owns the 16-word gram in it with the least hash (its anchor), and the
 consecutive windows with one anchor form a block.  Equal passages are cut
-equally, whatever stands around them, so a shared index of blocks replaces
-comparing documents with each other:
+equally, whatever stands around them, so the anchor routes a document's blocks
+to the reference blocks that may match, and no document meets another:
 
 1. *Index.*  For every anchor that several documents have, and for every
    (anchor, block content) where an anchor has several contents, the smallest
-   id that has it.
-2. *Known blocks.*  Every block is looked up on its own; one found under a
-   smaller id (any, not the same for its neighbours) is a duplicate span, and
-   as it is made of whole windows, it is long enough by construction.  No run
-   of blocks is extended against one reference.
-3. *Boundaries.*  Where a passage begins or ends, a block's content is
-   new although its anchor is known, and part of its windows may still be
-   duplicates.  Only there, windows are compared one by one - and only those
-   of a block content's first document, as a later document with the same
-   content is covered by its block already.  The windows seen there are
-   indexed the same way (smallest id for each window).
+   id that has it and where it stands there.
+2. *Matches.*  Every block is looked up; one found under a smaller id is a
+   match with a place of that reference.
+3. *Boundaries.*  Where a match begins or ends, a block's content is new
+   although its anchor is known, and part of its windows may still match.  Only
+   there, windows are looked up one by one - and only those of a block
+   content's first document, as a later document with the same content is
+   covered by its block already.  Windows seen there are indexed the same way.
+4. *Parse.*  The matches of a document come together; those that continue each
+   other in one reference are one longer match.  The document is then factored
+   greedily from left to right: at each word, the match that reaches furthest is
+   the next factor (``factors``: its words, the reference and the place in it);
+   words that no match covers are literals.  Every match has 50 words at least,
+   and windows over factor boundaries were looked up in step 3, so the factors
+   cover just the duplicate spans, which are removed.
+
+A block is matched with the smallest id that has it, so a factor is the longest
+one against the references found so, not against all that hold it; this does
+not change which words are covered.
 
 The spans are exact: each window is compared by its whole content (64-bit
 hashes of the anchor and of the content), against every document.  Index
 entries and windows are combined before each shuffle, so a passage that very
-many documents share is one entry a task; joins back to the documents are many
-to one, which adaptive execution splits.
+many documents share is one entry a task; the index is checkpointed, so that
+in the joins back, which are many to one, adaptive execution can split the
+documents' side.
 
 Cases: a null or empty text has no words; a document with a null id loses
 nothing and is no reference; equal ids are not smaller than each other, so
 repeated rows keep their words; rows with one id but different texts are
-judged separately; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+judged separately (a factor's reference may be any of them); an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +52,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import checkpoint_dir
 from .words import WORD_BASE, Texts, chunks, mix, prefix_hash
@@ -133,20 +142,56 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(rows, f"anchor bigint, content bigint, _id {kind}, _row int, start int")
 
 
+def parse(start: np.ndarray, end: np.ndarray, refs: list, ref_start: np.ndarray) -> list[tuple[int, int, object, int]]:
+    """The greedy factors ``(start, end, reference, its start)`` of a document
+    with these matches (words ``start`` to ``end`` stand in ``refs`` from
+    ``ref_start`` on)."""
+    whole: dict[tuple, list[list[int]]] = {}  # matches by reference and displacement
+    for k in np.argsort(start, kind="stable").tolist():
+        a, b = int(start[k]), int(end[k])
+        runs = whole.setdefault((refs[k], int(ref_start[k]) - a), [])
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    longest = sorted((a, -b, at, shift) for at, ((_, shift), runs) in enumerate(whole.items()) for a, b in runs)
+    names = [ref for ref, _ in whole]
+    out, here, k, best = [], 0, 0, None
+    while True:
+        while k < len(longest) and longest[k][0] <= here:
+            if best is None or longest[k][1] < best[1]:
+                best = longest[k]
+            k += 1
+        if best is not None and -best[1] > here:
+            out.append((here, -best[1], names[best[2]][0], here + best[3]))
+            here = -best[1]
+        elif k < len(longest):
+            here = longest[k][0]  # literals up to there
+        else:
+            return out
+
+
 def _kept(texts: DataFrame) -> DataFrame:
     kind = texts.schema["_id"].dataType.simpleString()
+    factor = f"array<struct<start:int,end:int,ref_id:{kind},ref_start:int>>"
+    key_type = to_arrow_type(texts.schema["_id"].dataType)
+    factor_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_id", key_type), ("ref_start", pa.int32())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "_text"):
-            n_words, n_removed, kept, merged = [], [], [], []
-            for text, spans in zip(batch.column("_text"), batch.column("spans"), strict=True):
+            n_words, n_removed, kept, merged, factors = [], [], [], [], []
+            for text, matches in zip(batch.column("_text"), batch.column("matches"), strict=True):
                 words = (text.as_py() or "").encode().split()  # ASCII white space only, as it is bytes
-                removed = np.zeros(len(words) + 1, dtype=np.int32)
-                if spans.is_valid:
-                    a, b = (np.asarray(x) for x in spans.values.flatten())
-                    np.add.at(removed, a, 1)
-                    np.add.at(removed, b, -1)
-                gone = np.cumsum(removed)[:-1] > 0
+                parsed = []
+                if matches.is_valid:
+                    start, end, lo, ref = matches.values.flatten()
+                    ref = np.asarray(ref)
+                    parsed = parse(np.asarray(start), np.asarray(end), list(zip(lo.to_pylist(), (ref >> 32).tolist(), strict=True)),
+                                   ref & 0xFFFFFFFF)
+                factors.append([{"start": a, "end": b, "ref_id": r, "ref_start": q} for a, b, r, q in parsed])
+                gone = np.zeros(len(words), dtype=bool)
+                for a, b, _, _ in parsed:
+                    gone[a:b] = True
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 merged.append([{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())])
                 n_words.append(len(words))
@@ -157,42 +202,50 @@ def _kept(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(merged, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                 pa.array(kept, pa.string())], ["_id", "n_words", "n_removed", "spans", "kept"])
+                 pa.array(factors, factor_type), pa.array(kept, pa.string())],
+                ["_id", "n_words", "n_removed", "spans", "factors", "kept"])
 
     return texts.mapInArrow(rows, f"_id {kind}, n_words bigint, n_removed bigint, "
-                                  "spans array<struct<start:int,end:int>>, kept string")
+                                  f"spans array<struct<start:int,end:int>>, factors {factor}, kept string")
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
                      gram: int = GRAM) -> DataFrame:
-    """``<doc_id>, n_words, n_removed, spans, kept`` of every row: the removed
-    word ranges (end exclusive), and the kept words joined by one space."""
+    """``<doc_id>, n_words, n_removed, spans, factors, kept`` of every row:
+    the removed word ranges (end exclusive), the factors that they consist of
+    (``start, end, ref_id, ref_start``: words ``start`` to ``end`` stand in
+    ``ref_id`` from word ``ref_start`` on), and the kept words joined by one
+    space."""
     checkpoint_dir(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_row"), F.col(text).cast("string").alias("_text"))
     blocks = _blocks(docs, window, gram)
+    # the row and the word where a block begins, in one number
+    place = F.shiftleft(F.col("_row").cast("long"), 32).bitwiseOR(F.col("start").cast("long"))
+    lowest = (F.min("_id").alias("lo"), F.min_by(place, "_id").alias("ref"))
 
     # only anchors in several documents; where all their blocks are alike, the smallest id tells all
-    several = (blocks.groupBy("anchor").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"),
+    several = (blocks.groupBy("anchor").agg(*lowest, F.max("_id").alias("hi"),
                                             (F.min("content") != F.max("content")).alias("edge"))
-               .where("lo < hi").drop("hi"))
+               .where("lo < hi").drop("hi").checkpoint())
     shared = blocks.join(several, "anchor").where("edge OR lo < _id").checkpoint()
-    edges = shared.where("edge").drop("edge", "lo")
-    index = edges.groupBy("anchor", "content").agg(F.min("_id").alias("lo"))
+    edges = shared.where("edge").drop("edge", "lo", "ref")
+    index = edges.groupBy("anchor", "content").agg(*lowest).checkpoint()
     edges = edges.join(index, ["anchor", "content"])
     end = (F.col("start") + F.col("n") + (window - 1)).alias("end")
     key = F.struct("_id", "_row").alias("_k")
-    factors = (shared.where("NOT edge").select(key, "start", end)
-               .unionByName(edges.where("lo < _id").select(key, "start", end)))
+    matches = (shared.where("NOT edge").select(key, "start", end, "lo", "ref")
+               .unionByName(edges.where("lo < _id").select(key, "start", end, "lo", "ref")))
 
     # the texts are dealt out once, by id and row, for the windows at the boundaries and for the result
     placed = docs.select(key, "_text").repartition("_k")
     listed = (edges.where("lo = _id").groupBy(key)
               .agg(F.collect_list(F.struct("anchor", "start", "n")).alias("blocks")))
     windows = _windows(placed.join(listed, "_k").select("_k._id", "_k._row", "_text", "blocks"), window)
-    least = (windows.groupBy("anchor", "content").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"))
+    least = (windows.groupBy("anchor", "content").agg(*lowest, F.max("_id").alias("hi"))
              .where("lo < hi").drop("hi"))
     again = (windows.join(least, ["anchor", "content"]).where("lo < _id")
-             .select(key, "start", (F.col("start") + window).alias("end")))
-    spans = factors.unionByName(again).groupBy("_k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    texts = placed.join(spans, "_k", "left").select("_k._id", "_text", "spans")
+             .select(key, "start", (F.col("start") + window).alias("end"), "lo", "ref"))
+    found = matches.unionByName(again).groupBy("_k").agg(
+        F.collect_list(F.struct("start", "end", "lo", "ref")).alias("matches"))
+    texts = placed.join(found, "_k", "left").select("_k._id", "_text", "matches")
     return _kept(texts).withColumnRenamed("_id", doc_id)
