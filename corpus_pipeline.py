@@ -6,12 +6,16 @@ returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``; all but the last return the columns of ``documents``.
 
 1. ``language``: documents whose language cannot be told (null or without a
-   letter) go; a null ``lang`` is filled with the language found.
+   letter) go; a null ``lang`` is filled with the language found.  If no
+   document has a ``lang``, none can be learned and it stays null; the same
+   documents go.
 2. ``near_duplicates``: of each group of documents connected by a Jaccard
    similarity of 0.8 or more over five-word shingles, the one with the
    smallest id stays.  Documents without words stay, as they resemble nothing;
-   rows with a null id stay, as a group cannot be named by it; of rows that
-   repeat an id one stays.
+   rows with a null id stay, as a group cannot be named by it.  Rows with one
+   id but different texts are documents of their own (of these, the one with
+   the smaller hash counts as smaller); of rows equal in id and text the least
+   stays.
 3. ``personal_data``: every identifier found is replaced by its kind in
    brackets; ``n_chars`` follows the new text.
 4. ``mixture``: sources are mixed to target weights; a document that is taken
@@ -36,22 +40,26 @@ from inboxsieve.session import checkpoint_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    if docs.where("lang IS NOT NULL").limit(1).count() == 0:  # nothing to learn from
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, pred="_lang_pred", score="_lang_score").where(
         F.col("_lang_pred") != langid.UNDETERMINED)
     return found.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.similarity_components(docs)
-    stay = groups.where("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    stay = stay.select(F.col("doc_id").alias("_stay"))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
     ids = docs.where("doc_id IS NOT NULL").select("doc_id")
     repeated = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    # an id that repeats does not name a text: then id and text do
+    name = F.struct("doc_id", F.xxhash64("text").alias("hash")) if repeated else F.col("doc_id")
+    named = docs.withColumn("_name", F.when(F.col("doc_id").isNotNull(), name))
+    groups = ngram_join.similarity_components(named, doc_id="_name")
+    stay = groups.where("_name = component_id").select(F.col("_name").alias("_stay")).distinct()
+    kept = named.join(stay, F.col("_name") == F.col("_stay"), "left_semi")
     if repeated:
-        named = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id IS NULL"))
-    return kept.select(*docs.columns)
+        one = kept.groupBy("_name").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+        kept = one.select("_row.*")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
