@@ -5,7 +5,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from inboxsieve.llm.queries import tokenizer_path
 
-from .conftest import SF, messy_rows, messy_table, words
+from .conftest import SF, messy_rows, messy_table, prose, words
 from .test_cube import targets
 from .test_ngram import brute
 from .test_pii import redacted
@@ -66,3 +66,25 @@ def test_run_and_empty_documents(spark, nothing, tmp_path):
     assert done.count() > 100 and "ids" in done.columns
     nothing.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_without_any_language_only_texts_without_letters_go(spark):
+    docs = messy_table(spark, [(i, t, None, s) for i, t, _, s in messy_rows()])
+    want = sorted((i, t) for i, t, _, _ in messy_rows() if any(c.isalpha() for c in t or ""))
+    assert sorted(rows(corpus_pipeline.language(spark, docs, SF))) == want
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    """Whatever the order of the rows."""
+    base, other = prose(1, 200), prose(2, 200)
+    near = base.split()
+    near[100] = "changed"
+    data = [(3, base, "en", "a"), (14, " ".join(near), "en", "a"), (14, other, "en", "a"), (14, other, "en", "b"),
+            (14, other, "en", "b"), (20, other, "en", "a"), (None, base, "en", "a"), (None, base, "en", "a"), (21, "", "en", "a"),
+            (21, None, "en", "a"), (21, "", "en", "a")]
+    want = [(3, base, "a"), (14, other, "a"), (21, "", "a"), (21, None, "a"), (None, base, "a"), (None, base, "a")]
+    for k in range(3):
+        docs = messy_table(spark, data[k::] + data[:k]).repartition(k + 1)
+        got = corpus_pipeline.near_duplicates(spark, docs, SF)
+        assert sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=str) == sorted(want, key=str)
+        assert got.columns == docs.columns
