@@ -61,3 +61,50 @@ def test_ties_go_to_the_first_language():
     codes = langid.ngram_codes("same")
     same = langid._top(codes, 300)
     assert langid.Profiles({"aa": same, "bb": same}, 300).predict("same") == ("aa", 1.0)
+
+
+def plain_grams(text):
+    """The n-grams as strings, padded with NUL; no numpy."""
+    out, run = [], ""
+    runs = []
+    for c in text.lower() + " ":
+        if c.isalpha():
+            run += c
+        elif run:
+            runs.append(run)
+            run = ""
+    line = "\0" + "\0".join(runs) + "\0"
+    for k, c in enumerate(line):
+        if c != "\0":
+            out += [c, line[k - 1:k + 2]]
+        if k:
+            out.append(line[k - 1:k + 1])
+    return out
+
+
+def rank_of(counts, size):
+    """Ranks by count, ties by the code points of the n-gram (a shorter one last)."""
+    order = sorted(counts, key=lambda g: (-counts[g], [ord(c) for c in g] + [langid.NONE] * (3 - len(g))))
+    return {g: k for k, g in enumerate(order[:size])}
+
+
+def test_out_of_place_distance_by_brute_force(spark):
+    """Profiles, ranks, distances and the best language, of the whole table."""
+    import zlib
+    from collections import Counter
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in docs:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    profiles = {k: rank_of(c, 300) for k, c in sorted(counts.items())}
+    got = {r.doc_id: r for r in op9_rank_language(spark, SF).collect()}
+    for r in docs:
+        own = rank_of(Counter(plain_grams(r.text or "")), 300)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        distance = {k: sum(abs(p[g] - at) if g in p else 300 for g, at in own.items()) for k, p in profiles.items()}
+        best = min(distance, key=lambda k: (distance[k], k))
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - (1 - distance[best] / (300 * len(own)))) < 1e-12

@@ -98,3 +98,24 @@ def test_scores_do_not_depend_on_held_out_labels(spark):
     one = gbt_quality.quality_scores(docs, labels, learn_from=remainder("doc_id", 3) != 1)[0]
     two = gbt_quality.quality_scores(docs, labels.where(remainder("doc_id", 3) != 1))[0]
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+def test_the_emitted_expression_follows_the_rules_row_by_row(spark):
+    """The ordered Spark conditional against the rules applied in Python: on
+    the table, and at the thresholds themselves."""
+    verdicts, rules = decision_list.quality_rules(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    assert rules
+
+    def keeps(row, rules):
+        return not any(all(row[t.feature] >= t.threshold if t.above else row[t.feature] <= t.threshold for t in rule)
+                       for rule in rules)
+
+    for r in verdicts.collect():
+        assert r.kept == keeps(r, rules)
+    edge = [(decision_list.Test("f", True, 2.0), decision_list.Test("g", False, 0.5)), (decision_list.Test("h", False, -1.0),)]
+    rows = [(f, g, h) for f in (1.9, 2.0, 2.1) for g in (0.4, 0.5, 0.6) for h in (-1.1, -1.0, -0.9)]
+    df = spark.createDataFrame(rows, "f double, g double, h double")
+    x = {c: np.array([r[k] for r in rows]) for k, c in enumerate("fgh")}
+    hit = decision_list._covers(edge[0], x, len(rows)) | decision_list._covers(edge[1], x, len(rows))
+    got = [r.kept for r in df.withColumn("kept", decision_list.keeps(edge)).collect()]
+    assert got == [keeps(dict(zip("fgh", r, strict=True)), edge) for r in rows] == (~hit).tolist()
