@@ -39,7 +39,17 @@ from inboxsieve.llm.queries import tokenizer_path
 from inboxsieve.session import checkpoint_dir
 
 
+#: Size of an Arrow batch between an executor and its Python workers: a number of rows alone is no bound for long
+#: texts, and both sides hold a batch of every running task.
+BATCH_BYTES = "4m"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     if docs.where("lang IS NOT NULL").limit(1).count() == 0:  # nothing to learn from
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs, pred="_lang_pred", score="_lang_score").where(
@@ -48,6 +58,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     ids = docs.where("doc_id IS NOT NULL").select("doc_id")
     repeated = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     # an id that repeats does not name a text: then id and text do
@@ -69,10 +80,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return cube_mix.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     done = bpe_trie.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), tokenizer_path())
     return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
