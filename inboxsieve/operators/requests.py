@@ -173,8 +173,18 @@ def request_key(user_prompt: Column, provider: Column, model: Column) -> Column:
     """One key per request: another provider's or model's answer is no answer.
     Never NULL, so that joins on it infer no filter that would run the prompt
     chain once more below the join."""
+    return request_key_of(prompt_hash(user_prompt), provider, model)
+
+
+def prompt_hash(user_prompt: Column) -> Column:
+    return F.sha2(F.coalesce(user_prompt, F.lit("")), 256)
+
+
+def request_key_of(prompt: Column, provider: Column, model: Column) -> Column:
+    """:func:`request_key` from a prompt's hash, for many requests of one prompt."""
     part = lambda c: F.coalesce(c, F.lit(""))
-    return F.sha2(F.concat_ws("\n", F.sha2(part(user_prompt), 256), part(provider), part(model)), 256)
+    # sha2 may be NULL by its type, so joins would infer the filter without this
+    return part(F.sha2(F.concat_ws("\n", prompt, part(provider), part(model)), 256))
 
 
 def build_requests(df: DataFrame, config: ModelConfig | None = None, subject: str = "subject",

@@ -6,6 +6,7 @@ stay inside one projection; no UDF, no shuffle.  Texts are processed whole.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,20 @@ from ..functions.jsre import NA, NB, WS, js_trim, js_trim_end, utf16_length
 # PII patterns, applied in this order, and their replacement
 # tokens.  JS ``\s`` is spelled as the explicit whitespace class and ``\b`` as
 # ASCII lookarounds so that Java matches what the JavaScript patterns match.
+#
+# A pattern is tried at every character, so each one tells from that character
+# alone that it cannot begin there, and looks behind after it.  A mail address
+# begins with its run of local characters, or where the last match ended inside
+# that run; classes are written out, as Java looks single characters up in a
+# bit set and ranges one by one.
 # ---------------------------------------------------------------------------
-EMAIL_PATTERN = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
-PHONE_PATTERN = rf"(?:\+?1[-.{WS}]?)?(?:\(?\d{{3}}\)?[-.{WS}]?)\d{{3}}[-.{WS}]?\d{{4}}"
-URL_PATTERN = rf"(?i){NB}https?://[^{WS}]+"
-SSN_PATTERN = rf"{NB}\d{{3}}-\d{{2}}-\d{{4}}{NA}"
-CARD_NUMBER_PATTERN = rf"{NB}(?:\d[ -]*?){{13,16}}{NA}"
+_DIGITS, _LETTERS = string.digits, string.ascii_letters
+_LOCAL = f"{_LETTERS}{_DIGITS}._%+-"
+EMAIL_PATTERN = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[{_LETTERS}{_DIGITS}.-]+\.[{_LETTERS}]{{2,}}"
+PHONE_PATTERN = rf"(?=[+({_DIGITS}])(?:\+?1[-.{WS}]?)?(?:\(?\d{{3}}\)?[-.{WS}]?)\d{{3}}[-.{WS}]?\d{{4}}"
+URL_PATTERN = rf"(?i)h(?<![0-9A-Z_]h)ttps?://[^{WS}]+"
+SSN_PATTERN = rf"\d(?<![0-9A-Za-z_]\d)\d{{2}}-\d{{2}}-\d{{4}}{NA}"
+CARD_NUMBER_PATTERN = rf"\d(?<![0-9A-Za-z_]\d)[ -]*?(?:\d[ -]*?){{12,15}}{NA}"
 
 PII_RULES = [
     (EMAIL_PATTERN, "[EMAIL]"),
@@ -31,6 +40,7 @@ PII_RULES = [
     (SSN_PATTERN, "[SSN]"),
     (CARD_NUMBER_PATTERN, "[CARD_NUMBER]"),
 ]
+PII_NEEDED = {"[EMAIL]": "@", "[URL]": "://"}  # what each match of a rule has
 
 # Signature detection.
 SIGNATURE_SEPARATOR_PATTERN = rf"\n--[{WS}]*\n"
@@ -49,13 +59,23 @@ INBOUND_REJECT_REASON = "Invalid input detected. Please provide an email subject
 
 
 def redact_pii_col(col: Column) -> Column:
-    """O1 on one column: the five replacements in their fixed order."""
+    """O1 on one column: the five replacements in their fixed order.  A text
+    without what every match of a rule has is not searched."""
     out = col
     for pattern, token in PII_RULES:
-        out = F.regexp_replace(out, pattern, token)
+        needed = PII_NEEDED.get(token)
+        out = F.regexp_replace(out, pattern, token) if needed is None else _replace_where(out, needed, pattern, token)
     return out
 
 
+def _replace_where(col: Column, needed: str, pattern: str, token: str) -> Column:
+    # the text is a lambda variable, so that what gives it is evaluated once
+    def replaced(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit(needed)), F.regexp_replace(x, pattern, token)).otherwise(x)
+
+    return F.element_at(F.transform(F.array(col), replaced), 1)
+
+
 def strip_signature_col(col: Column) -> Column:
     """O2 on one column.
 
@@ -65,22 +85,20 @@ def strip_signature_col(col: Column) -> Column:
     right-trimmed and the removal marker appended.
     """
     n = F.replace(col, F.lit("\r\n"), F.lit("\n"))
-    sep_pos = F.regexp_instr(n, F.lit(SIGNATURE_SEPARATOR_PATTERN))
-    lines = F.split(n, "\n", -1)
-    first = F.greatest(F.size(lines) - SIGNATURE_SCAN_LINES, F.lit(0))  # 0-based
-    tail = F.slice(lines, first + 1, SIGNATURE_SCAN_LINES)
+    sep_pos = F.when(F.contains(n, F.lit("\n--")), F.regexp_instr(n, F.lit(SIGNATURE_SEPARATOR_PATTERN)))
+    tail = F.split(F.substring_index(n, "\n", -SIGNATURE_SCAN_LINES), "\n", -1)
 
     def is_signoff(line: Column, i: Column) -> Column:
         t = js_trim(line)
         return F.when(t.rlike(SIGNOFF_PATTERN) | t.rlike(SENT_FROM_PATTERN), i)
 
-    hit = first + F.array_max(F.transform(tail, is_signoff))
+    hit = F.array_max(F.transform(tail, is_signoff))  # 0-based in the last lines
+    cut = F.array_join(F.slice(tail, hit + 1, SIGNATURE_SCAN_LINES), "\n")
     return (
         F.when(sep_pos > 0,
                F.concat(js_trim_end(n.substr(F.lit(1), sep_pos - 1)), F.lit(SIGNATURE_MARKER)))
         .when(hit.isNotNull(),
-              F.concat(js_trim_end(F.array_join(F.slice(lines, F.lit(1), hit), "\n")),
-                       F.lit(SIGNATURE_MARKER)))
+              F.concat(js_trim_end(F.left(n, F.length(n) - F.length(cut))), F.lit(SIGNATURE_MARKER)))
         .otherwise(n)
     )
 

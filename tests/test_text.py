@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from inboxsieve.functions.jsre import JS_WS_CHARS, js_trim, utf16_length
+from inboxsieve.functions.jsre import JS_WS_CHARS, NA, NB, WS, js_trim, utf16_length
 from inboxsieve.operators import sanitize
 
 
@@ -96,3 +96,38 @@ def test_screen_before_sanitize_is_equivalent(spark):
     ok2, bad2 = sanitize.screen_raw_inbound(df)
     assert sorted(map(tuple, ok1.collect())) == sorted(map(tuple, ok2.collect()))
     assert sorted(r["email_id"] for r in bad2.collect()) == [2, 3]
+
+
+# the patterns as the reference writes them, with its \s and \b spelled out
+PLAIN_RULES = [
+    (r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", "[EMAIL]"),
+    (rf"(?:\+?1[-.{WS}]?)?(?:\(?\d{{3}}\)?[-.{WS}]?)\d{{3}}[-.{WS}]?\d{{4}}", "[PHONE]"),
+    (rf"(?i){NB}https?://[^{WS}]+", "[URL]"),
+    (rf"{NB}\d{{3}}-\d{{2}}-\d{{4}}{NA}", "[SSN]"),
+    (rf"{NB}(?:\d[ -]*?){{13,16}}{NA}", "[CARD_NUMBER]"),
+]
+
+
+def test_redaction_matches_the_plain_patterns(spark):
+    import random
+    rng = random.Random(5)
+    parts = ["a", "b.c", "@", "@x.co", "@é.com", "foo@bar.com", "a@b.co1@c.com", "._%+-", ".", "-", "K", "ſ", "\n", " ",
+             "1", "12", "123", "4567", "+1", "(555)", "(", "+", " 555.987.6543", "123-45-6789", "4111 1111 1111 1111",
+             "http", "https://", "HTTP://", "h", "_http://y", "://", "[EMAIL]", "\U0001f600", "﻿"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(8000)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for pattern, token in PLAIN_RULES:
+        plain = F.regexp_replace(plain, pattern, token)
+    assert df.where(plain != F.col("t")).count() > 4000
+    assert df.where(~plain.eqNullSafe(sanitize.redact_pii_col(F.col("t")))).take(1) == []
+
+
+def test_redaction_is_linear_in_a_long_run(spark):
+    """A run of letters is read once, not once from each of its letters."""
+    import time
+    run = "a" * 300_000
+    df = spark.createDataFrame([(f"@ {run} b@c.com",)], "t string").select(sanitize.redact_pii_col(F.col("t")).alias("t"))
+    begun = time.monotonic()
+    assert df.first().t == f"@ {run} [EMAIL]"
+    assert time.monotonic() - begun < 20
