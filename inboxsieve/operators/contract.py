@@ -23,44 +23,43 @@ ALERT_MIN_CONFIDENCE = 0.7  # alert only when confidenceScore is strictly above
 SAFE_ALERT_REASON = "Categorizer response could not be parsed or validated; no admin alert sent."
 MODEL_ERROR_SUFFIX = " Model error: "
 FENCE_OPEN_PATTERN = rf"(?i)^```(?:json)?[{WS}]*"
-FENCE_CLOSE_PATTERN = rf"(?i)[{WS}]*```\z"
 # ---------------------------------------------------------------------------
 
 NUMBER_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
 def strip_fences(col: Column) -> Column:
     """Trim, then drop a leading ```json fence and a trailing ``` fence."""
-    t = js_trim(col)
-    t = F.regexp_replace(t, FENCE_OPEN_PATTERN, "")
-    t = F.regexp_replace(t, FENCE_CLOSE_PATTERN, "")
-    return js_trim(t)
+    return _unfenced(js_trim(col))
+
+
+def _unfenced(t: Column) -> Column:
+    """:func:`strip_fences` of a trimmed text; most have no fence to look for."""
+    fence = F.lit("```")
+    u = F.regexp_replace(t, FENCE_OPEN_PATTERN, "")
+    # the trimmed text ends where a closing fence ends
+    u = F.when(u.endswith(fence), F.left(u, F.length(u) - 3)).otherwise(u)
+    return F.when(t.startswith(fence) | t.endswith(fence), js_trim(u)).otherwise(t)
 
 
 def pick_object(w: Column) -> Column:
     """The object candidate in fence-free text: the text itself when it is
     ``{...}``, else first '{' to last '}', else unchanged."""
     start = F.instr(w, "{")
-    rev = F.instr(F.reverse(w), "}")
-    end = F.when(rev > 0, F.length(w) - rev + 1).otherwise(F.lit(0))
-    whole = w.startswith("{") & w.endswith("}")
-    return (F.when(whole, w)
+    end = F.length(w) - F.length(F.substring_index(w, "}", -1))  # 0: there is none
+    return (F.when(is_braced(w), w)
             .when((start > 0) & (end > start), w.substr(start, end - start + 1))
             .otherwise(w))
 
 
-def strict_parse(text: Column) -> Column:
-    """``JSON.parse`` as a VARIANT: NULL unless the whole text is one JSON value.
+def is_braced(text: Column) -> Column:
+    return text.startswith("{") & text.endswith("}")
 
-    ``try_parse_json`` alone accepts trailing text; wrapping the text into an
-    array and into an object must both still parse, and the array must hold a
-    single element.
-    """
-    v = F.try_parse_json(text)
-    as_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    as_member = F.try_parse_json(F.concat(F.lit('{"r":'), text, F.lit("}")))
-    single = (as_array.isNotNull() & as_member.isNotNull()
-              & F.try_variant_get(as_array, "$[1]", "variant").isNull())
-    return F.when(single, v)
+
+def _text_stages(src: str) -> list:
+    """The stages of O7."""
+    return [[("_t", lambda g: js_trim(g(src)))],
+            [("_w", lambda g: _unfenced(g("_t")))],
+            [("json_text", lambda g: pick_object(g("_w")))]]
 
 
 # Validation as stages.  Every stage reads only cheap references (columns or
@@ -114,12 +113,18 @@ def _stages(src: str, service_types: list[dict] | None = None):
                      g("_reason").alias("alert_reason"))
         return F.when(F.size(g("issues")) == 0, r)
 
-    return [
-        [("_w", lambda g: strip_fences(g(src)))],
-        [("json_text", lambda g: pick_object(g("_w")))],
-        [("_v", lambda g: strict_parse(g("json_text"))),
-         ("_keys", lambda g: F.array_distinct(F.json_object_keys(g("json_text"))))],
-        [("_root", lambda g: F.schema_of_variant(g("_v"))),
+    # ``JSON.parse``: the parser of VARIANT accepts trailing text, so the text
+    # must parse as the one element of an array and as a member of an object
+    def parsed(g):
+        single = (g("_arr").isNotNull() & F.try_variant_get(g("_arr"), "$[1]", "variant").isNull()
+                  & F.try_parse_json(F.concat(F.lit('{"r":'), g("json_text"), F.lit("}"))).isNotNull())
+        return F.when(single, F.try_variant_get(g("_arr"), "$[0]", "variant"))
+
+    return [*_text_stages(src),
+        [("_arr", lambda g: F.try_parse_json(F.concat(F.lit("["), g("json_text"), F.lit("]"))))],
+        [("_v", parsed)],
+        [("_keys", lambda g: F.map_keys(F.try_variant_get(g("_v"), "$", "map<string,variant>"))),
+         ("_root", lambda g: F.schema_of_variant(g("_v"))),
          ("_t_expl", lambda g: _field_type(g("_v"), "explanation")),
          ("_expl", lambda g: js_trim(F.try_variant_get(g("_v"), "$.explanation", "string"))),
          ("_t_sid", lambda g: _field_type(g("_v"), "serviceTypeId")),
@@ -129,60 +134,79 @@ def _stages(src: str, service_types: list[dict] | None = None):
          ("_t_alert", lambda g: _field_type(g("_v"), "shouldAlertAdmin")),
          ("_alert", lambda g: F.try_variant_get(g("_v"), "$.shouldAlertAdmin", "boolean")),
          ("_t_reason", lambda g: _field_type(g("_v"), "alertReason")),
-         ("_reason", lambda g: js_trim(F.try_variant_get(g("_v"), "$.alertReason", "string"))),
-         ("_extra", lambda g: F.size(F.array_except(
-             g("_keys"), F.array(*[F.lit(k) for k in CONTRACT_KEYS]))) > 0)],
+         ("_reason", lambda g: js_trim(F.try_variant_get(g("_v"), "$.alertReason", "string")))],
+        [("_extra", lambda g: F.size(F.array_except(
+            g("_keys"), F.array(*[F.lit(k) for k in CONTRACT_KEYS]))) > 0)],
         [("_base", base_issues), ("_cross", cross_issues)],
         [("issues", issues)],
         [("result", result)],
     ]
 
 
-CHECK_FIELDS = ["pos", "is_text", "json_text", "issues", "result"]
+CHECK_FIELDS = ["pos", "is_text", "issues", "result"]
+
+
+def _reads(fn) -> set[str]:
+    """The names that a stage's function reads."""
+    names = set()
+    fn(lambda n: names.add(n) or F.lit(None))
+    return names
 
 
-def _stage_chain(arr: Column, extra: list | None = None, out: list[str] | None = None,
-                 service_types: list[dict] | None = None) -> Column:
+def _stage_chain(arr: Column, stages: list, out: list[str] | None = None) -> Column:
     """Run the stages over an array of ``struct(pos, is_text, _src)``, one
-    nested ``transform`` per stage (plus ``extra`` stages), keeping ``out``.
+    nested ``transform`` per stage, keeping ``out``.
 
     Inside a lambda, earlier values are read as fields of the lambda
     variable, which the optimizer never substitutes; so the plan stays linear
-    in the number of stages even when filters are pushed through it.
+    in the number of stages even when filters are pushed through it.  A stage
+    copies what it carries on, so values go as soon as no later one reads them.
     """
-    fields = ["pos", "is_text", "_src"]
+    keep = out or CHECK_FIELDS
+    later = [{*keep, "is_text"}]  # the names that are read after each stage
+    for stage in reversed(stages):
+        later.append(later[-1] | set().union(*(_reads(fn) for _, fn in stage)))
+    later = later[-2::-1]
 
     def make_step(stage, carried):
         def step(x):
-            keep = [x[f].alias(f) for f in carried]
+            old = [x[f].alias(f) for f in carried]
             new = [F.when(x["is_text"], fn(lambda n: x[n])).alias(name) for name, fn in stage]
-            return F.struct(*keep, *new)
+            return F.struct(*old, *new)
         return step
 
-    for stage in _stages("_src", service_types) + (extra or []):
-        arr = F.transform(arr, make_step(stage, tuple(fields)))
-        fields += [n for n, _ in stage]
-    keep = out or CHECK_FIELDS
+    fields = ["pos", "is_text", "_src"]
+    for stage, read in zip(stages, later, strict=True):
+        carried = [f for f in fields if f in read]
+        arr = F.transform(arr, make_step(stage, carried))
+        fields = carried + [n for n, _ in stage]
     return F.transform(arr, lambda x: F.struct(*[x[f].alias(f) for f in keep]))
 
 
-def checked_col(text: Column, is_text: Column | None = None, service_types: list[dict] | None = None) -> Column:
-    """O7 + O8 of one text: ``struct(json_text, issues, result)``."""
+def _one(text: Column, is_text: Column) -> Column:
+    return F.array(F.struct(F.lit(0).alias("pos"), is_text.alias("is_text"), text.alias("_src")))
+
+
+def checked_col(text: Column, is_text: Column | None = None, service_types: list[dict] | None = None,
+                keep_json_text: bool = False) -> Column:
+    """O7 + O8 of one text: a struct with ``issues, result`` (and ``json_text``)."""
     flag = F.lit(True) if is_text is None else is_text
-    one = F.array(F.struct(F.lit(0).alias("pos"), flag.alias("is_text"), text.alias("_src")))
-    return F.element_at(_stage_chain(one, service_types=service_types), 1)
+    out = [*CHECK_FIELDS, *(["json_text"] if keep_json_text else [])]
+    return F.element_at(_stage_chain(_one(text, flag), _stages("_src", service_types), out), 1)
 
 
 def extract_json(df: DataFrame, col: str, out: str = "json_text") -> DataFrame:
     """Add ``out`` = the normalised JSON text of ``col``."""
-    return df.withColumn(out, pick_object(strip_fences(F.col(col))))
+    chain = _stage_chain(_one(F.col(col), F.lit(True)), _text_stages("_src"), ["json_text"])
+    return df.withColumn(out, F.element_at(chain, 1)["json_text"])
 
 
 def validate_output(df: DataFrame, col: str, keep_json_text: bool = False,
                     service_types: list[dict] | None = None) -> DataFrame:
     """O7 + O8: add ``result`` (the trimmed contract output, NULL when
     invalid) and ``issues`` (our issue codes; empty when valid)."""
-    out = (df.withColumn("_chk", checked_col(F.col(col), service_types=service_types))
+    out = (df.withColumn("_chk", checked_col(F.col(col), service_types=service_types,
+                                              keep_json_text=keep_json_text))
              .withColumn("result", F.col("_chk.result"))
              .withColumn("issues", F.col("_chk.issues")))
     if keep_json_text:
@@ -195,7 +219,7 @@ def _apply_stages_array(df: DataFrame, arr: str, out: str, text_field: str = "te
     """The stages over every block of an array column (non-text blocks get NULLs)."""
     blocks = F.transform(F.col(arr), lambda b, i: F.struct(
         i.alias("pos"), (b[type_field] == "text").alias("is_text"), b[text_field].alias("_src")))
-    return df.withColumn(out, _stage_chain(blocks, service_types=service_types))
+    return df.withColumn(out, _stage_chain(blocks, _stages("_src", service_types)))
 
 
 def first_valid_block(responses: DataFrame, content: str = "content",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.jsre import js_trim
 from ..functions import service_types as st
 from ..functions.service_types import UNKNOWN_ID
-from .contract import NUMBER_TYPE, _stage_chain
+from .contract import NUMBER_TYPE, _one, _stage_chain, _stages, is_braced
 
 # ---------------------------------------------------------------------------
 # The eval providers (id, label, temperature, max_tokens,
@@ -125,13 +125,6 @@ def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column, ser
     known = st.service_ids(service_types)
     ids_set = [F.lit(x) for x in known]
 
-    def no_braces(g):
-        w = g("_w")
-        start = F.instr(w, "{")
-        rev = F.instr(F.reverse(w), "}")
-        end = F.when(rev > 0, F.length(w) - rev + 1).otherwise(F.lit(0))
-        return ~(w.startswith("{") & w.endswith("}")) & ~((start > 0) & (end > start))
-
     def is_number(g):
         return F.coalesce(g("_t_score").rlike(NUMBER_TYPE), F.lit(False))
 
@@ -178,10 +171,10 @@ def _score_stages(notify: Column, ids: Column, min_c: Column, max_c: Column, ser
                 + max_c.isNotNull().cast("long"))
 
     def parsed(g):
-        return ~g("_nobrace") & g("_v").isNotNull() & F.coalesce(g("_root").startswith("OBJECT"), F.lit(False))
+        # a picked text without braces had none to pick
+        return is_braced(g("json_text")) & g("_v").isNotNull() & F.coalesce(g("_root").startswith("OBJECT"), F.lit(False))
 
     return [
-        [("_nobrace", no_braces)],
         [("parsed", parsed), ("_failures", failures), ("n_checks", checks)],
         [("n_failures", lambda g: F.size(g("_failures")).cast("long")),
          ("reason", lambda g: F.when(~g("parsed"), F.lit(NOT_AN_OBJECT)).when(
@@ -220,9 +213,8 @@ def score_cases(df: DataFrame, output: str = "output", should_notify: str = "exp
     })
     stages = _score_stages(F.col("expected_notify"), F.col("_ids"), F.col("_min"), F.col("_max"),
                            service_types)
-    one = F.array(F.struct(F.lit(0).alias("pos"), F.lit(True).alias("is_text"),
-                           F.coalesce(F.col(output).cast("string"), F.lit("")).alias("_src")))
-    verdict = F.element_at(_stage_chain(one, stages, SCORE_FIELDS, service_types), 1)
+    one = _one(F.coalesce(F.col(output).cast("string"), F.lit("")), F.lit(True))
+    verdict = F.element_at(_stage_chain(one, _stages("_src", service_types) + stages, SCORE_FIELDS), 1)
     out = cast.withColumn("_verdict", verdict)
     return out.select(*[c for c in out.columns if c not in ("_verdict", "_ids", "_min", "_max")],
                       *[F.col(f"_verdict.{f}").alias(f) for f in SCORE_FIELDS])

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from inboxsieve.operators import contract
@@ -117,3 +118,20 @@ def test_fallback_never_alerts(spark):
     bad = out.filter(F.col("result.should_alert_admin")
                      & ((F.col("result.service_type_id") == "unknown") | (F.col("result.confidence_score") <= 0.7)))
     assert bad.count() == 0
+
+
+def test_an_answer_is_parsed_twice_and_carried_once(spark):
+    """Once inside an array and once inside an object, whatever is read from it."""
+    df = spark.createDataFrame([("{}",)], "t string")
+    plan = contract.validate_output(df, "t")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(") == 2 and "json_object_keys" not in plan
+
+
+@pytest.mark.parametrize("text,valid", [
+    ("```json\n%s\n```", True), ("```%s", True), ("%s```", True), ("```JSON %s ``` ", True), ("%s}", False),
+    ("%s] [", True), ("%s}, {", False), ("%s, 1", True), ("%s, {}", False), ("x %s y", True), ("%s", True), ("``````", False), ("", False)])
+def test_trailing_text_and_fences(spark, text, valid):
+    answer = ('{"explanation": "x", "serviceTypeId": "unknown", "confidenceScore": 0.1, "shouldAlertAdmin": false, '
+              '"alertReason": "y"}')
+    df = spark.createDataFrame([(text.replace("%s", answer),)], "t string")
+    assert (contract.validate_output(df, "t").first().result is not None) == valid
