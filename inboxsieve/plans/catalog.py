@@ -395,10 +395,10 @@ def q_result_store(spark, sf_dir):
 
 # ------------------------------------------------------- O21-O23, O25, O26
 def _verdicts(spark, sf_dir) -> DataFrame:
-    cases = dt.eval_cases(spark, sf_dir).drop("description")
-    m = evaluate.eval_matrix(cases)
+    cases = dt.eval_cases(spark, sf_dir).withColumn("escaped_body", dt.json_escape(F.col("body")))
+    m = evaluate.eval_matrix(cases.drop("description", "body"))
     seed = F.col("case_no") * 10 + F.col("provider_ord")
-    out = m.withColumn("output", dt.answer_text(seed, F.col("body")))
+    out = m.withColumn("output", dt.answer_with(seed, F.col("escaped_body")))
     n_in = (F.lit(900) + F.col("case_no") % 100).cast("long")
     n_out = F.ceil(F.length("output") / 4).cast("long")
     out = out.withColumns({
@@ -406,7 +406,7 @@ def _verdicts(spark, sf_dir) -> DataFrame:
         "cost_usd": F.when(F.col("provider_id").startswith("ollama"), F.lit(0.0))
         .otherwise((n_in * 0.15 + n_out * 0.6) / 1e6),
     })
-    return evaluate.score_cases(out.drop("body")).drop("output")
+    return evaluate.score_cases(out.drop("escaped_body")).drop("output")
 
 
 @query("eval_matrix")
@@ -443,7 +443,8 @@ def q_eval_buckets(spark, sf_dir):
 def q_eval_run(spark, sf_dir):
     """O21 -> O5 -> O6 -> O22 -> O23: the labelled cases answered by recordings
     of every provider, summarised."""
-    requests = eval_run.eval_requests(dt.eval_cases(spark, sf_dir))
+    cases = dt.eval_cases(spark, sf_dir).withColumn("escaped_body", dt.json_escape(F.col("body")))
+    requests = eval_run.eval_requests(cases)
     verdicts = eval_run.eval_run(requests, RecordedBackend(dt.recorded_eval_responses(requests)))
     failed = F.sum(F.col("model_call_error").isNotNull().cast("long")).alias("failed_calls")
     summary = verdicts.groupBy("provider_id").agg(*evaluate._summary_aggs(), failed)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate
 from ..operators.inference import Backend, classify
-from ..operators.requests import request_key, user_prompt_col
+from ..operators.requests import prompt_hash, request_key_of, user_prompt_col
 
 EXPECTED = ["expected_service_type_id", "expected_service_type_ids", "expected_should_notify", "min_confidence",
             "max_confidence"]
@@ -20,12 +20,15 @@ EXPECTED = ["expected_service_type_id", "expected_service_type_ids", "expected_s
 
 def eval_requests(cases: DataFrame, providers: list[dict] | None = None, pattern: str | None = None,
                   first_n: int | None = None, service_types: list[dict] | None = None) -> DataFrame:
-    """One request per (case, provider); the prompt is rendered once per case."""
+    """One request per (case, provider); the prompt is rendered, hashed and
+    measured (``prompt_length``) once per case."""
     prompted = cases.withColumn("user_prompt", user_prompt_col(F.col("subject"), F.col("body"), service_types))
+    prompted = prompted.withColumns({"_prompt": prompt_hash(F.col("user_prompt")),
+                                     "prompt_length": F.length("user_prompt")})
     matrix = evaluate.eval_matrix(prompted, providers, pattern, first_n)
     provider = F.substring_index("provider_id", ":", 1)
     return matrix.withColumns({"provider": provider, "model": F.col("provider_id"),
-                               "request_hash": request_key(F.col("user_prompt"), provider, F.col("provider_id"))})
+                               "request_hash": request_key_of(F.col("_prompt"), provider, F.col("provider_id"))}).drop("_prompt")
 
 
 def eval_run(requests: DataFrame, backend: Backend, service_types: list[dict] | None = None) -> DataFrame:

@@ -72,7 +72,7 @@ def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWER_IDS = ["stumpGrinding", "stumpRemoval", "rootRemoval", "treePruning", "unknown", "lawnMowing"]
 
 
-def _json_escape(col: Column) -> Column:
+def json_escape(col: Column) -> Column:
     for plain, code in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         col = F.replace(col, F.lit(plain), F.lit(code))
     return col
@@ -81,12 +81,16 @@ def _json_escape(col: Column) -> Column:
 def answer_text(seed: Column, hint: Column) -> Column:
     """A model answer derived from a seed and a text (the whole text goes into
     the explanation)."""
+    return answer_with(seed, json_escape(hint))
+
+
+def answer_with(seed: Column, words: Column) -> Column:
+    """:func:`answer_text` of an escaped text, for many answers to one text."""
     shape = seed % 12
     sid = _pick(F.floor(seed / 12) % 6, ANSWER_IDS)
     score_int = (seed * 37) % 101
     score = F.concat(score_int.cast("string"), F.lit("e-2"))
     alert = F.when((score_int > 70) & (sid != "unknown"), F.lit("true")).otherwise(F.lit("false"))
-    words = _json_escape(hint)
     expl = F.concat(F.lit("Mail "), seed.cast("string"), F.lit(": "), words)
     reason = F.concat(F.lit("Reason for "), seed.cast("string"))
 
@@ -250,10 +254,12 @@ def recorded_eval_responses(requests: DataFrame) -> DataFrame:
     """Recordings of an eval run as ``answer_text(case_no * 10 +
     provider_ord, body)``, one per request: equal prompts share that of the
     smallest case.  A call fails, without a recording, where that seed is
-    divisible by 17."""
+    divisible by 17.  ``escaped_body``, where the requests have it, is the
+    body as :func:`json_escape` gives it."""
     seed = F.col("case_no") * 10 + F.col("provider_ord")
-    text = answer_text(seed, F.col("body"))
-    n_in = F.ceil(F.length("user_prompt") / 4).cast("long")
+    text = (answer_with(seed, F.col("escaped_body")) if "escaped_body" in requests.columns
+            else answer_text(seed, F.col("body")))
+    n_in = F.ceil(F.col("prompt_length") / 4).cast("long")
     n_out = F.ceil(F.length(text) / 4).cast("long")
     cost = F.when(F.col("provider_id").startswith("ollama"), F.lit(0.0)).otherwise((n_in * 0.15 + n_out * 0.6) / 1e6)
     answers = requests.select(

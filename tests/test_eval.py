@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from inboxsieve.operators import evaluate
 
 CASE_COLS = ("case_no long, path_type string, expected_service_type_id string, expected_service_type_ids string, "
@@ -160,3 +162,17 @@ def test_numbers_are_printed_as_in_javascript(spark):
     df = spark.createDataFrame([(x,) for x in want], "x double")
     got = {r["x"]: r["t"] for r in df.select("x", _number_text(df["x"]).alias("t")).collect()}
     assert got == {x: t for x, t in want.items()}
+
+
+def test_a_prompt_is_hashed_once_per_case(spark):
+    """Before the cases meet the providers; and no join filters on the hash."""
+    from inboxsieve.operators.requests import build_requests, request_key
+    from inboxsieve.plans.eval_run import eval_requests
+    cases = spark.createDataFrame([(1, "s", "b"), (2, None, "b")], "case_no long, subject string, body string")
+    requests = eval_requests(cases)
+    above, below = requests.select("case_no", "request_hash")._jdf.queryExecution().optimizedPlan().toString().split("Generate")
+    assert "Subject:" in below and "Subject:" not in above
+    for r in requests.select("request_hash", request_key(F.col("user_prompt"), F.col("provider"), F.col("model")).alias("k")).collect():
+        assert r.request_hash == r.k
+    mails = spark.createDataFrame([(1, "s", "b")], "email_id long, subject string, body string")
+    assert not build_requests(mails).schema["request_hash"].nullable
