@@ -1,20 +1,20 @@
 """Byte-level BPE encoding and decoding through a trie of distinct words.
 
 Texts are split into pre-tokens ("words").  Each task inserts the distinct
-words it meets, as bytes, into a trie of linked nodes; a node's state is the
-last token of the encoding of the path from the root.  A word's encoding is
-that of a shorter prefix plus one token, so going down a path a state follows
-from those above it: it is the one token that ends here and may stand after the
-last token of the node where it begins.  Two tokens may stand side by side when
+words it meets, as bytes, into a trie whose edges are tokens: a node is a path
+from the root, the beginning of some word, and holds the last token of that
+path's encoding; the node above it is the path without that token.  The state
+of a node is the one token that ends its path and may stand after the last
+token of the node where it begins.  Two tokens may stand side by side when
 merging their joined bytes gives those two tokens again.  So a prefix shared by
-many words is encoded once, and an encoding is read off by walking the states
-back to the root.
+many words is encoded once, a node is made only where a token may end, and an
+encoding is read off by walking the states back to the root.
 
-The trie has the first ``MAX_DEPTH`` bytes of a word; the states below stand in
-a list by position while the word is encoded, so memory is linear in its length.
-What a task remembers is bounded in bytes (``MAX_NODES`` nodes and pairs of
-tokens of about 160 bytes each, ``PIECE_BYTES`` of pieces, twice); what is full
-is begun anew, which costs time but changes no result.
+Words of more than ``MAX_DEPTH`` bytes are not in the trie: their states stand
+in a list by position while the word is encoded, so memory is linear in its
+length.  What a task remembers is bounded in bytes (``MAX_NODES`` nodes and
+pairs of tokens of about 160 bytes each, ``PIECE_BYTES`` of pieces, twice); what
+is full is begun anew, which costs time but changes no result.
 
 Cases: null and empty texts have no tokens and decode to the empty text; null
 ids decode to the empty text; ids outside the vocabulary are left out; special
@@ -77,10 +77,13 @@ class Vocabulary:
         for order, pair in enumerate(spec["model"]["merges"]):
             a, b = (to_bytes(s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merge[self.id_of[a], self.id_of[b]] = order, self.id_of[a + b]
-        #: the longest token with each ending of three bytes
-        self.longest: dict[bytes, int] = {}
+        #: the longest token with each ending of three bytes, and all sizes from there down
+        sizes: dict[bytes, set[int]] = {}
         for b in self.id_of:
-            self.longest[b[-3:]] = max(self.longest.get(b[-3:], 0), len(b))
+            sizes.setdefault(b[-3:], {1, 2}).add(len(b))
+        self.longest = {end: max(of) for end, of in sizes.items() if len(end) > 2}
+        self.sizes = {end: tuple(sorted(of, reverse=True)) for end, of in sizes.items() if len(end) > 2}
+        self.size_of = {i: len(b) for b, i in self.id_of.items()}
         # how each token is made; joining in order of the merges, its parts are made before it
         self.made = {token: (order, *pair) for pair, (order, token) in self.merge.items()}
         order_of = lambda t: self.made[t][0] if t in self.made else -1
@@ -142,9 +145,8 @@ class Pieces(dict):
 
 
 class Encoder:
-    """The trie of one task: ``child`` has the node below a node by a byte,
-    ``last`` the last token of a node's path, ``joins`` which tokens may stand
-    side by side."""
+    """The trie of one task: ``last`` has the last token of a node's path,
+    ``joins`` which tokens may stand side by side."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -153,8 +155,7 @@ class Encoder:
         self.special = (re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len)[::-1])) + ")")
                         if vocabulary.special else None)
         self.joins: dict[int, bool] = {}
-        self.child: dict[int, int] = {}
-        self.last = array("i", [-1])  # of the root: at the beginning of a word
+        self.last = {b"": -1}  # of the root: at the beginning of a word
         self.bare, self.spaced = Pieces(self, ""), Pieces(self, " ")
         self.line_end = self.ids_of("\n")
 
@@ -167,21 +168,41 @@ class Encoder:
         known = self.joins[left << 32 | right] = self.v.stand_together(left, right)
         return known
 
+    def state(self, path: bytes) -> int:
+        """The last token of a path's encoding; its node is made if it is not there."""
+        id_of, last = self.v.id_of.get, self.last.get
+        for size in self.v.sizes.get(path[-3:], (2, 1)):  # the longest token first
+            token = id_of(path[-size:])
+            if token is not None:
+                above = path[:-size]
+                left = last(above)
+                if left is None:
+                    left = self.state(above)
+                fits = self.joins.get(left << 32 | token)
+                if fits or (fits is None and self.may_follow(left, token)):
+                    break
+        self.last[path] = token
+        return token
+
     def insert(self, data: bytes) -> list[int]:
-        """Go down the word's path, add the nodes it lacks with their states,
-        and read the encoding off the states."""
-        child, last, longest = self.child, self.last, self.v.longest.get
-        id_of, joins, below = self.v.id_of.get, self.joins.get, child.get
-        node, states = 0, [-1]  # the last token by position
-        add = states.append
-        for byte in data:
-            found = below(node << 8 | byte)
-            if found is None:
-                break
-            node = found
-            add(last[found])
-        size = len(data)
-        for end in range(len(states), size + 1):
+        """Go to the word's node, make the nodes it lacks, and read the
+        encoding off the states."""
+        if len(data) > MAX_DEPTH:
+            return self.long_word(data)
+        ids, last, size_of = [], self.last.get, self.v.size_of
+        while data:
+            token = last(data)
+            if token is None:
+                token = self.state(data)
+            ids.append(token)
+            data = data[:-size_of[token]]
+        ids.reverse()
+        return ids
+
+    def long_word(self, data: bytes) -> list[int]:
+        longest, id_of, joins = self.v.longest.get, self.v.id_of.get, self.joins.get
+        size, states = len(data), [-1]  # the last token by position
+        for end in range(1, size + 1):
             # the longest token first
             for begin in range(max(0, end - longest(data[end - 3:end], 2)) if end > 2 else 0, end):
                 token = id_of(data[begin:end])
@@ -190,22 +211,18 @@ class Encoder:
                     fits = joins(left << 32 | token)
                     if fits or (fits is None and self.may_follow(left, token)):
                         break
-            add(token)
-            if end <= MAX_DEPTH:
-                child[node << 8 | data[end - 1]] = node = len(last)
-                last.append(token)
-        ids, bytes_of = [], self.v.bytes_of
+            states.append(token)
+        ids, size_of = [], self.v.size_of
         while size:
             token = states[size]
             ids.append(token)
-            size -= len(bytes_of[token])
+            size -= size_of[token]
         ids.reverse()
         return ids
 
     def ids_of(self, text: str) -> bytes:
         if len(self.last) > MAX_NODES:
-            self.child.clear()
-            del self.last[1:]
+            self.last = {b"": -1}
         # letters only, or with a space before them: one word, and the pattern need not be asked
         words = [text] if text.isalpha() or text[1:].isalpha() and text[0] == " " else self.split.findall(text)
         ids = array("i")

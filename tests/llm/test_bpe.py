@@ -95,3 +95,13 @@ def test_what_is_remembered_is_bounded(monkeypatch):
     whole = bpe_trie.Encoder(encoder.v).encode(text)
     assert encoder.encode(text).tolist() == whole.tolist() == encoder.encode(text).tolist()
     assert len(encoder.last) < 200 and len(encoder.joins) <= 50 and len(encoder.spaced) < 500
+
+
+def test_a_node_is_made_only_where_a_token_may_end():
+    e = bpe_trie.Encoder(bpe_trie.Vocabulary(tokenizer_path()))
+    nodes, rng = len(e.last), random.Random(4)
+    word = b" internationalization"
+    assert e.insert(word) == e.v.merged(word) and len(e.last) - nodes < len(word) // 2
+    for _ in range(3000):
+        word = "".join(rng.choices("abcdeinst019-é", k=rng.randrange(1, 14))).encode()
+        assert e.insert(word) == e.long_word(word) == e.v.merged(word)
